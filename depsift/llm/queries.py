@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from depsift.llm import exact, langid, license_scan, mixing, packing, token_counts
+from depsift.llm import embeddings, exact, langid, license_scan, mixing, packing, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +40,10 @@ def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.predict(docs, langid.train(docs))
@@ -45,6 +55,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op9_embedding_near_dedup": """
+        with recursive v as (
+            select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+        ), ok as (
+            select *, sqrt(list_sum(list_transform(e, x -> x * x))) as norm from v
+            where label is not null and e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+              and len(list_filter(e, x -> x <> 0)) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+        ), reach(node, other) as (
+            select vec_id, vec_id from embeddings union select r.node, l.b from reach r join links l on r.other = l.a
+        ), roots as (
+            select node, min(other) as component_id from reach group by node
+        ), counts as (
+            select a, count(*) as n_links from links group by a
+        )
+        select e.vec_id, coalesce(c.n_links, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept
+        from embeddings e join roots r on r.node = e.vec_id left join counts c on c.a = e.vec_id
+    """,
     "op7_exact_dedup": """
         select doc_id,
                max(doc_id) over (partition by coalesce(text, '')) as keep_id,
@@ -85,7 +115,6 @@ SQL = {
                ((floor(r * rate + u) - floor((r - 1) * rate + u)) * size)::bigint as taken
         from placed
     """,
-    "op8_scan_licenses": None,
 }
 
 
