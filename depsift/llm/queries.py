@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsift.llm import embeddings, exact, langid, license_scan, mixing, packing, simhash, token_counts
+from depsift.llm import embeddings, exact, html_main, langid, license_scan, mixing, packing, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,11 +61,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL = {
     "op9_embedding_near_dedup": """
         with recursive v as (
-            select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+            select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
         ), ok as (
-            select *, sqrt(list_sum(list_transform(e, x -> x * x))) as norm from v
-            where label is not null and e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
-              and len(list_filter(e, x -> x <> 0)) > 0
+            select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+            where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(e, lambda x: x <> 0)) > 0
         ), links as (
             select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
             where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
