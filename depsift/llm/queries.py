@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsift.llm import embeddings, exact, html_main, langid, license_scan, mixing, packing, simhash, token_counts
+from depsift.llm import embeddings, exact, html_main, langid, license_scan, mixing, packing, simhash, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main(table(spark, sf_dir, "pages"))
 
 
+def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
