@@ -144,3 +144,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns kept, whose text the model does not reject."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
