@@ -12,33 +12,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Label every node of `edges` with the smallest node it can reach.
 
     Returns (node, component). Rows with a null end and self loops name a node but link nothing.
-    Each round, every node picks the neighbour (or itself) with the least hash, edges are contracted to
-    the picked nodes, and the edge table shrinks by a constant factor; hashing by round keeps long chains
-    from contracting one step at a time. A round costs a few shuffles on the edge table, never a group
-    collected in one task.
+    Each round, every node picks the one of least hash among its neighbours and itself, follows that node's
+    own pick, and edges are contracted to the picked nodes. Order by hash keeps long chains from contracting
+    one step at a time, and a star is done in two rounds. A round costs a few shuffles on the edges left,
+    never a group collected in one task.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    labels = cut(nodes.withColumn("cur", F.col("node")))
-    live = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for step in range(max_rounds):
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("cur"))
+    live = pairs.where("a <> b")
+    order = lambda c: F.struct(F.xxhash64(F.col(c)).alias("h"), F.col(c).alias("n"))
+    for _ in range(max_rounds):
         if live.isEmpty():
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("n"))
         best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-        pick = cut(best.select(F.col("a").alias("v"), F.least("m", order("a"))["n"].alias("t")))
+        pick = best.select(F.col("a").alias("v"), F.least("m", order("a"))["n"].alias("t"))
         hop = pick.select(F.col("v").alias("hv"), F.col("t").alias("ht"))
-        # a second hop follows the picked node's own pick
         pick = cut(pick.join(hop, F.col("t") == F.col("hv"), "left").select("v", F.coalesce("ht", "t").alias("t")))
-        labels = cut(labels.join(pick, labels.cur == pick.v, "left").select("node", F.coalesce("t", "cur").alias("cur")))
-        pa = pick.select(F.col("v").alias("a"), F.col("t").alias("na"))
-        pb = pick.select(F.col("v").alias("b"), F.col("t").alias("nb"))
-        live = cut(
-            live.join(pa, "a").join(pb, "b").where("na <> nb")
-            .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-        )
+        labels = labels.join(pick, F.col("cur") == F.col("v"), "left").select("node", F.coalesce("t", "cur").alias("cur"))
+        ends = [pick.select(F.col("v").alias(c), F.col("t").alias(n)) for c, n in (("a", "na"), ("b", "nb"))]
+        met = live.join(ends[0], "a").join(ends[1], "b").where("na <> nb")
+        live = cut(met.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
     else:
         raise RuntimeError("connected components did not settle")
+    labels = cut(labels)
     least = labels.groupBy("cur").agg(F.min("node").alias("component"))
     return labels.join(least, "cur").select("node", "component")
