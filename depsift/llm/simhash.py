@@ -189,7 +189,8 @@ def links(prints: DataFrame, distance: int, matches: int, sets: list[tuple[int,
             a, b = (np.concatenate(e).astype(np.int64) if e else np.empty(0, np.int64) for e in edges)
             yield pa.RecordBatch.from_arrays([pa.array([m[i].tobytes() for i in x], pa.binary()) for x in (a, b)], names=["src", "dst"])
 
-    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    # lists come in order of fingerprints, so lists with the same members span them by the same links
+    dealt = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp")
     return dealt.mapInArrow(run, "src binary, dst binary").distinct()
 
 
