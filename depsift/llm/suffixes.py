@@ -313,15 +313,17 @@ def first_starts(views: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np
     mask = np.zeros(len(ids), np.uint64)
     rng = np.random.default_rng(3)
     factors = rng.integers(1, 1 << 63, views.shape[1], dtype=np.uint64) | np.uint64(1)
-    sums = np.zeros((views.shape[1] + 1, len(ids)), np.uint64)
-    for j in range(views.shape[1]):
-        np.add(sums[j], views[:, j] * factors[j], out=sums[j + 1])
+    rolling = np.zeros(len(ids), np.uint64)  # hash of the string at the present offset, moved a byte a step
+    for j in range(span, span + length):
+        rolling += views[:, j] * factors[j]
     for x in range(span + 1):
+        if x:
+            rolling += views[:, span - x] * factors[span - x] - views[:, span - x + length] * factors[span - x + length]
         rows = np.flatnonzero((left >= x) & (right >= span - x))
         if not len(rows):
             continue
         a = span - x
-        h = (sums[a + length] - sums[a])[rows]
+        h = rolling[rows]
         order = np.argsort(h, kind="stable")
         rows = rows[order]
         head = np.r_[True, h[order][1:] != h[order][:-1]]
