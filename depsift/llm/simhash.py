@@ -125,6 +125,24 @@ def _forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list[int], l
     return out_a, out_b
 
 
+def _nearest_forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list[int], list[int]]:
+    """As `_forest`, but each row enters by its link of fewest differing bits: a minimum spanning forest."""
+    wide = np.ascontiguousarray(rows).view(np.uint64)
+    least, entry, waiting = np.full(len(rows), distance + 1), np.zeros(len(rows), np.int64), np.arange(1, len(rows))
+    at, out_a, out_b = 0, [], []
+    while len(waiting):
+        bits = np.bitwise_count(wide[waiting] ^ wide[at]).sum(axis=1, dtype=np.int64)
+        closer = np.flatnonzero(bits < least[waiting])
+        closer = closer[(rows[waiting[closer]] == rows[at]).sum(axis=1) >= matches]
+        least[waiting[closer]], entry[waiting[closer]] = bits[closer], at
+        pick = int(least[waiting].argmin())
+        at, waiting = int(waiting[pick]), np.delete(waiting, pick)
+        if least[at] <= distance:
+            out_a.append(int(entry[at]))
+            out_b.append(at)
+    return out_a, out_b
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Whole posting lists of a partition sorted by list, several at a time: (list starts, rows, block)."""
     keys, prints, sides = [], [], []
@@ -150,14 +168,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield joined()
 
 
-def links(prints: DataFrame, distance: int, matches: int, sets: list[tuple[int, ...]], block: int = BLOCK) -> DataFrame:
+def links(
+    prints: DataFrame, distance: int, matches: int, sets: list[tuple[int, ...]], block: int = BLOCK, short: int = 16, nearest: bool = False,
+) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints that span all links found in the posting lists.
 
     A posting list is compared whole if it is short. A list of more than `block` fingerprints is dealt into
     blocks by hash, and each pair of blocks is a group of its own, so no task gets a whole hot list and no
     pair is left out. Inside a group, pairs are tallied in arrays; only the links that join two parts of a
-    group leave it, fewer than its rows.
+    group leave it, fewer than its rows; lists of `short` rows at most give all their links. `nearest` spans
+    a group by its links of fewest differing bits, for callers that verify links by other means afterwards.
     """
+    span = _nearest_forest if nearest else _forest
     rows = postings(prints, sets)
     long_ = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long_ = long_.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
@@ -172,18 +194,18 @@ def links(prints: DataFrame, distance: int, matches: int, sets: list[tuple[int,
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             size = np.diff(np.r_[start, len(key)])
             # short lists all at once: the k-th row of a list against the one s places on
-            short = np.repeat(size <= 16, size)
+            small = np.repeat(size <= short, size)
             ends = np.repeat(start + size, size)
-            live = np.flatnonzero(short)
-            for s in range(1, 16):
+            live = np.flatnonzero(small)
+            for s in range(1, short):
                 live = live[live + s < ends[live]]
                 if not len(live):
                     break
                 hit = live[_linked(m[live], m[live + s], matches, distance)]
                 edges[0].append(hit)
                 edges[1].append(hit + s)
-            for at, n in zip(start[size > 16], size[size > 16]):
-                a, b = _forest(m[at : at + n], matches, distance)
+            for at, n in zip(start[size > short], size[size > short]):
+                a, b = span(m[at : at + n], matches, distance)
                 edges[0].append(np.array(a, np.int64) + at)
                 edges[1].append(np.array(b, np.int64) + at)
             a, b = (np.concatenate(e).astype(np.int64) if e else np.empty(0, np.int64) for e in edges)
@@ -229,7 +251,7 @@ def neighbour_sets(size: int, steps: int = 4) -> list[tuple[int, ...]]:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, shingles: the sorted distinct 32-bit hashes of a text's shingles, packed."""
+    """doc_id, fp, shingles: the sorted distinct 32-bit hashes of a text's shingles, packed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(text: str) -> bytes:
@@ -241,10 +263,10 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([hashes(t.as_py() or "") for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
+            sets = pa.array([hashes(t.as_py() or "") for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["doc_id", "fp", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
+    return docs.select("doc_id", "fp", "text").mapInArrow(run, f"doc_id {kind}, fp binary, shingles binary")
 
 
 def jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -273,7 +295,7 @@ def near_duplicate_groups(
     At a similarity of 0.8, fingerprints differ in more bits than the index has bytes, so no number of
     shared bytes is guaranteed. Here fingerprints are wider and pairs need only share the two bytes of one of
     many sets of positions: measured on copies of the test tables, 95 % of pairs at 0.8 or more meet, and
-    more through a third copy. Pairs that meet within `distance` bits are then verified: their sets of
+    more through a third copy. Each posting list is spanned by its closest pairs, the likeliest to be verified. Pairs that meet within `distance` bits are then verified: their sets of
     distinct shingles must have a Jaccard similarity of `similarity` at least, so nothing is grouped on
     fingerprints alone but texts whose fingerprints are equal. Rows with one doc_id count as one document;
     null ids are left out.
@@ -282,13 +304,12 @@ def near_duplicate_groups(
     sets = sets or neighbour_sets(bits // 8)
     prints = cut(fingerprints(base, shingle, bits, "doc_id", "text"))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = links(classes, distance, matches, sets)
-    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("src", "x"), ("dst", "y"))]
-    pairs = cut(found.join(ends[0], "src").join(ends[1], "dst").where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct())
-    needed = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
-    grams = cut(shingle_sets(base.join(needed, "doc_id", "left_semi"), shingle))
-    sides = [grams.select(F.col("doc_id").alias(c), F.col("shingles").alias(n)) for c, n in (("src", "a"), ("dst", "b"))]
-    verified = jaccard(pairs.join(sides[0], "src").join(sides[1], "dst"), similarity)
+    found = cut(links(classes, distance, matches, sets, short=4, nearest=True))
+    needed = found.select(F.col("src").alias("fp")).union(found.select("dst")).distinct()
+    firsts = classes.join(needed, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp")
+    grams = cut(shingle_sets(base.join(firsts, "doc_id"), shingle))
+    sides = [grams.select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
+    verified = jaccard(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity)
     same = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
     labels = connected_components(verified.unionByName(same))
     ids = prints.select("doc_id").distinct()
