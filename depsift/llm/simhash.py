@@ -304,7 +304,7 @@ def near_duplicate_groups(
     sets = sets or neighbour_sets(bits // 8)
     prints = cut(fingerprints(base, shingle, bits, "doc_id", "text"))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = cut(links(classes, distance, matches, sets, short=4, nearest=True))
+    found = cut(links(classes, distance, matches, sets, nearest=True))
     needed = found.select(F.col("src").alias("fp")).union(found.select("dst")).distinct()
     firsts = classes.join(needed, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp")
     grams = cut(shingle_sets(base.join(firsts, "doc_id"), shingle))

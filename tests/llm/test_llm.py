@@ -266,3 +266,17 @@ def test_pipeline(spark, docs):
         if name != "pack":
             assert rows.columns == columns
     assert rows.count() > 0
+
+
+def test_nearest_forest_spans_components_by_their_closest_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, 16), dtype=np.uint8)
+    rows = np.repeat(base, 20, axis=0)
+    rows[np.arange(60), rng.integers(2, 16, 60)] ^= np.uint8(1) << rng.integers(0, 8, 60).astype(np.uint8)
+    a, b = simhash._nearest_forest(rows, 2, 6)
+    assert len(a) == 57 and all(x // 20 == y // 20 for x, y in zip(a, b))
+    every = np.bitwise_count(rows ^ rows[:, None]).sum(axis=2, dtype=int)
+    np.fill_diagonal(every, 999)
+    ends, used = np.r_[a, b], np.full(60, 999)
+    np.minimum.at(used, ends, np.tile(every[a, b], 2))
+    assert (used == every.min(axis=1)).all()  # a minimum spanning forest holds a closest pair of every row
