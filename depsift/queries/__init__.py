@@ -6,7 +6,7 @@ import importlib
 
 from depsift.queries.registry import ORACLES, QUERIES
 
-for _module in ("core", "findings", "graphs", "supply"):
+for _module in ("core", "findings", "graphs", "supply", "streams"):
     importlib.import_module(f"depsift.queries.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
