@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsift.llm.runs import sorted_runs
 from depsift.operators.components import connected_components
 from depsift.plans.lineage import cut
 
 #: Fingerprints of one posting list that are compared in one group; longer lists are compared block by block.
 BLOCK = 4096
+#: Texts of a bit-linked group on each side of one block of shingle comparisons.
+SIDE = 1024
 
 
 def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
@@ -286,6 +289,64 @@ def jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
+def _joins(table: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """Rows of one block, (fragment, loose, shingles) in their order, that join fragments: loose ones against all."""
+    names, part = np.unique(table.column("fragment").to_pylist(), return_inverse=True)
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    root, one = np.arange(len(names)), np.zeros(len(names), np.int64)
+    one[part] = np.arange(len(sets))
+    out_a, out_b = [], []
+    for row in np.flatnonzero(table.column("loose").to_numpy()):
+        apart = root[part] != root[part[row]]
+        if not apart.any():
+            continue
+        low, high = np.searchsorted(tokens, sets[row]), np.searchsorted(tokens, sets[row], side="right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = apart & (both >= similarity * (sizes[row] + sizes - both))
+        for other in np.unique(root[part[near]]):
+            out_a.append(int(row))
+            out_b.append(int(one[other]))
+            root[root == other] = root[part[row]]
+    return out_a, out_b
+
+
+def fragment_links(grams: DataFrame, fragments: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
+    """Pairs (src, dst) that join the fragments which verified links have left of each bit-linked group.
+
+    grams has group, doc_id and shingles, fragments has node and component; a doc_id without one is a
+    fragment of its own. Every text outside the largest fragment of its group is compared with all texts of
+    the other fragments, so afterwards no two fragments of a group hold a similar pair that was not tried. A
+    group is dealt into blocks of about `side` texts against `side` texts by hash; only links leave a block.
+    """
+    kind = grams.schema["doc_id"].dataType.simpleString()
+    rows = grams.join(fragments.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = cut(rows.select("group", "doc_id", F.coalesce("component", "doc_id").alias("fragment"), "shingles"))
+    parts = rows.groupBy("group", "fragment").agg(F.count("*").alias("n"))
+    split = parts.groupBy("group").agg(F.max_by("fragment", F.struct("n", "fragment")).alias("core"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    pieces = lambda n: F.ceil(n / F.lit(side)).cast("long")
+    split = split.where("parts > 1").select("group", "core", pieces(F.col("all")).alias("wide"), pieces(F.col("all") - F.col("most")).alias("high"))
+    rows = rows.join(split, "group").withColumn("turn", F.xxhash64("doc_id"))
+    blocks = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    all_ = rows.withColumn("b", F.pmod("turn", "wide")).withColumn("a", F.explode(blocks("high"))).withColumn("loose", F.lit(False))
+    loose = rows.where("fragment <> core").withColumn("a", F.pmod("turn", "high")).withColumn("b", F.explode(blocks("wide"))).withColumn("loose", F.lit(True))
+    dealt = all_.unionByName(loose).select("group", "a", "b", "loose", "fragment", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in sorted_runs(batches, 3):
+            a, b = _joins(block, similarity)
+            names = block.column("fragment").combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (a, b)], names=["src", "dst"])
+
+    dealt = dealt.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
+    return dealt.mapInArrow(run, f"src {kind}, dst {kind}").distinct()
+
+
 def near_duplicate_groups(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, distance: int = 30, matches: int = 2,
     sets: list[tuple[int, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -295,10 +356,12 @@ def near_duplicate_groups(
     At a similarity of 0.8, fingerprints differ in more bits than the index has bytes, so no number of
     shared bytes is guaranteed. Here fingerprints are wider and pairs need only share the two bytes of one of
     many sets of positions: measured on copies of the test tables, 95 % of pairs at 0.8 or more meet, and
-    more through a third copy. Each posting list is spanned by its closest pairs, the likeliest to be verified. Pairs that meet within `distance` bits are then verified: their sets of
-    distinct shingles must have a Jaccard similarity of `similarity` at least, so nothing is grouped on
-    fingerprints alone but texts whose fingerprints are equal. Rows with one doc_id count as one document;
-    null ids are left out.
+    more through a third copy. Each posting list is spanned by its closest pairs, the likeliest to be verified.
+    Pairs that meet within `distance` bits are then verified: their sets of distinct shingles must have a
+    Jaccard similarity of `similarity` at least, so nothing is grouped on fingerprints alone but texts whose
+    fingerprints are equal. What is still apart in a group of bit links is compared by shingles as well (see
+    `fragment_links`), so the result hangs on these groups and not on which pairs spanned a list. Rows with
+    one doc_id count as one document; null ids are left out.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = sets or neighbour_sets(bits // 8)
@@ -308,9 +371,11 @@ def near_duplicate_groups(
     needed = found.select(F.col("src").alias("fp")).union(found.select("dst")).distinct()
     firsts = classes.join(needed, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp")
     grams = cut(shingle_sets(base.join(firsts, "doc_id"), shingle))
+    groups = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     sides = [grams.select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
-    verified = jaccard(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity)
+    verified = cut(jaccard(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity))
+    joined = fragment_links(grams.join(groups, "fp").drop("fp"), connected_components(verified), similarity)
     same = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
-    labels = connected_components(verified.unionByName(same))
+    labels = connected_components(verified.unionByName(joined).unionByName(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -280,3 +280,54 @@ def test_nearest_forest_spans_components_by_their_closest_pairs():
     ends, used = np.r_[a, b], np.full(60, 999)
     np.minimum.at(used, ends, np.tile(every[a, b], 2))
     assert (used == every.min(axis=1)).all()  # a minimum spanning forest holds a closest pair of every row
+
+
+def brute_groups(rows, similarity=0.8, distance=30, matches=2, sets=((0,),)):
+    """Components of similar pairs inside the groups of bit links, by comparing all pairs."""
+    shingles, prints = {}, {}
+    for i, text in rows:
+        words = text.split()
+        shingles[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        prints[i] = simhash.fingerprint(text, 5, 128)
+    m = np.frombuffer(b"".join(prints[i] for i, _ in rows), np.uint8).reshape(len(rows), -1)
+    ids, linked = [i for i, _ in rows], []
+    for k in range(len(rows)):
+        differing = m[k + 1 :] ^ m[k]
+        ok = (np.bitwise_count(differing).sum(axis=1) <= distance) & ((differing == 0).sum(axis=1) >= matches)
+        ok &= np.any([(differing[:, list(s)] == 0).all(axis=1) for s in sets], axis=0)
+        linked += [(ids[k], ids[k + 1 + j]) for j in np.flatnonzero(ok)]
+    group = brute_components(ids, linked)
+    members = defaultdict(list)
+    for i in ids:
+        members[group[i]].append(i)
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= similarity * len(shingles[a] | shingles[b])
+    return brute_components(ids, [(a, b) for g in members.values() for a in g for b in g if a < b and alike(a, b)])
+
+
+def test_groups_in_long_posting_lists_equal_brute_force(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(10_000 + i, " ".join(say(30))) for i in range(6000)]  # over 16 unrelated fingerprints a list of one byte
+    for family in range(150):
+        base = say(150)
+        for copy in range(3):
+            words = list(base)
+            for at in rng.sample(range(5, 145), rng.randint(2, 3)):
+                words[at] = f"c{rng.randrange(10**6)}"
+            rows.append((family * 3 + copy, " ".join(words)))
+    sets = [(i,) for i in range(16)]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), sets=sets).collect()}
+    assert found == brute_groups(rows, sets=sets)
+
+
+@pytest.mark.parametrize("side", [1024, 3])
+def test_fragments_of_a_group_are_compared_in_blocks(spark, side):
+    rng = random.Random(5)
+    rows = [(i, frozenset(rng.sample(range(24), 20)), i % 3) for i in range(60)]
+    frame = spark.createDataFrame([(g, i, np.array(sorted(s), np.uint32).tobytes()) for i, s, g in rows], "group long, doc_id long, shingles binary")
+    known = [(0, 3), (3, 6), (1, 4)]
+    labels = brute_components(range(60), known)
+    fragments = spark.createDataFrame([(i, labels[i]) for p in known for i in p], "node long, component long").distinct()
+    found = [tuple(r) for r in simhash.fragment_links(frame, fragments, 0.8, side).collect()]
+    linked = [(a, b) for a, s, g in rows for b, x, h in rows if g == h and a < b and len(s & x) >= 0.8 * len(s | x)]
+    assert brute_components(range(60), found + known) == brute_components(range(60), linked + known)
