@@ -253,23 +253,45 @@ def neighbour_sets(size: int, steps: int = 4) -> list[tuple[int, ...]]:
     return [(i, (i + d) % size) for d in range(1, steps + 1) for i in range(size)]
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, shingles: the sorted distinct 32-bit hashes of a text's shingles, packed."""
+def shingle_hashes(text: str, shingle: int) -> bytes:
+    """The sorted distinct 32-bit hashes of a text's shingles, packed."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, len(parts))).tobytes()
+
+
+def set_digests(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """doc_id, fp, digest: the fingerprint of every row, and a 128-bit hash of its set of shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def hashes(text: str) -> bytes:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = text.encode().lower().split()
-        parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-        return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, len(parts))).tobytes()
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            prints = pa.array([fingerprint(t, shingle, bits) for t in texts], pa.binary())
+            digests = pa.array([xxhash.xxh3_128_digest(shingle_hashes(t, shingle)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, digests], names=["doc_id", "fp", "digest"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows (doc_id, fp, digest) whose text has the set of this digest, and the set: shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            sets = pa.array([hashes(t.as_py() or "") for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["doc_id", "fp", "shingles"])
+            sets = [shingle_hashes(t.as_py() or "", shingle) for t in batch.column(3)]
+            own = pa.array([xxhash.xxh3_128_digest(x) == d.as_py() for x, d in zip(sets, batch.column(2))], pa.bool_())
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["doc_id", "fp", "digest", "shingles"])
+            yield whole.filter(own)
 
-    return docs.select("doc_id", "fp", "text").mapInArrow(run, f"doc_id {kind}, fp binary, shingles binary")
+    return docs.select("doc_id", "fp", "digest", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary, shingles binary")
 
 
 def jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -358,24 +380,27 @@ def near_duplicate_groups(
     many sets of positions: measured on copies of the test tables, 95 % of pairs at 0.8 or more meet, and
     more through a third copy. Each posting list is spanned by its closest pairs, the likeliest to be verified.
     Pairs that meet within `distance` bits are then verified: their sets of distinct shingles must have a
-    Jaccard similarity of `similarity` at least, so nothing is grouped on fingerprints alone but texts whose
-    fingerprints are equal. What is still apart in a group of bit links is compared by shingles as well (see
+    Jaccard similarity of `similarity` at least, so nothing is grouped on fingerprints alone: texts of one
+    fingerprint are one node only if their sets of shingles are equal, and compared otherwise. What is still apart in a group of bit links is compared by shingles as well (see
     `fragment_links`), so the result hangs on these groups and not on which pairs spanned a list. Rows with
     one doc_id count as one document; null ids are left out.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = sets or neighbour_sets(bits // 8)
-    prints = cut(fingerprints(base, shingle, bits, "doc_id", "text"))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = cut(links(classes, distance, matches, sets, nearest=True))
-    needed = found.select(F.col("src").alias("fp")).union(found.select("dst")).distinct()
-    firsts = classes.join(needed, "fp", "left_semi").select(F.col("first").alias("doc_id"), "fp")
-    grams = cut(shingle_sets(base.join(firsts, "doc_id"), shingle))
+    prints = cut(set_digests(base, shingle, bits))
+    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first")))
+    classes = nodes.groupBy("fp").agg(F.min_by("digest", F.struct("first", "digest")).alias("lead"), F.count("*").alias("many"))
+    found = cut(links(nodes.select("fp").distinct(), distance, matches, sets, nearest=True))
     groups = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    sides = [grams.select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
+    needed = cut(nodes.join(classes, "fp").join(groups, "fp", "left").where("group is not null or many > 1").select(
+        F.col("first").alias("doc_id"), "fp", "digest", F.coalesce("group", "fp").alias("group"), (F.col("digest") == F.col("lead")).alias("lead")
+    ))
+    grams = shingle_sets(base.join(needed.drop("group", "lead"), "doc_id"), shingle)
+    grams = cut(grams.join(needed, ["doc_id", "fp", "digest"]).drop("digest"))
+    sides = [grams.where("lead").select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
     verified = cut(jaccard(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity))
-    joined = fragment_links(grams.join(groups, "fp").drop("fp"), connected_components(verified), similarity)
-    same = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
+    joined = fragment_links(grams.select("group", "doc_id", "shingles"), connected_components(verified), similarity)
+    same = prints.join(nodes, ["fp", "digest"]).where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
     labels = connected_components(verified.unionByName(joined).unionByName(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -331,3 +331,16 @@ def test_fragments_of_a_group_are_compared_in_blocks(spark, side):
     found = [tuple(r) for r in simhash.fragment_links(frame, fragments, 0.8, side).collect()]
     linked = [(a, b) for a, s, g in rows for b, x, h in rows if g == h and a < b and len(s & x) >= 0.8 * len(s | x)]
     assert brute_components(range(60), found + known) == brute_components(range(60), linked + known)
+
+
+def test_equal_fingerprints_of_other_texts_are_no_copies(spark):
+    rng = random.Random(8)
+    filler = ["filler"] * 400
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + filler)) for i in range(6)]
+    rows += [(10 + i, rows[i][1] + " filler filler") for i in range(3)]  # equal sets
+    near = rows[4][1].split()
+    near[0] = "other"
+    rows.append((20, " ".join(near)))
+    assert len({simhash.fingerprint(t, 5, 128) for _, t in rows}) == 1
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**{i: i for i in range(6)}, **{10 + i: i for i in range(3)}, 20: 4}
