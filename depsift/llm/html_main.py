@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsift.llm.runs import sorted_runs
+from depsift.plans.lineage import cut
 
 #: Elements whose content is never text (fixed values of the HTML standard).
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "select", "textarea", "button", "title", "head")
@@ -34,9 +34,9 @@ MARKS = (
     "sidebar", "footer", "header", "masthead", "share", "social", "related", "recommended", "widget", "comment", "comments", "respond",
     "disqus", "replies", "skip", "toolbar", "pagination",
 )
-#: A repeated run of at least this many tokens on at least this many pages of a host is boilerplate.
+#: In unlabelled blocks, a run of at least this many tokens on at least this many pages of a host is boilerplate.
 LEAST_TOKENS, LEAST_PAGES = 4, 2
-#: Pages of a host whose suffixes are sorted in one array.
+#: Pages of a host whose suffixes are sorted in one array; counts of runs are summed over arrays.
 PAGES = 512
 
 _TAG = re.compile(
@@ -154,67 +154,69 @@ def common_lengths(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(streams: list[list[str]], least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a long run that stands on several pages.
+def page_runs(streams: list[list[str]], least_tokens: int = LEAST_TOKENS) -> tuple[list[int], list[int]]:
+    """Hashes of the distinct runs of `least_tokens` tokens in the streams, and on how many streams each stands.
 
     The streams are joined with separators that occur once each, so that no run crosses pages. Suffixes with
-    `least_tokens` in common stand together in the suffix array; where such a stretch holds suffixes of
-    enough distinct pages, the common tokens are covered.
+    `least_tokens` in common stand together in the suffix array; each such stretch is one run.
     """
     words: dict[str, int] = {}
-    codes, owner = [], []
+    codes, owner, room = [], [], []
     for page, stream in enumerate(streams):
         codes += [words.setdefault(t, len(words) + len(streams)) for t in stream] + [page]
         owner += [page] * (len(stream) + 1)
-    tokens, owner = np.array(codes, np.int64), np.array(owner, np.int64)
-    covered = np.zeros(len(tokens) + 1, np.int64)
-    if len(tokens) > least_tokens:
-        order = suffix_array(tokens)
-        shared = common_lengths(tokens, order)
-        start = np.flatnonzero(np.r_[True, shared[1:] < least_tokens])
-        stretch = np.cumsum(np.r_[True, shared[1:] < least_tokens]) - 1
-        pairs = np.unique(np.stack([stretch, owner[order]]), axis=1)
-        wide = np.bincount(pairs[0], minlength=len(start)) >= least_pages
-        hits = order[wide[stretch]]
-        np.add.at(covered, hits, 1)
-        np.add.at(covered, np.minimum(hits + least_tokens, len(tokens)), -1)
-    inside = np.cumsum(covered[:-1]) > 0
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    return [inside[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends)]
-
-
-def main_texts(pages: list[str]) -> list[str]:
-    """Main text of each of several pages of a host.
+        room += range(len(stream), -1, -1)
+    if len(codes) <= least_tokens:
+        return [], []
+    tokens, owner, room = np.array(codes, np.int64), np.array(owner, np.int64), np.array(room)
+    order = suffix_array(tokens)
+    edge = np.r_[True, common_lengths(tokens, order)[1:] < least_tokens]
+    pairs = np.unique(np.stack([np.cumsum(edge) - 1, owner[order]]), axis=1)
+    pages = np.bincount(pairs[0])
+    first = order[edge]
+    whole = room[first] >= least_tokens
+    spelt = [streams[owner[i]] for i in first[whole]]
+    starts = [len(s) - int(room[i]) for s, i in zip(spelt, first[whole])]
+    return [run_hash(s[k : k + least_tokens]) for s, k in zip(spelt, starts)], pages[whole].tolist()
+
+
+def run_hash(tokens: list[str]) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(" ".join(tokens).encode(), 42) - (1 << 63)
+
+
+def unlabelled(blocks: list[Block]) -> tuple[list[Block], list[str]]:
+    """The blocks on which repeats decide, those outside articles that no element labels, and their token stream."""
+    open_ = [] if any(b.main and not b.around for b in blocks) else [b for b in blocks if not b.main and not b.around]
+    return open_, [t for b in open_ for t in ("<block>", *b.text.split(" "))]
+
+
+def main_text(blocks: list[Block], repeats: set[int], least_tokens: int = LEAST_TOKENS) -> str:
+    """Main text of a page, given the runs that stand on several pages of its host.
 
     A block inside `article` or `main`, and not in something around it, is text whatever it says: copies of
     whole articles are not boilerplate. A block in a menu, header, footer, sidebar, form, advert, notice or
-    comment is none. The streams of all blocks outside articles go to the suffix array; on pages without an
-    article element, unlabelled blocks lose the runs that other pages of the host share, and unique runs stay.
+    comment is none. On pages without an article element, any other block loses the repeated runs.
     """
-    parsed = [blocks_of(p) for p in pages]
-    outside = [[b for b in blocks if not b.main] for blocks in parsed]
-    streams = [[t for b in blocks for t in ("<block>", *b.text.split(" "))] for blocks in outside]
-    for blocks, covered in zip(outside, repeated(streams)):
-        at = 0
-        for b in blocks:
-            n = len(b.text.split(" "))
-            b.drop = covered[at + 1 : at + 1 + n]
-            at += 1 + n
-    out = []
-    for blocks in parsed:
-        has_main = any(b.main and not b.around for b in blocks)
-        kept = []
-        for b in blocks:
-            if b.around or (has_main and not b.main):
-                continue
-            if b.drop is not None and b.drop.any():
-                left = " ".join(t for t, d in zip(b.text.split(" "), b.drop) if not d)
-                if left:
-                    kept.append(left)
-            else:
-                kept.append(b.text)
-        out.append("\n".join(kept))
-    return out
+    open_, stream = unlabelled(blocks)
+    covered = np.zeros(len(stream), bool)
+    for k in range(len(stream) - least_tokens + 1 if repeats else 0):
+        if run_hash(stream[k : k + least_tokens]) in repeats:
+            covered[k : k + least_tokens] = True
+    at = 0
+    for b in open_:
+        n = len(b.text.split(" "))
+        b.drop = covered[at + 1 : at + 1 + n]
+        at += 1 + n
+    kept, has_main = [], any(b.main and not b.around for b in blocks)
+    for b in blocks:
+        if b.around or (has_main and not b.main):
+            continue
+        left = b.text if b.drop is None or not b.drop.any() else " ".join(t for t, d in zip(b.text.split(" "), b.drop) if not d)
+        if left:
+            kept.append(left)
+    return "\n".join(kept)
 
 
 def host_of(url: Column) -> Column:
@@ -222,12 +224,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", pages_a_host: int = PAGES) -> DataFrame:
+def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
-    Pages are dealt by ranges of (host, hash of the page), so pages of a host lie together and a hot host
-    spreads over as many tasks as it needs; a task reads its sorted pages, at most `pages_a_host` of a host
-    at a time, each lot with a suffix array of its own.
+    Repeats are counted over whole hosts: where pages lie, suffix arrays find the runs of unlabelled blocks
+    and on how many pages each stands, at most PAGES of a host at a time; these counts are summed by
+    (host, run). Runs on LEAST_PAGES pages or more go back to the pages that hold them, by a hash of the
+    page. No task gets a whole host, and where pages are cut into arrays changes no text.
 
     Null html is an empty page; a page without text gives an empty string. Pages with a null or odd URL form
     one host. Cut-off markup at the end of a page is no text. Repeated rows are extracted each; an empty
@@ -235,16 +238,46 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
-        host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col)).alias("turn"),
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in sorted_runs(batches, 1, pages_a_host):
-            texts = main_texts(lot.column("html").to_pylist())
-            arrays = [lot.column("page_id").combine_chunks(), lot.column("url").combine_chunks(), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        host_of(F.col(url_col)).alias("host"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+    ).withColumn("page", F.struct(F.xxhash64("page_id", "url", "html").alias("x"), F.hash("html", "url", "page_id").alias("y")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[list[str]]] = {}
+            for host, html_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+                stream = unlabelled(blocks_of(html_.as_py()))[1]
+                if len(stream) >= LEAST_TOKENS:
+                    held.setdefault(host, []).append(stream)
+            for host, streams in held.items():
+                for at in range(0, len(streams), PAGES):
+                    runs, many = page_runs(streams[at : at + PAGES])
+                    arrays = [pa.array([host] * len(runs), pa.string()), pa.array(runs, pa.int64()), pa.array(many, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["host", "run", "pages"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, runs = [], []
+            for i, html_ in enumerate(batch.column(2)):
+                stream = unlabelled(blocks_of(html_.as_py()))[1]
+                own = {run_hash(stream[k : k + LEAST_TOKENS]) for k in range(len(stream) - LEAST_TOKENS + 1)}
+                at += [i] * len(own)
+                runs += own
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(runs, pa.int64())], names=["host", "page", "run"])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(blocks_of(h.as_py()), set(r.as_py() or ())) for h, r in zip(batch.column(2), batch.column(3))]
+            arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
-    order = ["host", "turn", "page_id"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    counts = rows.select("host", "html").mapInArrow(count, "host string, run long, pages long")
+    common = cut(counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("host", "run"))
+    whole = rows.select("page_id", "url", "html", "page")
+    if common.isEmpty():
+        given = whole.select("page_id", "url", "html", F.array().cast("array<long>").alias("runs"))
+    else:
+        held = rows.select("host", "page", "html").mapInArrow(spread, "host string, page struct<x: long, y: int>, run long").join(common, ["host", "run"])
+        held = held.groupBy("page").agg(F.collect_set("run").alias("runs"))
+        given = whole.join(held, "page", "left").select("page_id", "url", "html", "runs")
+    return given.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

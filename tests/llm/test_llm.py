@@ -344,3 +344,11 @@ def test_equal_fingerprints_of_other_texts_are_no_copies(spark):
     assert len({simhash.fingerprint(t, 5, 128) for _, t in rows}) == 1
     found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {**{i: i for i in range(6)}, **{10 + i: i for i in range(3)}, 20: 4}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_html_repeats_are_found_over_the_whole_host(spark, parts):
+    rows = [(i, "http://h.org/", f"<div>the menu of this site</div><div>own{i} words{i} of{i} page{i}</div>") for i in range(513)]
+    rows += [(600, "http://i.org/", "<div>the menu of this site</div>")]  # once on its host
+    found = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+    assert found == {**{i: f"own{i} words{i} of{i} page{i}" for i in range(513)}, 600: "the menu of this site"}
