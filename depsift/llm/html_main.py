@@ -34,8 +34,10 @@ MARKS = (
     "sidebar", "footer", "header", "masthead", "share", "social", "related", "recommended", "widget", "comment", "comments", "respond",
     "disqus", "replies", "skip", "toolbar", "pagination",
 )
-#: In unlabelled blocks, a run of at least this many tokens on at least this many pages of a host is boilerplate.
-LEAST_TOKENS, LEAST_PAGES = 4, 2
+#: A run of at least this many tokens on at least this many pages and this share of the pages of a host is repeated.
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 4, 2, 0.01
+#: An unlabelled block is boilerplate if repeated runs cover this share of its tokens.
+COVER = 0.8
 #: Pages of a host whose suffixes are sorted in one array; counts of runs are summed over arrays.
 PAGES = 512
 
@@ -188,7 +190,7 @@ def run_hash(tokens: list[str]) -> int:
 
 def unlabelled(blocks: list[Block]) -> tuple[list[Block], list[str]]:
     """The blocks on which repeats decide, those outside articles that no element labels, and their token stream."""
-    open_ = [] if any(b.main and not b.around for b in blocks) else [b for b in blocks if not b.main and not b.around]
+    open_ = [b for b in blocks if not b.main and not b.around]
     return open_, [t for b in open_ for t in ("<block>", *b.text.split(" "))]
 
 
@@ -197,7 +199,8 @@ def main_text(blocks: list[Block], repeats: set[int], least_tokens: int = LEAST_
 
     A block inside `article` or `main`, and not in something around it, is text whatever it says: copies of
     whole articles are not boilerplate. A block in a menu, header, footer, sidebar, form, advert, notice or
-    comment is none. On pages without an article element, any other block loses the repeated runs.
+    comment is none. Any other block, on pages with and without an article, is text unless repeated runs cover
+    COVER of its tokens: single runs in common with other pages cut nothing out of it.
     """
     open_, stream = unlabelled(blocks)
     covered = np.zeros(len(stream), bool)
@@ -209,14 +212,7 @@ def main_text(blocks: list[Block], repeats: set[int], least_tokens: int = LEAST_
         n = len(b.text.split(" "))
         b.drop = covered[at + 1 : at + 1 + n]
         at += 1 + n
-    kept, has_main = [], any(b.main and not b.around for b in blocks)
-    for b in blocks:
-        if b.around or (has_main and not b.main):
-            continue
-        left = b.text if b.drop is None or not b.drop.any() else " ".join(t for t, d in zip(b.text.split(" "), b.drop) if not d)
-        if left:
-            kept.append(left)
-    return "\n".join(kept)
+    return "\n".join(b.text for b in blocks if not b.around and (b.drop is None or b.drop.mean() < COVER))
 
 
 def host_of(url: Column) -> Column:
@@ -229,8 +225,8 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Repeats are counted over whole hosts: where pages lie, suffix arrays find the runs of unlabelled blocks
     and on how many pages each stands, at most PAGES of a host at a time; these counts are summed by
-    (host, run). Runs on LEAST_PAGES pages or more go back to the pages that hold them, by a hash of the
-    page. No task gets a whole host, and where pages are cut into arrays changes no text.
+    (host, run). Runs on LEAST_PAGES pages and LEAST_SHARE of the host's pages or more go back to the pages that
+    hold them, by a hash of the page. No task gets a whole host, and where pages are cut into arrays changes no text.
 
     Null html is an empty page; a page without text gives an empty string. Pages with a null or odd URL form
     one host. Cut-off markup at the end of a page is no text. Repeated rows are extracted each; an empty
@@ -272,7 +268,9 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
     counts = rows.select("host", "html").mapInArrow(count, "host string, run long, pages long")
-    common = cut(counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("host", "run"))
+    counts = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("all"))
+    common = cut(counts.join(hosts, "host").where(F.col("pages") >= F.col("all") * LEAST_SHARE).select("host", "run"))
     whole = rows.select("page_id", "url", "html", "page")
     if common.isEmpty():
         given = whole.select("page_id", "url", "html", F.array().cast("array<long>").alias("runs"))

@@ -352,3 +352,15 @@ def test_html_repeats_are_found_over_the_whole_host(spark, parts):
     rows += [(600, "http://i.org/", "<div>the menu of this site</div>")]  # once on its host
     found = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
     assert found == {**{i: f"own{i} words{i} of{i} page{i}" for i in range(513)}, 600: "the menu of this site"}
+
+
+def test_html_outside_articles(spark):
+    page = lambda i: f"<div>lead{i} of{i} this{i} page{i}</div><div>the menu of this site</div><article>copied text of the article</article>"
+    rows = [(i, "http://h.org/", page(i)) for i in range(4)]
+    rows += [(10 + i, "http://i.org/", f"<p>alpha{i} beta{i} four tokens in common gamma{i} delta{i} eta{i}</p>") for i in range(2)]
+    rows += [(1000 + i, "http://j.org/", "<p>rarely said but twice</p>" if i < 2 else f"<p>own{i}</p>") for i in range(250)]
+    found = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"lead{i} of{i} this{i} page{i}\ncopied text of the article" for i in range(4)}
+    want |= {10 + i: f"alpha{i} beta{i} four tokens in common gamma{i} delta{i} eta{i}" for i in range(2)}
+    want |= {1000 + i: "rarely said but twice" if i < 2 else f"own{i}" for i in range(250)}
+    assert found == want
