@@ -203,6 +203,22 @@ def baseline_delta(t: Tables) -> DataFrame:
     return O.baseline_delta(*_two(t))
 
 
+def _scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.findings.where("scanned < '1995-06-01'"), t.findings.where("scanned >= '1995-06-01'")
+
+
+@query()
+def image_scan_diff(t: Tables) -> DataFrame:
+    """As scan_diff, for every image of its own."""
+    return O.scan_diff(*_scans(t))
+
+
+@query()
+def image_baseline_delta(t: Tables) -> DataFrame:
+    """As baseline_delta, for every image of its own."""
+    return O.baseline_delta(*_scans(t))
+
+
 @query("""
     with x as (select image, count(*) as total, count_if(severity = 'CRITICAL') as critical from findings group by image)
     select a.image, case when a.total <> b.total then case when a.total < b.total then a.image else b.image end when a.critical < b.critical then a.image when b.critical < a.critical then b.image end as better

@@ -59,6 +59,15 @@ def dependency_path(t: Tables) -> DataFrame:
     return G.call_chains(t.edges, roots).where("node % 40 = 7").select("node", path.alias("path"))
 
 
+@query()
+def dependency_paths(t: Tables) -> DataFrame:
+    """As dependency_path, for every node; its SQL walks all paths, so tests hold this against brute force."""
+    nodes = t.components.select(F.col("component_id").alias("node"))
+    roots = nodes.join(t.edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return G.call_chains(t.edges, roots).select("node", path.alias("path"))
+
+
 @query("""
     with recursive roots as (select distinct project % 10 as project, component_id as node from project_components where project % 100 < 10),
     walk(project, node, depth) as (select project, node, 0 from roots union select w.project, e.dst, w.depth + 1 from walk w join edges e on e.src = w.node),
@@ -70,6 +79,19 @@ def transitive_counts(t: Tables) -> DataFrame:
     return G.dependency_counts(t.edges, rows, ("project",))
 
 
+@query()
+def project_transitive_counts(t: Tables) -> DataFrame:
+    """Direct and transitive dependencies of every project."""
+    return G.dependency_counts(t.edges, t.project_components.select("project", F.col("component_id").alias("node")), ("project",))
+
+
+@query()
+def affected_by_advisories(t: Tables) -> DataFrame:
+    """Every component that depends on one of an advisory's name and ecosystem."""
+    named = t.components.join(t.advisories.select("name", "ecosystem").distinct(), ["name", "ecosystem"], "left_semi")
+    return G.affected_targets(t.edges, named.select(F.col("component_id").alias("node")))
+
+
 @query("select component_id from components where component_id not in (select dst from edges)")
 def isolated_packages(t: Tables) -> DataFrame:
     return t.components.select("component_id").join(t.edges.select(F.col("dst").alias("component_id")), "component_id", "left_anti")
