@@ -12,22 +12,28 @@ def _part(v: Column, n: int) -> Column:
     return F.regexp_extract(v, SEMVER, n)
 
 
+def number_key(digits: Column) -> Column:
+    """A text that sorts as the number does, however long: the number of its digits, then these without leading zeros."""
+    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+
+
 def semver_parts(v: Column) -> Column:
-    """(major, minor, patch, pre) of a semver 2.0 string; null if it is none."""
-    whole = F.struct(*[_part(v, i).cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"), 1)], _part(v, 4).alias("pre"))
+    """(major, minor, patch, pre) of a semver 2.0 string; null if it is none. A number beyond a long is null."""
+    whole = F.struct(*[_part(v, i).try_cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"), 1)], _part(v, 4).alias("pre"))
     return F.when(v.rlike(SEMVER), whole)
 
 
 def semver_key(v: Column) -> Column:
     """A string that sorts as the version does; null if it is no semver.
 
-    Numbers are padded, pre-release identifiers rank numeric before text and shorter before longer, and a
+    Numbers sort by value, pre-release identifiers rank numeric before text and shorter before longer, and a
     release ranks after its pre-releases.
     """
-    ident = lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(x, 20, "0"))).otherwise(F.concat(F.lit("1"), x))
+    ident = lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), number_key(x))).otherwise(F.concat(F.lit("1"), x))
     pre = F.array_join(F.transform(F.split(_part(v, 4), r"\."), ident), "!")
     tail = F.when(_part(v, 4) == "", F.lit("~")).otherwise(pre)
-    return F.when(v.rlike(SEMVER), F.concat(*[F.lpad(_part(v, i), 20, "0") for i in (1, 2, 3)], tail))
+    return F.when(v.rlike(SEMVER), F.concat(*[number_key(_part(v, i)) for i in (1, 2, 3)], tail))
 
 
 def compare_keys(a: Column, b: Column) -> Column:
@@ -44,13 +50,13 @@ def apk_key(v: Column) -> Column:
     base = F.regexp_extract(v, r"^(.*?)(?:-r(\d*))?$", 1)
     release = F.regexp_extract(v, r"-r(\d+)$", 1)
     numbers = F.filter(F.transform(F.split(base, r"\."), lambda p: F.regexp_extract(p, r"^(\d+)", 1)), lambda p: p != "")
-    padded = F.transform(numbers, lambda p: F.lpad(p, 12, "0"))
-    eight = F.slice(F.concat(padded, F.array_repeat(F.lit("0" * 12), 8)), 1, 8)
-    return F.concat(F.array_join(eight, ""), F.lit("r"), F.lpad(F.coalesce(F.nullif(release, F.lit("")), F.lit("0")), 12, "0"))
+    zero = number_key(F.lit("0"))
+    eight = F.slice(F.concat(F.transform(numbers, number_key), F.array_repeat(zero, 8)), 1, 8)
+    return F.concat(F.array_join(eight, ""), F.lit("r"), number_key(F.coalesce(F.nullif(release, F.lit("")), F.lit("0"))))
 
 
 def _epoch(v: Column) -> Column:
-    return F.lpad(F.coalesce(F.nullif(F.regexp_extract(v, r"^(\d+):", 1), F.lit("")), F.lit("0")), 8, "0")
+    return number_key(F.coalesce(F.nullif(F.regexp_extract(v, r"^(\d+):", 1), F.lit("")), F.lit("0")))
 
 
 def _deb_order(text: Column) -> Column:
@@ -59,7 +65,7 @@ def _deb_order(text: Column) -> Column:
         F.when(c == "~", F.lit("0")).when(c.rlike("[A-Za-z]"), F.concat(F.lit("3"), c)).otherwise(F.concat(F.lit("4"), c))
     )
     tokens = F.regexp_extract_all(text, F.lit(r"\d+|\D"), F.lit(0))
-    coded = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+$"), F.concat(F.lit("2"), F.lpad(F.regexp_replace(t, r"^0+(?=\d)", ""), 20, "0"))).otherwise(char(t)))
+    coded = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+$"), F.concat(F.lit("2"), number_key(t))).otherwise(char(t)))
     return F.concat(F.array_join(coded, ""), F.lit("1"))
 
 
@@ -77,17 +83,17 @@ def rpm_key(v: Column) -> Column:
     rest = F.regexp_replace(v, r"^\d+:", "")
     coded = F.transform(
         F.split(rest, r"[.\-]"),
-        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("2"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0"))).otherwise(F.concat(F.lit("1"), p, F.lit("!"))),
+        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("2"), number_key(p))).otherwise(F.concat(F.lit("1"), p, F.lit("!"))),
     )
-    zero = "2" + "0" * 20
-    return F.concat(_epoch(v), F.array_join(F.slice(F.concat(coded, F.array_repeat(F.lit(zero), 12)), 1, 12), ""))
+    zero = F.concat(F.lit("2"), number_key(F.lit("0")))
+    return F.concat(_epoch(v), F.array_join(F.slice(F.concat(coded, F.array_repeat(zero, 12)), 1, 12), ""))
 
 
 def parse_version3(v: Column) -> Column:
     """(major, minor, patch) after dropping what follows a dash; null unless three all-digit parts."""
     base = F.element_at(F.split(v, "-"), 1)
     parts = F.split(base, r"\.")
-    return F.when(base.rlike(r"^\d+\.\d+\.\d+$"), F.struct(*[parts[i].cast("int").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
+    return F.when(base.rlike(r"^\d+\.\d+\.\d+$"), F.struct(*[parts[i].try_cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
 
 
 def last_event(events: Column, kind: str) -> Column:
@@ -136,7 +142,7 @@ def version_affected(version: Column, ranges: Column, strict: bool = False) -> C
 def _number(v: Column, n: int) -> Column:
     """The n-th dotted part as a number; 0 when missing, null when it is none."""
     part = F.get(F.split(v, r"\."), F.lit(n))
-    return F.when(part.isNull(), F.lit(0)).when(part.rlike(r"^\d+$"), part.cast("int"))
+    return F.when(part.isNull(), F.lit(0)).when(part.rlike(r"^\d+$"), part.try_cast("long"))
 
 
 def semver_upgrade_risk(old: Column, new: Column) -> Column:
@@ -155,7 +161,7 @@ def os_upgrade_risk(installed: Column, fixed: Column) -> Column:
 
 
 def major_jumps(old: Column, new: Column) -> Column:
-    """Major versions between, 0 to 6; 0 when a version has no number."""
+    """Major versions between, 0 to 6; 0 when a version has no number or one beyond a long."""
     return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(6), _number(new, 0) - _number(old, 0))), F.lit(0))
 
 
