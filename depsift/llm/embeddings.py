@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from depsift.llm.runs import sorted_runs
 from depsift.operators.components import connected_components
 from depsift.plans.lineage import cut
+from depsift.plans.skew import spread_join
 
 #: Vectors of one cell and label that are compared in one group; larger ones are compared block by block.
 BLOCK = 2048
@@ -53,14 +54,14 @@ def cells_of(vectors: np.ndarray, centres: np.ndarray, threshold: float) -> tupl
     return np.r_[np.arange(len(x)), rows], np.r_[home, cells]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, number: str) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+    return np.frombuffer(b"".join(raw), number).reshape(len(raw), -1).astype(np.float64)
 
 
-def _links(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(table: pa.Table, threshold: float, number: str = "<f4") -> tuple[np.ndarray, np.ndarray]:
     """Linked-copies sums of the group's rows, and for each row the least row of its component."""
-    m = _matrix(table.column("vec"))
+    m = _matrix(table.column("vec"), number)
     home, own = table.column("home").to_numpy(), table.column("own").to_numpy()
     copies = table.column("n").to_numpy()
     whole = table.column("a")[0] == table.column("b")[0]
@@ -100,24 +101,28 @@ def near_duplicate_vectors(
     Cells come from spherical k-means on a bounded sample, every vector is dealt to its cell and to those it
     may have partners in (`cells_of`), and each (cell, label) is multiplied block by block; large ones are
     dealt into pairs of blocks, so that no task gets a whole hot cell. A group returns sums and a spanning
-    forest, never pairs. A null id is a vector as well. An empty table gives an empty result; other columns
-    are ignored.
+    forest, never pairs. Cells are as many as blocks of `block` vectors a label, a quarter of the root of all
+    vectors at most. Numbers keep their precision: float arrays travel as floats, others as doubles. A null id is
+    a vector as well. An empty table gives an empty result; other columns are ignored.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    number = "<f4" if single else "<f8"
     rows = vectors.select(
-        F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("v")
+        F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"),
+        F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"),
     )
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    usable = F.col("label").isNotNull() & F.forall("v", number) & F.exists("v", lambda x: x != 0)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = F.col("label").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     classes = rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("id", F.concat_ws(":", F.coalesce(F.col("first").cast("string"), F.lit("-")), F.hex(F.xxhash64("v", "label")))))
-    total, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    total, width, labelled = classes.agg(F.count("*"), F.max(F.size("v")), F.approx_count_distinct("label")).first()
     limit = max(1, min(sample_rows, SAMPLE_NUMBERS // max(1, width or 1)))
     by_size: dict[int, list] = {}
     for r in classes.select("v").orderBy(F.xxhash64("v")).limit(limit).collect():
         by_size.setdefault(len(r[0]), []).append(r[0])
-    many = max(1, int(np.sqrt(total) / 4))
+    many = max(1, min(int(np.sqrt(total) / 4), int(total / max(1, labelled) / block)))  # no more cells than full blocks
     centres = {d: spherical_kmeans(np.array(x, np.float64), min(many, max(1, len(x) // 8))) for d, x in by_size.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +133,10 @@ def near_duplicate_vectors(
             sizes = np.array([len(v) for v in vecs])
             for d in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == d))
-                m = np.array(part.column(1).to_pylist(), np.float32)
+                m = np.array(part.column(1).to_pylist(), number)
                 centre = centres.get(int(d), np.eye(1, int(d)))
                 row, cell = cells_of(m.astype(np.float64), centre, threshold)
-                raw = [x.astype("<f4").tobytes() for x in m]
+                raw = [x.tobytes() for x in m]
                 arrays = [
                     pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)),
                     pa.array(np.arange(len(row)) < len(m)), part.column(2).take(pa.array(row)), part.column(3).take(pa.array(row)),
@@ -153,7 +158,7 @@ def near_duplicate_vectors(
         for group in sorted_runs(batches, len(key)):
             if group.num_rows < 2:
                 continue
-            sums, label = _links(group, threshold)
+            sums, label = _links(group, threshold, number)
             some = np.flatnonzero(sums)
             ids = group.column("id")
             arrays = [ids.take(pa.array(some)).combine_chunks(), ids.take(pa.array(label[some])).combine_chunks(), pa.array(sums[some].astype(np.int64))]
@@ -164,8 +169,8 @@ def near_duplicate_vectors(
     labels = connected_components(found.select("id", "root").distinct(), "id", "root").withColumnRenamed("node", "id")
     classes = classes.join(sums, "id", "left").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     roots = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classes.join(roots, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    good = rows.where("usable").join(classes, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    classes = spread_join(classes, roots, ["component"], "id").select("n", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    good = spread_join(rows.where("usable"), classes, ["label", "v"], "vec_id", size="n").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).select(F.col("vec_id").cast(kind), "n_links", "component_id", "kept")

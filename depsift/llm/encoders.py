@@ -28,7 +28,8 @@ def byte_bpe(path: str):
     """`text -> ids` equal to the tokenizers library's for a byte-level BPE file, special strings included.
 
     Files of the plain shape (ids in merge order, no normalizer, the usual pattern) run on tiktoken, which
-    gives the same ids several times faster; any other file runs on the tokenizers library itself.
+    gives the same ids several times faster; any other file runs on the tokenizers library itself, and so does
+    a text on which tiktoken's regular expressions give up (white space of some hundred thousand characters).
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     with open(path, encoding="utf-8") as f:
@@ -48,7 +49,19 @@ def byte_bpe(path: str):
         simple = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
         if in_order and simple:
             fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-            return lambda text: fast.encode(text, allowed_special="all")
+
+            def encode(text: str) -> list[int]:
+                try:
+                    return fast.encode(text, allowed_special="all")
+                except ValueError:
+                    return _library(path)(text)
+
+            return encode
+    return _library(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)

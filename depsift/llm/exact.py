@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depsift.plans.lineage import cut
+from depsift.plans.skew import spread_join
+
 #: A chunk runs from MIN_CHUNK to MAX_CHUNK characters and ends at the first sentence or line end between.
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 
@@ -24,7 +27,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text becomes a recipe: the ordered list of its chunks' identifiers. An identifier is a SHA-256 digest
     that counts as verified once all chunks carrying it are the same string; distinct chunks cross the
     network once, after a map-side combine, and from then on only recipes move. Equal recipes of verified
-    identifiers mean equal texts; a digest shared by different chunks stops the job.
+    identifiers mean equal texts; a digest shared by different chunks stops the job. Recipes are cut once and
+    written; only those that stand twice or more are joined, and the rows of a text with very many copies are
+    split over tasks.
 
     Null text counts as empty; empty texts form one group. Of equal texts the row with the largest
     (`keep="max"`) or smallest id stays. Rows repeated with the same id and text count in group_size, one
@@ -32,11 +37,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id. An empty table gives an empty result; other columns are ignored, so their names cannot clash.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    recipes = base.select(
+    recipes = cut(base.select(
         "doc_id",
         F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
         F.transform(chunked(F.col("text")), digest).alias("recipe"),
-    )
+    ))
     chunks = base.select(F.explode(chunked(F.col("text"))).alias("chunk"))
     identifiers = (
         chunks.select(digest(F.col("chunk")).alias("id"), "chunk")
@@ -44,19 +49,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", (F.col("least") == F.col("most")).alias("verified"))
     )
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    groups = recipes.groupBy("recipe").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-    shared = groups.where("group_size > 1")
+    shared = cut(recipes.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("many")).where("many > 1"))
     checked = (
         shared.select("recipe", F.explode_outer("recipe").alias("id"))
         .join(identifiers, "id", "left")
         .groupBy("recipe").agg(F.bool_and(F.coalesce("verified", F.col("id").isNull())).alias("verified"))
     )
-    groups = groups.join(checked, "recipe", "left").select(
+    groups = shared.join(checked, "recipe").select(
         "recipe",
-        F.when(F.coalesce("verified", F.lit(True)), F.col("keep_id"))
-        .otherwise(F.raise_error(F.lit("two chunks share a digest")).cast(docs.schema[id_col].dataType)).alias("keep_id"),
-        "group_size",
-    )
-    return recipes.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
+        F.when(F.col("verified"), F.col("many")).otherwise(F.raise_error(F.lit("two chunks share a digest")).cast("long")).alias("many"), "best",
     )
+    rows = spread_join(recipes, groups, ["recipe"], "doc_id", "left", size="many")
+    rows = rows.withColumn("keep_id", F.when(F.col("many").isNull(), F.col("doc_id")).otherwise(F.col("best")))
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return rows.select("doc_id", "keep_id", F.coalesce("many", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depsift.plans.lineage import cut
+
 UNDETERMINED = "und"
 #: Letters stay (all non-ASCII bytes count as such), the rest becomes the word boundary.
 _BOUNDARY = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -101,11 +103,12 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(True))
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = 3000, slots: int = 1 << 15) -> LanguageModel:
-    """Fit on at most `max_rows` labelled rows, those with the least hash of their id.
+def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_rows: int = 3000, slots: int = 1 << 15, max_numbers: int = 20_000_000) -> LanguageModel:
+    """Fit on at most `max_rows` labelled rows with `max_numbers` features, those with the least hash of their id.
 
-    The bound is a documented parameter: a row's features are at most `slots` pairs, so what reaches the
-    driver is bounded too. Held-out rows, rows without text, letters or lang are no training rows.
+    Both bounds are documented parameters; a feature is two 32-bit numbers, so 160 MB at most reach the driver.
+    Rows of one hash follow by language and features. Held-out rows, rows without text, letters or lang are no
+    training rows; an empty table gives a model that rejects everything.
     """
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -121,7 +124,12 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", ma
             yield pa.RecordBatch.from_arrays(arrays, names=["h", "lang", "slots", "counts"])
 
     chosen = usable.where(order <= top).select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = chosen.mapInArrow(features, "h long, lang string, slots binary, counts binary").limit(max_rows).collect()
+    found = cut(chosen.mapInArrow(features, "h long, lang string, slots binary, counts binary").withColumn("key", F.struct("h", "lang", F.xxhash64("slots", "counts").alias("x"))))
+    sizes = found.select("key", (F.length("slots") / 4).cast("long").alias("n")).orderBy("key").limit(max_rows).collect()
+    fits = np.searchsorted(np.cumsum([r["n"] for r in sizes]), max_numbers, side="right")
+    if not fits:
+        return fit([], slots)
+    rows = found.where(F.col("key") <= F.struct(*map(F.lit, sizes[fits - 1]["key"]))).orderBy("key").limit(int(fits)).collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["slots"])))
     return fit([(r["lang"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(float)) for r in rows], slots)
 

@@ -10,7 +10,8 @@ from depsift.plans.lineage import cut
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
-BUCKETS = 64
+#: The least number of id buckets, and the rows for which there is one more.
+BUCKETS, BUCKET_ROWS = 64, 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,6 +45,12 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
+def bucket_of(key: Column, mark: Column, buckets: int) -> Column:
+    """Bucket of an id by its MD5 digest, or of a null id by the mark of its text."""
+    digest = F.md5(F.encode(F.coalesce(key.cast("string"), mark.cast("string")), "UTF-8"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets
+
+
 def offset_of(source: Column, seed: int) -> Column:
     """The source's one random offset in [0, 1), drawn from a digest of seed and source so that reruns agree."""
     key = F.concat(F.lit(f"{seed}/"), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
@@ -52,23 +59,27 @@ def offset_of(source: Column, seed: int) -> Column:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, buckets: int = BUCKETS,
+    weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, least_buckets: int = BUCKETS,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, source, mark, size, source_size, target, copies, taken (mark: a hash of the text).
 
     Every document of a source expects `target / source_size` copies. Within a source, documents stand in
-    order of (size class, id bucket, size, id), so the mix takes from all sizes alike; the running sum of
+    order of (size class, bucket, size, id), so the mix takes from all sizes alike; the running sum of
     expected copies plus the source's one random offset is floored, and a document is emitted once for each
     integer boundary its step crosses. Running sums come from counts per (source, class, bucket) and a row
-    number inside each, so no source is ever ordered in one task.
+    number inside each, so no source is ever ordered in one task. Buckets are dealt by a digest of the id, of the
+    text where that is null, and their number grows with the rows.
 
     Null text has size 0 and may be taken, adding no words; a source without words has target 0 and takes
-    nothing. Null sources form a source of their own, last in order. Equal sizes are ordered by id; repeated
-    rows with equal ids are interchangeable. No document is taken more than ceil(most) times. An empty table
+    nothing. Null sources form a source of their own, last in order. Equal sizes are ordered by id, then by the
+    text's hash; repeated rows are interchangeable. Ids may be of any type. No document is taken more than ceil(most) times. An empty table
     gives an empty result; other columns are ignored.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
-    sized = sized.withColumn("cls", size_class(F.col("size"))).withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)))
+    sized = cut(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark")
+    ))
+    buckets = max(least_buckets, sized.count() // BUCKET_ROWS)
+    sized = sized.withColumn("cls", size_class(F.col("size"))).withColumn("bucket", bucket_of(F.col("doc_id"), F.col("mark"), buckets))
     cells = sized.groupBy("source", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     cells = cut(cells)
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -77,12 +88,12 @@ def mix_sources(
     cells = cells.join(targets, cells.source.eqNullSafe(targets.source)).drop(targets.source)
     cells = cells.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     cells = cells.withColumn("u", offset_of(F.col("source"), seed))
-    inside = W.partitionBy("source", "cls", "bucket").orderBy("size", "doc_id")
+    inside = W.partitionBy("source", "cls", "bucket").orderBy("size", "doc_id", "mark")
     ranked = sized.withColumn("at", F.row_number().over(inside))
     same = ranked.source.eqNullSafe(cells.source) & (ranked.cls == cells.cls) & (ranked.bucket == cells.bucket)
     placed = ranked.join(cells, same).select(
-        "doc_id", ranked.source, "size", "source_size", "target", "rate", "u", (F.col("before") + F.col("at")).alias("rank")
+        "doc_id", ranked.source, "mark", "size", "source_size", "target", "rate", "u", (F.col("before") + F.col("at")).alias("rank")
     )
     step = lambda r: F.floor(r * F.col("rate") + F.col("u"))
     copies = (step(F.col("rank")) - step(F.col("rank") - 1)).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "mark", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

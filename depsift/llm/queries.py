@@ -95,7 +95,7 @@ SQL = {
         with sized as (
             select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
         ), classed as (
-            select *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) as cls, ((doc_id % 64) + 64) % 64 as bucket from sized
+            select *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) as cls, ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % greatest(64, (select count(*) from documents) // 50000) as bucket from sized
         ), ranked as (
             select *, row_number() over (partition by source order by cls, bucket, size, doc_id) as r from classed
         ), sums as (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from depsift.llm.runs import sorted_runs
 from depsift.operators.components import connected_components
 from depsift.plans.lineage import cut
+from depsift.plans.skew import sized_join, spread_join
 
 #: Fingerprints of one posting list that are compared in one group; longer lists are compared block by block.
 BLOCK = 4096
@@ -176,13 +177,14 @@ def links(
 ) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints that span all links found in the posting lists.
 
-    A posting list is compared whole if it is short. A list of more than `block` fingerprints is dealt into
+    A list of more than `block` fingerprints is dealt into
     blocks by hash, and each pair of blocks is a group of its own, so no task gets a whole hot list and no
     pair is left out. Inside a group, pairs are tallied in arrays; only the links that join two parts of a
-    group leave it, fewer than its rows; lists of `short` rows at most give all their links. `nearest` spans
-    a group by its links of fewest differing bits, for callers that verify links by other means afterwards.
+    group leave it, fewer than its rows; without `nearest`, lists of `short` rows at most are compared all at
+    once and give all their links. `nearest` spans every group by its links of fewest differing bits, for callers
+    that verify links by other means afterwards.
     """
-    span = _nearest_forest if nearest else _forest
+    span, short = (_nearest_forest, 1) if nearest else (_forest, short)
     rows = postings(prints, sets)
     long_ = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long_ = long_.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
@@ -234,23 +236,20 @@ def near_duplicates(
 
     Only distinct fingerprints are indexed, so exact copies cost nothing more. Null, empty and wordless texts
     have the zero fingerprint and are linked like any other; texts shorter than a shingle are one shingle.
+    Keys of three bytes have 24 bits, so posting lists grow with the number of distinct fingerprints (60 entries
+    a list at a billion), and comparisons with lists times their length.
     Rows repeated with one doc_id are fingerprinted each. An empty table gives an empty result; other columns
     are ignored.
     """
     matches = max(1, bits // 8 - distance) if matches is None else matches
     sets = index_positions(bits // 8, matches) if sets is None else sets
     prints = cut(fingerprints(docs, shingle, bits, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")))
     labels = connected_components(links(classes, distance, matches, sets))
     classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    members = cut(classes.join(roots, "component").select("fp", "component_id"))
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
-
-
-def neighbour_sets(size: int, steps: int = 4) -> list[tuple[int, ...]]:
-    """Pairs of byte positions up to `steps` apart on a ring: each position stands in 2 * steps of them."""
-    return [(i, (i + d) % size) for d in range(1, steps + 1) for i in range(size)]
+    members = cut(spread_join(classes, roots, ["component"], "fp").select("fp", "component_id", "many"))
+    return spread_join(prints, members, ["fp"], "doc_id", size="many").select("doc_id", "fp", "component_id")
 
 
 def shingle_hashes(text: str, shingle: int) -> bytes:
@@ -294,8 +293,12 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "fp", "digest", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary, shingles binary")
 
 
-def jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst) of rows (src, dst, a, b) whose shingle sets a and b are similar enough; empty sets are equal."""
+def cosine(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) of rows (src, dst, a, b) whose shingle sets a and b are similar enough; empty sets are equal.
+
+    Similarity is the cosine of the sets, shared shingles over the geometric mean of their sizes: what SimHash
+    estimates by its share of equal bits.
+    """
     kind = pairs.schema["src"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +307,7 @@ def jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
             for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * np.sqrt(len(x) * len(y)))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["src", "dst"])
 
@@ -330,7 +333,7 @@ def _joins(table: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
         many = high - low
         at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
         both = np.bincount(owner[at], minlength=len(sets))
-        near = apart & (both >= similarity * (sizes[row] + sizes - both))
+        near = apart & (both >= similarity * np.sqrt(sizes[row] * sizes))
         for other in np.unique(root[part[near]]):
             out_a.append(int(row))
             out_b.append(int(one[other]))
@@ -376,31 +379,31 @@ def near_duplicate_groups(
     """One row per doc_id: doc_id, component_id, linked by verified similarity of shingle sets.
 
     At a similarity of 0.8, fingerprints differ in more bits than the index has bytes, so no number of
-    shared bytes is guaranteed. Here fingerprints are wider and pairs need only share the two bytes of one of
-    many sets of positions: measured on copies of the test tables, 95 % of pairs at 0.8 or more meet, and
-    more through a third copy. Each posting list is spanned by its closest pairs, the likeliest to be verified.
-    Pairs that meet within `distance` bits are then verified: their sets of distinct shingles must have a
-    Jaccard similarity of `similarity` at least, so nothing is grouped on fingerprints alone: texts of one
+    shared bytes is guaranteed. Here fingerprints are wider, and the index has every pair of positions: all
+    fingerprints that share two bytes meet, others are missed (see the README for what was measured). Each posting list is spanned by its closest pairs, the likeliest to be verified.
+    Pairs that meet within `distance` bits are then verified: the cosine of their sets of distinct shingles must
+    be `similarity` at least, so nothing is grouped on fingerprints alone: texts of one
     fingerprint are one node only if their sets of shingles are equal, and compared otherwise. What is still apart in a group of bit links is compared by shingles as well (see
     `fragment_links`), so the result hangs on these groups and not on which pairs spanned a list. Rows with
-    one doc_id count as one document; null ids are left out.
+    one doc_id count as one document; null ids are left out. Null, empty and wordless texts have an empty set and
+    are copies of each other. An empty table gives an empty result; other columns are ignored.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = sets or neighbour_sets(bits // 8)
+    sets = sets or index_positions(bits // 8, matches)
     prints = cut(set_digests(base, shingle, bits))
-    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first")))
-    classes = nodes.groupBy("fp").agg(F.min_by("digest", F.struct("first", "digest")).alias("lead"), F.count("*").alias("many"))
+    nodes = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")))
+    classes = nodes.groupBy("fp").agg(F.min_by("digest", F.struct("first", "digest")).alias("lead"), F.count("*").alias("sets"))
     found = cut(links(nodes.select("fp").distinct(), distance, matches, sets, nearest=True))
     groups = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    needed = cut(nodes.join(classes, "fp").join(groups, "fp", "left").where("group is not null or many > 1").select(
+    needed = cut(nodes.join(classes, "fp").join(groups, "fp", "left").where("group is not null or sets > 1").select(
         F.col("first").alias("doc_id"), "fp", "digest", F.coalesce("group", "fp").alias("group"), (F.col("digest") == F.col("lead")).alias("lead")
     ))
-    grams = shingle_sets(base.join(needed.drop("group", "lead"), "doc_id"), shingle)
+    grams = shingle_sets(sized_join(base, needed.drop("group", "lead"), ["doc_id"]), shingle)
     grams = cut(grams.join(needed, ["doc_id", "fp", "digest"]).drop("digest"))
     sides = [grams.where("lead").select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
-    verified = cut(jaccard(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity))
+    verified = cut(cosine(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity))
     joined = fragment_links(grams.select("group", "doc_id", "shingles"), connected_components(verified), similarity)
-    same = prints.join(nodes, ["fp", "digest"]).where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
+    same = spread_join(prints, nodes, ["fp", "digest"], "doc_id", size="many").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
     labels = connected_components(verified.unionByName(joined).unionByName(same))
     ids = prints.select("doc_id").distinct()
     return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Bytes ranked in the first round; the second round doubles the rank up to the threshold on both sides.
 GRAM = 16
@@ -128,12 +129,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     of packed arrays, dealt by rank. Ranks are hashes; whatever is removed was compared byte by byte.
 
     Work is dealt by document block and by rank; the numbers of both grow with the input. Null text counts as
-    empty. Rows with a null doc_id are compared with nothing and keep all bytes. Rows repeated with one doc_id
+    empty. Ids must be integers, other types are refused with a ValueError. Rows with a null doc_id are compared with nothing and keep all bytes. Rows repeated with one doc_id
     are each judged against smaller ids only. Documents shorter than `length` lose nothing. An empty table
     gives an empty result; other columns are ignored.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column")
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     blocks = blocks or 2 * buckets

@@ -300,7 +300,7 @@ def brute_groups(rows, similarity=0.8, distance=30, matches=2, sets=((0,),)):
     members = defaultdict(list)
     for i in ids:
         members[group[i]].append(i)
-    alike = lambda a, b: len(shingles[a] & shingles[b]) >= similarity * len(shingles[a] | shingles[b])
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= similarity * (len(shingles[a]) * len(shingles[b])) ** 0.5
     return brute_components(ids, [(a, b) for g in members.values() for a in g for b in g if a < b and alike(a, b)])
 
 
@@ -323,13 +323,13 @@ def test_groups_in_long_posting_lists_equal_brute_force(spark):
 @pytest.mark.parametrize("side", [1024, 3])
 def test_fragments_of_a_group_are_compared_in_blocks(spark, side):
     rng = random.Random(5)
-    rows = [(i, frozenset(rng.sample(range(24), 20)), i % 3) for i in range(60)]
+    rows = [(i, frozenset(rng.sample(range(26), 20)), i % 3) for i in range(60)]
     frame = spark.createDataFrame([(g, i, np.array(sorted(s), np.uint32).tobytes()) for i, s, g in rows], "group long, doc_id long, shingles binary")
     known = [(0, 3), (3, 6), (1, 4)]
     labels = brute_components(range(60), known)
     fragments = spark.createDataFrame([(i, labels[i]) for p in known for i in p], "node long, component long").distinct()
     found = [tuple(r) for r in simhash.fragment_links(frame, fragments, 0.8, side).collect()]
-    linked = [(a, b) for a, s, g in rows for b, x, h in rows if g == h and a < b and len(s & x) >= 0.8 * len(s | x)]
+    linked = [(a, b) for a, s, g in rows for b, x, h in rows if g == h and a < b and len(s & x) >= 0.8 * (len(s) * len(x)) ** 0.5]
     assert brute_components(range(60), found + known) == brute_components(range(60), linked + known)
 
 
@@ -364,3 +364,78 @@ def test_html_outside_articles(spark):
     want |= {10 + i: f"alpha{i} beta{i} four tokens in common gamma{i} delta{i} eta{i}" for i in range(2)}
     want |= {1000 + i: "rarely said but twice" if i < 2 else f"own{i}" for i in range(250)}
     assert found == want
+
+
+def test_most_planted_near_copies_are_found(spark):
+    rng = random.Random(21)
+    rows, shingles = [], {}
+    for k in range(150):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(80, 250))]
+        rows.append((2 * k, " ".join(base)))
+        for at in rng.sample(range(len(base)), int(len(base) * rng.uniform(0.01, 0.045))):
+            base[at] = f"c{rng.randrange(10**5)}"
+        rows.append((2 * k + 1, " ".join(base)))
+    for i, t in rows:
+        words = t.split()
+        shingles[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+    near = [k for k in range(0, 300, 2) if len(shingles[k] & shingles[k + 1]) >= 0.8 * (len(shingles[k]) * len(shingles[k + 1])) ** 0.5]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 100 and np.mean([found[k + 1] == k for k in near]) >= 0.9
+    assert all(found[k + 1] == k + 1 for k in range(0, 300, 2) if k not in near) and all(found[k] == k for k in range(0, 300, 2))
+
+
+def test_encoder_takes_a_million_spaces():
+    ids_of = encoders.byte_bpe(encoders.default_path("byte_bpe_50k.json"))
+    assert len(ids_of(" " * 1_000_000 + "x")) > 1000
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"d{i}", "one two three " * i, "s", i) for i in range(6)] + [(None, "null id", None, 1), (None, None, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, n long")
+    assert mixing.mix_sources(df).count() == 8
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(df)
+
+
+def test_exact_copies_over_the_hot_bound(spark):
+    rows = [(i, "the same text") for i in range(1500)] + [(2000 + i, f"text {i}") for i in range(50)] + [(None, None), (3000, "")]
+    found = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: (1499, 1500, i == 1499) for i in range(1500)} | {2000 + i: (2000 + i, 1, True) for i in range(50)} | {None: (3000, 2, False), 3000: (3000, 2, True)}
+    assert len(found) == 1552 and all((r.keep_id, r.group_size, r.kept) == want[r.doc_id] for r in found)
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(1, [1e300, 0.0], 1), (2, [1e300, 1e290], 1), (3, [0.0, 1e-300], 1), (4, [1e-300, 1e-300], 1)]
+    df = spark.createDataFrame([(i, [x / 1e150 for x in v], a) for i, v, a in rows], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.component_id for r in embeddings.near_duplicate_vectors(df.where("vec_id < 3")).collect()} == {1: 1, 2: 1}
+
+
+def test_language_sample_is_bounded_by_numbers(spark):
+    docs = spark.createDataFrame([(i, "the quick brown fox " * 40 if i % 2 else "der schnelle braune fuchs " * 40, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    whole, part = langid.train(docs), langid.train(docs, max_numbers=100)
+    assert whole.languages == ("de", "en") and len(part.languages) <= 2
+    assert langid.train(docs.limit(0)).languages == ()
+
+
+def test_pipeline_stages_take_odd_tables(spark, empty):
+    import corpus_pipeline as P
+
+    columns = SCHEMA + ", __key string, __turn long, __mix string, held_out boolean, lang_pred string"
+    words = lambda k: " ".join(f"the{k} quick{k} fox{j}" for j in range(60))
+    rows = [(i if i % 3 else None, words(i), "en", "a" if i % 2 else None, 1, 1, True, "k", 1, "m", True, "xx") for i in range(24)]
+    rows += [rows[4], rows[3], (50, None, "en", "a", 0, 0, False, None, None, None, None, None), (51, "", None, None, 0, 0, False, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, columns)
+    count = lambda df: Counter(map(tuple, df.collect()))
+    exact_ = P.exact_dedup(spark, docs, "")
+    assert count(exact_) == Counter(set(map(tuple, rows)) - {tuple(rows[-2])})
+    assert count(P.near_dedup(spark, docs, "")) == Counter(map(tuple, rows)) - Counter([rows[-1]])
+    mixed, taken = count(P.mix_sources(spark, docs, "")), mixing.mix_sources(docs).collect()
+    assert set(mixed) <= set(map(tuple, rows)) and sum(mixed.values()) == sum(r.copies for r in taken)
+    per, times = Counter(), Counter(map(tuple, rows))
+    for r in taken:
+        per[(r.doc_id, r.source, r.size, r.mark)] += r.copies
+    assert sorted(mixed.values()) == sorted(n for n in per.values() if n) and times[tuple(rows[4])] == 2
+    assert all(r["text"] for r in P.language_id(spark, docs, "").collect())
+    blank = spark.createDataFrame([], columns)
+    assert all(stage(spark, blank, "").count() == 0 for _, stage in P.STAGES)
+    assert P.pack(spark, docs, "").where("doc_id = 50").first().length == 1
