@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsift.functions.names import osv_ecosystem, osv_name
+from depsift.functions.severity import cvss3_base_score
 from depsift.functions.versions import apk_key, deb_key, rpm_key, version_affected
 
 
@@ -20,6 +22,24 @@ def match_advisories(components: DataFrame, affected: DataFrame, strict: bool =
     return versions.join(affected, ["ecosystem", "name"]).where(hit).select("ecosystem", "name", "version", "advisory").distinct()
 
 
+def batch_lookup(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Advisories of each package under the name and ecosystem that advisories use: id, severity, cvss, fixed.
+
+    advisories: id, aliases, ecosystem, name, ranges (arrays of events), score (a number or CVSS 3 vector). The id is
+    the first CVE among the aliases, else the advisory's; without a score the severity is MEDIUM, and a score under 4
+    is LOW; the first fix of any range counts.
+    """
+    asked = packages.withColumn("_e", osv_ecosystem(F.col("ecosystem"))).withColumn("_n", osv_name(F.col("ecosystem"), F.col("namespace"), F.col("name")))
+    cve = F.get(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(0))
+    fixes = F.filter(F.transform(F.flatten("ranges"), lambda e: e["fixed"]), lambda x: x.isNotNull())
+    score = cvss3_base_score(F.col("score"))
+    level = F.when(score.isNull(), "MEDIUM").when(score >= 9, "CRITICAL").when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").otherwise("LOW")
+    known = advisories.select(
+        F.col("ecosystem").alias("_e"), F.col("name").alias("_n"), F.coalesce(cve, "id").alias("id"), level.alias("severity"), score.alias("cvss"), F.get(fixes, F.lit(0)).alias("fixed")
+    )
+    return asked.join(known, ["_e", "_n"]).drop("_e", "_n")
+
+
 def enrich_epss_kev(findings: DataFrame, epss: DataFrame, kev: DataFrame, cve: str = "cve") -> DataFrame:
     """Add epss, percentile and is_kev by CVE; one row a CVE is taken from each feed."""
     e = epss.groupBy(F.col("cve").alias(cve)).agg(F.max("epss").alias("epss"), F.max("percentile").alias("percentile"))

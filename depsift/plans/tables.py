@@ -22,6 +22,15 @@ DEFINITIONS = {
                p_brand as brand, p_size as size, p_retailprice as price
         from {part}
     """,
+    "packages": """
+        select p_partkey as package_id, case p_partkey % 9 when 0 then 'npm' when 1 then 'Python' when 2 then 'Go' when 3 then 'Rust' when 4 then 'Ruby' when 5 then 'PHP'
+                   when 6 then 'Maven' when 7 then 'Gradle' else 'hex' end as ecosystem,
+               case p_partkey % 9 when 0 then case when p_partkey % 4 < 2 then '@scope' end when 2 then case when p_partkey % 5 > 0 then 'github.com/org' end when 3 then 'crates.io'
+                   when 4 then 'rubygems.org' when 5 then case p_partkey % 2 when 0 then 'vendor' end when 6 then case when p_partkey % 5 > 1 then 'org.example' end end as namespace,
+               concat(case when p_partkey % 9 in (6, 7) and p_partkey % 2 = 0 then 'org.example:' else '' end, replace(p_name, ' ', '-'), '-', cast(p_partkey % 20 as string)) as name,
+               concat(cast(p_size % 5 as string), '.', cast(p_partkey % 12 as string), '.', cast(p_partkey % 7 as string)) as version
+        from {part}
+    """,
     "project_components": """
         select l_orderkey as project, l_partkey as component_id, l_linenumber = 1 as direct from {lineitem}
     """,
