@@ -20,15 +20,18 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], turn: str,
     """`rows` joined with `groups`, which has one row a key; the rows of hot keys are dealt over several tasks.
 
     Keys with over `hot` rows, the KEYS largest of them, are dealt into at most PARTS parts by the hash of column
-    `turn`, and their group's row is repeated for each part. The list of these keys has KEYS rows at most, so it
-    is broadcast; every key beyond it holds less than one row in KEYS. `size` names a column of `groups` with the
-    number of rows a key has; without it rows are counted. Null keys join nothing, as in any join.
+    `turn`, and their group's row is repeated for each part. These keys, KEYS rows at most, are collected and
+    broadcast; every key beyond them holds less than one row in KEYS, and without any the join is a plain one.
+    `size` names a column of `groups` with the number of rows a key has; without it rows are counted. Null keys join
+    nothing, as in any join.
     """
     counts = groups.select(*keys, F.col(size).alias("__n")) if size else rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    counts = counts.where(F.col("__n") > hot)
     parts = F.least(F.ceil(F.col("__n") / hot), F.lit(PARTS)).cast("int").alias("__parts")
-    top = F.broadcast(counts.orderBy(F.desc("__n"), *keys).limit(KEYS).select(*keys, parts))
-    many = F.coalesce("__parts", F.lit(1))
+    top = counts.where(F.col("__n") > hot).orderBy(F.desc("__n"), *keys).limit(KEYS).select(*keys, parts)
+    found = top.collect()
+    if not found:
+        return rows.join(groups, keys, how)
+    top, many = F.broadcast(rows.sparkSession.createDataFrame(found, top.schema)), F.coalesce("__parts", F.lit(1))
     left = rows.join(top, keys, "left").withColumn("__part", F.pmod(F.xxhash64(turn), many).cast("int")).drop("__parts")
     right = groups.join(top, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), many - 1))).drop("__parts")
     return left.join(right, [*keys, "__part"], how).drop("__part")
