@@ -107,7 +107,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", ma
     """Fit on at most `max_rows` labelled rows with `max_numbers` features, those with the least hash of their id.
 
     Both bounds are documented parameters; a feature is two 32-bit numbers, so 160 MB at most reach the driver.
-    Rows of one hash follow by language and features. Held-out rows, rows without text, letters or lang are no
+    Rows of one hash follow by language and features, and equal ones count once. Held-out rows, rows without text, letters or lang are no
     training rows; an empty table gives a model that rejects everything.
     """
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -124,12 +124,12 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", ma
             yield pa.RecordBatch.from_arrays(arrays, names=["h", "lang", "slots", "counts"])
 
     chosen = usable.where(order <= top).select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = cut(chosen.mapInArrow(features, "h long, lang string, slots binary, counts binary").withColumn("key", F.struct("h", "lang", F.xxhash64("slots", "counts").alias("x"))))
+    found = cut(chosen.mapInArrow(features, "h long, lang string, slots binary, counts binary").withColumn("key", F.struct("h", "lang", F.xxhash64("slots", "counts").alias("x"))).dropDuplicates(["key"]))
     sizes = found.select("key", (F.length("slots") / 4).cast("long").alias("n")).orderBy("key").limit(max_rows).collect()
     fits = np.searchsorted(np.cumsum([r["n"] for r in sizes]), max_numbers, side="right")
     if not fits:
         return fit([], slots)
-    rows = found.where(F.col("key") <= F.struct(*map(F.lit, sizes[fits - 1]["key"]))).orderBy("key").limit(int(fits)).collect()
+    rows = found.where(F.col("key") <= F.struct(*map(F.lit, sizes[fits - 1]["key"]))).select("h", "lang", "slots", "counts").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["slots"])))
     return fit([(r["lang"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(float)) for r in rows], slots)
 
