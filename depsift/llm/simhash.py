@@ -17,6 +17,8 @@ from depsift.plans.skew import sized_join, spread_join
 
 #: Fingerprints of one posting list that are compared in one group; longer lists are compared block by block.
 BLOCK = 4096
+#: Longest lists that are spanned together with others of their length, and pairs of rows in one such step.
+MANY, AT_ONCE = 64, 1 << 20
 #: Texts of a bit-linked group on each side of one block of shingle comparisons.
 SIDE = 1024
 
@@ -147,6 +149,25 @@ def _nearest_forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list
     return out_a, out_b
 
 
+def _nearest_forests(lists: np.ndarray, matches: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_nearest_forest` of many equally long lists (list, row, byte) at once: the list and the two rows of each link."""
+    n, k, _ = lists.shape
+    every, wide = np.arange(n), lists.view(np.uint64)
+    bits = np.bitwise_count(wide[:, :, None] ^ wide[:, None]).sum(axis=3, dtype=np.int64)
+    bits[(lists[:, :, None] == lists[:, None]).sum(axis=3) < matches] = distance + 1
+    least, entry, done = np.full((n, k), distance + 1), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+    at, out = np.zeros(n, np.int64), []
+    for _ in range(k - 1):
+        done[every, at] = True
+        closer = bits[every, at] < least
+        least[closer] = bits[every, at][closer]
+        entry = np.where(closer, at[:, None], entry)
+        at = np.where(done, distance + 2, least).argmin(axis=1)
+        hit = np.flatnonzero(least[every, at] <= distance)
+        out.append((hit, entry[hit, at[hit]], at[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Whole posting lists of a partition sorted by list, several at a time: (list starts, rows, block)."""
     keys, prints, sides = [], [], []
@@ -184,7 +205,7 @@ def links(
     once and give all their links. `nearest` spans every group by its links of fewest differing bits, for callers
     that verify links by other means afterwards.
     """
-    span, short = (_nearest_forest, 1) if nearest else (_forest, short)
+    span = _nearest_forest if nearest else _forest
     rows = postings(prints, sets)
     long_ = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long_ = long_.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
@@ -199,7 +220,7 @@ def links(
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             size = np.diff(np.r_[start, len(key)])
             # short lists all at once: the k-th row of a list against the one s places on
-            small = np.repeat(size <= short, size)
+            small = np.repeat(size <= (0 if nearest else short), size)
             ends = np.repeat(start + size, size)
             live = np.flatnonzero(small)
             for s in range(1, short):
@@ -209,7 +230,14 @@ def links(
                 hit = live[_linked(m[live], m[live + s], matches, distance)]
                 edges[0].append(hit)
                 edges[1].append(hit + s)
-            for at, n in zip(start[size > short], size[size > short]):
+            many = MANY if nearest else short
+            for n in np.unique(size[(size > 1) & (size <= many)]) if nearest else ():  # lists of one length all at once
+                first = start[size == n]
+                for part in np.array_split(first, -(-len(first) * int(n) ** 2 // AT_ONCE)):
+                    which, a, b = _nearest_forests(m[part[:, None] + np.arange(n)], matches, distance)
+                    edges[0].append(part[which] + a)
+                    edges[1].append(part[which] + b)
+            for at, n in zip(start[size > many], size[size > many]):
                 a, b = span(m[at : at + n], matches, distance)
                 edges[0].append(np.array(a, np.int64) + at)
                 edges[1].append(np.array(b, np.int64) + at)

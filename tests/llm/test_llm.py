@@ -280,6 +280,9 @@ def test_nearest_forest_spans_components_by_their_closest_pairs():
     ends, used = np.r_[a, b], np.full(60, 999)
     np.minimum.at(used, ends, np.tile(every[a, b], 2))
     assert (used == every.min(axis=1)).all()  # a minimum spanning forest holds a closest pair of every row
+    which, x, y = simhash._nearest_forests(np.stack([rows, rows[::-1].copy()]), 2, 6)
+    first = simhash._nearest_forest(rows, 2, 6), simhash._nearest_forest(rows[::-1].copy(), 2, 6)
+    assert [sorted(zip(x[which == k].tolist(), y[which == k].tolist())) for k in (0, 1)] == [sorted(zip(*f)) for f in first]
 
 
 def brute_groups(rows, similarity=0.8, distance=30, matches=2, sets=((0,),)):
