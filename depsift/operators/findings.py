@@ -14,6 +14,10 @@ FILTERS = {
 }
 
 
+#: Rules that may be tried on each package name.
+RULES = 10_000
+
+
 def filter_findings(findings: DataFrame, name: str) -> DataFrame:
     """A named filter; an unknown name keeps all rows."""
     return findings.where(FILTERS[name]) if name in FILTERS else findings
@@ -46,9 +50,12 @@ def should_notify(alerts: DataFrame, least: str, enabled: bool = True) -> DataFr
 def route_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """First rule, by `at`, whose pattern matches the package.
 
-    Distinct package names meet the rules, a configuration table; findings join the outcome by name.
+    Distinct package names meet the rules, a configuration table that is counted before it is broadcast and may have
+    RULES rows; findings join the outcome by name.
     """
     names = findings.select("package").distinct()
+    if rules.count() > RULES:
+        raise ValueError(f"over {RULES} rules: patterns are tried on every name")
     hits = names.join(F.broadcast(rules), F.expr("package rlike pattern"), "left")
     first = hits.groupBy("package").agg(F.min_by(F.struct(*[c for c in rules.columns if c not in ("at", "pattern")]), "at").alias("r"))
     return findings.join(first, "package", "left").select(*findings.columns, "r.*")
@@ -97,17 +104,47 @@ def findings_summary(findings: DataFrame, by: str = "image") -> DataFrame:
     return findings.groupBy(by).agg(F.count("*").alias("total"), *severity_counts(), fixable.alias("fixable"), kev.alias("kev"))
 
 
-def security_score(c: Column, h: Column, m: Column, low: Column, method: str = "report", deps: Column | None = None, reachable: Column | None = None) -> Column:
-    """Score 0 to 100 of severity counts by one of the published formulas; graded gives A to F of the report's."""
+def security_score(
+    c: Column, h: Column, m: Column, low: Column, method: str = "report", deps: Column | None = None, reachable: Column | None = None, kev: Column | None = None,
+) -> Column:
+    """Score 0 to 100 of severity counts by one of the published formulas: report, dashboard, status, container or graded.
+
+    Counts are held to a bound before they are weighed in `container` and `graded`.
+    """
+    held = lambda n, most: F.least(n, F.lit(most))
     if method == "dashboard":
         worst = 20.0 * (10 * c + 5 * h + 2 * m + low) / F.greatest(deps, F.lit(1))
         return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - worst))
     if method == "status":
-        return F.greatest(F.lit(0), 100 - 15 * c - 8 * h - 3 * m - low - 5 * F.coalesce(reachable, F.lit(0)))
-    score = F.greatest(F.lit(0), 100 - 20 * c - 10 * h - 5 * m - 2 * low)
-    if method == "graded":
-        return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
-    return score
+        score = 100 - 15 * c - 8 * h - 3 * m - low - 5 * F.coalesce(reachable, F.lit(0))
+    elif method == "container":
+        score = 100 - 10 * held(c, 10) - 2 * held(h, 20) - held(m, 50) - 5 * held(F.coalesce(kev, F.lit(0)), 5)
+    elif method == "graded":
+        score = 100 - held(10 * c, 100) - held(2 * h, 40) - held(m, 50)
+    else:
+        score = 100 - 20 * c - 10 * h - 5 * m - 2 * low
+    return F.greatest(F.lit(0), score)
+
+
+def letter_grade(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
+
+
+def letter_rating(score: Column) -> Column:
+    """Rating of a container's score."""
+    return F.when(score >= 90, "A+").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
+
+
+def compliance_status(critical: Column, high: Column, kev: Column, total: Column, score: Column) -> Column:
+    """(pci, hipaa, soc2, overall): the issues of each framework, none meaning a pass, and PASS, WARNING or FAIL by the score.
+
+    SOC 2 doesn't ask for high findings; a full pass needs a score of 90 and no finding.
+    """
+    told = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
+    c, h, k = told(critical, " critical vulnerabilities present"), told(high, " high severity vulnerabilities"), told(kev, " known exploited vulnerabilities (CISA KEV)")
+    overall = F.when((score >= 90) & (total == 0), "PASS").when(score >= 70, "WARNING").otherwise("FAIL")
+    listed = lambda *xs: F.array_compact(F.array(*xs))
+    return F.struct(listed(c, h, k).alias("pci"), listed(c, h, k).alias("hipaa"), listed(c, k).alias("soc2"), overall.alias("overall"))
 
 
 def scan_risk_level(c: Column, h: Column, m: Column) -> Column:
@@ -144,14 +181,24 @@ def effort_by_priority(plan: DataFrame) -> DataFrame:
     return plan.where(F.col("priority").isin("P0", "P1", "P2")).groupBy("priority").agg(F.count("*").alias("fixes"), F.sum("hours").alias("hours"))
 
 
+# Points of an image's priority.
+IMPACT = {"critical": 10, "three high": 6, "ten medium": 3}
+EXPOSED, HIDDEN, DATA, SERVICE = 12, 5, 10, 6
+BASE_CHANCE, LIKELY = 10, {"exploited": 10, "half": 6, "fifth": 3}
+KNOWN = {"exploited": 9, "serious": 6, "medium": 3}
+EASE = {"critical": 7, "high": 4}
+BASE_EASE, PATH = 6, {"critical": 14, "three high": 9, "some": 5}
+
+
 def image_priority_score(c: Column, h: Column, m: Column, kev: Column, epss: Column, reachable: Column) -> Column:
     """Impact, probability, complexity and exploitability points of an image's counts."""
     hit = kev > 0
-    impact = F.when(c > 0, 10).when(h >= 3, 6).when(m >= 10, 3).otherwise(0) + F.when(hit, 9 + 3).otherwise(5) + 10 + 6
-    chance = 10 + F.when(hit, 10).when(epss >= 0.5, 6).when(epss >= 0.2, 3).otherwise(0)
-    chance += F.when(hit | (epss >= 0.9), 9).when(c + h > 0, 6).when(m > 0, 3).otherwise(0)
-    ease = F.when(c > 0, 7).when(h > 0, 4).otherwise(0) + 6
-    path = F.when(hit | (c > 0), 14).when(h >= 3, 9).when((m > 0) | (reachable > 0), 5).otherwise(0)
+    impact = F.when(c > 0, IMPACT["critical"]).when(h >= 3, IMPACT["three high"]).when(m >= 10, IMPACT["ten medium"]).otherwise(0)
+    impact += F.when(hit, EXPOSED).otherwise(HIDDEN) + DATA + SERVICE
+    chance = BASE_CHANCE + F.when(hit, LIKELY["exploited"]).when(epss >= 0.5, LIKELY["half"]).when(epss >= 0.2, LIKELY["fifth"]).otherwise(0)
+    chance += F.when(hit | (epss >= 0.9), KNOWN["exploited"]).when(c + h > 0, KNOWN["serious"]).when(m > 0, KNOWN["medium"]).otherwise(0)
+    ease = BASE_EASE + F.when(c > 0, EASE["critical"]).when(h > 0, EASE["high"]).otherwise(0)
+    path = F.when(hit | (c > 0), PATH["critical"]).when(h >= 3, PATH["three high"]).when((m > 0) | (reachable > 0), PATH["some"]).otherwise(0)
     return impact + chance + ease + path
 
 

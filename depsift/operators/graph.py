@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from depsift.operators.components import connected_components
 from depsift.plans.lineage import cut
 
+#: Frontiers that are kept apart before they are written together.
+MERGE = 20
+
 
 def closure(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), max_depth: int | None = None) -> DataFrame:
     """(keys..., node, depth) reachable from starts(keys..., node) along edges, starts at depth 0.
@@ -15,22 +18,32 @@ def closure(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), max
     Edges have src, dst and those of the keys that they hang on; without one, all keys share them.
 
     One frontier for all keys moves a step a round; nodes met before are dropped, so cycles end. Each round
-    is one join and one anti join on the partitioned edges, checkpointed so that plans stay short and lost
-    executors cost one round.
+    is one join and one anti join, and only the new frontier is checkpointed: what was met before is the union
+    of the frontiers' checkpoints, never written again, so a lost executor costs one round. Many frontiers are
+    written together once in MERGE rounds, so that plans stay short on deep graphs.
     """
     keys = list(keys)
     own = [k for k in keys if k in edges.columns]
     edges = cut(edges.select(*own, "src", "dst").distinct())
-    seen = frontier = cut(starts.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
+    frontier = cut(starts.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
+    met, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         ahead = frontier.withColumnRenamed("node", "src").join(edges, [*own, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(ahead.join(_union(met), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        met.append(frontier)
+        if len(met) > MERGE:
+            met = [cut(_union(met))]
+    return _union(met)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def reachable_split(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
@@ -48,16 +61,25 @@ def affected_targets(edges: DataFrame, changed: DataFrame) -> DataFrame:
 def call_chains(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """Shortest path from an entrypoint to every reachable node, the least parent breaking ties: (node, depth, path)."""
     edges = cut(edges.select("src", "dst").distinct())
-    seen = frontier = cut(entrypoints.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
-    depth = 0
+    frontier = cut(entrypoints.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
+    met, depth = [frontier], 0
     while True:
         depth += 1
         ahead = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), "path")
-        new = ahead.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        new = ahead.join(_union(met).select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         frontier = cut(new.select("node", F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return _union(met)
+        met.append(frontier)
+        if len(met) > MERGE:
+            met = [cut(_union(met))]
+
+
+def shared_dependencies(edges: DataFrame, packages: DataFrame) -> DataFrame:
+    """(dep, n, packages) of each dependency that two of the packages or more have, instead of a row for each pair."""
+    deps = edges.select(F.col("src").alias("package"), F.col("dst").alias("dep")).distinct().join(packages.select("package").distinct(), "package")
+    rows = deps.groupBy("dep").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("package").cast("string"))).alias("packages"))
+    return rows.where("n > 1")
 
 
 def dependency_counts(edges: DataFrame, roots: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -55,10 +55,10 @@ def project_priorities(t: Tables) -> DataFrame:
     scored = match.enrich_epss_kev(t.advisories.select("cve", "cvss"), t.epss, t.kev)
     scored = scored.select("cve", S.priority(F.col("cvss"), F.col("epss"), F.col("is_kev")).alias("priority"))
     hits = matched(t).withColumnRenamed("advisory", "cve").join(scored, "cve")
-    per = t.components.join(hits, ["ecosystem", "name", "version"]).select("component_id", "cve", "priority")
-    # counts per (component, priority) first: a project's rows meet few of them
-    rows = t.project_components.join(per, "component_id")
-    return rows.groupBy("project", "priority").agg(F.count("*").alias("findings"), F.countDistinct("cve").alias("advisories"))
+    per = t.components.join(hits, ["ecosystem", "name", "version"]).groupBy("component_id", "priority").agg(F.count("*").alias("n"), F.collect_set("cve").alias("cves"))
+    # counts and sets per (component, priority) first: a project's rows meet one of them for each priority
+    rows = t.project_components.join(per, "component_id").groupBy("project", "priority")
+    return rows.agg(F.sum("n").alias("findings"), F.size(F.array_distinct(F.flatten(F.collect_list("cves")))).cast("long").alias("advisories"))
 
 
 @query(f"with {MATCHED} select ecosystem, name, version, cve as advisory from matched")
@@ -129,27 +129,6 @@ def _os_tables(t: Tables, version) -> tuple[DataFrame, DataFrame]:
     return packages, fixes
 
 
-_OS_SQL = """
-    select c.component_id, a.cve from components c join advisories a on a.name = c.name and a.advisory_key % 2 = c.component_id % 3
-    where a.fixed is null or list_transform(string_split(c.version, '.'), lambda x: x::int) < list_transform(string_split(a.fixed, '.'), lambda x: x::int)
-"""
-
-
-@query(_OS_SQL)
-def os_match_alpine(t: Tables) -> DataFrame:
-    return match.os_match(*_os_tables(t, lambda v: F.concat(v, F.lit("-r0"))), "alpine").select("component_id", "cve")
-
-
-@query(_OS_SQL)
-def os_match_debian(t: Tables) -> DataFrame:
-    return match.os_match(*_os_tables(t, lambda v: F.concat(F.lit("1:"), v, F.lit("-2"))), "debian").select("component_id", "cve")
-
-
-@query(_OS_SQL)
-def os_match_redhat(t: Tables) -> DataFrame:
-    return match.os_match(*_os_tables(t, lambda v: F.concat(v, F.lit("-25.el7"))), "redhat").select("component_id", "cve")
-
-
 @query("select cve, " + PRIORITY.replace("k.cve is not null", "advisory_key % 23 = 0").replace("a.cvss", "cvss").replace("e.epss", "cast(advisory_key * 37 % 1000 as double) / 1000.0") + " as priority from advisories")
 def priority(t: Tables) -> DataFrame:
     a = t.advisories
@@ -193,22 +172,41 @@ def semver_compare(t: Tables) -> DataFrame:
     return v.select("component_id", V.semver_compare(F.col("v"), other).alias("against"))
 
 
-def _order_query(name: str, key, suffix: str):
-    sql = f"""
-        select component_id, case when {NUMS.format('version')} < [2, 5, 3] then -1 when {NUMS.format('version')} > [2, 5, 3] then 1 else 0 end as against from components
-    """
+def _order_query(name: str, key, ladder: tuple[str, ...]):
+    """Versions of each component's own number n with every ending of a ladder, the lowest first, against the middle one."""
+    listed = ", ".join(f"'{x}'" for x in ladder)
+    sql = f"select component_id, sign((component_id % {len(ladder)}) - {len(ladder) // 2})::int as against from components"
 
     def run(t: Tables) -> DataFrame:
-        v = F.concat(F.col("version"), F.lit(suffix))
-        return t.components.select("component_id", V.compare_keys(key(v), key(F.lit("2.5.3" + suffix))).alias("against"))
+        ending = F.expr(f"element_at(array({listed}), cast(component_id % {len(ladder)} + 1 as int))")
+        number = F.col("component_id").cast("string")
+        made = lambda e: F.replace(e, F.lit("n"), number)
+        return t.components.select("component_id", V.compare_keys(key(made(ending)), key(made(F.lit(ladder[len(ladder) // 2])))).alias("against"))
 
     run.__name__ = name
     query(sql)(run)
 
 
-_order_query("apk_compare", V.apk_key, "-r1")
-_order_query("deb_compare", V.deb_key, "-1")
-_order_query("rpm_compare", V.rpm_key, "-1.el8")
+#: Orders of each distribution by its own rules, n being a number: epochs, pre-releases, letters, releases, long numbers.
+_order_query("apk_compare", V.apk_key, ("n.1.9-r20", "n.2-r1", "n.2-r10", "n.2.1-r0", "n.10-r0", "n.20240101120000-r3", "n.20240101120000.1-r0"))
+_order_query("deb_compare", V.deb_key, ("n.2~~-1", "n.2~rc1-1", "n.2~rc10-1", "n.2-1", "n.2-1ubuntu1", "n.2-10", "n.2a-1", "n.2+b1-1", "n.10-1", "n.20240101120000-1", "1:n.1-1"))
+_order_query("rpm_compare", V.rpm_key, ("n.b-1", "n.c-1", "n.2-9.el7", "n.2-25.el7", "n.3-1", "n.10-1", "n.20240101120000-1", "1:n.1-1", "2:n.0-1"))
+
+
+@query("""
+    select component_id, case component_id % 6 when 0 then 9.8 when 1 then 10.0 when 2 then 2.2 when 3 then 0.0 when 4 then (component_id % 100)::double / 10 end::double as score from components
+""")
+def cvss3_base_score(t: Tables) -> DataFrame:
+    vector = F.expr("""case component_id % 6 when 0 then 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H' when 1 then 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H'
+        when 2 then 'CVSS:3.0/AV:L/AC:H/PR:L/UI:R/S:U/C:L/I:N/A:N' when 3 then 'CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N'
+        when 4 then cast(cast(component_id % 100 as double) / 10 as string) else 'AV:N/AC:L' end""")
+    return t.components.select("component_id", S.cvss3_base_score(vector).alias("score"))
+
+
+@query("select component_id, case size % 5 when 0 then 'IMMEDIATE' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as urgency from components")
+def fix_urgency(t: Tables) -> DataFrame:
+    level = F.expr("element_at(array('Critical', 'High', 'Medium', 'Low', 'Minimal'), size % 5 + 1)")
+    return t.components.select("component_id", S.fix_urgency(level).alias("urgency"))
 
 
 @query("""

@@ -34,22 +34,14 @@ def read_spdx(t: Tables) -> DataFrame:
 
 @query("""
     select 'SPDX' as format, count(distinct project) as n from project_components
-    union all select 'CycloneDX', count(distinct project) from project_components where project % 2 = 0
+    union all select 'CycloneDX', count(distinct project) from project_components
+    union all select null, count(distinct project) from project_components
 """)
 def detect_sbom_format(t: Tables) -> DataFrame:
-    docs = D.spdx(listed(t)).union(D.cyclonedx(listed(t).where("project % 2 = 0")))
+    docs = D.spdx(listed(t)).union(D.cyclonedx(listed(t))).union(listed(t).select("project", F.lit('{"other": 1}')).distinct())
     return docs.groupBy(feeds.sbom_format(F.col("value")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("""
-    select concat('SPDXRef-', replace(ecosystem, '.', '.'), '-', name, '-', version) as id, count(*) as n from components
-    group by 1
-""")
-def write_spdx_tagvalue(t: Tables) -> DataFrame:
-    blocks = D.spdx_tag_values(t.components)
-    return blocks.groupBy(F.regexp_extract("value", r"(?m)^SPDXID: (.*)$", 1).alias("id")).agg(F.count("*").alias("n"))
-
-
 @query("""
     select ghsa as id, cve as alias, ecosystem, name, introduced, fixed, cvss as cvss_v3,
            case when cvss >= 9 then 'CRITICAL' when cvss >= 7 then 'HIGH' when cvss >= 4 then 'MEDIUM' when cvss >= 0.1 then 'LOW' else 'UNKNOWN' end as severity
@@ -205,15 +197,211 @@ def read_package_lock(t: Tables) -> DataFrame:
     return feeds.package_lock(docs).withColumn("dependencies", F.size("dependencies").cast("long"))
 
 
-@query("select concat('\"', src::varchar, '\" -> \"', dst::varchar, '\";') as value from edges")
-def write_graph_lines(t: Tables) -> DataFrame:
-    return D.graph_lines(t.edges, "dot")
+@query("""
+    select cve as id, 'vendor:' || name as package, introduced, case when advisory_key % 3 > 0 or advisory_key % 2 = 0 then fixed end as fixed, case when advisory_key % 4 <> 1 then cvss end as cvss_v3,
+           case when advisory_key % 4 = 1 then cvss end as cvss_v4, case when cvss >= 9 then 'CRITICAL' when cvss >= 7 then 'HIGH' when cvss >= 4 then 'MEDIUM' when cvss >= 0.1 then 'LOW' else 'UNKNOWN' end as severity,
+           case when advisory_key % 2 = 0 then summary else 'autre' end as details from advisories
+""")
+def read_nvd(t: Tables) -> DataFrame:
+    key = F.col("advisory_key")
+    said = lambda lang, text: F.struct(F.lit(lang).alias("lang"), text.alias("value"))
+    scores = F.array(F.struct(F.struct(F.col("cvss").alias("baseScore")).alias("cvssData")))
+    low = F.array(F.struct(F.struct(F.lit(0.5).alias("baseScore")).alias("cvssData")))
+    metrics = F.struct(
+        F.when(key % 4 == 0, scores).alias("cvssMetricV31"), F.when(key % 4 == 1, scores).when(key % 4 == 0, low).alias("cvssMetricV40"),
+        F.when(key % 4 == 2, scores).when(key % 4 < 2, low).alias("cvssMetricV30"), F.when(key % 4 == 3, scores).otherwise(low).alias("cvssMetricV2"),
+    )
+    criteria = F.concat(F.lit("cpe:2.3:a:vendor:"), "name", F.lit(":*"))
+    hit = F.struct(
+        F.lit(True).alias("vulnerable"), criteria.alias("criteria"), F.when(key % 2 == 0, F.col("introduced")).alias("versionStartIncluding"),
+        F.when(key % 2 == 1, F.col("introduced")).alias("versionStartExcluding"), F.when(key % 2 == 0, F.col("fixed")).alias("versionEndExcluding"),
+    )
+    end = F.struct(F.lit(True).alias("vulnerable"), criteria.alias("criteria"), F.when(key % 2 == 1, F.col("introduced")).alias("versionStartExcluding"), F.when(key % 3 > 0, F.col("fixed")).alias("versionEndExcluding"))
+    others = (F.struct(F.lit(False).alias("vulnerable"), criteria.alias("criteria"), F.lit("1").alias("versionEndExcluding")), F.struct(F.lit(True).alias("vulnerable"), criteria.alias("criteria"), F.lit(None).cast("string").alias("versionEndExcluding")))
+    part = lambda m: F.to_json(F.array(m))
+    cpe = F.concat(F.lit('{"nodes": [{"cpeMatch": '), F.when(key % 2 == 0, part(hit)).otherwise(part(end)), F.lit('}, {"cpeMatch": '), part(others[0]), F.lit('}, {"cpeMatch": '), part(others[1]), F.lit("}]}"))
+    texts = F.when(key % 2 == 0, F.array(said("fr", F.lit("autre")), said("en", F.col("summary")))).otherwise(F.array(said("fr", F.lit("autre"))))
+    head = F.to_json(F.struct(F.col("cve").alias("id"), texts.alias("descriptions"), metrics.alias("metrics")))
+    docs = t.advisories.select(F.concat(F.lit('{"vulnerabilities": [{"cve": '), F.regexp_replace(head, r"\}$", ""), F.lit(', "configurations": ['), cpe, F.lit("]}}]}")).alias("value"))
+    rows = feeds.nvd(docs).select("id", F.explode("affected").alias("a"), "cvss_v3", "cvss_v4", "severity", "details")
+    events = F.col("a.ranges")[0]["events"]
+    one = lambda f: F.get(F.filter(F.transform(events, lambda e: e[f]), lambda x: x.isNotNull()), F.lit(0)).alias(f)
+    return rows.select("id", F.col("a.name").alias("package"), one("introduced"), one("fixed"), "cvss_v3", "cvss_v4", "severity", "details")
+
+
+@query("""
+    select ghsa as id, case when advisory_key % 2 = 0 then cve end as alias, name, case when advisory_key % 4 < 3 then '0' end as introduced, fixed, case when advisory_key % 3 > 0 then cvss end as cvss_v3,
+           case when advisory_key % 3 = 0 then 'MEDIUM' when cvss >= 9 then 'CRITICAL' when cvss >= 7 then 'HIGH' when cvss >= 4 then 'MEDIUM' when cvss >= 0.1 then 'LOW' else 'UNKNOWN' end as severity
+    from advisories where not (advisory_key % 4 = 3 and fixed is null)
+""")
+def read_ghsa(t: Tables) -> DataFrame:
+    key = F.col("advisory_key")
+    range_ = F.expr("case advisory_key % 4 when 0 then concat('>= ', introduced, ', < 9') when 1 then concat('< ', introduced) when 3 then '= 1.0' end")
+    patched = F.when(F.col("fixed").isNotNull(), F.struct(F.col("fixed").alias("identifier")))
+    item = F.struct(F.struct("ecosystem", "name").alias("package"), range_.alias("vulnerableVersionRange"), patched.alias("firstPatchedVersion"))
+    ids = F.array(F.struct(F.lit("GHSA").alias("type"), F.col("ghsa").alias("value")), F.struct(F.when(key % 2 == 0, "CVE").otherwise("X").alias("type"), F.col("cve").alias("value")))
+    docs = as_json(t.advisories, F.col("ghsa").alias("ghsaId"), F.lit("x").alias("id"), ids.alias("identifiers"), F.array(item).alias("vulnerabilities"), F.lit("Moderate").alias("severity"), F.when(key % 3 > 0, F.struct(F.col("cvss").alias("score"))).alias("cvss"))
+    rows = feeds.ghsa(docs).select("id", F.get("aliases", F.lit(0)).alias("alias"), F.explode("affected").alias("a"), "cvss_v3", "severity").where("size(a.ranges) > 0")
+    events = F.col("a.ranges")[0]["events"]
+    one = lambda f: F.get(F.filter(F.transform(events, lambda e: e[f]), lambda x: x.isNotNull()), F.lit(0)).alias(f)
+    return rows.select("id", "alias", "a.name", one("introduced"), one("fixed"), "cvss_v3", "severity")
+
+
+@query("select ghsa as id, name as package, introduced as version, severity, form from (select *, case when cvss >= 7 then 'HIGH' else 'LOW' end as severity from advisories), (values ('json'), ('csv')) f(form)")
+def read_threat_feed(t: Tables) -> DataFrame:
+    severity = F.when(F.col("cvss") >= 7, "HIGH").otherwise("LOW")
+    entry = F.struct(F.col("ghsa").alias("id"), F.col("name").alias("package"), F.array("introduced").alias("affected_versions"), severity.alias("severity"))
+    json = t.advisories.select(F.to_json(F.array(entry)).alias("value"))
+    line = F.concat_ws(",", "ghsa", "name", F.concat("introduced", F.lit(";")), F.lit("malware"), severity, F.lit('"told, twice"'), F.lit("u/a;u/b"), F.lit("2024"))
+    csv = t.advisories.select(line.alias("value")).union(t.region.select(F.lit("id,package,versions,type,severity,description,references,discovered")))
+    rows = [feeds.threat_feed(df, form).select("id", "package", F.col("affected_versions")[0].alias("version"), "severity", F.lit(form).alias("form")) for df, form in ((json, "json"), (csv, "csv"))]
+    return rows[0].union(rows[1])
+
+
+@query("select event_id as entry, event_type as action, floor(value)::bigint as violations from events")
+def read_audit_log(t: Tables) -> DataFrame:
+    good = as_json(t.events, F.date_format("ts", "yyyy").alias("timestamp"), F.col("event_id").alias("timestamp_unix"), F.col("event_type").alias("action"), F.floor("value").alias("violation_count"))
+    bad = t.events.select(F.concat(F.lit('{"action": '), "event_type").alias("value"))
+    return feeds.audit_log(good.union(bad)).select(F.col("timestamp_unix").alias("entry"), "action", F.col("violation_count").alias("violations"))
+
+
+@query("select pc.project, c.name, c.version, case when c.component_id % 3 > 0 then 'sha' || (c.component_id % 4) end as layer from project_components pc join components c on c.component_id = pc.component_id")
+def read_syft(t: Tables) -> DataFrame:
+    place = F.struct(F.lit("/x").alias("path"), F.concat(F.lit("sha"), (F.col("component_id") % 4).cast("string")).alias("layerID"))
+    at = F.when(F.col("component_id") % 3 > 0, F.array(place, place)).otherwise(F.array().cast("array<struct<path: string, layerID: string>>"))
+    item = F.struct(F.col("component_id").cast("string").alias("id"), "name", "version", at.alias("locations"))
+    docs = listed(t).groupBy("project").agg(F.collect_list(item).alias("a")).select("project", F.to_json(F.struct(F.col("a").alias("artifacts"))).alias("value"))
+    return feeds.syft(docs).select("project", "name", "version", "layer")
+
+
+@query("""
+    select layer, kind, severity, description, count(*) as n from (select l_linenumber % 3 as layer, 'AWS' as kind, case when l_orderkey % 2 = 0 then 'CRITICAL' else 'HIGH' end as severity,
+        case when l_orderkey % 3 = 0 then 'short' else 'abcdefghijklmnopqrst...' end as description from lineitem) group by all
+""")
+def read_secrets(t: Tables) -> DataFrame:
+    raw = F.when(F.col("l_orderkey") % 3 == 0, "short").otherwise("abcdefghijklmnopqrstuvwxyz")
+    found = as_json(t.lineitem, F.lit("AWS").alias("DetectorName"), (F.col("l_orderkey") % 2 == 0).alias("Verified"), raw.alias("Raw"), F.struct((F.col("l_linenumber") % 3).cast("string").alias("layer")).alias("SourceMetadata"))
+    rows = feeds.secrets(found.union(t.region.select(F.lit("no json")))).select(F.col("layer").cast("long").alias("layer"), "kind", "severity", "description")
+    return rows.groupBy("layer", "kind", "severity", "description").agg(F.count("*").alias("n"))
+
+
+@query("select l_orderkey as image, cast(l_linenumber as string) as digest, l_quantity::bigint * 1000 as bytes, 0.5::double as score, sum(l_quantity::bigint * 1000) over (partition by l_orderkey)::bigint as image_bytes from lineitem")
+def read_layer_efficiency(t: Tables) -> DataFrame:
+    size = F.col("l_quantity").cast("long") * 1000
+    layer = F.struct(F.col("l_linenumber").cast("string").alias("digestId"), size.alias("sizeBytes"), F.lit("RUN").alias("command"))
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_list(layer).alias("layer"), F.sum(size).alias("s"))
+    image = F.struct(F.lit(0.5).alias("efficiencyScore"), F.col("s").alias("sizeBytes"), F.lit(1).alias("inefficientBytes"))
+    docs = rows.select(F.col("image").alias("img"), F.to_json(F.struct(image.alias("image"), "layer")).alias("value"))
+    return feeds.layer_efficiency(docs).select(F.col("img").alias("image"), "digest", "bytes", "score", "image_bytes")
+
+
+@query("""
+    with p as (select p_size % 9 as file, 'org.a:x' || p_partkey as key, p_partkey % 9 || '.0' as version, p_partkey from part)
+    select file, key || ':' || version as coordinates, case when p_partkey % 2 = 0 then 'sha' || p_partkey end as sha256, case when p_partkey % 3 = 0 then 'central' end as repository, '' as dst from p where p_partkey % 9 > 0
+    union all select p.file, p.key || ':' || p.version, null, null, q.key || ':' || q.version from p join p q on q.file = p.file and q.p_partkey = p.p_partkey * 2 where p.p_partkey % 9 > 0
+""")
+def read_maven_install(t: Tables) -> DataFrame:
+    """Components, and each one's dependency on that of twice its number, if its file holds it."""
+    key = lambda n: F.concat(F.lit("org.a:x"), n.cast("string"))
+    n = F.col("p_partkey")
+    version = F.when(n % 9 > 0, F.concat((n % 9).cast("string"), F.lit(".0"))).otherwise("")
+    item = F.struct(version.alias("version"), F.struct(F.when(n % 2 == 0, F.concat(F.lit("sha"), n.cast("string"))).alias("jar")).alias("shasums"))
+    files = t.part.groupBy((F.col("p_size") % 9).alias("file")).agg(
+        F.map_from_entries(F.collect_list(F.struct(key(n), item))).alias("artifacts"), F.map_from_entries(F.collect_list(F.struct(key(n), F.array(key(n * 2))))).alias("dependencies"),
+        F.create_map(F.lit("central"), F.collect_list(F.when(n % 3 == 0, key(n)))).alias("repositories"),
+    )
+    docs = files.select("file", F.to_json(F.struct("artifacts", "dependencies", "repositories")).alias("value"))
+    none = F.lit(None).cast("string")
+    edges = feeds.maven_install_edges(docs).select("file", F.col("src").alias("coordinates"), none.alias("sha256"), none.alias("repository"), F.when(F.col("dst").endswith(":"), F.concat("dst", F.lit("0.0"))).otherwise(F.col("dst")).alias("dst"))
+    return feeds.maven_install(docs).select("file", "coordinates", "sha256", "repository", F.lit("").alias("dst")).union(edges)
+
+
+_FULL = "'pkg:' || lower(c.ecosystem) || '/' || c.name || '@' || c.version"
+
+
+@query(f"""
+    select c.component_id, 'PackageName: ' || c.name || chr(10) || 'SPDXID: SPDXRef-' || c.ecosystem || '-' || c.name || '-' || c.version || chr(10) || 'PackageVersion: ' || c.version || chr(10)
+        || 'PackageDownloadLocation: NOASSERTION' || chr(10) || 'PackageLicenseConcluded: ' || coalesce(c.license, 'NOASSERTION') || chr(10) || 'PackageLicenseDeclared: ' || coalesce(c.license, 'NOASSERTION') || chr(10)
+        || 'ExternalRef: PACKAGE-MANAGER purl ' || {_FULL} as value from components c
+""")
+def write_spdx_tagvalue(t: Tables) -> DataFrame:
+    return D.spdx_tag_values(t.components).select("component_id", "value")
+
+
+@query(f"""
+    with l as (select distinct pc.project, c.ecosystem, c.name, c.version, c.license, {_FULL} as purl, 'SPDXRef-' || c.ecosystem || '-' || c.name || '-' || c.version as id
+        from project_components pc join components c on c.component_id = pc.component_id),
+    texts as (select project, string_agg('{{"SPDXID":"' || id || '","name":"' || name || '","versionInfo":"' || version || '","downloadLocation":"NOASSERTION","licenseConcluded":"' || coalesce(license, 'NOASSERTION')
+        || '","licenseDeclared":"' || coalesce(license, 'NOASSERTION') || '","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"' || purl || '"}}]}}', ',' order by id, name, version) as packages,
+        string_agg('{{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"' || id || '"}}', ',' order by id, name, version) as links from l group by 1),
+    edges_ as (select a.project, string_agg('{{"spdxElementId":"' || a.id || '","relationshipType":"DEPENDS_ON","relatedSpdxElement":"' || b.id || '"}}', ',' order by a.id, b.id) as more from
+        (select distinct l.project, l.id, c.component_id from l join components c on c.name = l.name and c.version = l.version and c.ecosystem = l.ecosystem join project_components pc on pc.project = l.project and pc.component_id = c.component_id) a
+        join edges e on e.src = a.component_id join (select distinct pc.project, c.component_id, 'SPDXRef-' || c.ecosystem || '-' || c.name || '-' || c.version as id from project_components pc join components c on c.component_id = pc.component_id) b
+        on b.project = a.project and b.component_id = e.dst group by 1)
+    select t.project, '{{"spdxVersion":"SPDX-2.3","packages":[' || packages || '],"relationships":[' || links || coalesce(',' || more, '') || ']}}' as value from texts t left join edges_ e on e.project = t.project
+""")
+def write_spdx(t: Tables) -> DataFrame:
+    ids = listed(t).select("project", F.col("component_id"), D.spdx_ref().alias("id")).distinct()
+    src, dst = (ids.select("project", F.col("component_id").alias(c), F.col("id").alias(n)) for c, n in (("src", "a"), ("dst", "b")))
+    links = t.edges.join(src, "src").join(dst, ["project", "dst"]).select("project", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return D.spdx(listed(t).drop("component_id", "direct").distinct(), edges=links)
+
+
+@query(f"""
+    with l as (select distinct pc.project, c.name, c.version, c.license, {_FULL} as purl, md5(c.name) as sha, 'https://x.org/' || c.name as url from project_components pc join components c on c.component_id = pc.component_id)
+    select project, '{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"components":[' || string_agg('{{"type":"library","name":"' || name || '","version":"' || version || '","purl":"' || purl || '","licenses":['
+        || coalesce('{{"license":{{"id":"' || license || '"}}}}', '') || '],"hashes":[{{"alg":"SHA-256","content":"' || sha || '"}}],"externalReferences":[{{"type":"distribution","url":"' || url || '"}}]}}', ',' order by name, version, purl) || ']}}' as value from l group by 1
+""")
+def write_cyclonedx(t: Tables) -> DataFrame:
+    rows = listed(t).drop("component_id", "direct").distinct().withColumn("sha256", F.md5(F.encode("name", "UTF-8"))).withColumn("url", F.concat(F.lit("https://x.org/"), "name"))
+    return D.cyclonedx(rows)
+
+
+_RESULT = f"""with p as (select distinct image, cve, package, installed, fixed, {_PRIORITY} as priority from findings),
+    r as (select *, case when priority in ('P0', 'P1') then 'error' when priority = 'P2' then 'warning' else 'note' end as level, cve || ' affects ' || package || ' ' || installed || coalesce('. Fixed in ' || fixed, '') as message from p),
+    docs as (select image, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"depsift","rules":[' || (select string_agg('{{"id":"' || cve || '"}}', ',' order by cve) from (select distinct cve from r x where x.image = r.image)) || ']}}}},"results":['
+        || string_agg('{{"ruleId":"' || cve || '","level":"' || level || '","message":{{"text":"' || message || '"}},"properties":{{"package":"' || package || '","installed":"' || installed || '"' || coalesce(',"fixed":"' || fixed || '"', '')
+        || ',"priority":"' || priority || '"}}}}', ',' order by cve, level, message) || ']}}]}}' as value from r group by image)"""
+
+
+@query(f"{_RESULT} select * from docs")
+def write_sarif(t: Tables) -> DataFrame:
+    rows = t.findings.withColumn("priority", priority(F.col("cvss"), F.col("epss"), F.col("is_kev")))
+    return D.sarif(rows.select("image", "cve", "package", "installed", "fixed", "priority").distinct())
+
+
+@query(f"{_RESULT} select image, replace(value, ']}}]}}', ']}},' || substr(value, 28)) as value from docs")
+def union_sarif(t: Tables) -> DataFrame:
+    """The report of each image twice, as two runs of one report."""
+    docs = write_sarif(t)
+    return D.union_sarif(docs, docs, key="image")
 
 
 @query("""
-    select pc.project, c.ecosystem, count(distinct c.name || '@' || c.version) as packages
-    from project_components pc join components c on c.component_id = pc.component_id group by 1, 2
+    with m as (select distinct pc.project, c.ecosystem, c.name, c.version, bool_or(pc.direct) as direct from project_components pc join components c on c.component_id = pc.component_id group by 1, 2, 3, 4)
+    select project, ecosystem, case ecosystem when 'npm' then 'package.json' when 'PyPI' then 'requirements.txt' when 'Maven' then 'pom.xml' when 'Go' then 'go.mod' else 'Cargo.toml' end as manifest,
+        '{' || string_agg('"' || name || '@' || version || '":{"package_url":"pkg:' || lower(ecosystem) || '/' || name || '@' || version || '","relationship":"' || case when direct then 'direct' else 'indirect' end || '","scope":"runtime"}', ','
+            order by name || '@' || version) || '}' as value from m group by 1, 2
 """)
 def write_dependency_snapshot(t: Tables) -> DataFrame:
-    docs = D.snapshot(listed(t))
-    return docs.select("project", "ecosystem", F.size(F.map_keys(F.from_json("value", "map<string, string>"))).cast("long").alias("packages"))
+    return D.snapshot(listed(t))
+
+
+@query("""
+    select 'edge' as part, '"' || src::varchar || '" -> "' || dst::varchar || '";' as value from edges
+    union all select 'node', '"' || component_id || '" [label="' || name || '", fillcolor="' || case when component_id % 3 = 0 then 'lightblue' when component_id % 3 = 1 then 'lightyellow' else 'lightgray' end || '"];' from components
+    union all select 'graphml', '<edge source="' || src || '" target="' || dst || '"/>' from edges union all select 'graphml', '<node id="' || component_id || '"><data key="label">' || name || '</data></node>' from components
+""")
+def write_graph_lines(t: Tables) -> DataFrame:
+    nodes = t.components.select(F.col("component_id").alias("id"), F.col("name").alias("label"), F.expr("element_at(array('compile', 'test', 'other'), cast(component_id % 3 + 1 as int))").alias("scope"))
+    named = lambda df, part: df.select(F.lit(part).alias("part"), "value")
+    dot = named(D.graph_lines(t.edges, "dot"), "edge").union(named(D.graph_nodes(nodes, "dot"), "node"))
+    return dot.union(named(D.graph_lines(t.edges, "graphml"), "graphml")).union(named(D.graph_nodes(nodes, "graphml"), "graphml"))
+
+
+@query("select strftime(ts, '%Y-%m-%d') as timestamp, user_id::varchar as user, event_type as action, 'a \"b\", c ' || event_id as details from events")
+def export_audit_csv(t: Tables) -> DataFrame:
+    """The lines as written, read as CSV again."""
+    details = F.concat(F.lit('a "b", c '), F.col("event_id").cast("string"))
+    lines = D.audit_lines(t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("action"), details.alias("details")))
+    return lines.select(F.from_csv("value", "timestamp string, user string, action string, details string", {"escape": '"'}).alias("j")).select("j.*")

@@ -55,15 +55,15 @@ def should_notify(t: Tables) -> DataFrame:
 
 
 @query("""
-    select image, layer, cve, tool, case when regexp_matches(package, '-1[0-9]$') then 'Backend' when regexp_matches(package, '^s') then 'Frontend' end as component from findings
+    with rules as (select s_suppkey as pos, '-' || s_suppkey % 20 || '$' as pattern, 'team-' || s_suppkey as component from supplier where s_suppkey % 3 = 1 union all select 1000000000, '^s', 'Frontend'),
+    first as (select package, arg_min(component, pos) as component from (select distinct package from findings) join rules on regexp_matches(package, pattern) group by 1)
+    select image, layer, cve, tool, component from findings left join first using (package)
 """)
 def route_findings(t: Tables) -> DataFrame:
-    brands = t.part.select("p_brand").distinct()  # rules hang on a table, two of them in order
-    rules = brands.limit(1).select(F.explode(F.array(
-        F.struct(F.lit(1).alias("at"), F.lit("-1[0-9]$").alias("pattern"), F.lit("Backend").alias("component")),
-        F.struct(F.lit(2).alias("at"), F.lit("^s").alias("pattern"), F.lit("Frontend").alias("component")),
-    )).alias("r")).select("r.*")
-    return O.route_findings(t.findings.select(*KEYS, "package"), rules).select(*KEYS, "component")
+    """Rules of suppliers in their order, and a last one."""
+    rules = t.supplier.where("s_suppkey % 3 = 1").selectExpr("s_suppkey as at", "concat('-', s_suppkey % 20, '$') as pattern", "concat('team-', s_suppkey) as component")
+    last = t.region.select(F.lit(1000000000).cast("long").alias("at"), F.lit("^s").alias("pattern"), F.lit("Frontend").alias("component")).distinct()
+    return O.route_findings(t.findings.select(*KEYS, "package"), rules.unionByName(last)).select(*KEYS, "component")
 
 
 @query("select image, layer, cve, tool, case when cvss >= 9 then 'severity' when is_kev then 'kev' when epss >= 0.8 then 'epss' end as rule from findings")
@@ -99,17 +99,20 @@ def findings_summary(t: Tables) -> DataFrame:
     select image, greatest(0, 100 - 20 * critical - 10 * high - 5 * medium - 2 * low) as report,
            round(greatest(0.0, least(100.0, 100.0 - 20.0 * (10 * critical + 5 * high + 2 * medium + low) / total::double)), 6) as dashboard,
            greatest(0, 100 - 15 * critical - 8 * high - 3 * medium - low - 5 * reached) as status,
-           case when s >= 90 then 'A' when s >= 80 then 'B' when s >= 70 then 'C' when s >= 60 then 'D' else 'F' end as grade,
+           case when s >= 90 then 'A' when s >= 80 then 'B' when s >= 70 then 'C' when s >= 60 then 'D' else 'F' end as grade, k as container,
+           case when k >= 90 then 'A+' when k >= 75 then 'B' when k >= 60 then 'C' when k >= 40 then 'D' else 'F' end as rating,
            case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 5 then 'MEDIUM' else 'LOW' end as risk
     from (select image, count(*) as total, {COUNTS}, count_if(reachable) as reached,
-          greatest(0, 100 - 20 * count_if(severity = 'CRITICAL') - 10 * count_if(severity = 'HIGH') - 5 * count_if(severity = 'MEDIUM') - 2 * count_if(severity = 'LOW')) as s from findings group by image)
+          greatest(0, 100 - least(10 * count_if(severity = 'CRITICAL'), 100) - least(2 * count_if(severity = 'HIGH'), 40) - least(count_if(severity = 'MEDIUM'), 50)) as s,
+          greatest(0, 100 - 10 * least(count_if(severity = 'CRITICAL'), 10) - 2 * least(count_if(severity = 'HIGH'), 20) - least(count_if(severity = 'MEDIUM'), 50) - 5 * least(count_if(is_kev), 5)) as k from findings group by image)
 """)
 def security_score(t: Tables) -> DataFrame:
     s = O.findings_summary(t.findings).join(O.reachability_summary(t.findings).select("image", F.col("reachable").alias("reached")), "image")
     c = [F.col(x) for x in ("critical", "high", "medium", "low")]
+    container = O.security_score(*c, "container", kev=F.col("kev"))
     return s.select(
-        "image", O.security_score(*c).alias("report"), F.round(O.security_score(*c, "dashboard", deps=F.col("total")), 6).alias("dashboard"),
-        O.security_score(*c, "status", reachable=F.col("reached")).alias("status"), O.security_score(*c, "graded").alias("grade"), O.scan_risk_level(*c[:3]).alias("risk"),
+        "image", container.alias("container"), O.letter_rating(container).alias("rating"), O.security_score(*c).alias("report"), F.round(O.security_score(*c, "dashboard", deps=F.col("total")), 6).alias("dashboard"),
+        O.security_score(*c, "status", reachable=F.col("reached")).alias("status"), O.letter_grade(O.security_score(*c, "graded")).alias("grade"), O.scan_risk_level(*c[:3]).alias("risk"),
     )
 
 
@@ -178,12 +181,11 @@ def reachability_summary(t: Tables) -> DataFrame:
     return O.reachability_summary(t.findings)
 
 
-def _two(t: Tables) -> tuple[DataFrame, DataFrame]:
-    f = t.findings.withColumn("image", F.col("image") % 500)
-    return f.where("scanned < '1995-06-01'"), f.where("scanned >= '1995-06-01'")
+def _scans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.findings.where("scanned < '1995-06-01'"), t.findings.where("scanned >= '1995-06-01'")
 
 
-_TWO = """a as (select image % 500 as image, cve, severity from findings where scanned < '1995-06-01'), b as (select image % 500 as image, cve, severity from findings where scanned >= '1995-06-01')"""
+_TWO = "a as (select image, cve, severity from findings where scanned < '1995-06-01'), b as (select image, cve, severity from findings where scanned >= '1995-06-01')"
 
 
 @query(f"""
@@ -192,7 +194,7 @@ _TWO = """a as (select image % 500 as image, cve, severity from findings where s
     select *, case when added > fixed then 'WORSE' when added < fixed then 'BETTER' else 'UNCHANGED' end as trend from sums
 """)
 def scan_diff(t: Tables) -> DataFrame:
-    return O.scan_diff(*_two(t))
+    return O.scan_diff(*_scans(t))
 
 
 @query(f"""
@@ -200,22 +202,6 @@ def scan_diff(t: Tables) -> DataFrame:
     from (select image, severity, -1 as s from a union all select image, severity, 1 as s from b) group by image
 """)
 def baseline_delta(t: Tables) -> DataFrame:
-    return O.baseline_delta(*_two(t))
-
-
-def _scans(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.findings.where("scanned < '1995-06-01'"), t.findings.where("scanned >= '1995-06-01'")
-
-
-@query()
-def image_scan_diff(t: Tables) -> DataFrame:
-    """As scan_diff, for every image of its own."""
-    return O.scan_diff(*_scans(t))
-
-
-@query()
-def image_baseline_delta(t: Tables) -> DataFrame:
-    """As baseline_delta, for every image of its own."""
     return O.baseline_delta(*_scans(t))
 
 
@@ -287,11 +273,18 @@ def layer_packages(t: Tables) -> DataFrame:
 
 
 @query("""
-    select image, case when c = 0 and h = 0 then 'PASS' else 'FAIL' end as pci, case when c = 0 and h <= 5 then 'PASS' else 'FAIL' end as hipaa, case when c = 0 then 'PASS' else 'FAIL' end as soc2
-    from (select image, count_if(severity = 'CRITICAL') as c, count_if(severity = 'HIGH') as h from findings group by 1)
+    select image, concat_ws('; ', c, h, k) as pci, concat_ws('; ', c, h, k) as hipaa, concat_ws('; ', c, k) as soc2, case when s >= 90 and n = 0 then 'PASS' when s >= 70 then 'WARNING' else 'FAIL' end as overall
+    from (select image, count(*) as n, case when count_if(severity = 'CRITICAL') > 0 then count_if(severity = 'CRITICAL') || ' critical vulnerabilities present' end as c,
+          case when count_if(severity = 'HIGH') > 0 then count_if(severity = 'HIGH') || ' high severity vulnerabilities' end as h, case when count_if(is_kev) > 0 then count_if(is_kev) || ' known exploited vulnerabilities (CISA KEV)' end as k,
+          greatest(0, 100 - 20 * count_if(severity = 'CRITICAL') - 10 * count_if(severity = 'HIGH') - 5 * count_if(severity = 'MEDIUM') - 2 * count_if(severity = 'LOW')) as s from findings group by 1)
 """)
 def compliance_status(t: Tables) -> DataFrame:
-    ok = lambda c: F.when(c, "PASS").otherwise("FAIL")
-    c, h = F.col("critical"), F.col("high")
-    s = O.findings_summary(t.findings)
-    return s.select("image", ok((c == 0) & (h == 0)).alias("pci"), ok((c == 0) & (h <= 5)).alias("hipaa"), ok(c == 0).alias("soc2"))
+    c = [F.col(x) for x in ("critical", "high", "medium", "low")]
+    status = O.compliance_status(*c[:2], F.col("kev"), F.col("total"), O.security_score(*c))
+    rows = O.findings_summary(t.findings).select("image", status.alias("s")).select("image", "s.*")
+    return rows.select("image", *[F.array_join(x, "; ").alias(x) for x in ("pci", "hipaa", "soc2")], "overall")
+
+
+@query(f"select image, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 5 then 'MEDIUM' else 'LOW' end as risk from (select image, {COUNTS} from findings group by 1)")
+def scan_risk_level(t: Tables) -> DataFrame:
+    return O.findings_summary(t.findings).select("image", O.scan_risk_level(F.col("critical"), F.col("high"), F.col("medium")).alias("risk"))

@@ -237,9 +237,178 @@ def package_lock(docs: DataFrame) -> DataFrame:
     return rows.select(*keep, scope.alias("namespace"), name.alias("name"), "p.version", F.coalesce(F.map_keys("p.dependencies"), F.array().cast("array<string>")).alias("dependencies"))
 
 
+NVD = """vulnerabilities array<struct<cve: struct<id: string, published: string, lastModified: string, descriptions: array<struct<lang: string, value: string>>,
+    metrics: struct<cvssMetricV31: array<struct<cvssData: struct<baseScore: double>>>, cvssMetricV40: array<struct<cvssData: struct<baseScore: double>>>,
+        cvssMetricV30: array<struct<cvssData: struct<baseScore: double>>>, cvssMetricV2: array<struct<cvssData: struct<baseScore: double>>>>,
+    references: array<struct<url: string, tags: array<string>>>,
+    configurations: array<struct<nodes: array<struct<cpeMatch: array<struct<vulnerable: boolean, criteria: string, versionStartIncluding: string,
+        versionStartExcluding: string, versionEndIncluding: string, versionEndExcluding: string>>>>>>>>>"""
+
+
+def nvd(docs: DataFrame) -> DataFrame:
+    """Canonical advisories of NVD documents, as `osv` gives them.
+
+    The English description counts, else the first. Scores are taken in the order 3.1, 4.0, 3.0, 2; one of version 2
+    stands in cvss_v3. Vulnerable products with a bound become packages vendor:product of the ecosystem CPE; an
+    excluded start counts as introduced.
+    """
+    rows, keep = _json(docs, NVD, "j.vulnerabilities")
+    rows = rows.select(*keep, F.col("j.cve").alias("c")).where("c.id is not null")
+    score = lambda v: F.expr(f"get(c.metrics.cvssMetric{v}, 0).cvssData.baseScore")
+    new, old = score("V31"), F.coalesce(score("V30"), score("V2"))
+    v4 = F.when(new.isNull(), score("V40"))
+    v3 = F.coalesce(new, F.when(v4.isNull(), old))
+    event = "named_struct('introduced', {0}, 'fixed', {1}, 'last_affected', {2})"
+    none = "cast(null as string)"
+    start = "coalesce(m.versionStartIncluding, m.versionStartExcluding)"
+    end = "if(m.versionEndExcluding is null, m.versionEndIncluding, null)"
+    events = f"""array_compact(array(if({start} is null, null, {event.format(start, none, none)}),
+        if(m.versionEndExcluding is null and m.versionEndIncluding is null, null, {event.format(none, 'm.versionEndExcluding', end)})))"""
+    matches = "flatten(flatten(transform(c.configurations, x -> transform(x.nodes, n -> coalesce(n.cpeMatch, array())))))"
+    affected = F.expr(f"""filter(transform(filter({matches}, m -> m.vulnerable and size(split(m.criteria, ':')) >= 5), m -> named_struct('ecosystem', 'CPE',
+        'name', concat(split(m.criteria, ':')[3], ':', split(m.criteria, ':')[4]), 'ranges', array(named_struct('type', 'ECOSYSTEM', 'events', {events})))), a -> size(a.ranges[0].events) > 0)""")
+    text = F.expr("coalesce(get(filter(c.descriptions, d -> d.lang = 'en'), 0), get(c.descriptions, 0)).value")
+    level = F.when(F.coalesce(v3, v4).isNotNull(), severity_from_cvss(F.coalesce(v3, v4), 0.1))
+    return rows.select(
+        *keep, F.col("c.id").alias("id"), F.array().cast("array<string>").alias("aliases"), F.coalesce(affected, F.expr(f"filter({_NO_PACKAGES}, a -> false)")).alias("affected"),
+        v3.alias("cvss_v3"), v4.alias("cvss_v4"), level.alias("severity"), F.lit(None).cast("string").alias("summary"), text.alias("details"),
+        F.expr("transform(c.references, r -> r.url)").alias("references"), F.col("c.published").alias("published"), F.col("c.lastModified").alias("modified"),
+    )
+
+
+_NO_PACKAGES = """array(named_struct('ecosystem', '', 'name', '', 'ranges', array(named_struct('type', '', 'events',
+    array(named_struct('introduced', cast(null as string), 'fixed', cast(null as string), 'last_affected', cast(null as string)))))))"""
+
+GHSA = """id string, ghsaId string, summary string, description string, severity string, publishedAt string, updatedAt string,
+    identifiers array<struct<type: string, value: string>>, references array<struct<url: string>>, cvss struct<score: double, vectorString: string>,
+    vulnerabilities array<struct<package: struct<ecosystem: string, name: string>, vulnerableVersionRange: string, firstPatchedVersion: struct<identifier: string>>>"""
+
+
+def ghsa(docs: DataFrame) -> DataFrame:
+    """Canonical advisories of GHSA documents, as `osv` gives them.
+
+    Aliases are identifiers of type CVE; a score goes before the word of severity. A range with >= in it or < in front,
+    and no range at all, begin at 0: the lower bound is not read. The first patched version ends it.
+    """
+    rows, keep = _json(docs, GHSA)
+    none = "cast(null as string)"
+    begins = "v.vulnerableVersionRange is null or contains(v.vulnerableVersionRange, '>=') or startswith(v.vulnerableVersionRange, '<')"
+    events = f"""array_compact(array(if({begins}, named_struct('introduced', '0', 'fixed', {none}, 'last_affected', {none}), null),
+        if(v.firstPatchedVersion.identifier is null, null, named_struct('introduced', {none}, 'fixed', v.firstPatchedVersion.identifier, 'last_affected', {none}))))"""
+    affected = F.expr(f"""transform(j.vulnerabilities, v -> named_struct('ecosystem', v.package.ecosystem, 'name', v.package.name, 'ranges',
+        filter(array(named_struct('type', 'ECOSYSTEM', 'events', {events})), r -> size(r.events) > 0)))""")
+    score = F.col("j.cvss.score")
+    level = F.when(score.isNotNull(), severity_from_cvss(score, 0.1)).when(F.col("j.severity").isNotNull(), normalize_severity(F.col("j.severity")))
+    return rows.where("coalesce(j.ghsaId, j.id) is not null").select(
+        *keep, F.expr("coalesce(j.ghsaId, j.id)").alias("id"), F.expr("transform(filter(j.identifiers, i -> i.type = 'CVE'), i -> i.value)").alias("aliases"), affected.alias("affected"),
+        score.alias("cvss_v3"), F.lit(None).cast("double").alias("cvss_v4"), level.alias("severity"), "j.summary", F.col("j.description").alias("details"),
+        F.expr("transform(j.references, r -> r.url)").alias("references"), F.col("j.publishedAt").alias("published"), F.col("j.updatedAt").alias("modified"),
+    )
+
+
+THREAT = "id string, package string, affected_versions array<string>, threat_type string, severity string, description string, references array<string>, discovered string"
+THREAT_NAMES = ("id", "package", "affected_versions", "threat_type", "severity", "description", "references", "discovered")
+
+
+def threat_feed(docs: DataFrame, form: str = "json") -> DataFrame:
+    """Entries of a custom threat feed: a JSON array, CSV lines, or OSV advisories (an entry per package).
+
+    CSV lines have the columns id, package, versions, type, severity, description, references, discovered; versions and
+    references are parted by ;. The header and lines without a package go.
+    """
+    keep = [c for c in docs.columns if c != "value"]
+    if form == "json":
+        rows = docs.select(*keep, F.explode(F.from_json("value", f"array<struct<{THREAT.replace(' string', ': string').replace(' array', ': array')}>>")).alias("j"))
+        return rows.select(*keep, "j.*").where("package is not null")
+    if form == "csv":
+        line = ", ".join(f"{n} string" for n in THREAT_NAMES)
+        rows = docs.select(*keep, F.from_csv("value", line).alias("j")).select(*keep, "j.*").where("package is not null and package <> '' and id <> 'id'")
+        listed = lambda c: F.filter(F.split(c, ";"), lambda x: x != "")
+        for c in ("affected_versions", "references"):
+            rows = rows.withColumn(c, F.coalesce(listed(c), F.array().cast("array<string>")))
+        return rows
+    rows = osv(docs)
+    fixes = F.expr("flatten(transform(a.ranges, r -> filter(transform(r.events, e -> e.introduced), x -> x is not null)))")
+    rows = rows.select(*keep, "id", F.explode("affected").alias("a"), "severity", F.coalesce("summary", "details").alias("description"), "references", F.col("published").alias("discovered"))
+    return rows.select(*keep, "id", F.col("a.name").alias("package"), fixes.alias("affected_versions"), F.lit("advisory").alias("threat_type"), "severity", "description", "references", "discovered")
+
+
+SYFT = """artifacts array<struct<id: string, name: string, version: string, type: string, purl: string, locations: array<struct<path: string, layerID: string>>>>,
+    artifactRelationships array<struct<parent: string, child: string, type: string>>"""
+
+
+def syft(docs: DataFrame) -> DataFrame:
+    """Packages of Syft reports, a row per package and layer: id, name, version, kind, purl, layer (null: none told)."""
+    rows, keep = _json(docs, SYFT, "j.artifacts")
+    layers = F.array_distinct(F.filter(F.transform("j.locations", lambda x: x["layerID"]), lambda x: x.isNotNull()))
+    rows = rows.select(*keep, "j", F.explode_outer(layers).alias("layer"))
+    return rows.select(*keep, "j.id", "j.name", "j.version", F.col("j.type").alias("kind"), "j.purl", "layer")
+
+
+def syft_edges(docs: DataFrame) -> DataFrame:
+    """(src, dst) by name of Syft's relationships `dependency-of` and `contains`, from parent to child."""
+    rows, keep = _json(docs, SYFT)
+    names = F.map_from_entries(F.expr("array_distinct(transform(j.artifacts, a -> named_struct('k', a.id, 'v', a.name)))"))
+    rows = rows.withColumn("names", names).select(*keep, "names", F.explode("j.artifactRelationships").alias("r")).where("r.type in ('dependency-of', 'contains')")
+    ends = rows.select(*keep, *[F.element_at("names", F.col(f"r.{c}")).alias(n) for c, n in (("parent", "src"), ("child", "dst"))])
+    return ends.where("src is not null and dst is not null")
+
+
+def secrets(lines: DataFrame) -> DataFrame:
+    """Secrets that TruffleHog reports, a JSON line each: kind, severity (verified ones Critical), file, line, layer, description (20 characters)."""
+    keep = [c for c in lines.columns if c != "value"]
+    schema = "DetectorName string, DetectorType string, Verified boolean, Raw string, SourceMetadata struct<file: string, line: long, layer: string>"
+    rows = lines.select(*keep, F.from_json("value", schema).alias("j")).where("j.DetectorName is not null")
+    raw = F.col("j.Raw")
+    shown = F.concat(F.substring(raw, 1, 20), F.when(F.length(raw) > 20, "...").otherwise(""))
+    return rows.select(
+        *keep, F.col("j.DetectorName").alias("kind"), F.col("j.DetectorType").alias("rule"), F.when(F.col("j.Verified"), "CRITICAL").otherwise("HIGH").alias("severity"),
+        F.coalesce("j.SourceMetadata.file", F.lit("")).alias("file"), "j.SourceMetadata.line", "j.SourceMetadata.layer", shown.alias("description"),
+    )
+
+
+def layer_efficiency(docs: DataFrame) -> DataFrame:
+    """Layers of Dive reports with their image's figures: score, image_bytes, wasted_bytes, position, digest, bytes, command."""
+    rows, keep = _json(docs, """image struct<efficiencyScore: double, sizeBytes: long, inefficientBytes: long>,
+        layer array<struct<digestId: string, sizeBytes: long, command: string>>""")
+    rows = rows.select(*keep, "j.image", F.posexplode("j.layer").alias("position", "l"))
+    return rows.select(
+        *keep, F.col("image.efficiencyScore").alias("score"), F.col("image.sizeBytes").alias("image_bytes"), F.col("image.inefficientBytes").alias("wasted_bytes"), "position",
+        F.col("l.digestId").alias("digest"), F.col("l.sizeBytes").alias("bytes"), "l.command",
+    )
+
+
+MAVEN_INSTALL = "artifacts map<string, struct<version: string, shasums: struct<jar: string>>>, dependencies map<string, array<string>>, repositories map<string, array<string>>"
+
+
+def maven_install(docs: DataFrame) -> DataFrame:
+    """Components of maven_install.json: coordinates (group:artifact:version), group, name, version, sha256, repository.
+
+    Artifacts without a version or a colon are skipped; the repository is the first that lists the artifact.
+    """
+    rows, keep = _json(docs, MAVEN_INSTALL)
+    rows = rows.select(*keep, F.col("j.repositories").alias("r"), F.explode("j.artifacts").alias("key", "a")).where("a.version <> '' and key like '%:%'")
+    parts = F.split("key", ":")
+    first = F.get(F.map_keys(F.map_filter("r", lambda k, v: F.array_contains(v, F.col("key")))), F.lit(0))
+    return rows.select(
+        *keep, F.concat_ws(":", parts[0], parts[1], "a.version").alias("coordinates"), parts[0].alias("group"), parts[1].alias("name"), "a.version",
+        F.col("a.shasums.jar").alias("sha256"), first.alias("repository"),
+    )
+
+
+def maven_install_edges(docs: DataFrame) -> DataFrame:
+    """(src, dst) of full coordinates that depend on each other; ends that the file does not hold go."""
+    rows, keep = _json(docs, MAVEN_INSTALL)
+    rows = rows.select(*keep, F.col("j.artifacts").alias("all"), F.col("j.dependencies").alias("d"), F.explode("j.artifacts").alias("key", "a")).where("a.version <> '' and key like '%:%'")
+    src = F.concat_ws(":", F.substring_index("key", ":", 2), "a.version")
+    rows = rows.select(*keep, "all", src.alias("src"), F.explode(F.coalesce(F.element_at("d", src), F.element_at("d", F.col("key")))).alias("to"))
+    version = F.element_at("all", F.col("to"))["version"]
+    return rows.where(version.isNotNull()).select(*keep, "src", F.concat_ws(":", "to", version).alias("dst"))
+
+
 #: Parsers of line formats; all others take whole documents.
-LINES = {"epss": epss, "audit_log": audit_log, "requirements": requirements}
-WHOLE = {f.__name__: f for f in (kev, osv, vex, spdx, cyclonedx, sarif, trivy, grype, go_mod, workflow_actions, alpine_secdb, debian_tracker, package_lock)}
+LINES = {"epss": epss, "audit_log": audit_log, "requirements": requirements, "secrets": secrets}
+WHOLE = {f.__name__: f for f in (kev, osv, vex, spdx, cyclonedx, sarif, trivy, grype, go_mod, workflow_actions, alpine_secdb, debian_tracker, package_lock, nvd, ghsa, threat_feed, syft, syft_edges, layer_efficiency, maven_install, maven_install_edges)}
 
 
 def read(spark: SparkSession, kind: str, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ def depths(after, starts):
     return found
 
 
-def test_dependency_paths(spark, rows, after):
+def test_dependency_path(spark, rows, after):
     nodes, met = [n for n, in rows("components", "component_id")], {b for x in after.values() for b in x}
     paths = {n: [n] for n in nodes if n not in met}
     ahead = dict(paths)
@@ -44,10 +44,10 @@ def test_dependency_paths(spark, rows, after):
                     new[b] = min(new.get(b, path + [b]), path + [b])
         paths.update(new)
         ahead = new
-    assert {r.node: r.path for r in QUERIES["dependency_paths"](spark, DATA).collect()} == {n: ">".join(map(str, p)) for n, p in paths.items()}
+    assert {r.node: r.path for r in QUERIES["dependency_path"](spark, DATA).collect()} == {n: ">".join(map(str, p)) for n, p in paths.items()}
 
 
-def test_project_transitive_counts(spark, rows, after):
+def test_transitive_counts(spark, rows, after):
     starts = defaultdict(set)
     for project, node in rows("project_components", "project", "component_id"):
         starts[project].add(node)
@@ -55,30 +55,14 @@ def test_project_transitive_counts(spark, rows, after):
     for project, nodes in starts.items():
         many = Counter(depths(after, nodes).values())
         want[project] = (many[1], sum(n for d, n in many.items() if d > 1))
-    assert {r.project: (r.direct, r.transitive) for r in QUERIES["project_transitive_counts"](spark, DATA).collect()} == want
+    assert {r.project: (r.direct, r.transitive) for r in QUERIES["transitive_counts"](spark, DATA).collect()} == want
 
 
-def test_affected_by_advisories(spark, rows, after):
+def test_affected_targets(spark, rows, after):
     back = defaultdict(set)
     for a, x in after.items():
         for b in x:
             back[b].add(a)
     named = set(rows("advisories", "name", "ecosystem"))
     want = depths(back, [i for i, *key in rows("components", "component_id", "name", "ecosystem") if tuple(key) in named])
-    assert sorted(r.node for r in QUERIES["affected_by_advisories"](spark, DATA).collect()) == sorted(want)
-
-
-def test_image_diffs(spark):
-    old, new, delta = defaultdict(set), defaultdict(set), defaultdict(Counter)
-    for image, cve, severity, scanned in _findings(spark):
-        late = scanned >= "1995-06-01"
-        (new if late else old)[image].add(cve)
-        delta[image].update({"total": 1 if late else -1, severity: 1 if late else -1})
-    want = {i: (len(new[i] - old[i]), len(old[i] - new[i]), len(old[i] & new[i])) for i in set(old) | set(new)}
-    assert {r.image: (r.added, r.fixed, r.unchanged) for r in QUERIES["image_scan_diff"](spark, DATA).collect()} == want
-    found = {r.image: (r.total, r.critical, r.high) for r in QUERIES["image_baseline_delta"](spark, DATA).collect()}
-    assert found == {i: (c["total"], c["CRITICAL"], c["HIGH"]) for i, c in delta.items()}
-
-
-def _findings(spark):
-    return [tuple(r) for r in table(spark, DATA, "findings").selectExpr("image", "cve", "severity", "cast(scanned as string)").collect()]
+    assert sorted(r.node for r in QUERIES["affected_targets"](spark, DATA).collect()) == sorted(want)
