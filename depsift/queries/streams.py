@@ -33,3 +33,27 @@ def stream_ticket_sync(t: Tables) -> DataFrame:
     state = F.expr("case event_id % 5 when 0 then 'Done' when 1 then 'In Review' when 2 then 'Accepted Risk' when 3 then 'Backlog' else 'Blocked' end")
     events = t.events.select(F.col("user_id").alias("ticket"), state.alias("state"), (F.col("event_id") % 9 == 0).alias("deleted"), F.col("event_id").alias("at"))
     return S.ticket_sync(events).select("ticket", "status")
+
+
+@query("""
+    with p as (select user_id::varchar as package, event_id // 500 as poll, case when event_type <> 'signup' then event_type end as description, case event_id % 3 when 0 then 'Low' when 1 then 'High' else 'Critical' end as level from events),
+    told as (select package, poll, description, case max(case level when 'Critical' then 4 when 'High' then 3 else 1 end) when 4 then 'Critical' when 3 then 'High' else 'Low' end as level from p where description is not null group by 1, 2, 3),
+    steps as (select package, poll, lag(poll) over w as before, lead(poll) over w as after from (select distinct package, poll from p) window w as (partition by package order by poll))
+    select t.package, t.poll, t.description, t.level, 'new' as change from told t join steps s using (package, poll) where not exists (select 1 from told b where b.package = t.package and b.poll = s.before and b.description = t.description)
+    union all select t.package, s.after, t.description, t.level, 'resolved' from told t join steps s using (package, poll)
+    where s.after is not null and not exists (select 1 from told b where b.package = t.package and b.poll = s.after and b.description = t.description)
+""")
+def stream_threats(t: Tables) -> DataFrame:
+    level = F.expr("case event_id % 3 when 0 then 'Low' when 1 then 'High' else 'Critical' end")
+    kind = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    return S.threat_changes(t.events.select(F.col("user_id").alias("package"), F.floor(F.col("event_id") / 500).alias("poll"), kind.alias("description"), level.alias("level")))
+
+
+@query("""
+    select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, user_id as project, count(*) as files, coalesce(any_value(f.critical), 0) as critical, coalesce(any_value(f.high), 0) as high
+    from events e left join (select image, count_if(severity = 'CRITICAL') as critical, count_if(severity = 'HIGH') as high from findings group by 1) f on f.image = e.user_id where event_id % 3 = 0 group by 1, 2
+""")
+def stream_rescan_alert(t: Tables) -> DataFrame:
+    path = F.expr("if(event_id % 3 = 0, 'app/go.sum', 'app/main.go')")
+    changes = t.events.select(F.col("user_id").alias("project"), path.alias("path"), F.col("ts").alias("at"))
+    return S.rescan_alerts(changes, t.findings.select(F.col("image").alias("project"), "severity")).selectExpr(START, "project", "files", "critical", "high")

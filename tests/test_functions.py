@@ -73,3 +73,31 @@ def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src int, dst int")
     found = closure(edges, spark.createDataFrame([(1,)], "node int"))
     assert sorted((r.node, r.depth) for r in found.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+LONG = "20240101120000.1.2"
+
+
+@pytest.mark.parametrize("version", [LONG, "9" * 40 + ".1.2", "1." + "9" * 30 + ".0", "", "x", "1..2", None])
+def test_odd_versions_stop_nothing(spark, version):
+    v, other = F.lit(version).cast("string"), F.lit("1.2.3")
+    columns = [V.semver_parts(v), V.parse_version3(v), V.semver_compare(v, other), V.semver_upgrade_risk(v, other), V.major_jumps(v, other), V.breaking_estimate(v, other), V.os_upgrade_risk(v, other)]
+    columns += [V.fix_effort_hours(F.lit("HIGH"), v, other, F.lit(1)), S.difficulty_score(F.lit("a"), v, other, F.lit(True)), V.apk_key(v), V.deb_key(v), V.rpm_key(v)]
+    assert len(spark.range(1).select(*columns).first()) == len(columns)
+
+
+def test_long_numbers_sort_by_value(spark):
+    ordered = ["1.2.3", LONG, "9" * 25 + ".0.0", "1" + "0" * 25 + ".0.0"]
+    df = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    for key in (V.semver_key, V.apk_key, V.deb_key, V.rpm_key):
+        assert [r[0] for r in df.orderBy(key(F.col("v"))).collect()] == ordered
+
+
+def test_a_hot_key_is_split(spark):
+    from depsift.plans.skew import spread_join
+
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 100, i) for i in range(4000)] + [(None, -1)], "k long, i long")
+    groups = spark.createDataFrame([(k, f"g{k}", 1) for k in (0, 1, 2, 100)], "k long, g string, n long")
+    plain = lambda how: sorted(map(str, rows.join(groups, "k", how).collect()))
+    for how in ("inner", "left"):
+        assert sorted(map(str, spread_join(rows, groups, ["k"], "i", how, hot=50).collect())) == plain(how)

@@ -39,3 +39,32 @@ def test_ticket_states(spark):
     cases = [("To Do", False, "Open"), ("CLOSED", False, "Fixed"), ("Accepted Risk", None, "AcceptedRisk"), ("done", True, "AcceptedRisk"), (None, None, "Open"), ("verified", False, "Verified")]
     rows = spark.createDataFrame(cases, "state string, deleted boolean, want string")
     assert rows.where(windows.ticket_status(F.col("state"), F.col("deleted")) != F.col("want")).count() == 0
+
+
+def polls(rows):
+    level = F.expr("case event_id % 3 when 0 then 'Low' when 1 then 'High' else 'Critical' end")
+    return rows.select(F.col("user_id").alias("package"), F.dayofmonth("ts").alias("poll"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("description"), level.alias("level"))
+
+
+def test_threat_changes_on_a_stream(spark, tmp_path):
+    table = spark.read.parquet(EVENTS)
+    folder = str(tmp_path / "in")
+    for first in range(1, 31, 8):  # polls come in order, each in one file
+        table.where(F.dayofmonth("ts").between(first, first + 7)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    run = windows.threat_changes(polls(stream)).writeStream.format("memory").queryName("threats").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    found, want = (sorted(map(tuple, df.collect()), key=str) for df in (spark.table("threats"), windows.threat_changes(polls(table))))
+    assert want and found == want
+    assert windows.threat_alerts(windows.threat_changes(polls(table)), "High").where("level = 'Low' or change <> 'new'").isEmpty()
+
+
+def test_rescan_alerts_on_a_stream(spark, tmp_path):
+    findings = spark.createDataFrame([(i % 20, s) for i in range(60) for s in ("CRITICAL", "high", "LOW")], "project long, severity string")
+
+    def alerts(rows):
+        changes = rows.select(F.col("user_id").alias("project"), F.expr("if(event_id % 3 = 0, 'a/pom.xml', 'a/x.py')").alias("path"), F.col("ts").alias("at"))
+        return windows.rescan_alerts(changes, findings, late="100 days")
+
+    got, want = streamed(spark, tmp_path, alerts, "complete")
+    assert want and got == want
