@@ -15,25 +15,37 @@ from pyspark.sql import functions as F
 from depsift.plans.lineage import cut
 
 #: Elements whose content is never text (fixed values of the HTML standard).
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "select", "textarea", "button", "title", "head")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "select", "textarea", "button", "title")
 #: Elements around an article.
 AROUND = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset")
-#: Elements that hold the article.
-MAIN = ("article", "main")
+#: Elements that hold the article, and those whose class and id tell nothing of what is in them.
+MAIN, PLAIN = ("article", "main"), ("html", "body", "article", "main")
 #: Elements that end a block (fixed values of the HTML standard).
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
-    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 )
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-#: Words of class and id that mark what is not the article.
+# Fixed values of the HTML standard: elements that end where one of theirs begins, and the elements that hold them.
+ENDED_BY = {
+    "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",),
+    "tbody": ("tbody", "thead", "tr", "td", "th"), "thead": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"),
+}
+HOLDERS = ("ul", "ol", "menu", "dl", "table", "select", "div", "section", "article", "main", "body", "nav", "aside", "footer", "header")
+#: Elements that may stand in a head; any other one ends it (fixed values of the HTML standard).
+IN_HEAD = ("base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html")
+#: Words of class and id that tell what is not the article, and words that say nothing beside them.
 MARKS = (
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent",
     "notice", "popup", "modal", "newsletter", "subscribe", "signup", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
     "sidebar", "footer", "header", "masthead", "share", "social", "related", "recommended", "widget", "comment", "comments", "respond",
     "disqus", "replies", "skip", "toolbar", "pagination",
 )
+NEUTRAL = (
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "list", "item", "items", "box", "area", "wrap", "wrapper", "container", "inner", "outer", "bar", "block",
+    "section", "slot", "unit", "links", "link", "icons", "icon", "buttons", "button", "posts", "articles", "thread", "form", "row", "col", "content", "user", "reader", "google", "js",
+)
 #: A run of at least this many tokens on at least this many pages and this share of the pages of a host is repeated.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 4, 2, 0.01
 #: An unlabelled block is boilerplate if repeated runs cover this share of its tokens.
@@ -41,13 +53,9 @@ COVER = 0.8
 #: Pages of a host whose suffixes are sorted in one array; counts of runs are summed over arrays.
 PAGES = 512
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[^a-z]+")
 
 
 @dataclass
@@ -61,61 +69,165 @@ class Block:
 
 
 def _marked(attributes: str) -> bool:
-    for _, value in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", value.lower())
-        if any(w in MARKS for w in words):
-            return True
+    """Whether a class or id says that the element is no article: one whose words are all marks or neutral, with a mark."""
+    for value in _values(attributes):
+        for name in value.lower().split():
+            words = [w for w in _WORDS.split(name) if w]
+            if any(w in MARKS for w in words) and all(w in MARKS or w in NEUTRAL for w in words):
+                return True
     return False
 
 
+#: An attribute with its value, if any, or a stretch of what can't be one: each step moves on, and none goes back.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>="']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?|["'=]++)""")
+
+
+def _values(attributes: str) -> Iterator[str]:
+    """Values of class, id and role among a tag's attributes; one pass from left to right."""
+    at, n = 0, len(attributes)
+    while at < n:
+        m = _ATTRIBUTE.match(attributes, at)
+        if not m:
+            return
+        at, name, value = m.end(), (m[1] or "").lower(), m[2]
+        if value is None or name not in ("class", "id", "role"):
+            continue
+        yield value[1:-1] if value[:1] in "\"'" else value
+
+
+#: The rest of a tag behind its name; no step is tried twice.
+_TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag in order; comments, declarations and raw elements have no name.
+
+    A forward scan: every search starts where the last one ended, and one that finds nothing is not made again, so
+    the work is in proportion to the page whatever its markup. A > inside quotes ends no tag; behind a quote that never
+    ends, tags end at any >. A tag that never ends takes the rest of the page.
+    """
+    n, at, broken = len(page), 0, False
+    lower = page.lower() if len(page.lower()) == n else page
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        """Place behind the next `what`, or the page's end."""
+        if what in missing:
+            return n
+        k = lower.find(what, start)
+        if k < 0:
+            missing.add(what)
+            return n
+        return k + len(what)
+
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        ahead = page[start + 1 : start + 2]
+        if page.startswith("<!--", start):
+            at = find("-->", start + 4)
+            yield start, at, "", False, ""
+            continue
+        if ahead and ahead in "!?":
+            at = find(">", start + 1)
+            yield start, at, "", False, ""
+            continue
+        closing = ahead == "/"
+        m = _NAME.match(page, start + 1 + closing)
+        if not m:
+            if closing and ahead:
+                at = find(">", start + 1)
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+            continue
+        name = m[0].lower()
+        whole = None if broken else _TAG_END.match(page, m.end())
+        broken = whole is None
+        stop = find(">", m.end()) if broken else whole.end()
+        at = stop
+        attributes = page[m.end() : stop - 1 if page.startswith(">", stop - 1) else stop]
+        if name in RAW and not closing:
+            close = find(f"</{name}", at)
+            at = n if close >= n else find(">", close)
+            yield start, at, "", False, ""
+            continue
+        yield start, at, name, closing, attributes
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; a reading pass over tags with a stack of open elements."""
+    """Text blocks in page order; one pass over tags with a stack of open elements.
+
+    A mark of class or id holds until an article or main element opens inside; a sectioning element around an article
+    holds in it too. Elements that HTML lets end by the next one, and a head without its end, end so.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    main = around = False
+    main = around = marked = False
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            blocks.append(Block(text, main, around))
+            blocks.append(Block(text, main, around or marked))
+
+    def close(k: int) -> None:
+        nonlocal main, around, marked
+        _, main, around, marked = stack[k]
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
+        del stack[k:]
+
+    def end_of(names: tuple[str, ...], holders: tuple[str, ...]) -> None:
+        """Close the innermost of `names` that no holder parts from here."""
+        if not any(open_.get(x) for x in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                close(k)
+                return
+            if stack[k][0] in holders:
+                return
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            continue
-        name = (m[3] or "").lower()
+    for start, end, name, closing, attributes in tags_of(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if not name:
             continue
         if name == "br":
             parts.append(" ")
         if name in BLOCKS:
             flush()
+        if open_.get("head") and name not in IN_HEAD:
+            end_of(("head",), ())
         if name in VOID:
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, main, around = stack[k]
-                    del stack[k:]
-                    break
+        if closing:
+            if open_.get(name):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
             continue
-        if name == "p":  # a paragraph ends where the next begins
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "u", "span", "a", "font"):
-                _, main, around = stack.pop()
-        if (m[4] or "").rstrip().endswith("/"):
+        if name in BLOCKS and open_.get("p"):  # a paragraph ends where the next block begins
+            end_of(("p",), HOLDERS)
+        for other in ENDED_BY.get(name, ()):
+            end_of((other,), HOLDERS)
+        if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, main, around))
-        main |= name in MAIN
+        stack.append((name, main, around, marked))
+        open_[name] = open_.get(name, 0) + 1
         own_header = name == "header" and main  # an article's own header holds its title
-        around |= (name in AROUND and not own_header) or name in RAW or _marked(m[4] or "")
-    tail = page[at:]
-    cut = tail.rfind("<")
-    parts.append(tail if cut < 0 or not re.match(r"<[a-zA-Z/!]", tail[cut:]) else tail[:cut])
+        if name in MAIN:
+            main, marked = True, False
+        around |= (name in AROUND and not own_header) or name == "head"
+        marked |= name not in PLAIN and _marked(attributes)
+    parts.append(page[at:])
     flush()
     return blocks
 

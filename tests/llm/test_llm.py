@@ -442,3 +442,40 @@ def test_pipeline_stages_take_odd_tables(spark, empty):
     blank = spark.createDataFrame([], columns)
     assert all(stage(spark, blank, "").count() == 0 for _, stage in P.STAGES)
     assert P.pack(spark, docs, "").where("doc_id = 50").first().length == 1
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(14)
+    streams = [[rng.choice("abc") for _ in range(rng.randint(0, 30))] for _ in range(25)] + [list("abcab")] * 2 + [[], ["a"]]
+    want = Counter()
+    for s in streams:
+        want.update({tuple(s[k : k + 4]) for k in range(len(s) - 3)})
+    runs, pages = html_main.page_runs(streams, 4)
+    assert len(runs) == len(set(runs)) and dict(zip(runs, pages)) == {html_main.run_hash(list(r)): n for r, n in want.items()}
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<head><title>t</title><p>x", "x"), ("<body class='has-sidebar'><p>t", "t"), ("<div class='sidebar'>s<main class='no-sidebar'>a</main>b</div>", "a"),
+    ("<article id='post-related-work'><p class='share-price'>1<p>2</article>", "1\n2"), ("<article><div class='entry-header'><h1>T</h1></div><li class='ad'>x<li>y</article>", "T\ny"),
+    ("<div class='ad-banner'>x</div><div id=site-footer>y</div><ol class='comment-list'><li>c</ol>z", "z"), ("<table><tr><td class=ad>1<td>2<tr><td>3</table>", "2\n3"),
+    ("<a href='x>y'>k</a><!-- <p>no --><p>a<p>b<br>c", "k\na\nb c"), ("a < b &lt; c", "a < b < c"), ("<p title=\"never ends>abc <b>def</b>", "abc def"), ("x<p", "x"), ("<", "<"), ("", ""),
+])
+def test_html_cases(page, want):
+    assert html_main.main_text(html_main.blocks_of(page), set()) == want
+
+
+def test_hostile_markup_is_read_in_one_pass():
+    import time
+
+    start = time.perf_counter()
+    for part in ("<p ", '<a href="x', "<!--", "<script>", "<div>", "<a '", "<ul><li>", "<p><div>", "= ", "word ", "</p>", "&amp"):
+        html_main.blocks_of(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - start < 60
+
+
+def test_html_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, host string, runs long"
+    assert html_main.extract_main(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, None, "t", "h", 1), (2, "x", "<p>a", None, None, None), (2, "x", "<p>a", None, None, None), (None, "http://h/", "<nav>n</nav><p>b", "t", "h", 1)]
+    found = html_main.extract_main(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, None, "", 0), (2, "x", "a", 1), (2, "x", "a", 1), (None, "http://h/", "b", 1)], key=str)
