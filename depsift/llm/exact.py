@@ -55,10 +55,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(identifiers, "id", "left")
         .groupBy("recipe").agg(F.bool_and(F.coalesce("verified", F.col("id").isNull())).alias("verified"))
     )
-    groups = shared.join(checked, "recipe").select(
+    groups = cut(shared.join(checked, "recipe").select(
         "recipe",
         F.when(F.col("verified"), F.col("many")).otherwise(F.raise_error(F.lit("two chunks share a digest")).cast("long")).alias("many"), "best",
-    )
+    ))
     rows = spread_join(recipes, groups, ["recipe"], "doc_id", "left", size="many")
     rows = rows.withColumn("keep_id", F.when(F.col("many").isNull(), F.col("doc_id")).otherwise(F.col("best")))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
