@@ -1,4 +1,4 @@
-"""Best-fit packing by the configuration linear program over the length histogram."""
+"""Packing by the configuration linear program over the length histogram."""
 
 from __future__ import annotations
 
@@ -38,85 +38,98 @@ def _knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter
     return chosen
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, rate: float = 4.0) -> list[tuple[Pattern, float]]:
-    """Fractional cover of the histogram by configurations, by multiplicative weights.
+def configuration_lp(
+    histogram: dict[int, int], capacity: int, rate: float = 1.0, step: float = 0.25, favour: float = 0.5, fill: float = 0.98,
+) -> list[tuple[Pattern, int]]:
+    """Cover of the histogram by configurations, by multiplicative weights with steps of whole sequences.
 
-    Each length has a weight that falls exponentially with its share already covered. A round prices
-    configurations by knapsack, adds a step of the dearest one and updates the weights of its lengths;
-    rounds end when every length is covered, or after three a length. The work depends on the capacity
-    alone, as there are at most `capacity` lengths.
+    Each length has a weight that falls exponentially with the share of its pieces already covered. A round prices
+    configurations by knapsack, a length's value being its weight times its size, a little more for long ones, takes the
+    dearest one as often as a `step` of the pieces of its lengths allows, and updates the weights: all lengths are used
+    up together, so configurations stay full. A length with fewer pieces left than a configuration asks for is left to
+    rounding. Rounds end when no configuration fills `fill` of the capacity. The work hangs on the capacity alone, as
+    there are at most `capacity` lengths, and each round takes a share of one.
     """
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[n] for n in lengths], dtype=float)
-    index = {int(n): i for i, n in enumerate(lengths)}
-    covered, out = np.zeros(len(lengths)), []
-    rounds = 3 * len(lengths)
-    step = 4.0 * float((lengths * counts).sum()) / capacity / rounds
-    for _ in range(rounds):
-        open_ = np.maximum(0.0, 1.0 - covered)
-        if not open_.any():
+    left, open_, out = counts.copy(), np.ones(len(lengths), bool), []
+    steps = np.maximum(1, np.floor(step * counts))
+    worth = lengths * (1 + favour * lengths / capacity)
+    while open_.any():
+        live = np.flatnonzero(open_)
+        config = _knapsack(lengths[live], worth[live] * np.exp(rate * (left[live] / counts[live] - 1)), capacity)
+        if sum(n * a for n, a in config.items()) < fill * capacity:
             break
-        # a length's value is its weight times its own size, so that configurations fill up
-        values = lengths * np.exp(-rate * covered) * (open_ > 0) + lengths * 1e-9
-        config = _knapsack(lengths, values, capacity)
-        ids = [index[n] for n in config]
-        copies = np.array([config[int(lengths[i])] for i in ids], dtype=float)
-        amount = min([step, *(counts[i] * open_[i] / a for i, a in zip(ids, copies) if open_[i] > 0)])
-        amount = max(amount, 1e-6)
-        covered[ids] += amount * copies / counts[ids]
+        at = np.searchsorted(lengths, list(config))
+        copies = np.array(list(config.values()), dtype=float)
+        if (left[at] < copies).any():
+            open_[at[left[at] < copies]] = False
+            continue
+        amount = int(max(1, min(np.minimum(steps[at], left[at]) // copies)))
+        left[at] -= amount * copies
+        open_[at] &= left[at] > 0
         out.append((tuple(sorted(config.items(), reverse=True)), amount))
     return out
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
-    """Best-fit decreasing over a histogram: Counter of patterns."""
-    bins: dict[int, Counter] = {}
-    for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        while left:
-            room = min((r for r in bins if r >= n and bins[r]), default=None)
-            if room is None:
-                each = min(capacity // n, left)
-                many = left // each
-                bins.setdefault(capacity - n * each, Counter())[((n, each),)] += many
-                left -= many * each
-                continue
-            pattern, have = next(iter(bins[room].items()))
-            used = min(have, left)
-            bins[room][pattern] -= used
-            if not bins[room][pattern]:
-                del bins[room][pattern]
-            grown = Counter(dict(pattern))
-            grown[n] += 1
-            bins.setdefault(room - n, Counter())[tuple(sorted(grown.items(), reverse=True))] += used
-            left -= used
-    return sum(bins.values(), Counter())
+def _fullest(left: dict[int, int], lengths: list[int], room: int) -> Pattern:
+    """Lengths of `left` that fill `room` best, by dynamic programming over the sums that can be reached.
+
+    Sums are bits of one integer; a length counts as often as it is left. Of equally full ones that with the longest
+    lengths is taken. `lengths` has those of `left`, longest first.
+    """
+    if not room:
+        return ()
+    reached, steps, goal = 1, [], (1 << (room + 1)) - 1
+    for n in lengths:
+        if n > room:
+            continue
+        for _ in range(min(left[n], room // n)):  # a length stops where its next copy reaches no new sum
+            grown = reached | (reached << n) & goal
+            if grown == reached:
+                break
+            steps.append((n, reached))
+            reached = grown
+        if reached >> room & 1:
+            break
+    at, taken = reached.bit_length() - 1, Counter()
+    for n, before in reversed(steps):
+        if not before >> at & 1:
+            at -= n
+            taken[n] += 1
+    return tuple(sorted(taken.items(), reverse=True))
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int) -> Counter:
     """Patterns and how many sequences use each; covers the histogram exactly.
 
-    The fractional cover is rounded: configurations by size of their share, floored and held to what is
-    still open; what rounding leaves goes through best fit. Rounding never pays: if best fit alone needs
-    fewer sequences (few documents a length), its plan is used.
+    The configurations of the linear program are taken in whole numbers. The rest is rounded by configurations that the
+    same dynamic program makes of what is left, one for the longest piece at a time: the fullest, as often as it fits.
     """
     fixed = Counter({((n, 1),): k for n, k in histogram.items() if n == capacity})
     rest = {n: k for n, k in histogram.items() if n < capacity and k > 0}
     if not rest:
         return fixed
-    merged = Counter()
-    for pattern, amount in configuration_lp(rest, capacity):
-        merged[pattern] += amount
     left, plan = dict(rest), Counter()
-    for pattern, amount in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
-        whole = min([int(np.ceil(amount - 1e-9)), *(left.get(n, 0) // a for n, a in pattern)])
-        if whole > 0:
-            plan[pattern] += whole
-            for n, a in pattern:
-                left[n] -= a * whole
-    plan += best_fit({n: k for n, k in left.items() if k}, capacity)
-    alone = best_fit(rest, capacity)
-    return fixed + min(plan, alone, key=lambda p: p.total())
+    for pattern, amount in configuration_lp(rest, capacity):
+        plan[pattern] += amount
+        for n, a in pattern:
+            left[n] -= a * amount
+    left = {n: k for n, k in left.items() if k}
+    while left:
+        lengths = sorted(left, reverse=True)
+        first = lengths[0]
+        left[first] -= 1
+        more = Counter(dict(_fullest(left, lengths, capacity - first)))
+        left[first] += 1
+        more[first] += 1
+        whole = min(left[n] // a for n, a in more.items())
+        plan[tuple(sorted(more.items(), reverse=True))] += whole
+        for n, a in more.items():
+            left[n] -= a * whole
+            if not left[n]:
+                del left[n]
+    return fixed + plan
 
 
 def slot_table(plan: Counter) -> list[tuple[int, int, int, int, int, int]]:
@@ -163,7 +176,7 @@ def pack_sequences(
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Documents longer
     than the capacity are cut into full pieces, the first one taking the remainder. The driver sees only the
-    length histogram (at most `capacity` rows) and plans configurations over it; pieces are then matched to
+    length histogram (at most `capacity` rows) and plans configurations over it, in time that hangs on the capacity alone; pieces are then matched to
     slots by their rank within a length, which is counted per (length, bucket), with the number of buckets in
     proportion to the pieces, so that no length is numbered in one task. The slot table is bounded by the
     capacity as well, and broadcast.

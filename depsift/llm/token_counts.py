@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +16,81 @@ from pyspark.sql import functions as F
 from depsift.llm import encoders
 
 SPACE = "▁"
-#: Segments whose counts are remembered at a time in one worker.
-REMEMBERED = 200_000
+#: Segments and pairs of pieces that are remembered at a time in one worker, and the longest such segment.
+REMEMBERED, LONG = 400_000, 60
+
+
+class PrefixTable:
+    """Exact token counts of a text's prefixes: the counts at the segments' ends, and inside each segment."""
+
+    def __init__(self, parts: list[list[int] | bytes], shift: int):
+        self.parts, self.shift = parts, shift
+        self.ends = [n - shift for n in accumulate(map(len, parts))]
+        self.totals = list(accumulate(p[-1] for p in parts))
+
+    @property
+    def total(self) -> int:
+        return self.totals[-1] if self.totals else 0
+
+    def _before(self, i: int) -> tuple[int, int]:
+        return (self.totals[i - 1], self.ends[i - 1]) if i else (0, -self.shift)
+
+    def at(self, chars: int) -> int:
+        """Tokens of the first `chars` characters."""
+        if chars <= 0:
+            return 0
+        i = bisect_right(self.ends, chars)
+        before, start = self._before(i)
+        return before if i == len(self.ends) or start == chars else before + self.parts[i][chars - start - 1]
+
+    def counts(self) -> np.ndarray:
+        """Tokens of the prefixes of 1, 2, ... characters."""
+        sizes = list(map(len, self.parts))
+        inner = np.fromiter((n for p in self.parts for n in p), np.int64, sum(sizes))
+        return (inner + np.repeat(np.array([0, *self.totals[:-1]][: len(sizes)], np.int64), sizes))[self.shift :]
+
+    def fit(self, budget: int) -> int:
+        """The longest prefix, in characters, that has at most `budget` tokens."""
+        i = bisect_right(self.totals, budget)
+        if i == len(self.ends):
+            return max(0, self.ends[-1]) if self.ends else 0
+        before, start = self._before(i)
+        inner = [k + 1 for k, n in enumerate(self.parts[i]) if before + n <= budget]
+        return max(0, start + max(inner, default=0))
 
 
 class PrefixCounter:
-    """Token counts of a text's prefixes under a sentencepiece BPE model.
-
-    No piece joins a word to the space after it, so a text's tokens are those of its segments, a segment
-    being a run of spaces and the word behind it. `table` runs over the segments and stores the count at each
-    boundary; inside a segment, `inside` stores the count at every character, by dynamic programming: the
-    tokens of a prefix are those of a shorter prefix and one last piece, namely the piece that stays apart
-    when it is encoded behind the shorter prefix's last one. Models whose pieces, normalizer or spaces do not
-    allow this are refused by `supported`.
+    """Prefix tables of texts under a sentencepiece BPE model, by dynamic programming.
+
+    No piece joins a word to the space after it, so a text's tokens are those of its segments, a segment being a run of
+    spaces and the word behind it. In a segment, the tokens of a prefix are those of a shorter prefix and one last
+    piece: the piece that stays apart from the shorter prefix's own last one when the two are encoded together. So each
+    prefix is settled by those before it, and the count at the text's end is the last entry of its table; nothing is
+    encoded but pairs of pieces, each once. Only pieces that text can have are tried: control, unknown, unused and byte
+    pieces stand for no text, and a character without a piece is one token for each byte. Models whose pieces,
+    normalizer or spaces do not allow this are refused by `supported`.
     """
 
     def __init__(self, path: str):
-        self.model = encoders.pieces(path)
-        self.known: dict[str, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.lead = self.model.encode("a", out_type=str)[0].startswith(SPACE)
+        self.model = m = encoders.pieces(path)
+        barred = (m.is_control, m.is_unknown, m.is_unused, m.is_byte)
+        self.ids = {m.id_to_piece(i): i for i in range(m.vocab_size()) if not any(f(i) for f in barred)}
+        self.names = {i: p for p, i in self.ids.items()}
+        self.endings: dict = {}  # pieces read from their ends: a character leads on, 0 has the id of the piece that begins here
+        for piece, i in self.ids.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[0] = i
+        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.lead = m.encode("a", out_type=str)[0].startswith(SPACE)
         self.supported = self._supported()
 
     def _supported(self) -> bool:
         m = self.model
-        names = (m.id_to_piece(i) for i in range(m.vocab_size()))
-        apart = not any(SPACE in p.lstrip(SPACE) for p in names)
-        same = all(m.decode(m.encode(t)) == t for t in ("a b", "a  b ", "ﬁ　½ é"))
+        apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        same = all(m.decode(m.encode(t)) == t for t in ("a b", "a  b ", "ﬁ　½ é"))
         return apart and same and len(m.encode("a ")) == len(m.encode("a")) + 1
 
     def segments(self, text: str) -> list[str]:
@@ -49,80 +98,63 @@ class PrefixCounter:
         seen = (SPACE if self.lead else "") + text.replace(" ", SPACE) if text else ""
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", seen)
 
-    def counts(self, segments: list[str]) -> list[int]:
-        new = [s for s in dict.fromkeys(segments) if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(dict.fromkeys(segments))
-        if new:
-            self.known.update(zip(new, map(len, map(self._pieces, new))))
-        return [self.known[s] for s in segments]
-
     def _pieces(self, segment: str) -> list[int]:
         """Ids of a segment; the model puts a space in front of what it encodes, which is taken off here."""
         if not self.lead:
             return self.model.encode(segment)
         if segment.startswith(SPACE):
             return self.model.encode(segment[1:].replace(SPACE, " ")) if segment != SPACE else [self.model.piece_to_id(SPACE)]
-        return self.model.encode("\n" + segment)[self._newline:]
+        return self.model.encode("\n" + segment)[self._newline :]
 
     @functools.cached_property
     def _newline(self) -> int:
         return len(self.model.encode("\n"))
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Character ends of the segments (in the text) and the token counts up to them."""
-        parts = self.segments(text)
-        shift = len(SPACE) if self.lead and text else 0
-        return [n - shift for n in accumulate(map(len, parts))], list(accumulate(self.counts(parts)))
-
     def inside(self, segment: str) -> list[int]:
         """Token counts of the segment's prefixes of 1, 2, ... characters."""
-        m = self.model
+        endings, pairs = self.endings, self.pairs
         count, last = [0], [-1]
         for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - 64), end):
-                piece = m.piece_to_id(segment[start:end])
-                if piece != m.unk_id() and (start == 0 or self._apart(last[start], piece)):
-                    count.append(count[start] + 1)
-                    last.append(piece)
+            node, at, found = endings, end, []
+            while at and (node := node.get(segment[at - 1])) is not None:
+                at -= 1
+                if 0 in node:
+                    found.append((at, node[0]))
+            for start, piece in reversed(found):
+                left = last[start]
+                if left < 0:
+                    break
+                apart = pairs.get(left << 32 | piece)
+                if self._apart(left, piece) if apart is None else apart:
                     break
             else:  # a character without a piece: one token for each byte, joined to nothing
                 count.append(count[end - 1] + len(segment[end - 1].encode()))
                 last.append(-1)
+                continue
+            count.append(count[start] + 1)
+            last.append(piece)
         return count[1:]
 
     def _apart(self, left: int, right: int) -> bool:
-        if left < 0:
-            return True
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs = {}
-            both = self.model.id_to_piece(left) + self.model.id_to_piece(right)
-            self.pairs[key] = self._pieces(both) == [left, right]
-        return self.pairs[key]
-
-    def at(self, text: str, table: tuple[list[int], list[int]], chars: int) -> int:
-        """Tokens of the text's first `chars` characters."""
-        if chars <= 0:
-            return 0
-        ends, totals = table
-        i = bisect_right(ends, chars)
-        before, start = (totals[i - 1], ends[i - 1]) if i else (0, -1 if self.lead else 0)
-        if i == len(ends) or start == chars:
-            return before
-        part = self.segments(text)[i]
-        return before + self.inside(part)[chars - start - 1]
-
-    def fit(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
-        """The longest prefix, in characters, that has at most `budget` tokens."""
-        ends, totals = table
-        i = bisect_right(totals, budget)
-        if i == len(ends):
-            return len(text)
-        before, start = (totals[i - 1], ends[i - 1]) if i else (0, -1 if self.lead else 0)
-        inner = [k + 1 for k, n in enumerate(self.inside(self.segments(text)[i])) if before + n <= budget]
-        return max(0, start + max(inner, default=0))
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        both = self._pieces(self.names[left] + self.names[right])
+        self.pairs[left << 32 | right] = both == [left, right]
+        return both == [left, right]
+
+    def table(self, text: str) -> PrefixTable:
+        parts: list[list[int] | bytes] = []
+        known = self.known
+        for s in self.segments(text):
+            inner = known.get(s)
+            if inner is None:
+                inner = self.inside(s)
+                if len(s) <= LONG:  # four tokens a character at most, so counts fit in bytes
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known[s] = bytes(inner)
+            parts.append(inner)
+        return PrefixTable(parts, len(SPACE) if self.lead and text else 0)
 
 
 def count_tokens(
@@ -150,8 +182,8 @@ def count_tokens(
                 sizes.append(len(text.encode()))
                 if counter.supported:
                     table = counter.table(text)
-                    tokens.append(table[1][-1] if table[1] else 0)
-                    fits.append(counter.fit(text, table, limit))
+                    tokens.append(table.total)
+                    fits.append(table.fit(limit))
                 else:
                     tokens.append(len(counter.model.encode(text)))
                     fits.append(None)

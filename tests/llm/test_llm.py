@@ -72,6 +72,22 @@ def test_plan_covers_histogram():
         covered.update({n: a * many for n, a in pattern})
     assert covered == histogram
     assert plan.total() <= 1.02 * sum(n * k for n, k in histogram.items()) / 64 + 1
+    lp = packing.configuration_lp({n: k for n, k in histogram.items() if n < 64}, 64)
+    assert sum(k for _, k in lp) >= 0.5 * plan.total()  # most sequences are the linear program's
+
+
+@pytest.mark.parametrize("seed, low, high", [(2, 1, 1023), (3, 300, 1023), (4, 1, 200), (5, 512, 520)])
+def test_plan_is_close_to_the_bound(seed, low, high):
+    rng = random.Random(seed)
+    histogram = dict(Counter(rng.randint(low, high) for _ in range(20_000)))
+    plan, covered = packing.plan_sequences(histogram, 1024), Counter()
+    for pattern, many in plan.items():
+        assert sum(n * a for n, a in pattern) <= 1024
+        covered.update({n: a * many for n, a in pattern})
+    large = sum(k for n, k in histogram.items() if n > 512)
+    bound = max(sum(n * k for n, k in histogram.items()) / 1024, large, large + (sum(k for n, k in histogram.items() if n == 512)) / 2)
+    assert covered == Counter(histogram) and plan.total() <= 1.01 * bound + 2
+    assert packing.plan_sequences({1024: 5}, 1024).total() == 5 and packing.plan_sequences({}, 1024).total() == 0
 
 
 def brute_components(ids, linked):
@@ -156,6 +172,25 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_counts_at_every_prefix():
+    counter = token_counts.PrefixCounter(encoders.default_path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    parts = ["a", "b", "the", "ing", " ", "  ", "<s>", "</s>", "<unk>", "<0x41>", "▁", "é", "日本", "😀", "\n", "ﬁ", "0", "12", "\u200b", "\x00", "'s", "ﷺ", "THE", "--"]
+    for _ in range(80):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        table = counter.table(text)
+        want = [len(counter.model.encode(text[:k])) for k in range(len(text) + 1)]
+        assert table.total == want[-1] and [table.at(k) for k in range(len(text) + 1)] == want and table.counts().tolist() == want[1:]
+        for budget in (0, 3, 10):
+            assert table.fit(budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+def test_counts_of_long_words():
+    counter = token_counts.PrefixCounter(encoders.default_path("piece_bpe_32k.model"))
+    for text in ("ab" * 100_000, " " * 200_000 + "x", "日" * 50_000):
+        assert counter.table(text).total == len(counter.model.encode(text))
+
+
 def test_html(spark):
     page = "<head><title>t</title></head><nav><a>home</a></nav><div class='ad'>buy now</div><article><h1>Big &amp; small</h1><p>One<br>two\n three<p>four<script>x</p></script></article><section class=comments>bad</section><footer>&copy; f</footer>"
     rows = [(1, "http://h.org/a", page), (2, "http://h.org/b", None), (3, None, "<div>shared menu of the site</div><div>own text here</div>"), (4, None, "<div>shared menu of the site</div><p>other words &lt;now"), (4, None, "<p>plain")]
