@@ -255,9 +255,78 @@ def test_license_templates():
     run = license_scan.Scanner(("a b [c d] e", "copyright {2} reserved"))
     match = lambda s: [(n, i, j) for n, i, j in run.matches(s.encode().split())]
     assert match("a b e") == [(0, 0, 3)] and match("x a b c d e") == [(0, 1, 6)] and match("a b c e") == []
+    late = license_scan.Scanner(("[the [old]] mit license",))
+    assert list(late.matches(b"by the mit license".split())) == [(0, 1, 4), (0, 2, 4)] and list(late.matches(b"the old mit license".split()))[0] == (0, 0, 4)
+    with pytest.raises(ValueError):
+        license_scan.Scanner(("{2} licensed",))
     assert match("copyright x y reserved") == [(1, 0, 4)] and match("copyright reserved") == [] and match("copyright x y z reserved") == []
 
 
+def template_ends(template, words, start):
+    """Ends of a template's matches from a start, by trying every reading of its parts."""
+    import re
+
+    parts = re.findall(r"\[|\]|\{\d+\}|[^\s\[\]{}]+", template)
+
+    def tree(i):
+        out = []
+        while i < len(parts) and parts[i] != "]":
+            if parts[i] == "[":
+                inner, i = tree(i + 1)
+                out.append(inner)
+            else:
+                out.append(parts[i])
+            i += 1
+        return out, i
+
+    def run(nodes, ends):
+        for node in nodes:
+            if isinstance(node, list):
+                ends = ends | run(node, ends)
+            elif node[0] == "{":
+                ends = {e + k for e in ends for k in range(1, int(node[1:-1]) + 1) if e + k <= len(words)}
+            else:
+                ends = {e + 1 for e in ends if e < len(words) and words[e] == node.encode()}
+        return ends
+
+    return run(tree(0)[0], {start})
+
+
+def test_labels_equal_brute_force(spark):
+    rng = random.Random(17)
+    import re
+
+    def written(template):
+        """A text of a template: optional regions kept or not, replaceable ones filled, now and then a word changed."""
+        while "[" in template:
+            template = re.sub(r"\[([^\[\]]*)\]", lambda m: m[1] if rng.random() < 0.6 else "", template)
+        words = [w for p in template.split() for w in ([f"x{rng.randrange(9)}" for _ in range(rng.randint(1, int(p[1:-1])))] if p[0] == "{" else [p])]
+        if rng.random() < 0.4:
+            words[rng.randrange(len(words))] = "odd"
+        return " ".join(words)
+
+    every = license_scan.BASE + license_scan.TEMPLATES
+    rows = [(i, " then ".join(written(rng.choice(every)[0]) for _ in range(rng.randint(1, 3)))) for i in range(120)] + [(500, None), (501, ""), (502, "the mit license")]
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = license_scan.words_of(dict(rows)[r.doc_id] or "")
+        hits = {(n, s, max(ends)) for n, (t, _) in enumerate(every) for s in range(len(words)) if (ends := template_ends(t, words, s) - {s})}
+        assert r.labels == ",".join(sorted({every[n][1] for n, _, _ in hits}))
+        if hits:
+            fixed = {n: sum(1 for p in re.sub(r"\{\d+\}", "", bare(every[n][0])).split()) for n, _, _ in hits}
+            size, most = max((e - s, fixed[n]) for n, s, e in hits)
+            assert r.score == pytest.approx(most / size)
+        else:
+            assert r.score == 0
+
+
+def bare(template):
+    import re
+
+    while "[" in template:
+        template = re.sub(r"\[[^\[\]]*\]", "", template)
+    return template
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(6)
