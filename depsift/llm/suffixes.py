@@ -29,7 +29,7 @@ def _expand(blob: bytes) -> bytes:
 def _planes(a: np.ndarray) -> np.ndarray:
     """Bytes of the array's differences, lowest bytes of all first: small steps leave planes of zeros."""
     steps = np.diff(a, prepend=a.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(a), -1).T)
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
 
 
 def _unplane(raw: bytes, dtype: str) -> np.ndarray:
@@ -123,12 +123,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id;
     strings are those of the input and never cross documents. Ranks of suffixes are refined at growing
     offsets, as in prefix doubling: positions are first ranked by GRAM bytes, all whose rank no other
-    document has are dropped, and what is left is ranked by pairs of that rank and the bytes around it up to
+    document has are dropped (a block ranks its positions again then, instead of sending them), and what is left is ranked by pairs of that rank and the bytes around it up to
     `length`, where the threshold ends the doubling. Two things keep ranks from moving the corpus many times:
     only sampled positions are ranked (each string has one, see `anchors`), and a rank round is one exchange
     of packed arrays, dealt by rank. Ranks are hashes; whatever is removed was compared byte by byte.
 
-    Work is dealt by document block and by rank; the numbers of both grow with the input. Null text counts as
+    Work is dealt by document block and by rank; the numbers of both grow with the input, and a block must be smaller
+    than 4 GiB. A block sends each rank once and each surrounding once, so that what a task gets of a passage grows with
+    the number of blocks and not with its copies. Null text counts as
     empty. Ids must be integers, other types are refused with a ValueError. Rows with a null doc_id are compared with nothing and keep all bytes. Rows repeated with one doc_id
     are each judged against smaller ids only. Documents shorter than `length` lose nothing. An empty table
     gives an empty result; other columns are ignored.
@@ -166,57 +168,80 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if held:
             yield rows(held)
 
-    def sample(table: pa.Table) -> pa.Table:
-        block = Block(table.column("payload").to_pylist())
-        at, hashes, owner = [], [], []
+    def ranked(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, document, hash) of the sampled positions of a block."""
+        at, hashes, owner = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for a, z in block.chunks():
             low = int(block.starts[a])
             p, h = anchors(block.bytes[low : int(block.ends[z - 1])], block.ends[a:z] - low, block.starts[a:z] - low, length)
             at.append(p + low)
             hashes.append(h)
             owner.append(np.searchsorted(block.ends, p + low, side="right"))
+        return np.concatenate(at), np.concatenate(owner), np.concatenate(hashes)
+
+    low40 = np.uint64((1 << 40) - 1)
+    bucket_of = lambda h: (h >> np.uint64(40)) % np.uint64(buckets)
+
+    def sample(table: pa.Table) -> pa.Table:
+        """The distinct ranks of a block, dealt by rank, each with whether two of the block's documents have it."""
         keys, out = [], []
-        if at:
-            p, h, o = np.concatenate(at).astype(np.uint32), np.concatenate(hashes), np.concatenate(owner).astype(np.uint32)
-            for k, rows in _by_bucket((h >> np.uint64(40)) % np.uint64(buckets), buckets):
-                low = h[rows]
-                head = np.array([len(rows)], "<u4")
+        _, o, h = ranked(Block(table.column("payload").to_pylist()))
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h, o = h[order], o[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            many = np.minimum.reduceat(o, start) != np.maximum.reduceat(o, start)
+            h = h[start]
+            for k, rows in _by_bucket(bucket_of(h), buckets):
+                rank = np.sort(h[rows] & low40)
                 keys.append(k)
-                parts = (head, (low >> np.uint64(8)).astype("<u4"), (low & np.uint64(255)).astype(np.uint8), _planes(p[rows]), _planes(o[rows]))
-                out.append(b"".join(x.tobytes() for x in parts))
+                order = np.argsort(h[rows] & low40, kind="stable")
+                out.append(_squeeze(np.array([len(rows)], "<u4"), _planes(rank), many[rows][order]))
         name = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"bucket": pa.array(keys, pa.int64()), "block": pa.array([name] * len(keys), pa.int64()), "payload": pa.array(out, pa.binary())})
 
     def repeats(table: pa.Table) -> pa.Table:
-        """Sampled positions whose GRAM-byte rank stands in two documents or more, back to their blocks."""
-        rank, at, owner, block = [], [], [], []
-        for name, raw in zip(table.column("block").to_pylist(), table.column("payload").to_pylist()):
+        """Ranks that two documents or more have, back to the blocks that hold them."""
+        rank, many, block = [], [], []
+        for name, blob in zip(table.column("block").to_pylist(), table.column("payload").to_pylist()):
+            raw = _expand(blob)
             n = int.from_bytes(raw[:4], "little")
-            rank.append(np.frombuffer(raw, "<u4", n, 4).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 + 4 * n))
-            at.append(_unplane(raw[4 + 5 * n : 4 + 9 * n], "<u4"))
-            owner.append(_unplane(raw[4 + 9 * n :], "<u4").astype(np.uint64) + (np.uint64(name) << np.uint64(32)))
+            rank.append(_unplane(raw[4 : 4 + 8 * n], "<u8"))
+            many.append(np.frombuffer(raw, bool, n, 4 + 8 * n))
             block.append(np.full(n, name, np.int64))
-        rank, at, owner, block = (np.concatenate(x) for x in (rank, at, owner, block))
+        rank, many, block = (np.concatenate(x) for x in (rank, many, block))
         order = np.argsort(rank, kind="stable")
         start = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-        who = owner[order]
-        shared = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
-        keep = np.sort(order[np.repeat(shared, np.diff(np.r_[start, len(order)]))])
+        size = np.diff(np.r_[start, len(order)])
+        shared = (size > 1) | np.maximum.reduceat(many[order], start)
+        keep = order[np.repeat(shared, size)]
+        keep = keep[np.lexsort((rank[keep], block[keep]))]
         keys, out = [], []
+        bucket = table.column("bucket")[0].as_py()
         edges = np.flatnonzero(np.r_[True, block[keep][1:] != block[keep][:-1]]) if len(keep) else []
         for a, z in zip(edges, [*edges[1:], len(keep)]):
             keys.append(int(block[keep[a]]))
-            out.append(_squeeze(_planes(at[keep[a:z]])))
+            out.append(_squeeze(np.array([bucket], "<u8"), _planes(rank[keep[a:z]])))
         return pa.table({"block": pa.array(keys, pa.int64()), "payload": pa.array(out, pa.binary())})
 
     wide = length + span  # bytes around a sampled position that its strings can reach
 
     def around(texts: pa.Table, found: pa.Table) -> pa.Table:
-        """For each position left, the bytes that its strings can reach, dealt by rank."""
+        """For each shared position, the bytes that its strings can reach, dealt by rank; equal ones of a block once.
+
+        Of positions with equal bytes that of the smallest document stands for the others, so a passage sends one view
+        a block however often it stands there, and positions, without bytes, for the rest.
+        """
         keys, out = [], []
         if texts.num_rows and found.num_rows:
             block = Block(texts.column("payload").to_pylist())
-            at = np.sort(np.concatenate([_unplane(_expand(p), "<u4") for p in found.column("payload").to_pylist()])).astype(np.int64)
+            kept = []
+            for blob in found.column("payload").to_pylist():
+                raw = _expand(blob)
+                kept.append(np.frombuffer(raw, "<u8", 1)[0] << np.uint64(40) | _unplane(raw[8:], "<u8"))
+            at, _, h = ranked(block)
+            rank = bucket_of(h) << np.uint64(40) | h & low40
+            at = at[np.isin(rank, np.concatenate(kept))]
             owner = np.searchsorted(block.ends, at, side="right")
             left = np.minimum(at - block.starts[owner], span).astype(np.uint8)
             right = np.minimum(block.ends[owner] - at - GRAM, span).astype(np.uint8)
@@ -227,34 +252,51 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 rank = rank * np.uint64(0x9E3779B97F4A7C15) + gram[at, i] + np.uint64(1)
                 rank ^= rank >> np.uint64(32)
             views = np.lib.stride_tricks.sliding_window_view(padded, wide)
+            ids = block.ids[owner]
             for k, rows in _by_bucket((rank >> np.uint64(16)) % np.uint64(buckets), buckets):
-                around_ = views[at[rows]].copy()
+                around_ = np.concatenate([views[at[rows]], left[rows, None], right[rows, None]], axis=1)
                 column = np.arange(wide)[None]
-                around_[(column < span - left[rows, None]) | (column >= span + GRAM + right[rows, None])] = 0
+                around_[:, :wide][(column < span - left[rows, None]) | (column >= span + GRAM + right[rows, None])] = 0
+                # rows come in order of ids, so the first of equal views is of the smallest document
+                _, first, stands = np.unique(np.ascontiguousarray(around_).view(np.dtype((np.void, wide + 2))).ravel(), return_index=True, return_inverse=True)
+                other = np.setdiff1d(np.arange(len(rows)), first, assume_unique=True)
+                later = ids[rows[other]] > ids[rows[first[stands[other]]]]
+                heads = rows[first]
                 keys.append(k)
-                head = np.array([len(rows)], "<u4")
-                out.append(_squeeze(head, around_, left[rows], right[rows], _planes(at[rows].astype(np.uint32)), _planes(block.ids[owner[rows]])))
+                sizes = np.array([len(first), len(other)], "<u4")
+                own = (around_[first, :wide], left[heads], right[heads], _planes(at[heads].astype(np.uint32)), _planes(ids[heads]))
+                rest = (_planes(at[rows[other]].astype(np.uint32)), _planes(stands[other].astype(np.uint32)), later)
+                out.append(_squeeze(sizes, *own, *rest))
         name = texts.column("block")[0].as_py() if texts.num_rows else 0
         return pa.table({"bucket": pa.array(keys, pa.int64()), "block": pa.array([name] * len(keys), pa.int64()), "payload": pa.array(out, pa.binary())})
 
     def settle(table: pa.Table) -> pa.Table:
         """Which strings over each position also start in a smaller document; a bit for each offset."""
-        views, left, right, at, ids, block = [], [], [], [], [], []
+        views, left, right, at, ids, block, rest, have = [], [], [], [], [], [], [], 0
         for name, blob in zip(table.column("block").to_pylist(), table.column("payload").to_pylist()):
             raw = _expand(blob)
-            n = int.from_bytes(raw[:4], "little")
-            p = 4 + n * wide
-            views.append(np.frombuffer(raw, np.uint8, n * wide, 4).reshape(n, wide))
+            n, m = np.frombuffer(raw, "<u4", 2).tolist()
+            p = 8 + n * wide
+            views.append(np.frombuffer(raw, np.uint8, n * wide, 8).reshape(n, wide))
             left.append(np.frombuffer(raw, np.uint8, n, p))
             right.append(np.frombuffer(raw, np.uint8, n, p + n))
             at.append(_unplane(raw[p + 2 * n : p + 6 * n], "<u4"))
-            ids.append(_unplane(raw[p + 6 * n :], "<i8"))
+            ids.append(_unplane(raw[p + 6 * n : p + 14 * n], "<i8"))
             block.append(np.full(n, name, np.int64))
+            p += 14 * n
+            rest.append((_unplane(raw[p : p + 4 * m], "<u4"), _unplane(raw[p + 4 * m : p + 8 * m], "<u4").astype(np.int64) + have, np.frombuffer(raw, bool, m, p + 8 * m), np.full(m, name, np.int64)))
+            have += n
         ids = np.concatenate(ids)
         order = np.argsort(ids, kind="stable")  # so that the first of equal strings has the smallest doc_id
-        ids, views = ids[order], np.concatenate(views)[order]
-        left, right, at, block = (np.concatenate(x)[order] for x in (left, right, at, block))
-        mask = first_starts(views, left, right, ids, span, length)
+        views, left, right, at, block = (np.concatenate(x) for x in (views, left, right, at, block))
+        mask = np.empty(len(ids), np.uint64)
+        mask[order] = first_starts(views[order], left[order], right[order], ids[order], span, length)
+        every = np.zeros(len(ids), np.uint64)  # all strings that fit a view: those of a later document with the same view
+        for x in range(span + 1):
+            every[(left >= x) & (right >= span - x)] |= np.uint64(1 << x)
+        more, stands, later, where = (np.concatenate(x) for x in zip(*rest))
+        at, block = np.r_[at, more], np.r_[block, where]
+        mask = np.r_[mask, np.where(later, every[stands], mask[stands])]
         keys, out = [], []
         hit = np.flatnonzero(mask)
         hit = hit[np.lexsort((at[hit], block[hit]))]

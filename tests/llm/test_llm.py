@@ -583,3 +583,61 @@ def test_html_odd_tables(spark):
     rows = [(1, None, None, "t", "h", 1), (2, "x", "<p>a", None, None, None), (2, "x", "<p>a", None, None, None), (None, "http://h/", "<nav>n</nav><p>b", "t", "h", 1)]
     found = html_main.extract_main(spark.createDataFrame(rows, schema)).collect()
     assert sorted(map(tuple, found), key=str) == sorted([(1, None, "", 0), (2, "x", "a", 1), (2, "x", "a", 1), (None, "http://h/", "b", 1)], key=str)
+
+
+def brute_repeats(rows, length=50):
+    first, want = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        mine = [p for p in range(len(b) - length + 1) if first.get(b[p : p + length], i) < i]
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+        covered = bytearray(len(b))
+        for p in mine:
+            covered[p : p + length] = b"\1" * length
+        want[i] = (sum(covered), hashlib.sha256(bytes(x for x, c in zip(b, covered) if not c)).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("blocks", [1, 3, None])
+def test_common_passages_and_letter_runs(spark, blocks):
+    rng = random.Random(31)
+    passage = " ".join(f"w{rng.randrange(99)}" for _ in range(60))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(40)] + [(100 + i, passage * (1 + i % 3)) for i in range(8)]
+    rows += [(200 + i, "a" * (40 + 30 * i)) for i in range(6)] + [(300, "b" + "a" * 300), (301, "ab" * 200), (302, "ab" * 150 + "a" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffixes.remove_repeats(df, blocks=blocks).collect()} == brute_repeats(rows)
+
+
+def test_texts_of_a_megabyte(spark):
+    """Each operator on texts of 1 MB: words, white space, one letter, one word without a space."""
+    rng = random.Random(40)
+    words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    rows = [(1, words, "en", "s"), (2, words + " x", "en", "s"), (3, " " * 1_000_000, "en", "s"), (4, "a" * 1_000_000, "en", None), (5, "".join(rng.choice("abcdefgh") for _ in range(1_000_000)), "de", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    packed = packing.pack_sequences(docs).groupBy("doc_id").sum("length").collect()
+    assert len(packed) == 5
+    assert len({r.component_id for r in simhash.near_duplicates(docs, shingle=4, distance=4).collect() if r.doc_id in (1, 2)}) == 1
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert groups[2] == 1 and len(set(groups.values())) == 4
+    assert {r.doc_id: r["size"] for r in mixing.mix_sources(docs).collect()} == {1: 150_000, 2: 150_001, 3: 0, 4: 1, 5: 1}
+    model = encoders.pieces(encoders.default_path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs.where("doc_id > 2")).collect()} == {i: len(model.encode(t)) for i, t, _, _ in rows if i > 2}
+    pages = docs.selectExpr("doc_id as page_id", "'http://h/' as url", "concat('<article>', text, '</article>') as html")
+    assert {r.page_id: r.text for r in html_main.extract_main(pages).collect()} == {i: t.strip() for i, t, _, _ in rows}
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(docs.where("doc_id in (1, 2, 5)")).collect()}
+    assert removed[1][1] == 0 and removed[2] == (len(rows[1][1]), len(words)) and removed[5][1] == 0
+    assert all(r.kept for r in exact.exact_dedup(docs).collect())
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(docs).collect()} == {1: 150_000, 2: 150_001, 3: 0, 4: 1, 5: 1}
+    assert {r.doc_id for r in langid.predict(docs, langid.train(docs)).where("lang_pred <> 'und'").collect()} == {1, 2, 4, 5}
+
+
+def test_clashing_columns_of_vectors_and_languages(spark):
+    rows = [(1, [1.0, 0.0], 1, 5, 6, False), (2, [1.0, 0.001], 1, 5, 6, False), (3, [0.0, 1.0], 1, None, None, None), (3, [0.0, 1.0], 1, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links long, component_id long, kept boolean")
+    found = sorted(map(tuple, embeddings.near_duplicate_vectors(df).collect()))
+    assert found == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+    docs = spark.createDataFrame([(i, "the quick brown fox", "en", True, "xx", 2.0) for i in range(9)] * 2, "doc_id long, text string, lang string, held_out boolean, lang_pred string, score double")
+    out = langid.predict(docs, langid.train(docs)).collect()
+    assert len(out) == 18 and {r.lang_pred for r in out} == {"en"} and {r.held_out for r in out} == {zlib.crc32(str(i).encode()) % 3 == 1 for i in range(9)}
+    assert langid.predict(docs.limit(0), langid.train(docs)).count() == 0
