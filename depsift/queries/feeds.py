@@ -332,8 +332,8 @@ def write_spdx_tagvalue(t: Tables) -> DataFrame:
     with l as (select distinct pc.project, c.ecosystem, c.name, c.version, c.license, {_FULL} as purl, 'SPDXRef-' || c.ecosystem || '-' || c.name || '-' || c.version as id
         from project_components pc join components c on c.component_id = pc.component_id),
     texts as (select project, string_agg('{{"SPDXID":"' || id || '","name":"' || name || '","versionInfo":"' || version || '","downloadLocation":"NOASSERTION","licenseConcluded":"' || coalesce(license, 'NOASSERTION')
-        || '","licenseDeclared":"' || coalesce(license, 'NOASSERTION') || '","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"' || purl || '"}}]}}', ',' order by id, name, version) as packages,
-        string_agg('{{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"' || id || '"}}', ',' order by id, name, version) as links from l group by 1),
+        || '","licenseDeclared":"' || coalesce(license, 'NOASSERTION') || '","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"' || purl || '"}}]}}', ',' order by id, name, version, coalesce(license, 'NOASSERTION')) as packages,
+        string_agg('{{"spdxElementId":"SPDXRef-DOCUMENT","relationshipType":"DESCRIBES","relatedSpdxElement":"' || id || '"}}', ',' order by id, name, version, coalesce(license, 'NOASSERTION')) as links from l group by 1),
     edges_ as (select a.project, string_agg('{{"spdxElementId":"' || a.id || '","relationshipType":"DEPENDS_ON","relatedSpdxElement":"' || b.id || '"}}', ',' order by a.id, b.id) as more from
         (select distinct l.project, l.id, c.component_id from l join components c on c.name = l.name and c.version = l.version and c.ecosystem = l.ecosystem join project_components pc on pc.project = l.project and pc.component_id = c.component_id) a
         join edges e on e.src = a.component_id join (select distinct pc.project, c.component_id, 'SPDXRef-' || c.ecosystem || '-' || c.name || '-' || c.version as id from project_components pc join components c on c.component_id = pc.component_id) b
@@ -350,7 +350,7 @@ def write_spdx(t: Tables) -> DataFrame:
 @query(f"""
     with l as (select distinct pc.project, c.name, c.version, c.license, {_FULL} as purl, md5(c.name) as sha, 'https://x.org/' || c.name as url from project_components pc join components c on c.component_id = pc.component_id)
     select project, '{{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"components":[' || string_agg('{{"type":"library","name":"' || name || '","version":"' || version || '","purl":"' || purl || '","licenses":['
-        || coalesce('{{"license":{{"id":"' || license || '"}}}}', '') || '],"hashes":[{{"alg":"SHA-256","content":"' || sha || '"}}],"externalReferences":[{{"type":"distribution","url":"' || url || '"}}]}}', ',' order by name, version, purl) || ']}}' as value from l group by 1
+        || coalesce('{{"license":{{"id":"' || license || '"}}}}', '') || '],"hashes":[{{"alg":"SHA-256","content":"' || sha || '"}}],"externalReferences":[{{"type":"distribution","url":"' || url || '"}}]}}', ',' order by name, version, purl, license nulls first) || ']}}' as value from l group by 1
 """)
 def write_cyclonedx(t: Tables) -> DataFrame:
     rows = listed(t).drop("component_id", "direct").distinct().withColumn("sha256", F.md5(F.encode("name", "UTF-8"))).withColumn("url", F.concat(F.lit("https://x.org/"), "name"))

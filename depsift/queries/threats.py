@@ -184,11 +184,11 @@ def typosquat_full(t: Tables) -> DataFrame:
 
 
 @query("""
-    with a as (select distinct user_id as package, event_type as description from events where event_id % 3 > 0 and user_id % 5 > 0), b as (select distinct user_id as package, event_type as description from events where event_id % 4 > 1 and user_id % 5 > 0)
+    with a as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where event_id % 3 > 0 and user_id % 5 > 0), b as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where event_id % 4 > 1 and user_id % 5 > 0)
     select *, 'new' as change from (select * from b except select * from a) union all select *, 'resolved' as change from (select * from a except select * from b)
 """)
 def threat_delta(t: Tables) -> DataFrame:
-    rows = t.events.select(F.col("user_id").alias("package"), F.col("event_type").alias("description"), "event_id")
+    rows = t.events.select(F.col("user_id").alias("package"), F.expr("concat(event_type, '-', cast(event_id % 50 as string))").alias("description"), "event_id")
     return O.threat_delta(rows.where("event_id % 3 > 0"), rows.where("event_id % 4 > 1"), rows.where("package % 5 > 0"))
 
 
