@@ -106,37 +106,43 @@ def _last(events: Column, kind: str) -> Column:
     return F.get(F.reverse(found), F.lit(0))
 
 
-def in_semver_range(version: Column, events: Column) -> Column:
-    """Semver test of one range; null if the version is invalid. A bound that does not parse is no bound."""
-    key = semver_key(version)
-    start = _last(events, "introduced")
-    low = F.when(start == "0", semver_key(F.lit("0.0.0"))).otherwise(semver_key(start))
-    fixed, last = semver_key(_last(events, "fixed")), semver_key(_last(events, "last_affected"))
-    below = F.when(fixed.isNotNull(), key < fixed).when(last.isNotNull(), key <= last).otherwise(F.lit(True))
-    return F.when(key.isNotNull(), F.coalesce(key >= low, F.lit(True)) & below)
+def keyed_ranges(ranges: Column) -> Column:
+    """The ranges with their bounds as text and as semver keys, so that a version is compared and no bound is parsed again."""
 
+    def one(r: Column) -> Column:
+        start, fixed, last = (_last(r["events"], k) for k in ("introduced", "fixed", "last_affected"))
+        low = F.when(start == "0", semver_key(F.lit("0.0.0"))).otherwise(semver_key(start))
+        return F.struct(
+            r["type"].alias("type"), start.alias("start"), fixed.alias("fixed"), last.alias("last"),
+            low.alias("low_key"), semver_key(fixed).alias("fixed_key"), semver_key(last).alias("last_key"),
+        )
 
-def in_string_range(version: Column, events: Column) -> Column:
-    """Text test of one range: all bounds hold, and there is one at least."""
-    start, fixed, last = (_last(events, k) for k in ("introduced", "fixed", "last_affected"))
-    low = start.isNull() | (start == "0") | (version >= start)
-    high = (fixed.isNull() | (version < fixed)) & (last.isNull() | (version <= last))
-    return low & high & (start.isNotNull() | fixed.isNotNull() | last.isNotNull())
-
+    return F.transform(ranges, one)
 
-def version_affected(version: Column, ranges: Column, strict: bool = False) -> Column:
-    """Whether any range of {type, events} holds the version; null when a SEMVER range meets an invalid version.
 
-    ECOSYSTEM ranges also fall back to text order when semver says no, unless `strict`.
-    """
+def in_keyed_ranges(version: Column, key: Column, keyed: Column, strict: bool = False) -> Column:
+    """`version_affected` of a version and its `semver_key` in `keyed_ranges`."""
 
     def one(r: Column) -> Column:
-        semver = in_semver_range(version, r["events"])
-        text = in_string_range(version, r["events"])
+        below = F.when(r["fixed_key"].isNotNull(), key < r["fixed_key"]).when(r["last_key"].isNotNull(), key <= r["last_key"]).otherwise(F.lit(True))
+        semver = F.when(key.isNotNull(), F.coalesce(key >= r["low_key"], F.lit(True)) & below)
+        low = r["start"].isNull() | (r["start"] == "0") | (version >= r["start"])
+        high = (r["fixed"].isNull() | (version < r["fixed"])) & (r["last"].isNull() | (version <= r["last"]))
+        text = low & high & (r["start"].isNotNull() | r["fixed"].isNotNull() | r["last"].isNotNull())
         loose = F.coalesce(semver, text) if strict else F.coalesce(semver, F.lit(False)) | text
         return F.when(r["type"] == "SEMVER", semver).when(r["type"] == "ECOSYSTEM", loose).when(r["type"] == "GIT", text).otherwise(F.lit(True))
 
-    return F.exists(ranges, one)
+    return F.exists(keyed, one)
+
+
+def version_affected(version: Column, ranges: Column, strict: bool = False) -> Column:
+    """Whether any range of {type, events} holds the version; null when a SEMVER range meets an invalid version.
+
+    A semver range takes the last event of each kind, "0" for the start of all, `fixed` before `last_affected`, and a bound
+    that does not parse for none. ECOSYSTEM ranges also fall back to text order when semver says no, unless `strict`; in
+    text order all bounds hold, and there is one at least. Joins key both sides first, see `keyed_ranges`.
+    """
+    return in_keyed_ranges(version, semver_key(version), keyed_ranges(ranges), strict)
 
 
 def _number(v: Column, n: int) -> Column:

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from depsift.functions.names import osv_ecosystem, osv_name
 from depsift.functions.severity import cvss3_base_score
-from depsift.functions.versions import apk_key, deb_key, rpm_key, version_affected
+from depsift.functions.versions import apk_key, deb_key, in_keyed_ranges, keyed_ranges, rpm_key, semver_key
 
 
 def match_advisories(components: DataFrame, affected: DataFrame, strict: bool = False) -> DataFrame:
     """Distinct (ecosystem, name, version, advisory) of components in an affected range.
 
     `affected` has (advisory, ecosystem, name, ranges). Components are made distinct before the join, so that
-    popular names are matched once however many projects use them; join the result back on (ecosystem, name,
+    popular names are matched once however many projects use them, and versions and bounds are parsed once each; join the result back on (ecosystem, name,
     version). A version that a SEMVER range cannot read is kept.
     """
-    versions = components.select("ecosystem", "name", "version").distinct()
-    hit = F.coalesce(version_affected(F.col("version"), F.col("ranges"), strict), F.lit(True))
-    return versions.join(affected, ["ecosystem", "name"]).where(hit).select("ecosystem", "name", "version", "advisory").distinct()
+    versions = components.select("ecosystem", "name", "version").distinct().withColumn("_key", semver_key(F.col("version")))
+    keyed = affected.select("advisory", "ecosystem", "name", keyed_ranges(F.col("ranges")).alias("_ranges"))
+    hit = F.coalesce(in_keyed_ranges(F.col("version"), F.col("_key"), F.col("_ranges"), strict), F.lit(True))
+    return versions.join(keyed, ["ecosystem", "name"]).where(hit).select("ecosystem", "name", "version", "advisory").distinct()
 
 
 def batch_lookup(packages: DataFrame, advisories: DataFrame) -> DataFrame:
