@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Purl types and advisory ecosystems of the scanners' names.
+# Purl types and advisory ecosystems of the scanners' and advisories' names.
 PURL_TYPES = {
+    "PyPI": "pypi", "crates.io": "cargo", "Packagist": "composer",
     "Node.js/npm": "npm", "npm": "npm", "Python": "pypi", "pip": "pypi", "Go": "golang", "Rust": "cargo", "cargo": "cargo", "Ruby": "gem",
     "gem": "gem", "RubyGems": "gem", "PHP": "composer", "composer": "composer", "Maven": "maven", "Gradle": "maven",
     "Alpine": "apk", "Debian": "deb", "Rpm": "rpm",
@@ -42,6 +43,13 @@ def package_url(ecosystem: Column, namespace: Column, name: Column, version: Col
     return F.concat(F.lit("pkg:"), named(ecosystem, PURL_TYPES), F.lit("/"), path, F.lit("@"), version)
 
 
+def short_purl(ecosystem: Column, name: Column, version: Column | None = None) -> Column:
+    """Package URL of an advisory's ecosystem and whole name, with a version if there is one: groups and scopes part by /."""
+    path = F.when(ecosystem.isin(*JVM), F.replace(name, F.lit(":"), F.lit("/"))).otherwise(name)
+    bare = F.concat(F.lit("pkg:"), named(ecosystem, PURL_TYPES), F.lit("/"), path)
+    return bare if version is None else F.concat(bare, F.coalesce(F.concat(F.lit("@"), version), F.lit("")))
+
+
 def parse_purl(purl: Column) -> Column:
     """(system, name with its namespace, version); null unless it begins with pkg: and has exactly one @."""
     part = lambda n: F.regexp_extract(purl, r"^pkg:([^/@]*)/?([^@]*)@([^@]*)$", n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depsift.functions import severity as S
 from depsift.functions import versions as V
+from depsift.functions.names import short_purl
 from depsift.operators import match
 from depsift.queries.registry import Tables, query
 
@@ -92,20 +93,20 @@ def enrich_by_alias(t: Tables) -> DataFrame:
 
 @query("""
     with statements as (
-        select cve, case when advisory_key % 2 = 0 then concat('pkg:', lower(ecosystem), '/', name) end as purl,
+        select cve, case when advisory_key % 2 = 0 then concat('pkg:', case ecosystem when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else ecosystem end, '/', name) end as purl,
                case advisory_key % 4 when 0 then 'not_affected' when 1 then 'affected' when 2 then 'fixed' else 'under_investigation' end as status
         from advisories where advisory_key % 2 = 0 or advisory_key % 5 = 0
     )
     select f.image, f.layer, f.cve, f.tool, coalesce(o.status, g.status) as vex_status, coalesce(coalesce(o.status, g.status) in ('not_affected', 'fixed'), false) as suppressed
-    from findings f left join statements o on o.cve = f.cve and o.purl = concat('pkg:', lower(f.ecosystem), '/', f.package)
+    from findings f left join statements o on o.cve = f.cve and o.purl = concat('pkg:', case f.ecosystem when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else f.ecosystem end, '/', f.package)
     left join statements g on g.cve = f.cve and g.purl is null
 """)
 def apply_vex(t: Tables) -> DataFrame:
     key = F.col("advisory_key")
-    purl = F.concat(F.lit("pkg:"), F.lower("ecosystem"), F.lit("/"), F.col("name"))
+    purl = short_purl(F.col("ecosystem"), F.col("name"))
     status = F.element_at(F.array(*map(F.lit, ("not_affected", "affected", "fixed", "under_investigation"))), (key % 4 + 1).cast("int"))
     statements = t.advisories.where((key % 2 == 0) | (key % 5 == 0)).select("cve", F.when(key % 2 == 0, purl).alias("purl"), status.alias("status"), key.alias("at"))
-    rows = t.findings.withColumn("purl", F.concat(F.lit("pkg:"), F.lower("ecosystem"), F.lit("/"), F.col("package")))
+    rows = t.findings.withColumn("purl", short_purl(F.col("ecosystem"), F.col("package")))
     return match.apply_vex(rows, statements).select("image", "layer", "cve", "tool", "vex_status", "suppressed")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsift.functions.names import short_purl
 from depsift.functions.severity import priority
 from depsift.queries.registry import Tables, query
 from depsift.sources import documents as D
 from depsift.sources import feeds
 
-_LISTED = """select pc.project, c.name, c.version, concat('pkg:', lower(c.ecosystem), '/', c.name, '@', c.version) as purl, c.license
+#: Package URL types of the tables' ecosystems, for the SQL side.
+_ECO = "case {0} when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else {0} end"
+_LISTED = f"""select pc.project, c.name, c.version, concat('pkg:', {_ECO.format('c.ecosystem')}, '/', c.name, '@', c.version) as purl, c.license
     from project_components pc join components c on c.component_id = pc.component_id"""
 
 
@@ -27,7 +30,7 @@ def read_cyclonedx(t: Tables) -> DataFrame:
     return feeds.cyclonedx(D.cyclonedx(listed(t)))
 
 
-@query(_LISTED.replace("c.license", "lower(c.ecosystem) as ecosystem, c.license"))
+@query(_LISTED.replace("c.license", _ECO.format("c.ecosystem") + " as ecosystem, c.license"))
 def read_spdx(t: Tables) -> DataFrame:
     return feeds.spdx(D.spdx(listed(t)))
 
@@ -74,14 +77,14 @@ def read_kev(t: Tables) -> DataFrame:
     return feeds.kev(docs).select("cve", "due_date")
 
 
-@query("""
-    select cve, case when advisory_key % 2 = 0 then concat('pkg:', lower(ecosystem), '/', name) end as product,
+@query(f"""
+    select cve, case when advisory_key % 2 = 0 then concat('pkg:', {_ECO.format('ecosystem')}, '/', name) end as product,
            case advisory_key % 4 when 0 then 'not_affected' when 1 then 'affected' when 2 then 'fixed' else 'under_investigation' end as status
     from advisories
 """)
 def read_vex(t: Tables) -> DataFrame:
     status = F.expr("case advisory_key % 4 when 0 then 'not_affected' when 1 then 'affected' when 2 then 'fixed' else 'under_investigation' end")
-    product = F.struct(D.purl(F.col("ecosystem"), F.col("name"), F.lit(None)).alias("@id"))
+    product = F.struct(short_purl(F.col("ecosystem"), F.col("name")).alias("@id"))
     products = F.when(F.expr("advisory_key % 2 = 0"), F.array(product)).otherwise(F.array().cast("array<struct<`@id`: string>>"))
     said = F.struct(F.struct(F.col("cve").alias("@id")).alias("vulnerability"), products.alias("products"), status.alias("status"))
     return feeds.vex(as_json(t.advisories, F.array(said).alias("statements"))).select("cve", "product", "status")
@@ -316,7 +319,7 @@ def read_maven_install(t: Tables) -> DataFrame:
     return feeds.maven_install(docs).select("file", "coordinates", "sha256", "repository", F.lit("").alias("dst")).union(edges)
 
 
-_FULL = "'pkg:' || lower(c.ecosystem) || '/' || c.name || '@' || c.version"
+_FULL = f"'pkg:' || {_ECO.format('c.ecosystem')} || '/' || c.name || '@' || c.version"
 
 
 @query(f"""
@@ -380,7 +383,7 @@ def union_sarif(t: Tables) -> DataFrame:
 @query("""
     with m as (select distinct pc.project, c.ecosystem, c.name, c.version, bool_or(pc.direct) as direct from project_components pc join components c on c.component_id = pc.component_id group by 1, 2, 3, 4)
     select project, ecosystem, case ecosystem when 'npm' then 'package.json' when 'PyPI' then 'requirements.txt' when 'Maven' then 'pom.xml' when 'Go' then 'go.mod' else 'Cargo.toml' end as manifest,
-        '{' || string_agg('"' || name || '@' || version || '":{"package_url":"pkg:' || lower(ecosystem) || '/' || name || '@' || version || '","relationship":"' || case when direct then 'direct' else 'indirect' end || '","scope":"runtime"}', ','
+        '{' || string_agg('"' || name || '@' || version || '":{"package_url":"pkg:' || case ecosystem when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else ecosystem end || '/' || name || '@' || version || '","relationship":"' || case when direct then 'direct' else 'indirect' end || '","scope":"runtime"}', ','
             order by name || '@' || version) || '}' as value from m group by 1, 2
 """)
 def write_dependency_snapshot(t: Tables) -> DataFrame:

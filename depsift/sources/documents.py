@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsift.functions.names import named, spdx_id
+from depsift.functions.names import named, short_purl, spdx_id
 
 #: Level of a result by priority (fixed values).
 LEVELS = {"P0": "error", "P1": "error", "P2": "warning", "P3": "note", "P4": "note"}
 XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 
-def purl(ecosystem: Column, name: Column, version: Column) -> Column:
-    return F.concat(F.lit("pkg:"), F.lower(ecosystem), F.lit("/"), name, F.coalesce(F.concat(F.lit("@"), version), F.lit("")))
-
-
 def _documents(rows: DataFrame, key: str, item: Column, wrap) -> DataFrame:
     """One JSON text per key; a document is one row, since a bill of materials is one file."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")).select(key, F.to_json(wrap(F.col("items"))).alias("value"))
@@ -31,7 +27,7 @@ def cyclonedx(components: DataFrame, key: str = "project") -> DataFrame:
         more.append(F.when(F.col("sha256").isNotNull(), F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("sha256").alias("content")))).alias("hashes"))
     if "url" in components.columns:
         more.append(F.when(F.col("url").isNotNull(), F.array(F.struct(F.lit("distribution").alias("type"), "url"))).alias("externalReferences"))
-    item = F.struct(F.lit("library").alias("type"), "name", "version", purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"), licences.alias("licenses"), *more)
+    item = F.struct(F.lit("library").alias("type"), "name", "version", short_purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"), licences.alias("licenses"), *more)
     return _documents(components, key, item, lambda x: F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), x.alias("components")))
 
 
@@ -41,7 +37,7 @@ def spdx_ref() -> Column:
 
 
 def spdx_package() -> Column:
-    link = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
+    link = short_purl(F.col("ecosystem"), F.col("name"), F.col("version"))
     ref = F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), link.alias("referenceLocator"))
     licence = F.coalesce("license", F.lit("NOASSERTION"))
     return F.struct(
@@ -105,7 +101,7 @@ def snapshot(packages: DataFrame, key: str = "project") -> DataFrame:
     """Per (key, ecosystem): the manifest's name, and a JSON map from name@version to purl and directness. Repeated packages are direct if one is."""
     rows = packages.groupBy(key, "ecosystem", "name", "version").agg(F.bool_or("direct").alias("direct"))
     relation = F.when(F.col("direct"), "direct").otherwise("indirect")
-    entry = F.struct(F.concat_ws("@", "name", "version").alias("k"), F.struct(purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("package_url"), relation.alias("relationship"), F.lit("runtime").alias("scope")).alias("v"))
+    entry = F.struct(F.concat_ws("@", "name", "version").alias("k"), F.struct(short_purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("package_url"), relation.alias("relationship"), F.lit("runtime").alias("scope")).alias("v"))
     entries = rows.groupBy(key, "ecosystem").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     return entries.select(key, "ecosystem", named(F.col("ecosystem"), MANIFESTS).alias("manifest"), F.to_json(F.map_from_entries("e")).alias("value"))
 
