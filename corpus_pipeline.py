@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from depsift.llm import exact, langid, mixing, packing, simhash
-from depsift.plans.lineage import ensure_checkpoint_dir
+from depsift.plans.lineage import ensure_checkpoint_dir, remove
 
 
 def free(docs: DataFrame, name: str) -> str:
@@ -93,12 +93,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet in the shared folder and read again."""
+    """All stages over `documents`, each written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once the next stage is written; that of the last but one stays, as the result reads it.
+    """
     ensure_checkpoint_dir(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Project licence, risk, licences of dependencies at that risk.
+# Project licence, risk, licences of dependencies at that risk; equal licences are safe anyway.
 LICENSE_RISKS = (
-    ("MIT", "Safe", ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense")),
+    ("MIT", "Safe", ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense")),
     ("MIT", "Critical", ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")),
-    ("Apache-2.0", "Safe", ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD")),
+    ("Apache-2.0", "Safe", ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD")),
     ("Apache-2.0", "High", ("GPL-2.0-only", "GPL-2.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")),
     ("Apache-2.0", "Medium", ("GPL-3.0-only", "GPL-3.0-or-later")),
     ("BSD-2-Clause", "Safe", ("MIT", "Apache-2.0", "BSD-3-Clause", "ISC")),
