@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from depsift.llm import encoders
 
 SPACE = "▁"
 #: Segments and pairs of pieces that are remembered at a time in one worker, and the longest such segment.
-REMEMBERED, LONG = 400_000, 60
+REMEMBERED, LONG = 200_000, 60
 
 
 class PrefixTable:
@@ -76,13 +77,12 @@ class PrefixCounter:
         barred = (m.is_control, m.is_unknown, m.is_unused, m.is_byte)
         self.ids = {m.id_to_piece(i): i for i in range(m.vocab_size()) if not any(f(i) for f in barred)}
         self.names = {i: p for p, i in self.ids.items()}
-        self.endings: dict = {}  # pieces read from their ends: a character leads on, 0 has the id of the piece that begins here
+        self.found = ahocorasick.Automaton()  # tells the pieces that end at each character, the longest first
         for piece, i in self.ids.items():
-            node = self.endings
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[0] = i
+            self.found.add_word(piece, (len(piece), i))
+        self.found.make_automaton()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.lead = m.encode("a", out_type=str)[0].startswith(SPACE)
         self.supported = self._supported()
@@ -112,29 +112,34 @@ class PrefixCounter:
 
     def inside(self, segment: str) -> list[int]:
         """Token counts of the segment's prefixes of 1, 2, ... characters."""
-        endings, pairs = self.endings, self.pairs
-        count, last = [0], [-1]
-        for end in range(1, len(segment) + 1):
-            node, at, found = endings, end, []
-            while at and (node := node.get(segment[at - 1])) is not None:
-                at -= 1
-                if 0 in node:
-                    found.append((at, node[0]))
-            for start, piece in reversed(found):
-                left = last[start]
-                if left < 0:
-                    break
-                apart = pairs.get(left << 32 | piece)
-                if self._apart(left, piece) if apart is None else apart:
-                    break
-            else:  # a character without a piece: one token for each byte, joined to nothing
-                count.append(count[end - 1] + len(segment[end - 1].encode()))
-                last.append(-1)
+        pairs, n = self.pairs, len(segment)
+        count, last, done = [0] * (n + 1), [-1] * (n + 1), 0
+        for end, (size, piece) in self.found.iter(segment):
+            end += 1
+            if end <= done:
                 continue
-            count.append(count[start] + 1)
-            last.append(piece)
+            start = end - size
+            while done < end - 1:
+                done += 1
+                self._bytes(segment, done, count)
+            left = last[start]
+            if left >= 0:
+                apart = pairs.get(left << 32 | piece)
+                if not (self._apart(left, piece) if apart is None else apart):
+                    continue
+            count[end] = count[start] + 1
+            last[end] = piece
+            done = end
+        while done < n:
+            done += 1
+            self._bytes(segment, done, count)
         return count[1:]
 
+    @staticmethod
+    def _bytes(segment: str, end: int, count: list[int]) -> None:
+        """A character without a piece: one token for each byte, joined to nothing."""
+        count[end] = count[end - 1] + len(segment[end - 1].encode())
+
     def _apart(self, left: int, right: int) -> bool:
         if len(self.pairs) > REMEMBERED:
             self.pairs.clear()
@@ -143,20 +148,27 @@ class PrefixCounter:
         return both == [left, right]
 
     def table(self, text: str) -> PrefixTable:
+        segments = self.segments(text)
+        if len(self.known) > REMEMBERED:  # segments met since the last time stay for another
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         parts: list[list[int] | bytes] = []
-        known = self.known
-        for s in self.segments(text):
+        for s in segments:
             inner = known.get(s)
             if inner is None:
-                inner = self.inside(s)
+                inner = before.get(s) or self.inside(s)
                 if len(s) <= LONG:  # four tokens a character at most, so counts fit in bytes
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[s] = bytes(inner)
+                    known[s] = inner = bytes(inner)
             parts.append(inner)
         return PrefixTable(parts, len(SPACE) if self.lead and text else 0)
 
 
+@functools.lru_cache(maxsize=1)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One counter a worker, so that what it has met serves its later tasks too."""
+    return PrefixCounter(path)
+
+
 def count_tokens(
     docs: DataFrame, path: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -174,7 +186,7 @@ def count_tokens(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
             tokens, fits, sizes = [], [], []
             for value in batch.column(1):
