@@ -1,10 +1,12 @@
-"""Joins whose hot keys are split over tasks."""
+"""Joins whose hot keys are split over tasks, and running sums over whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from depsift.plans.lineage import cut
+
 #: Rows of a table that is broadcast; larger ones are joined by a shuffle.
 SMALL = 300_000
 #: Rows of a key that one task may get, keys that are split, and parts of one key.
@@ -35,3 +37,24 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], turn: str,
     left = rows.join(top, keys, "left").withColumn("__part", F.pmod(F.xxhash64(turn), many).cast("int")).drop("__parts")
     right = groups.join(top, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), many - 1))).drop("__parts")
     return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], rank: str) -> DataFrame:
+    """Rows with their place in a total order and sums up to each row, it included, with no task that sees all rows.
+
+    Rows are dealt by range and numbered inside each range; what the ranges before hold, a row for each range, comes
+    through the driver. `order` must tell rows apart. `sums` maps new columns to what is added up.
+    """
+    parts = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    inside = W.partitionBy("__range").orderBy(*order)
+    found = parts.groupBy("__range").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(sums.values())]).orderBy("__range").collect()
+    before, at = [], [0] + [0.0] * len(sums)
+    for r in found:
+        before.append((r[0], *at))
+        at = [a + (b or 0) for a, b in zip(at, r[1:])]
+    schema = "__range int, __n long" + "".join(f", __s{i} double" for i in range(len(sums)))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, schema))
+    out = parts.join(offsets, "__range").withColumn(rank, F.col("__n") + F.row_number().over(inside))
+    for i, (name, c) in enumerate(sums.items()):
+        out = out.withColumn(name, F.col(f"__s{i}") + F.sum(c).over(inside))
+    return out.drop("__range", "__n", *[f"__s{i}" for i in range(len(sums))])

@@ -101,3 +101,15 @@ def test_a_hot_key_is_split(spark):
     plain = lambda how: sorted(map(str, rows.join(groups, "k", how).collect()))
     for how in ("inner", "left"):
         assert sorted(map(str, spread_join(rows, groups, ["k"], "i", how, hot=50).collect())) == plain(how)
+
+
+def test_running_sums_over_a_table(spark):
+    from depsift.plans.skew import running
+
+    rows = spark.createDataFrame([(None if i == 7 else (i * 37) % 101, float(i)) for i in range(100)], "k long, v double").repartition(5)
+    found = sorted((r.k is None, r.k, r.v, r.at, r.s) for r in running(rows, [F.col("k").asc_nulls_last()], {"s": F.col("v")}, "at").collect())
+    total = 0.0
+    for place, (_, _, v, at, s) in enumerate(found, 1):
+        total += v
+        assert (at, s) == (place, total)
+    assert running(rows.limit(0), [F.col("k").asc()], {"s": F.col("v")}, "at").count() == 0
