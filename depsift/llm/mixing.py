@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from depsift.plans.lineage import cut
+from depsift.plans.skew import running
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,21 +29,22 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
     """Targets of (source, source_size): weights in code-point order with null last, shared by water filling.
 
     The table has one row per source. Each source gets `weight * level`, at most `most * source_size`; the
-    level is the one at which the targets add up to `share` of all sizes.
+    level is the one at which the targets add up to `share` of all sizes. Sources may be many: their order and the
+    sums up to each are those of a range sort.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    last = F.col("source").asc_nulls_last()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = sources.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    s = running(sources, [last], {}, "place")
+    s = s.withColumn("weight", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    upto = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    s = s.withColumn("caps", F.sum("cap").over(upto)).withColumn("rest", F.sum("weight").over(everything) - F.sum("weight").over(upto))
-    s = s.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-    s = s.withColumn("capped", F.col("caps") + F.col("ratio") * F.col("rest") <= F.col("total"))
-    taken = F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0.0))
-    open_weight = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    s = s.withColumn("level", (F.col("total") - taken) / open_weight)
-    return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
+    s = running(s, [F.col("ratio").asc(), last], {"caps": F.col("cap"), "weights": F.col("weight")}, "turn")
+    size, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = float(size or 0) * share
+    rest = F.lit(float(all_weights or 0)) - F.col("weights")
+    s = cut(s.withColumn("capped", F.col("caps") + F.col("ratio") * rest <= F.lit(total)))
+    taken, open_weight = s.agg(F.sum(F.when(F.col("capped"), F.col("cap"))), F.sum(F.when(~F.col("capped"), F.col("weight")))).first()
+    level = F.lit((total - (taken or 0.0)) / open_weight if open_weight else 0.0)
+    return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
 def bucket_of(key: Column, mark: Column, buckets: int) -> Column:
