@@ -15,7 +15,7 @@ from depsift.plans.lineage import cut
 from depsift.plans.skew import spread_join
 
 #: Vectors of one cell and label that are compared in one group; larger ones are compared block by block.
-BLOCK = 2048
+BLOCK = 4096
 #: The k-means sample: at most this many vectors and numbers.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 4_000_000
 
@@ -66,14 +66,14 @@ def _links(table: pa.Table, threshold: float, number: str = "<f4") -> tuple[np.n
     copies = table.column("n").to_numpy()
     whole = table.column("a")[0] == table.column("b")[0]
     norm = np.linalg.norm(m, axis=1)
-    adjacent = np.zeros((len(m), len(m)), bool)
+    adjacent, sums = np.zeros((len(m), len(m)), bool), np.zeros(len(m), np.int64)
     for i in range(0, len(m), 512):
-        part = slice(i, i + 512)
+        part = slice(i, min(i + 512, len(m)))
         cosine = m[part] @ m.T / (norm[part, None] * norm[None])
         meet = home[part, None] | home[None]
         adjacent[part] = (cosine >= threshold) & (meet if whole else meet & (own[part, None] != own[None]))
-    np.fill_diagonal(adjacent, False)
-    sums = adjacent @ copies
+        adjacent[np.arange(part.start, part.stop), np.arange(part.start, part.stop)] = False
+        sums[part] = adjacent[part] @ copies
     label = np.arange(len(m))
     seen = np.zeros(len(m), bool)
     for seed in np.flatnonzero(adjacent.any(axis=1)):
