@@ -96,11 +96,6 @@ def parse_version3(v: Column) -> Column:
     return F.when(base.rlike(r"^\d+\.\d+\.\d+$"), F.struct(*[parts[i].try_cast("long").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
 
 
-def last_event(events: Column, kind: str) -> Column:
-    """The last event of a kind in an array of {introduced, fixed, last_affected} structs."""
-    return F.element_at(F.filter(F.transform(events, lambda e: e[kind]), lambda x: x.isNotNull()), -1)
-
-
 def _last(events: Column, kind: str) -> Column:
     found = F.filter(F.transform(events, lambda e: e[kind]), lambda x: x.isNotNull())
     return F.get(F.reverse(found), F.lit(0))

@@ -123,13 +123,6 @@ def malicious_lookup(t: Tables) -> DataFrame:
     return match.malicious_lookup(t.components, listed).select("component_id", "cve")
 
 
-def _os_tables(t: Tables, version) -> tuple[DataFrame, DataFrame]:
-    packages = t.components.select((F.col("component_id") % 3).alias("release"), F.col("name").alias("package"), "component_id", version(F.col("version")).alias("installed"))
-    a = F.col("advisory_key")
-    fixes = t.advisories.select((a % 2).alias("release"), F.col("name").alias("package"), "cve", F.when(F.col("fixed").isNotNull(), version(F.col("fixed"))).alias("fixed"))
-    return packages, fixes
-
-
 @query("select cve, " + PRIORITY.replace("k.cve is not null", "advisory_key % 23 = 0").replace("a.cvss", "cvss").replace("e.epss", "cast(advisory_key * 37 % 1000 as double) / 1000.0") + " as priority from advisories")
 def priority(t: Tables) -> DataFrame:
     a = t.advisories

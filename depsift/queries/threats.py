@@ -66,10 +66,6 @@ def malicious_db(t: Tables) -> DataFrame:
     return rows.select("name", "ecosystem", "id", F.get("versions", F.lit(0)).alias("versions"), "description")
 
 
-_META = """case when component_id % 2 = 0 then 'u' end as repository_url, case component_id % 3 when 0 then 'short' when 1 then 'a long description' end as description,
-    case when component_id % 5 = 0 then 'h' end as homepage_url, component_id % 60 as total_versions, case when component_id % 4 > 0 then license end as license"""
-
-
 @query("""
     with m as (select component_id, case when component_id % 2 = 0 then 0 else 1 end as a, case when component_id % 3 = 1 then 0 else 1 end as b,
                       case when component_id % 10 in (1, 3, 7, 9) then 1 else 0 end as c, case when component_id % 60 < 3 then 1 else 0 end as d,
