@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depsift.functions.severity import severity_rank
+from depsift.plans.lineage import cut
 
 
 def query_audit(entries: DataFrame, since: int | None = None, until: int | None = None, action: str | None = None, result: str | None = None) -> DataFrame:
@@ -88,7 +89,8 @@ def config_diff(pairs: DataFrame, by: str) -> DataFrame:
     """(by, path, change): dotted keys that only one of two JSON objects has. pairs: by, old, new (texts).
 
     Objects on both sides are compared key by key, down to any depth; under a key that only one side has, and of values
-    that are no object on one side, nothing more is told. A step of the loop is a level of nesting.
+    that are no object on one side, nothing more is told. Null texts and texts that are no object have no keys. A step of
+    the loop is a level of nesting, cut from the one before.
     """
     level = pairs.select(by, F.lit("").alias("at"), *[F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")).alias(c) for c in ("old", "new")])
     out, kind = None, "map<string,string>"
@@ -100,7 +102,7 @@ def config_diff(pairs: DataFrame, by: str) -> DataFrame:
         both = level.select(by, "at", "old", "new", F.explode(F.array_intersect(F.map_keys("old"), F.map_keys("new"))).alias("k"))
         sides = both.select(by, path(F.col("k")).alias("at"), *[F.element_at(c, F.col("k")).alias(c) for c in ("old", "new")])
         sides = sides.where("ltrim(old) like '{%' and ltrim(new) like '{%'")
-        level = sides.select(by, "at", *[F.from_json(c, kind).alias(c) for c in ("old", "new")]).where("old is not null and new is not null")
+        level = cut(sides.select(by, "at", *[F.from_json(c, kind).alias(c) for c in ("old", "new")]).where("old is not null and new is not null"))
         if level.isEmpty():
             return out
 

@@ -54,10 +54,11 @@ def upgrade_effort(direct: DataFrame, changes: DataFrame, key: str = "upgrade")
 def api_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(class, kind, signature) of what two versions of an artifact differ in.
 
-    Versions: class, methods, fields (arrays of signatures). Members are told of classes that both have only.
+    Versions: class, methods, fields (arrays of signatures, null ones have none). Members are told of classes that both have only.
     """
-    a = old.select("class", F.col("methods").alias("m0"), F.col("fields").alias("f0"), F.lit(True).alias("in0"))
-    b = new.select("class", F.col("methods").alias("m1"), F.col("fields").alias("f1"), F.lit(True).alias("in1"))
+    listed = lambda c, n: F.coalesce(c, F.array().cast("array<string>")).alias(n)
+    a = old.select("class", listed("methods", "m0"), listed("fields", "f0"), F.lit(True).alias("in0"))
+    b = new.select("class", listed("methods", "m1"), listed("fields", "f1"), F.lit(True).alias("in1"))
     item = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("signature")))
     members = F.concat(
         item("RemovedMethod", F.array_except("m0", "m1")), item("AddedMethod", F.array_except("m1", "m0")),
