@@ -39,6 +39,25 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], turn: str,
     return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
+def numbered(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """Checkpointed rows with their place in a total order, from 1, with no task that sees all rows.
+
+    Rows are dealt by range, sorted inside each range and numbered as they are written; the numbers of rows in the
+    ranges before, one for each partition, come through the driver. Rows that `order` doesn't tell apart get places
+    next to each other in any order.
+    """
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # monotonically_increasing_id holds the partition above 33 bits of row numbers
+    found = parts.groupBy(F.shiftright("__at", 33).cast("int").alias("__range")).agg(F.count("*").alias("n")).orderBy("__range").collect()
+    before, at = [], 0
+    for r in found:
+        before.append((r[0], at))
+        at += r[1]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__range int, __n long"))
+    placed = parts.withColumn("__range", F.shiftright("__at", 33).cast("int")).join(offsets, "__range")
+    return placed.withColumn(rank, F.col("__n") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__range", "__n", "__at")
+
+
 def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], rank: str) -> DataFrame:
     """Rows with their place in a total order and sums up to each row, it included, with no task that sees all rows.
 
