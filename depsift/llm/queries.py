@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsift.llm import embeddings, exact, html_main, langid, license_scan, mixing, packing, simhash, suffixes, token_counts
+from depsift.llm import embeddings, exact, hard_negatives, html_main, langid, license_scan, mixing, packing, prefix_trie, sharding, simhash, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,104 @@ def op10_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_mine_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+def op12_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: CRC-32 in SQL: the table of its 256 remainders, and an expression over it (`crc_table` must be in the from clause).
+CRC_TABLE = """
+        remainders as (
+            select n, list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, n) as v from range(256) r(n)
+        ), crc_table as (select list(v order by n) as crc from remainders)"""
+CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint),
+                lambda a, x: xor(a >> 8, crc[(xor(a & 255, x) + 1)::int]), 4294967295::bigint), 4294967295)"""
+
 SQL = {
+    "op11_mine_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+            from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0
+        ), positives as (
+            select anchor_id, other_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+        )
+        select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int as rank,
+               s.other_id as negative_id, p.positive_score, s.score as negative_score
+        from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+        where 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+        qualify rank <= 5
+    """,
+    "op12_shard_documents": """
+        with""" + CRC_TABLE + """, keyed as (
+            select doc_id, strlen(coalesce(text, '')) + 1 as size, """ + CRC.format(text="coalesce(text, '')") + """ as text_crc32,
+                   coalesce('=' || source, '-') as stratum, md5('11/' || coalesce('=' || doc_id::varchar, '-' || coalesce(text, ''))) as digest
+            from documents, crc_table
+        ), ranked as (
+            select *, (2 * row_number() over (partition by stratum order by digest, doc_id, text_crc32) - 1) / (2 * count(*) over (partition by stratum))::double as fraction
+            from keyed
+        ), placed as (
+            select *, row_number() over (order by fraction, stratum, digest, doc_id, text_crc32) - 1 as place, count(*) over () as total from ranked
+        ), cut as (
+            select *, place * 8 // total as shard from placed
+        )
+        select doc_id, size::bigint as size, text_crc32, 'rows' as law, shard::int as shard,
+               row_number() over (partition by shard order by place) - 1 as slot, null::int as grown_shard
+        from cut
+    """,
+    "op13_conversation_trie": """
+        with""" + CRC_TABLE + """, own as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn asc nulls first) as pos
+            from conversations where conv_id is not null
+        ), convs as (
+            select conv_id as c, conv_id - conv_id % 5 as base, """ + CRC.format(text="conv_id::varchar") + """ % 9 as h
+            from (select distinct conv_id from conversations where conv_id is not null), crc_table
+        ), rebuilt as (
+            select c, list({'role': role, 'text': text} order by part, pos) filter (where pos is not null) as turns from (
+                select c, 0 as part, pos, role, text from convs left join own on own.conv_id = base and pos <= h
+                union all select c, 1, pos, role, text from convs join own on own.conv_id = c and pos > h
+            ) group by c
+        ), paths as (
+            select c, coalesce(turns, []) as turns, coalesce(len(turns), 0) as n from rebuilt
+        ), members as (
+            select c, d as depth, turns[1:d] as path, d = n as ended from paths, unnest(range(n + 1)) r(d)
+        ), nodes as (
+            select depth, path, min(c) as conv_id, count(*) as n_convs,
+                   sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ended), '')) as ends_sha256,
+                   case when depth > 0 then (count(*) - 1) * strlen(path[depth].text) else 0 end as saved
+            from members group by depth, path
+        ), linked as (
+            select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes k where k.depth = n.depth + 1 and k.path[1:n.depth] = n.path) as n_children
+            from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
+        )
+        select a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, sum((b.n_children = 0)::int)::bigint as n_leaves,
+               sum(b.saved)::bigint as saved_tokens, a.ends_sha256
+        from linked a join linked b on b.depth >= a.depth and b.path[1:a.depth] = a.path
+        group by a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+    """,
     "op9_embedding_near_dedup": """
         with recursive v as (
             select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
