@@ -46,47 +46,60 @@ def semver_compare(a: Column, b: Column) -> Column:
 
 
 def apk_key(v: Column) -> Column:
-    """Sort key of an apk version: leading digits of the dotted parts (others dropped), then the release."""
-    base = F.regexp_extract(v, r"^(.*?)(?:-r(\d*))?$", 1)
-    release = F.regexp_extract(v, r"-r(\d+)$", 1)
+    """Sort key of an apk version: leading digits of the dotted parts (parts without any are dropped), then the release.
+
+    The release is what follows the last `-r`, 0 if that is no number. Parts may be any number: one that ends sorts as
+    with zeros, so zeros at the end are left out, and the end sorts before any other part.
+    """
+    base, release = F.regexp_replace(v, r"(?s)-r(?!.*-r).*$", ""), F.regexp_extract(v, r"(?s)^.*-r(\d+)$", 1)
     numbers = F.filter(F.transform(F.split(base, r"\."), lambda p: F.regexp_extract(p, r"^(\d+)", 1)), lambda p: p != "")
-    zero = number_key(F.lit("0"))
-    eight = F.slice(F.concat(F.transform(numbers, number_key), F.array_repeat(zero, 8)), 1, 8)
-    return F.concat(F.array_join(eight, ""), F.lit("r"), number_key(F.coalesce(F.nullif(release, F.lit("")), F.lit("0"))))
+    joined = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("."), number_key(n))), "")
+    return F.concat(F.regexp_replace(joined, r"(\.00010)+$", ""), F.lit("!"), number_key(_or_zero(release)))
 
 
-def _epoch(v: Column) -> Column:
-    return number_key(F.coalesce(F.nullif(F.regexp_extract(v, r"^(\d+):", 1), F.lit("")), F.lit("0")))
+def _or_zero(digits: Column) -> Column:
+    return F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
 
 
 def _deb_order(text: Column) -> Column:
-    """Sort key by Debian policy: digit runs by value; elsewhere `~` before the end, letters, then the rest."""
-    char = lambda c: (
-        F.when(c == "~", F.lit("0")).when(c.rlike("[A-Za-z]"), F.concat(F.lit("3"), c)).otherwise(F.concat(F.lit("4"), c))
-    )
-    tokens = F.regexp_extract_all(text, F.lit(r"\d+|\D"), F.lit(0))
-    coded = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+$"), F.concat(F.lit("2"), number_key(t))).otherwise(char(t)))
+    """Sort key by Debian policy: by turns a run of other characters and a number, which is 0 where digits are absent.
+
+    In a run, `~` sorts before its end, then letters, then the rest. The end of a text is the end of an empty run.
+    """
+    code = lambda c: F.when(c == "~", F.lit("0")).when(c.rlike("[A-Za-z]"), F.concat(F.lit("3"), c)).otherwise(F.concat(F.lit("4"), c))
+    run = lambda t: F.array_join(F.transform(F.regexp_extract_all(F.regexp_extract(t, r"^(\D*)", 1), F.lit("(?s)."), F.lit(0)), code), "")
+    pairs = F.regexp_extract_all(text, F.lit(r"\D*\d+|\D+"), F.lit(0))
+    pairs = F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.lit("0")))
+    coded = F.transform(pairs, lambda t: F.concat(run(t), F.lit("1"), number_key(_or_zero(F.regexp_extract(t, r"(\d*)$", 1)))))
     return F.concat(F.array_join(coded, ""), F.lit("1"))
 
 
 def deb_key(v: Column) -> Column:
     """Sort key of a Debian version: epoch, upstream version, revision.
 
-    `~` sorts before everything, even the end, as Debian policy asks for.
+    `~` sorts before everything, even the end, as Debian policy asks for; an absent revision equals 0.
     """
-    rest = F.regexp_replace(v, r"^\d+:", "")
-    return F.concat(_epoch(v), _deb_order(F.regexp_replace(rest, r"-[^-]*$", "")), F.lit("/"), _deb_order(F.regexp_extract(rest, r"-([^-]*)$", 1)))
+    epoch, rest = number_key(_or_zero(F.regexp_extract(v, r"^(\d+):", 1))), F.regexp_replace(v, r"^\d+:", "")
+    revision = F.regexp_extract(rest, r"(?s)-([^-]*)$", 1)
+    return F.concat(epoch, _deb_order(F.regexp_replace(rest, r"(?s)-[^-]*$", "")), F.lit("/"), _deb_order(revision))
 
 
 def rpm_key(v: Column) -> Column:
-    """Sort key of an rpm version: epoch, then parts between dots and dashes; numbers rank above text."""
-    rest = F.regexp_replace(v, r"^\d+:", "")
-    coded = F.transform(
-        F.split(rest, r"[.\-]"),
-        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("2"), number_key(p))).otherwise(F.concat(F.lit("1"), p, F.lit("!"))),
+    """Sort key of an rpm version: epoch, then parts between dots and dashes; numbers rank above text.
+
+    Parts may be any number, and a version that ends sorts as one with zeros. So a part is coded together with the zeros in
+    front of it: text after zeros lies below the end, and the less so the more zeros there are; a greater number lies
+    above the end, and the more so the fewer there are.
+    """
+    epoch = F.when(v.rlike(r"^\d+:"), F.regexp_extract(v, r"^(\d+):", 1)).otherwise(F.lit("0"))
+    parts = F.split(F.regexp_replace(v, r"(?s)^[^:]*:", ""), r"[.\-]")
+    start = F.struct(F.lit(0).alias("zeros"), F.lit("").alias("key"))
+    number = lambda s, p: F.concat(s["key"], F.lit("3"), F.lpad((F.lit(9_999_999) - s["zeros"]).cast("string"), 7, "0"), number_key(p))
+    text = lambda s, p: F.concat(s["key"], F.lit("1"), F.lpad(s["zeros"].cast("string"), 7, "0"), p, F.lit("\x01"))
+    added = lambda s, p: F.when(p.rlike(r"^0+$"), F.struct((s["zeros"] + 1).alias("zeros"), s["key"].alias("key"))).otherwise(
+        F.struct(F.lit(0).alias("zeros"), F.when(p.rlike(r"^\d+$"), number(s, p)).otherwise(text(s, p)).alias("key"))
     )
-    zero = F.concat(F.lit("2"), number_key(F.lit("0")))
-    return F.concat(_epoch(v), F.array_join(F.slice(F.concat(coded, F.array_repeat(zero, 12)), 1, 12), ""))
+    return F.concat(number_key(epoch), F.aggregate(parts, start, added, lambda s: F.concat(s["key"], F.lit("2"))))
 
 
 def parse_version3(v: Column) -> Column:

@@ -166,25 +166,54 @@ def semver_compare(t: Tables) -> DataFrame:
     return v.select("component_id", V.semver_compare(F.col("v"), other).alias("against"))
 
 
-def _order_query(name: str, key, ladder: tuple[str, ...]):
-    """Versions of each component's own number n with every ending of a ladder, the lowest first, against the middle one."""
+def _order_query(name: str, key, ladder: tuple[str, ...], made: str, other: str, sides: str):
+    """Versions of each component's own number n with every ending of a ladder, the lowest first, against the middle one; and
+    versions `made` and `other` of the component's columns, with as many parts as its size, against each other.
+
+    `sides` is SQL for lists a and b that sort as these versions do.
+    """
     listed = ", ".join(f"'{x}'" for x in ladder)
-    sql = f"select component_id, sign((component_id % {len(ladder)}) - {len(ladder) // 2})::int as against from components"
+    sql = f"""
+        select component_id, sign((component_id % {len(ladder)}) - {len(ladder) // 2})::int as against, case when a < b then -1 when a > b then 1 else 0 end as by_columns
+        from (select component_id, {sides} from (select *, floor(price)::bigint as p, {NUMS.format('version')} as v, substr(brand, 7)::bigint as b from components))
+    """
 
     def run(t: Tables) -> DataFrame:
         ending = F.expr(f"element_at(array({listed}), cast(component_id % {len(ladder)} + 1 as int))")
         number = F.col("component_id").cast("string")
-        made = lambda e: F.replace(e, F.lit("n"), number)
-        return t.components.select("component_id", V.compare_keys(key(made(ending)), key(made(F.lit(ladder[len(ladder) // 2])))).alias("against"))
+        filled = lambda e: F.replace(e, F.lit("n"), number)
+        rows = t.components.withColumn("p", F.floor("price")).withColumn("b", F.substring("brand", 7, 9).cast("bigint"))
+        return rows.select(
+            "component_id", V.compare_keys(key(filled(ending)), key(filled(F.lit(ladder[len(ladder) // 2])))).alias("against"),
+            V.compare_keys(key(F.expr(made)), key(F.expr(other))).alias("by_columns"),
+        )
 
     run.__name__ = name
     query(sql)(run)
 
 
-#: Orders of each distribution by its own rules, n being a number: epochs, pre-releases, letters, releases, long numbers.
-_order_query("apk_compare", V.apk_key, ("n.1.9-r20", "n.2-r1", "n.2-r10", "n.2.1-r0", "n.10-r0", "n.20240101120000-r3", "n.20240101120000.1-r0"))
-_order_query("deb_compare", V.deb_key, ("n.2~~-1", "n.2~rc1-1", "n.2~rc10-1", "n.2-1", "n.2-1ubuntu1", "n.2-10", "n.2a-1", "n.2+b1-1", "n.10-1", "n.20240101120000-1", "1:n.1-1"))
-_order_query("rpm_compare", V.rpm_key, ("n.b-1", "n.c-1", "n.2-9.el7", "n.2-25.el7", "n.3-1", "n.10-1", "n.20240101120000-1", "1:n.1-1", "2:n.0-1"))
+#: Orders of each distribution by its own rules, n being a number: epochs, pre-releases, letters, releases, long numbers, many parts.
+_order_query(
+    "apk_compare", V.apk_key, ("n.1.9-r20", "n.2-r1", "n.2-r10", "n.2.1-r0", "n.10-r0", "n.20240101120000-r3", "n.20240101120000.1-r0"),
+    "concat(version, repeat('.0', size), '.', p % 3, 'x-r', size)", "concat(version, if(p % 2 = 0, '.0', ''), repeat('.0', cast(b as int)), '.', p % 5 div 4, '-r', b)",
+    """list_resize(v || list_transform(range(size), lambda i: 0) || [p % 3], 99, 0) || [size] as a,
+       list_resize(v || list_transform(range(b + (p % 2 = 0)::int), lambda i: 0) || [p % 5 // 4], 99, 0) || [b] as b""",
+)
+_order_query(
+    "deb_compare", V.deb_key, ("n.2~~-1", "n.2~rc1-1", "n.2~rc10-1", "n.2-1", "n.2-1ubuntu1", "n.2-10", "n.2a-1", "n.2+b1-1", "n.10-1", "n.20240101120000-1", "1:n.1-1"),
+    "concat(version, repeat('.1', size), if(p % 3 = 0, concat('~rc', b), ''), case p % 4 when 0 then '' when 1 then '-0' else concat('-', size % 3) end)",
+    "concat(version, repeat('.1', size), if(b % 3 = 0, concat('~rc', size), ''), case b % 4 when 0 then '-' when 1 then '' else concat('-', p % 3) end)",
+    """[case when p % 3 = 0 then b - 1000 else 0 end, case when p % 4 < 2 then 0 else size % 3 end] as a,
+       [case when b % 3 = 0 then size - 1000 else 0 end, case when b % 4 < 2 then 0 else p % 3 end] as b""",
+)
+_order_query(
+    "rpm_compare", V.rpm_key, ("n.b-1", "n.c-1", "n.2-9.el7", "n.2-25.el7", "n.3-1", "n.10-1", "n.20240101120000-1", "1:n.1-1", "2:n.0-1"),
+    "concat(version, repeat('.0', size), case p % 3 when 0 then '' when 1 then '.el7' else '-1' end)", "concat(version, repeat('-0', cast(b as int)), case size % 3 when 0 then '' when 1 then '.el7' else '.1' end)",
+    """list_resize(list_transform(v || list_transform(range(size), lambda i: 0), lambda n: '2' || lpad(n::varchar, 9, '0')) || [['20', '1el7', '2000000001'][p % 3 + 1]], 99, '20')
+           .list_transform(lambda k: rpad(k, 10, '0')) as a,
+       list_resize(list_transform(v || list_transform(range(b), lambda i: 0), lambda n: '2' || lpad(n::varchar, 9, '0')) || [['20', '1el7', '2000000001'][size % 3 + 1]], 99, '20')
+           .list_transform(lambda k: rpad(k, 10, '0')) as b""",
+)
 
 
 @query("""

@@ -1,5 +1,8 @@
 """Ported cases of versions, scores and components."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,72 @@ def test_keys_sort(spark, key, ordered):
     assert [r[0] for r in df.orderBy(key(F.col("v"))).collect()] == ordered
 
 
+def _apk_parts(v):
+    base, _, release = v.rpartition("-r") if "-r" in v else (v, "", "0")
+    numbers = [re.match(r"\d*", p).group() for p in base.split(".")]
+    return [int(n) for n in numbers if n], int(release) if release.isdigit() else 0
+
+
+def _apk_cmp(a, b):
+    (x, r), (y, s) = _apk_parts(a), _apk_parts(b)
+    n = max(len(x), len(y))
+    x, y = x + [0] * (n - len(x)), y + [0] * (n - len(y))
+    return ((x, r) > (y, s)) - ((x, r) < (y, s))
+
+
+def _rpm_cmp(a, b):
+    split = lambda v: ((int(v.split(":")[0]) if v.split(":")[0].isdigit() else 0) if ":" in v else 0, re.split(r"[.-]", v.split(":", 1)[-1]))
+    (e, x), (f, y) = split(a), split(b)
+    rank = lambda p: (1, int(p), "") if p.isdigit() else (0, 0, p)
+    n = max(len(x), len(y))
+    x, y = (e, [rank(p) for p in x + ["0"] * (n - len(x))]), (f, [rank(p) for p in y + ["0"] * (n - len(y))])
+    return (x > y) - (x < y)
+
+
+def _deb_cmp(a, b):
+    """Debian policy, read step by step."""
+
+    def part(x, y):
+        while x or y:
+            p, q = re.match(r"\D*", x).group(), re.match(r"\D*", y).group()
+            x, y = x[len(p):], y[len(q):]
+            order = lambda c: -1 if c == "~" else 0 if c == "" else ord(c) if c.isalpha() else ord(c) + 256
+            for i in range(max(len(p), len(q))):
+                c, d = order(p[i : i + 1]), order(q[i : i + 1])
+                if c != d:
+                    return (c > d) - (c < d)
+            p, q = re.match(r"\d*", x).group(), re.match(r"\d*", y).group()
+            x, y = x[len(p):], y[len(q):]
+            if int(p or 0) != int(q or 0):
+                return 1 if int(p or 0) > int(q or 0) else -1
+        return 0
+
+    def split(v):
+        epoch, rest = v.split(":", 1) if re.match(r"\d+:", v) else ("0", v)
+        up, _, rev = rest.rpartition("-") if "-" in rest else (rest, "", "")
+        return int(epoch), up, rev
+
+    (e, u, r), (f, v, s) = split(a), split(b)
+    return ((e > f) - (e < f)) or part(u, v) or part(r, s)
+
+
+DEEP = ["1" + ".1" * 7 + ".1", "1" + ".1" * 7 + ".2", "1" + ".0" * 13 + ".1", "1" + ".0" * 13 + ".2", "1" + ".0" * 13, "1", "1.0", "1.0.0.0", "0", "0.0", ""]
+
+
+@pytest.mark.parametrize("key, compare, pieces", [
+    (V.apk_key, _apk_cmp, ["1", "2", "10", "0", "00", ".", ".0", ".0.0", "a", "_rc1", "-r", "-r1", "-r10", "-rc", "b2"]),
+    (V.rpm_key, _rpm_cmp, ["1", "2", "10", "0", ".", ".0", ".0.0", "-0", "a", ".el7", "-", "b c", ".b", "1:", "x:"]),
+    (V.deb_key, _deb_cmp, ["1", "2", "10", "0", "00", ".", ".0", "~", "~rc", "-", "-0", "-1", "a", "+b", "1:", "Z"]),
+])
+def test_keys_equal_comparison_part_by_part(spark, key, compare, pieces):
+    rng = random.Random(8)
+    versions = DEEP + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(250)]
+    keys = dict(spark.createDataFrame([(v,) for v in versions], "v string").select("v", key(F.col("v"))).collect())
+    for a in keys:
+        for b in keys:
+            assert (keys[a] > keys[b]) - (keys[a] < keys[b]) == compare(a, b), (a, b)
+
+
 @pytest.mark.parametrize("vector, want", [
     ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0),
     ("CVSS:3.0/AV:L/AC:H/PR:L/UI:R/S:U/C:L/I:N/A:N", 2.2), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0), ("7.5", 7.5), ("x", None),
