@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsift.queries.registry import Tables, query
+from depsift.streaming import rescan, threats, tickets
 from depsift.streaming import windows as S
 
 START = "date_format(start, 'yyyy-MM-dd HH:mm') as start"
+TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type as action, count(*) as n from events group by 1, 2")
 def stream_audit(t: Tables) -> DataFrame:
-    return S.audit_counts(t.events, at="ts", action="event_type").selectExpr(START, "action", "n")
+    """Entries worth 20 or more were delivered twice."""
+    delivered = t.events.unionByName(t.events.where("value >= 20"))
+    return S.audit_counts(delivered, at="ts", action="event_type", entry="event_id").selectExpr(START, "action", "n")
 
 
 @query("""
@@ -24,36 +28,67 @@ def stream_release_burst(t: Tables) -> DataFrame:
     return S.release_bursts(t.events, at="ts", package="user_id").selectExpr(START, "package", "n")
 
 
-@query("""
-    select ticket, arg_max(status, event_id) as status from (
-        select user_id as ticket, event_id, case when event_id % 9 = 0 then 'AcceptedRisk' when event_id % 5 = 0 then 'Fixed' when event_id % 5 = 1 then 'InProgress'
-               when event_id % 5 = 2 then 'AcceptedRisk' else 'Open' end as status from events) group by ticket
+_TICKETS = """
+    e as (select user_id::varchar as ticket, ts as tm, event_type = 'error' and value >= 15 as gone, case when event_type = 'purchase' then 'CVE-' || floor(value)::int end as cve,
+          case event_type when 'view' then 'InProgress' when 'click' then 'Open' when 'purchase' then 'Fixed' when 'signup' then 'AcceptedRisk' else 'Open' end as status from events)"""
+
+
+@query(f"""
+    with {_TICKETS},
+    ended as (select ticket, max(tm) as finish from e where gone group by 1),
+    live as (select e.* from e left join ended using (ticket) where not e.gone and (finish is null or e.tm > finish))
+    select ticket, arg_max(status, tm) as status, arg_max(cve, tm) filter (where cve is not null) as cve, strftime(max(tm), '%Y-%m-%d %H:%M:%S.%f') as synced, false as expiring from live group by 1
+    union all
+    select ticket, status, cve, strftime(tm, '%Y-%m-%d %H:%M:%S.%f'), true from (
+        select ticket, tm, status, gone, last_value(cve ignore nulls) over (partition by ticket, life order by tm) as cve, max(tm) over () as newest, row_number() over (partition by ticket order by tm desc) as place
+        from (select *, sum(fresh::int) over (partition by ticket order by tm) as life from (
+            select *, coalesce(lag(gone) over w, true) or (lag(status) over w in ('Fixed', 'AcceptedRisk') and tm > lag(tm) over w + interval 1 hour) as fresh from e window w as (partition by ticket order by tm))))
+    where place = 1 and not gone and not (status in ('Fixed', 'AcceptedRisk') and newest > tm + interval 1 hour)
 """)
 def stream_ticket_sync(t: Tables) -> DataFrame:
-    state = F.expr("case event_id % 5 when 0 then 'Done' when 1 then 'In Review' when 2 then 'Accepted Risk' when 3 then 'Backlog' else 'Blocked' end")
-    events = t.events.select(F.col("user_id").alias("ticket"), state.alias("state"), (F.col("event_id") % 9 == 0).alias("deleted"), F.col("event_id").alias("at"))
-    return S.ticket_sync(events).select("ticket", "status")
+    """Live tickets, and those that are left if closed ones expire after an hour."""
+    state = F.expr("case event_type when 'view' then 'In Review' when 'click' then 'BACKLOG' when 'purchase' then 'done' when 'signup' then 'Accepted Risk' else 'Blocked' end")
+    cve = F.when(F.col("event_type") == "purchase", F.concat(F.lit("CVE-"), F.floor("value").cast("string")))
+    gone = (F.col("event_type") == "error") & (F.col("value") >= 15)
+    events = t.events.select(F.col("user_id").alias("ticket"), cve.alias("cve"), state.alias("state"), gone.alias("deleted"), F.col("ts").alias("at"))
+    found = tickets.ticket_sync(events).withColumn("expiring", F.lit(False)).unionByName(tickets.ticket_sync(events, "1 hour").withColumn("expiring", F.lit(True)))
+    return found.select("ticket", "status", "cve", F.date_format("synced", TIME).alias("synced"), "expiring")
 
 
-@query("""
-    with p as (select user_id::varchar as package, event_id // 500 as poll, case when event_type <> 'signup' then event_type end as description, case event_id % 3 when 0 then 'Low' when 1 then 'High' else 'Critical' end as level from events),
-    told as (select package, poll, description, case max(case level when 'Critical' then 4 when 'High' then 3 else 1 end) when 4 then 'Critical' when 3 then 'High' else 'Low' end as level from p where description is not null group by 1, 2, 3),
-    steps as (select package, poll, lag(poll) over w as before, lead(poll) over w as after from (select distinct package, poll from p) window w as (partition by package order by poll))
-    select t.package, t.poll, t.description, t.level, 'new' as change from told t join steps s using (package, poll) where not exists (select 1 from told b where b.package = t.package and b.poll = s.before and b.description = t.description)
-    union all select t.package, s.after, t.description, t.level, 'resolved' from told t join steps s using (package, poll)
-    where s.after is not null and not exists (select 1 from told b where b.package = t.package and b.poll = s.after and b.description = t.description)
+_FORGET = 86400
+
+
+@query(f"""
+    with p as (select user_id::varchar as package, date_trunc('hour', ts) as tm, case when event_type <> 'signup' then event_type end as description, case when value < 5 then 'Low' when value < 15 then 'High' else 'Critical' end as level from events),
+    told as (select package, tm, description, case max(case level when 'Critical' then 4 when 'High' then 3 else 1 end) when 4 then 'Critical' when 3 then 'High' else 'Low' end as level from p where description is not null group by 1, 2, 3),
+    near as (select package, tm, lag(tm) over w as b, lead(tm) over w as a from (select distinct package, tm from p) window w as (partition by package order by tm)),
+    steps as (select package, tm, case when tm - b <= interval {_FORGET} second then b end as before, case when a - tm <= interval {_FORGET} second then a end as after from near),
+    out as (
+        select t.package, t.tm, t.description, t.level, 'new' as change from told t join steps s using (package, tm) where not exists (select 1 from told b where b.package = t.package and b.tm = s.before and b.description = t.description)
+        union all select t.package, s.after, t.description, t.level, 'resolved' from told t join steps s using (package, tm)
+        where s.after is not null and not exists (select 1 from told b where b.package = t.package and b.tm = s.after and b.description = t.description))
+    select package, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') as "at", description, level, change from out
 """)
 def stream_threats(t: Tables) -> DataFrame:
-    level = F.expr("case event_id % 3 when 0 then 'Low' when 1 then 'High' else 'Critical' end")
+    """Hourly polls; after a day without one a package's threats are forgotten."""
+    level = F.expr("case when value < 5 then 'Low' when value < 15 then 'High' else 'Critical' end")
     kind = F.when(F.col("event_type") != "signup", F.col("event_type"))
-    return S.threat_changes(t.events.select(F.col("user_id").alias("package"), F.floor(F.col("event_id") / 500).alias("poll"), kind.alias("description"), level.alias("level")))
+    polls = t.events.select(F.col("user_id").alias("package"), F.date_trunc("hour", "ts").alias("at"), kind.alias("description"), level.alias("level"))
+    return threats.threat_changes(polls, _FORGET).withColumn("at", F.date_format("at", TIME))
 
 
 @query("""
     select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, user_id as project, count(*) as files, coalesce(any_value(f.critical), 0) as critical, coalesce(any_value(f.high), 0) as high
-    from events e left join (select image, count_if(severity = 'CRITICAL') as critical, count_if(severity = 'HIGH') as high from findings group by 1) f on f.image = e.user_id where event_id % 3 = 0 group by 1, 2
+    from events e left join (select image, count_if(severity = 'CRITICAL') as critical, count_if(severity = 'HIGH') as high from findings group by 1) f on f.image = e.user_id where event_type in ('error', 'purchase') group by 1, 2
+    union all
+    select 'whole', user_id, count(*), coalesce(any_value(f.critical), 0), coalesce(any_value(f.high), 0)
+    from events e left join (select image, count_if(severity = 'CRITICAL') as critical, count_if(severity = 'HIGH') as high from findings group by 1) f on f.image = e.user_id where event_type in ('error', 'purchase') group by 2
 """)
 def stream_rescan_alert(t: Tables) -> DataFrame:
-    path = F.expr("if(event_id % 3 = 0, 'app/go.sum', 'app/main.go')")
+    """Alerts of each hour, and the summaries that one batch of all changes writes."""
+    path = F.expr("case event_type when 'error' then 'app/go.sum' when 'purchase' then 'pom.xml' else concat('app/go.sum/', event_type) end")
     changes = t.events.select(F.col("user_id").alias("project"), path.alias("path"), F.col("ts").alias("at"))
-    return S.rescan_alerts(changes, t.findings.select(F.col("image").alias("project"), "severity")).selectExpr(START, "project", "files", "critical", "high")
+    findings = t.findings.select(F.col("image").alias("project"), "severity")
+    hourly = rescan.rescan_alerts(changes, findings).selectExpr(START, "project", "files", "critical", "high")
+    whole = rescan.changed_projects(changes, findings).selectExpr("'whole' as start", "cast(project as long) as project", "files", "critical", "high")
+    return hourly.unionByName(whole)

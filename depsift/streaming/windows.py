@@ -2,122 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from depsift.functions.threats import level_rank
-from depsift.operators.containers import is_dependency_file
+from pyspark.sql.streaming import StreamingQuery
 
-# What a ticket's state says of its finding; other states mean Open.
-TICKET_STATES = (
-    ("Open", ("to do", "open", "backlog")),
-    ("InProgress", ("in progress", "in review")),
-    ("Fixed", ("done", "closed", "resolved")),
-    ("Verified", ("verified",)),
-    ("AcceptedRisk", ("won't fix", "accepted risk")),
-)
 
-
-def audit_counts(entries: DataFrame, width: str = "1 hour", late: str = "1 hour", at: str = "at", action: str = "action") -> DataFrame:
+def audit_counts(entries: DataFrame, width: str = "1 hour", late: str = "1 hour", at: str = "at", action: str = "action", entry: str | None = None) -> DataFrame:
     """Entries of each action in each window: start, action, n.
 
-    On a stream, entries more than `late` behind the newest are dropped and only windows' counts are kept as
-    state; on a table the watermark has no effect. Rows without a time are left out; a null action is a group.
+    With `entry`, the name of an id, an entry delivered more than once counts once. On a stream, entries more than `late` behind the newest are
+    dropped, ids are kept as state until the watermark passes their first delivery (so copies must come within `late` of it), and of
+    closed windows nothing is kept; on a table all copies are dropped. Rows without a time are left out; a null action is a group.
     """
-    rows = entries.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    rows = entries.withColumn(at, F.col(at).cast("timestamp")).where(F.col(at).isNotNull()).withWatermark(at, late)
+    if entry is not None:
+        rows = rows.dropDuplicatesWithinWatermark([entry]) if rows.isStreaming else rows.dropDuplicates([entry])
     counts = rows.groupBy(F.window(at, width).alias("w"), F.col(action).alias("action")).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("start"), "action", "n")
 
 
+def write_closed_windows(counts: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
+    """Append the counts of closed windows to Parquet files in `path`: each window once, after the watermark has passed its end."""
+    writer = counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def release_bursts(releases: DataFrame, least: int = 3, width: str = "24 hours", step: str = "1 hour", late: str = "1 hour",
                    at: str = "at", package: str = "package") -> DataFrame:
     """Sliding windows in which a package had at least `least` releases: start, package, n."""
     rows = releases.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     counts = rows.groupBy(F.window(at, width, step).alias("w"), F.col(package).alias("package")).agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= least).select(F.col("w.start").alias("start"), "package", "n")
-
-
-def ticket_status(state: Column, deleted: Column) -> Column:
-    """Status of a finding from its ticket's state, whatever its case; deleted tickets accept the risk."""
-    out = F.when(F.coalesce(deleted, F.lit(False)), "AcceptedRisk")
-    for status, states in TICKET_STATES:
-        out = out.when(F.lower(state).isin(*states), status)
-    return out.otherwise("Open")
-
-
-def ticket_sync(events: DataFrame) -> DataFrame:
-    """Latest status of each ticket: ticket, status, synced. events: ticket, state, deleted, at.
-
-    On a stream, write it in update or complete mode; one row a ticket is kept as state. Of events at one
-    time, that with the greater status name counts.
-    """
-    status = ticket_status(F.col("state"), F.col("deleted"))
-    last = events.groupBy("ticket").agg(F.max(F.struct("at", status.alias("status"))).alias("last"))
-    return last.select("ticket", F.col("last.status").alias("status"), F.col("last.at").alias("synced"))
-
-
-CHANGES = "package string, poll long, description string, level string, change string"
-
-
-def threat_changes(polls: DataFrame) -> DataFrame:
-    """New and resolved threats of each poll of a package: package, poll, description, level, change.
-
-    polls: package, poll (a growing number), description (null: the poll found none), level. A threat is new if the
-    package's poll before did not tell it, and resolved if the poll before told it and this one does not; the level of a
-    resolved one is that it had. Of a description repeated in one poll the greatest level counts.
-
-    On a stream one list of descriptions a package is kept as state, and polls of a package must come in order;
-    on a table the polls are compared by joins on (package, poll).
-    """
-    rows = polls.select(F.col("package").cast("string"), F.col("poll").cast("long"), "description", "level")
-    if rows.isStreaming:
-        return rows.groupBy("package").applyInPandasWithState(_poll_changes, CHANGES, "poll long, descriptions array<string>, levels array<string>", "append", GroupStateTimeout.NoTimeout)
-    told = rows.where("description is not null").groupBy("package", "poll", "description").agg(F.max_by("level", level_rank(F.col("level"))).alias("level"))
-    order = W.partitionBy("package").orderBy("poll")
-    steps = rows.select("package", "poll").distinct().select("package", "poll", F.lag("poll").over(order).alias("before"), F.lead("poll").over(order).alias("after"))
-    keys = ["package", "poll", "description"]
-    ahead = told.join(steps, ["package", "poll"])
-    fresh = ahead.select("package", F.col("before").alias("poll"), "description", "level", F.col("poll").alias("at"))
-    known = told.select(*keys, F.lit(True).alias("known"))
-    new = fresh.join(known, keys, "left").where("known is null").select("package", F.col("at").alias("poll"), "description", "level", F.lit("new").alias("change"))
-    gone = ahead.where("after is not null").select("package", F.col("after").alias("poll"), "description", "level")
-    return new.unionByName(gone.join(known, keys, "left_anti").withColumn("change", F.lit("resolved")))
-
-
-def _poll_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ranks = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
-    _, names, levels = state.get if state.exists else (None, [], [])
-    before = dict(zip(names, levels))
-    out = []
-    for poll, rows in pd.concat(list(batches)).groupby("poll", sort=True):
-        now: dict[str, str] = {}
-        for d, level in zip(rows["description"], rows["level"]):
-            if d is not None and (d not in now or ranks.get(level, 0) > ranks.get(now[d], 0)):
-                now[d] = level
-        out += [(key[0], poll, d, level, "new") for d, level in now.items() if d not in before]
-        out += [(key[0], poll, d, level, "resolved") for d, level in before.items() if d not in now]
-        before = now
-    state.update((int(poll), list(before), list(before.values())))
-    yield pd.DataFrame(out, columns=["package", "poll", "description", "level", "change"])
-
-
-def threat_alerts(changes: DataFrame, least: str) -> DataFrame:
-    """New threats of at least a level."""
-    return changes.where((F.col("change") == "new") & (level_rank(F.col("level")) >= level_rank(F.lit(least))))
-
-
-def rescan_alerts(changes: DataFrame, findings: DataFrame, width: str = "1 hour", late: str = "1 hour", by: str = "project") -> DataFrame:
-    """Projects whose build or dependency files changed in a window, with their critical and high findings: start, by, critical, high.
-
-    changes: by, path, at, a stream or a table; findings: by, severity, a table that is read anew in each batch of a
-    stream. A project alerts once a window, with zeros if it has no findings.
-    """
-    rows = changes.where(is_dependency_file(F.col("path"))).withColumn("at", F.col("at").cast("timestamp"))
-    rows = rows.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), by).agg(F.count("*").alias("files"))
-    counts = findings.groupBy(by).agg(*[F.count_if(F.upper("severity") == s.upper()).alias(s) for s in ("critical", "high")])
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return rows.join(counts, by, "left").select(F.col("w.start").alias("start"), by, "files", zero("critical"), zero("high"))
