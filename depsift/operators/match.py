@@ -8,19 +8,94 @@ from pyspark.sql import functions as F
 from depsift.functions.names import osv_ecosystem, osv_name
 from depsift.functions.severity import cvss3_base_score
 from depsift.functions.versions import apk_key, deb_key, in_keyed_ranges, keyed_ranges, rpm_key, semver_key
+from depsift.plans.lineage import cut
+from depsift.plans.skew import running
 
 
-def match_advisories(components: DataFrame, affected: DataFrame, strict: bool = False) -> DataFrame:
+#: Pairs of a version and a range that a name may try one by one; names with more are swept. Versions in one block of a sweep.
+PRODUCT, BLOCK = 10_000, 256
+
+
+def match_advisories(components: DataFrame, affected: DataFrame, strict: bool = False, product: int = PRODUCT) -> DataFrame:
     """Distinct (ecosystem, name, version, advisory) of components in an affected range.
 
     `affected` has (advisory, ecosystem, name, ranges). Components are made distinct before the join, so that
     popular names are matched once however many projects use them, and versions and bounds are parsed once each; join the result back on (ecosystem, name,
     version). A version that a SEMVER range cannot read is kept.
+
+    Names with few versions and ranges try them all. Names for which that would be more than `product` pairs are swept (`swept`), so
+    their work grows with the hits.
     """
-    versions = components.select("ecosystem", "name", "version").distinct().withColumn("_key", semver_key(F.col("version")))
-    keyed = affected.select("advisory", "ecosystem", "name", keyed_ranges(F.col("ranges")).alias("_ranges"))
+    name = ["ecosystem", "name"]
+    versions = cut(components.select(*name, "version").distinct().withColumn("_key", semver_key(F.col("version"))))
+    keyed = affected.select("advisory", *name, keyed_ranges(F.col("ranges")).alias("_ranges"))
+    many = versions.groupBy(*name).agg(F.count("*").alias("n")).join(keyed.groupBy(*name).agg(F.sum(F.greatest(F.size("_ranges"), F.lit(1))).alias("r")), name)
+    hot = cut(many.where(F.col("n") * F.col("r") > product).select(*name))
     hit = F.coalesce(in_keyed_ranges(F.col("version"), F.col("_key"), F.col("_ranges"), strict), F.lit(True))
-    return versions.join(keyed, ["ecosystem", "name"]).where(hit).select("ecosystem", "name", "version", "advisory").distinct()
+    tried = lambda v, a: v.join(a, name).where(hit).select(*name, "version", "advisory")
+    if hot.isEmpty():
+        return tried(versions, keyed).distinct()
+    few, lots = versions.join(hot, name, "left_anti"), versions.join(hot, name, "left_semi")
+    ranged = keyed.join(hot, name, "left_semi")
+    # a name has one null version at most: it is tried
+    out = tried(few.unionByName(lots.where("version is null")), keyed).unionByName(swept(lots.where("version is not null"), ranged, strict))
+    return out.distinct()
+
+
+#: Orders in which versions are swept: by semver key, by text, and by text the versions that are no semver.
+SEMVER, TEXT, UNREADABLE = 0, 1, 2
+
+
+def intervals(ranges: DataFrame, strict: bool) -> DataFrame:
+    """The intervals that ranges hold in each order: (ecosystem, name, advisory, space, low, below, upto); null bounds are open.
+
+    A version is held if it is at `low` or above, under `below`, and at `upto` or under.
+    """
+    none = F.lit(None).cast("string")
+    r = ranges.select("ecosystem", "name", "advisory", F.explode(F.coalesce("_ranges", F.array(F.lit(None)))).alias("r")).select("ecosystem", "name", "advisory", "r.*")
+    one = lambda space, low=none, below=none, upto=none: F.struct(F.lit(space).alias("space"), low.alias("low"), below.alias("below"), upto.alias("upto"))
+    by_key = one(SEMVER, F.col("low_key"), F.col("fixed_key"), F.when(F.col("fixed_key").isNull(), F.col("last_key")))
+    by_text = one(UNREADABLE if strict else TEXT, F.nullif("start", F.lit("0")), F.col("fixed"), F.col("last"))
+    of_git = one(TEXT, F.nullif("start", F.lit("0")), F.col("fixed"), F.col("last"))
+    bounded = F.coalesce("start", "fixed", "last").isNotNull()
+    kinds = (
+        F.when(F.col("type") == "SEMVER", F.array(by_key, one(UNREADABLE)))
+        .when(F.col("type") == "ECOSYSTEM", F.when(bounded, F.array(by_key, by_text)).otherwise(F.array(by_key)))
+        .when(F.col("type") == "GIT", F.when(bounded, F.array(of_git))).otherwise(F.array(one(TEXT)))
+    )
+    return r.select("ecosystem", "name", "advisory", F.explode(kinds).alias("i")).select("ecosystem", "name", "advisory", "i.*").distinct()
+
+
+def met(versions: DataFrame, held: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Versions beside the intervals of a sweep that reach into their block: (ecosystem, name, version, advisory, rank, lo, hi).
+
+    Versions and bounds of all names are sorted together by range, and running sums tell how many versions lie before each
+    bound; a version of rank k is held by an interval if lo < k <= hi. An interval meets the blocks of versions that it
+    covers, so what it meets and doesn't hold is less than two blocks.
+    """
+    name = ["ecosystem", "name", "space"]
+    none = F.lit(None).cast("string")
+    spaces = F.when(F.col("_key").isNull(), F.array(F.lit(TEXT), F.lit(UNREADABLE))).otherwise(F.array(F.lit(SEMVER), F.lit(TEXT)))
+    points = versions.withColumn("space", F.explode(spaces)).join(held.select(*name).distinct(), name, "left_semi")
+    key = F.when(F.col("space") == SEMVER, F.col("_key")).otherwise(F.col("version"))
+    points = points.select(*name, F.lit(0).alias("top"), key.alias("key"), F.lit(1).alias("tie"), "version", none.alias("advisory"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("low"))
+    bound = lambda c, tie, low: F.struct(F.lit(0).alias("top"), F.col(c).alias("key"), F.lit(tie).alias("tie"), F.lit(low).alias("low"))
+    least = F.struct(F.lit(0).alias("top"), F.coalesce("low", F.lit("")).alias("key"), F.lit(0).alias("tie"), F.lit(True).alias("low"))
+    open_ = F.struct(F.lit(1).alias("top"), F.lit("").alias("key"), F.lit(0).alias("tie"), F.lit(False).alias("low"))
+    ends = F.array_compact(F.array(least, F.when(F.col("below").isNotNull(), bound("below", 0, False)), F.when(F.col("upto").isNotNull(), bound("upto", 2, False)), open_))
+    bounds = held.withColumn("id", F.xxhash64("low", "below", "upto")).select(*name, "advisory", "id", F.explode(ends).alias("e"))
+    bounds = bounds.select(*name, "e.top", "e.key", "e.tie", none.alias("version"), "advisory", "id", "e.low")
+    order = [F.col(c) for c in (*name, "top", "key", "tie")]
+    sorted_ = cut(running(points.unionByName(bounds), order, {"rank": (F.col("tie") == 1).cast("int")}, "place").withColumn("rank", F.col("rank").cast("long")))
+    sides = sorted_.where("id is not null").groupBy(*name, "advisory", "id").agg(F.max(F.when(F.col("low"), F.col("rank"))).alias("lo"), F.min(F.when(~F.col("low"), F.col("rank"))).alias("hi"))
+    covered = F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}")))
+    sides = sides.where("lo < hi").select("advisory", "lo", "hi", covered.alias("block"))
+    return sorted_.where("id is null").select("ecosystem", "name", "version", "rank", F.expr(f"(rank - 1) div {block}").alias("block")).join(sides, "block").drop("block")
+
+
+def swept(versions: DataFrame, ranged: DataFrame, strict: bool) -> DataFrame:
+    """(ecosystem, name, version, advisory) of versions (ecosystem, name, version, _key) in keyed ranges, by one sweep over all names."""
+    return met(versions, intervals(ranged, strict)).where("lo < rank and rank <= hi").select("ecosystem", "name", "version", "advisory")
 
 
 def batch_lookup(packages: DataFrame, advisories: DataFrame) -> DataFrame:

@@ -67,6 +67,16 @@ def match_advisories(t: Tables) -> DataFrame:
     return matched(t)
 
 
+@query(f"""
+    select c.ecosystem, c.ecosystem as name, c.version, a.cve as advisory from (select distinct ecosystem, version from components) c join advisories a on a.ecosystem = c.ecosystem
+    where {NUMS.format('c.version')} >= {NUMS.format('a.introduced')} and (a.fixed is null or {NUMS.format('c.version')} < {NUMS.format('a.fixed')})
+""")
+def match_advisories_swept(t: Tables) -> DataFrame:
+    """One name an ecosystem, with all its versions and advisories: swept, as each would try all pairs."""
+    whole = lambda df: df.withColumn("name", F.col("ecosystem"))
+    return match.match_advisories(whole(t.components), whole(ranges_of(t.advisories)))
+
+
 @query(f"""
     select distinct c.ecosystem, c.name, c.version, a.cve as advisory from components c join advisories a on a.ecosystem = c.ecosystem and a.name = c.name
     where ({NUMS.format('c.version')} >= {NUMS.format('a.introduced')} and (a.fixed is null or {NUMS.format('c.version')} < {NUMS.format('a.fixed')}))
