@@ -96,6 +96,17 @@ def difficulty_score(name: Column, installed: Column, fixed: Column, breaking: C
     return F.when(fixed.isNull(), 100).otherwise(F.least(F.lit(95), score)).cast("int")
 
 
+# The sentences of a risk score's explanation.
+EXPLAINED = {
+    "score": ("Risk score: ", "/1.00"),
+    "cvss": ("High CVSS score (", ")"),
+    "epss": ("High exploit probability (EPSS: ", "%)"),
+    "kev": "In CISA KEV (actively exploited)",
+    "reachable": "Vulnerable code is reachable",
+    "unreachable": "Vulnerable code is NOT reachable (lower risk)",
+    "exploit": "Public exploit code available",
+    "age": ("Recent vulnerability (", " days old)"),
+}
 WEIGHTS = {"cvss": 0.25, "epss": 0.20, "kev": 0.20, "reachable": 0.20, "age": 0.05, "exploit": 0.10}
 
 
@@ -111,6 +122,27 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 0.8, "Critical").when(score >= 0.6, "High").when(score >= 0.4, "Medium").when(score >= 0.2, "Low").otherwise("Minimal")
 
 
+def fixed_text(c: Column, places: int) -> Column:
+    """A number's text with so many decimals, a half in the seventh decimal's view rounded up."""
+    ten = 10.0**places
+    return F.format_string(f"%.{places}f", F.floor(F.round(c * 1e6) / (1e6 / ten) + 0.5) / ten)
+
+
+def risk_explanation(cvss: Column, epss: Column, kev: Column, reachable: Column, age_days: Column, exploit: Column, weights: dict | None = None) -> Column:
+    """What `risk_score` comes from, in sentences: the score, then each part that weighs much."""
+    w = WEIGHTS | (weights or {})
+    age = 1.0 - F.least(age_days / 365.0, F.lit(1.0))
+    score = risk_score(cvss, epss, kev, reachable, age_days, exploit, weights)
+    says = lambda hit, *text: F.when(hit, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in text]))
+    return F.concat_ws(
+        ". ", F.concat(F.lit(EXPLAINED["score"][0]), fixed_text(score, 2), F.lit(EXPLAINED["score"][1])),
+        says(cvss / 10.0 * w["cvss"] > 0.15, EXPLAINED["cvss"][0], fixed_text(cvss, 1), EXPLAINED["cvss"][1]),
+        says(epss * w["epss"] > 0.15, EXPLAINED["epss"][0], fixed_text(epss * 100.0, 1), EXPLAINED["epss"][1]),
+        says(kev & F.lit(w["kev"] > 0), EXPLAINED["kev"]), F.when(reachable & F.lit(w["reachable"] > 0), EXPLAINED["reachable"]).otherwise(EXPLAINED["unreachable"]),
+        says(exploit & F.lit(w["exploit"] > 0), EXPLAINED["exploit"]), says(age * w["age"] > 0.05, EXPLAINED["age"][0], age_days.cast("string"), EXPLAINED["age"][1]),
+    )
+
+
 def fix_urgency(level: Column) -> Column:
     return F.when(level == "Critical", "IMMEDIATE").when(level == "High", "HIGH").when(level == "Medium", "MEDIUM").otherwise("LOW")
 

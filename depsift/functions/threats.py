@@ -153,6 +153,31 @@ def feature_vector(*features: Column) -> Column:
     return F.array(*[c.cast("double") for c in features])
 
 
+# Codes of a flaw's severity and kind; other kinds are 0.
+SEVERITY_CODES = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+KIND_CODES = {"OTHER": 0, "RCE": 1, "XSS": 2, "SQLI": 3, "CSRF": 4}
+
+
+def _code(text: Column, codes: dict[str, int]) -> Column:
+    out = F.lit(0)
+    for name, code in codes.items():
+        out = F.when(F.upper(text) == name, code).otherwise(out)
+    return out
+
+
+def vulnerability_features(cvss: Column, age_days: Column, exploit: Column, epss: Column, kev: Column, severity: Column, kind: Column, reachable: Column) -> Column:
+    """Eight doubles of a flaw: score, days since it was told, exploit, EPSS, KEV, codes of severity and kind (texts), reachable; null counts as 0."""
+    return feature_vector(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in (cvss, age_days, exploit, epss, kev, _code(severity, SEVERITY_CODES), _code(kind, KIND_CODES), reachable)])
+
+
+def dependency_features(
+    transitive: Column, age_days: Column, vulns: Column, same_group: Column, direct: Column, popularity: Column, maintainer: Column, releases: Column,
+) -> Column:
+    """Eight doubles of a dependency: transitive dependencies, their mean age in days, flaws, dependencies of the same group, direct, popularity
+    and maintainer score (0 to 1), releases in a year; null counts as 0."""
+    return feature_vector(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in (transitive, age_days, vulns, same_group, direct, popularity, maintainer, releases)])
+
+
 def detect_anomalies(transitive: Column, vulns: Column, maintainer: Column, releases: Column, popularity: Column, bounds: dict[str, Column | float] | None = None) -> Column:
     """Array of (kind, score) for each feature beyond its bound, and MultipleSignals for two or more."""
     b = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (THRESHOLDS | (bounds or {})).items()}

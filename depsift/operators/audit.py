@@ -10,8 +10,15 @@ from depsift.plans.lineage import cut
 
 
 def query_audit(entries: DataFrame, since: int | None = None, until: int | None = None, action: str | None = None, result: str | None = None) -> DataFrame:
-    """Entries between two Unix times, both included, of an action and a result; null bounds and names ask for nothing."""
-    at = F.col("timestamp_unix")
+    """Entries between two Unix times, both included, of an action and a result; null bounds and names ask for nothing.
+
+    Entries kept by day (`sources.history`) are read for the days between the bounds alone.
+    """
+    at, day = F.col("timestamp_unix"), lambda t: F.date_from_unix_date(F.lit(t // 86400))
+    if "day" in entries.columns and since is not None:
+        entries = entries.where(F.col("day") >= day(since))
+    if "day" in entries.columns and until is not None:
+        entries = entries.where(F.col("day") <= day(until))
     for condition, value in ((at >= F.lit(since), since), (at <= F.lit(until), until), (F.col("action") == F.lit(action), action), (F.col("result") == F.lit(result), result)):
         if value is not None:
             entries = entries.where(condition)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+import re
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from depsift.functions.severity import severity_rank
@@ -31,16 +34,31 @@ def filter_min_severity(findings: DataFrame, least: str | None) -> DataFrame:
     return findings.where(F.col("severity").isNull() | (rank(F.col("severity")) >= rank(F.lit(least))))
 
 
-def search_dependencies(packages: DataFrame, text: str, kind: str = "substring") -> DataFrame:
-    """Packages by name: substring (any case), regex, or glob with * and ?."""
+def search_dependencies(packages: DataFrame, text: str, kind: str = "substring", severity: str | None = None, any_case: bool = False) -> DataFrame:
+    """Packages by name: substring (any case), regex, or glob with * and ?; with a severity, those of a finding of it.
+
+    packages: name, and for a severity `severities`, an array of those of the package's findings. No text asks for nothing;
+    an expression that is none matches nothing.
+    """
+    if severity is not None:
+        packages = packages.where(F.array_contains("severities", severity))
+    if not text:
+        return packages
     name = F.col("name")
     if kind == "substring":
         return packages.where(F.lower(name).contains(text.lower()))
     if kind == "glob":
-        import re
-
         text = "^" + re.escape(text).replace(r"\*", ".*").replace(r"\?", ".") + "$"
-    return packages.where(name.rlike(text))
+    return packages.where(name.rlike(("(?i)" if any_case else "") + text) if is_pattern(packages.sparkSession, text) else F.lit(False))
+
+
+def is_pattern(spark: SparkSession, text: str) -> bool:
+    """Whether the JVM reads the text as a regular expression."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 def should_notify(alerts: DataFrame, least: str, enabled: bool = True) -> DataFrame:
@@ -86,12 +104,14 @@ def user_predicates(findings: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def dedupe_findings(findings: DataFrame, by: tuple[str, ...] = ("image", "cve")) -> DataFrame:
-    """One row per image and CVE over all tools: worst severity and score, first fix and layer by tool order, tools, KEV."""
+    """One row per image and CVE over all tools: worst severity and score; first fix, layer and EPSS by tool order; tools, KEV, and
+    the references of all tools where there is such a column."""
     at = F.struct("tool_order", "layer", "package", "installed")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("references")))).alias("references")] if "references" in findings.columns else []
     return findings.groupBy(*by).agg(
-        F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.max("cvss").alias("cvss"),
-        F.min_by("fixed", F.when(F.col("fixed").isNotNull(), at)).alias("fixed"), F.min_by("layer", at).alias("layer"),
-        F.array_sort(F.collect_set("tool")).alias("tools"), F.max("epss").alias("epss"), F.bool_or("is_kev").alias("is_kev"),
+        F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.max("cvss").alias("cvss"), first("fixed"), F.min_by("layer", at).alias("layer"),
+        F.array_sort(F.collect_set("tool")).alias("tools"), first("epss"), F.bool_or("is_kev").alias("is_kev"), *more,
     )
 
 
@@ -213,14 +233,15 @@ CONFLICTING = ("netty", "jackson", "guava", "slf4j", "logback", "spring-", "kotl
 
 
 def fix_batches(fixes: DataFrame) -> DataFrame:
-    """Batches of fixes by risk, with seconds to apply and to test."""
+    """Batches of fixes by risk, with seconds to apply and to test, and fixes by severity where there is such a column."""
     conflict = F.lit(False)
     for name in CONFLICTING:
         conflict |= F.col("package").contains(name)
     risk = F.when(conflict, "High").when(F.col("breaking"), "Moderate").otherwise("Low")
     n = F.col("n")
     seconds = F.when(F.col("risk") == "Low", 5 * n + 30).when(F.col("risk") == "Moderate", 10 * n + 60).otherwise(15 * n + 90)
-    return fixes.groupBy(risk.alias("risk")).agg(F.count("*").alias("n")).withColumn("seconds", seconds).withColumn("test_seconds", 20 * n)
+    counts = severity_counts() if "severity" in fixes.columns else []
+    return fixes.groupBy(risk.alias("risk")).agg(F.count("*").alias("n"), *counts).withColumn("seconds", seconds).withColumn("test_seconds", 20 * n)
 
 
 def reachability_summary(findings: DataFrame, by: str = "image") -> DataFrame:
@@ -228,23 +249,33 @@ def reachability_summary(findings: DataFrame, by: str = "image") -> DataFrame:
     return findings.groupBy(by).agg(total.alias("total"), reached.alias("reachable"), (total - reached).alias("unreachable"), ((total - reached) / total * 100).alias("noise"))
 
 
+def _by_image(findings: DataFrame, by: str, prefix: str) -> DataFrame:
+    """Counts and distinct CVEs of each image; a scan kept by `sources.history` is not shuffled for it."""
+    named = {"total": F.count("*"), "critical": F.count_if(F.col("severity") == "CRITICAL"), "high": F.count_if(F.col("severity") == "HIGH"), "cves": F.collect_set("cve")}
+    if "severity" not in findings.columns:
+        named = {"cves": named["cves"]}
+    return findings.groupBy(by).agg(*[c.alias(prefix + n) for n, c in named.items()])
+
+
+def _two_scans(baseline: DataFrame, current: DataFrame, by: str) -> DataFrame:
+    both = _by_image(baseline, by, "a_").join(_by_image(current, by, "b_"), by, "full_outer")
+    none = F.array().cast("array<string>")
+    return both.withColumn("a_cves", F.coalesce("a_cves", none)).withColumn("b_cves", F.coalesce("b_cves", none))
+
+
 def scan_diff(baseline: DataFrame, current: DataFrame, by: str = "image") -> DataFrame:
     """New, fixed and unchanged CVEs of each image, and which way it went by their number."""
-    a = baseline.select(by, "cve").distinct().withColumn("old", F.lit(1))
-    b = current.select(by, "cve").distinct().withColumn("new", F.lit(1))
-    both = a.join(b, [by, "cve"], "full_outer")
-    out = both.groupBy(by).agg(
-        F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("fixed"),
-        F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("unchanged"),
-    )
+    both = _two_scans(baseline.select(by, "cve"), current.select(by, "cve"), by)
+    n = lambda c: F.size(c).cast("long")
+    out = both.select(by, n(F.array_except("b_cves", "a_cves")).alias("added"), n(F.array_except("a_cves", "b_cves")).alias("fixed"), n(F.array_intersect("a_cves", "b_cves")).alias("unchanged"))
     return out.withColumn("trend", F.when(F.col("added") > F.col("fixed"), "WORSE").when(F.col("added") < F.col("fixed"), "BETTER").otherwise("UNCHANGED"))
 
 
 def baseline_delta(baseline: DataFrame, current: DataFrame, by: str = "image") -> DataFrame:
-    """Change of total, critical and high findings of each image."""
-    count = lambda df, p: df.groupBy(by).agg(*[c.alias(p + n) for n, c in (("total", F.count("*")), ("critical", F.count_if(F.col("severity") == "CRITICAL")), ("high", F.count_if(F.col("severity") == "HIGH")))])
-    both = count(baseline, "a_").join(count(current, "b_"), by, "full_outer").fillna(0)
-    return both.select(by, *[(F.col(f"b_{n}") - F.col(f"a_{n}")).alias(n) for n in ("total", "critical", "high")])
+    """Change of total, critical and high findings of each image, and the CVEs that are new and fixed, sorted."""
+    both = _two_scans(baseline.select(by, "cve", "severity"), current.select(by, "cve", "severity"), by).fillna(0)
+    change = [(F.col(f"b_{n}") - F.col(f"a_{n}")).alias(n) for n in ("total", "critical", "high")]
+    return both.select(by, *change, F.array_sort(F.array_except("b_cves", "a_cves")).alias("added"), F.array_sort(F.array_except("a_cves", "b_cves")).alias("fixed"))
 
 
 def anti_new(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

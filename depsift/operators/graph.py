@@ -88,18 +88,52 @@ def dependency_counts(edges: DataFrame, roots: DataFrame, keys: tuple[str, ...])
     return met.groupBy(*keys).agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
 
 
-def merge_advisories(records: DataFrame) -> DataFrame:
+def merge_advisories(records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Records (pos, id, aliases, cvss, details, urls) of one flaw as one row, groups closed over aliases.
 
-    The base is the first record; aliases are all other ids; the highest score, the longest details and all
-    distinct urls stay.
+    The base is the first record; aliases are all ids, its own too; the highest score, the longest details and all
+    distinct urls stay. Where records have `severity`, that of the highest score stays (the first of several, a null score being 0),
+    and where they have `affected`, an array of structs with ecosystem and package, the last record's of each (ecosystem, package).
+    `labels` are those of `alias_labels`, which are computed if not given.
     """
-    pairs = records.select("id", F.explode_outer("aliases").alias("alias")).select("id", F.coalesce("alias", "id").alias("alias"))
-    labels = connected_components(pairs, "id", "alias")
-    rows = records.join(labels, records.id == labels.node)
+    labels = alias_labels(records) if labels is None else labels
+    rows = records.join(labels, records.id == labels.node).drop("node")
+    more = []
+    if "severity" in records.columns:
+        more.append(F.min_by("severity", F.when(F.col("severity").isNotNull(), F.struct((-F.coalesce("cvss", F.lit(0.0))).alias("s"), "pos"))).alias("severity"))
     merged = rows.groupBy("component").agg(
-        F.min_by("id", "pos").alias("id"), F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("id"), "aliases")))).alias("ids"),
+        F.min_by("id", "pos").alias("id"), F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("ids"),
         F.max("cvss").alias("cvss"), F.max_by("details", F.struct(F.length("details"), -F.col("pos"))).alias("details"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"), F.count("*").alias("records"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"), F.count("*").alias("records"), *more,
     )
-    return merged.select("id", F.array_sort(F.array_except("ids", F.array("id"))).alias("aliases"), "cvss", "details", "urls", "records")
+    out = ["id", F.array_sort("ids").alias("aliases"), "cvss", "details", "urls", "records", *[c for c in ("severity",) if c in records.columns]]
+    if "affected" in records.columns:
+        each = rows.select("component", "pos", F.posexplode("affected").alias("at", "a")).groupBy("component", "a.ecosystem", "a.package")
+        each = each.agg(F.max_by("a", F.struct("pos", "at")).alias("a")).groupBy("component").agg(F.array_sort(F.collect_list("a")).alias("affected"))
+        merged, out = merged.join(each, "component", "left"), [*out, "affected"]
+    return merged.select(*out)
+
+
+def alias_labels(records: DataFrame) -> DataFrame:
+    """(node, component) of every id and alias of records (id, aliases): the least id that aliases lead to."""
+    pairs = records.select("id", F.explode_outer("aliases").alias("alias")).select("id", F.coalesce("alias", "id").alias("alias"))
+    return connected_components(pairs, "id", "alias")
+
+
+def add_alias_labels(labels: DataFrame, records: DataFrame) -> DataFrame:
+    """Labels of `alias_labels` after more records came, as if all had been labelled together.
+
+    Only what the new records touch is joined: their ids and aliases stand for the groups they are in, the groups that new records link are
+    united by the least of their labels, and of the old labels those of these groups alone are written anew. Groups are looked up by id; nothing is
+    relabelled round by round but the edges of the new records.
+    """
+    pairs = cut(records.select("id", F.explode_outer("aliases").alias("alias")).select("id", F.coalesce("alias", "id").alias("alias")).distinct())
+    ends = pairs.select(F.col("id").alias("node")).union(pairs.select(F.col("alias").alias("node"))).distinct()
+    known = cut(ends.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")))
+    group = lambda c: known.select(F.col("node").alias(c), F.col("group").alias(f"{c}_group"))
+    links = pairs.join(group("id"), "id").join(group("alias"), "alias").select("id_group", "alias_group")
+    united = cut(connected_components(links, "id_group", "alias_group").withColumnRenamed("node", "group").withColumnRenamed("component", "least"))
+    fresh = known.where("component is null").join(united, "group").select("node", F.col("least").alias("component"))
+    moved = united.where("group <> least").select(F.col("group").alias("component"), "least")
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return old.unionByName(fresh)

@@ -150,14 +150,28 @@ def malicious_lookup(components: DataFrame, malicious: DataFrame) -> DataFrame:
     return components.join(listed, ["ecosystem", "name"]).where(hit).drop("_v")
 
 
+SUPPRESSING = ("not_affected", "fixed")
+
+
 def apply_vex(findings: DataFrame, statements: DataFrame) -> DataFrame:
     """Findings with vex_status and suppressed; a (cve, purl) statement beats a global one.
 
-    statements: cve, purl (null: all products), status, at (order); the last of each (cve, purl) counts.
+    statements: cve, purl (null: all products), status, at (order); the last of each (cve, purl) counts. Where findings have a
+    column `aliases`, an alias is asked for as well if the id does not suppress: the first of id and aliases that
+    suppresses counts, else the first that has a status.
     """
     last = statements.groupBy("cve", "purl").agg(F.max_by("status", "at").alias("status"))
     own = last.where("purl is not null").select("cve", "purl", F.col("status").alias("_own"))
     every = last.where("purl is null").select("cve", F.col("status").alias("_all"))
-    out = findings.join(own, ["cve", "purl"], "left").join(every, "cve", "left").withColumn("vex_status", F.coalesce("_own", "_all"))
-    suppressed = F.coalesce(F.col("vex_status").isin("not_affected", "fixed"), F.lit(False))
-    return out.withColumn("suppressed", suppressed).drop("_own", "_all")
+    known = lambda rows: rows.join(own, ["cve", "purl"], "left").join(every, "cve", "left").withColumn("vex_status", F.coalesce("_own", "_all")).drop("_own", "_all")
+    suppresses = lambda: F.coalesce(F.col("vex_status").isin(*SUPPRESSING), F.lit(False))
+    if "aliases" not in findings.columns:
+        return known(findings).withColumn("suppressed", suppresses())
+    # what each distinct flaw and product comes to, asked once however many images have it
+    ids = F.concat(F.array("cve"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = findings.withColumn("_ids", F.array_compact(ids))
+    asked = rows.select("_ids", "purl").distinct().select("_ids", "purl", F.posexplode("_ids").alias("_at", "cve"))
+    asked = known(asked).where("vex_status is not null").withColumn("_turn", F.struct((~suppresses()).alias("s"), F.col("_at").alias("at")))
+    found = asked.groupBy("_ids", "purl").agg(F.min_by("vex_status", "_turn").alias("vex_status")).withColumnRenamed("purl", "_purl").withColumnRenamed("_ids", "_key")
+    out = rows.join(found, (F.col("_ids") == F.col("_key")) & F.col("purl").eqNullSafe(F.col("_purl")), "left").drop("_ids", "_key", "_purl")
+    return out.withColumn("suppressed", suppresses())

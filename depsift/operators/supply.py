@@ -78,6 +78,12 @@ def upgrade_success(feedback: DataFrame) -> DataFrame:
     return out.withColumn("failures", F.col("attempts") - F.col("successes")).withColumn("rate", F.col("successes") / F.col("attempts"))
 
 
+def upgrade_statistics(success: DataFrame) -> DataFrame:
+    """One row over all of `upgrade_success`: packages, upgrades, attempts, successes, rate (0 without an attempt)."""
+    out = success.agg(F.countDistinct("package").alias("packages"), F.count("*").alias("upgrades"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempts", "successes")])
+    return out.withColumn("rate", F.when(F.col("attempts") > 0, F.col("successes") / F.col("attempts")).otherwise(0.0))
+
+
 def upgrade_success_lookup(upgrades: DataFrame, success: DataFrame) -> DataFrame:
     """Upgrades with the success rate known for them, else null."""
     keys = ["package", "from_version", "to_version"]

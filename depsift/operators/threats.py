@@ -133,6 +133,11 @@ def malicious_db(advisories: DataFrame) -> DataFrame:
     return rows.select(first["name"].alias("name"), first["ecosystem"].alias("ecosystem"), first["versions"].alias("versions"), text.alias("description"), "id")
 
 
+def malicious_stats(db: DataFrame) -> DataFrame:
+    """Malicious packages of each ecosystem: ecosystem, packages."""
+    return db.groupBy("ecosystem").agg(F.count("*").alias("packages"))
+
+
 def threat_delta(before: DataFrame, after: DataFrame, watched: DataFrame | None = None) -> DataFrame:
     """(package, description, change): new and resolved threats of the watched packages, repeats once."""
     keys = ["package", "description"]

@@ -107,9 +107,14 @@ def enrich_by_alias(t: Tables) -> DataFrame:
                case advisory_key % 4 when 0 then 'not_affected' when 1 then 'affected' when 2 then 'fixed' else 'under_investigation' end as status
         from advisories where advisory_key % 2 = 0 or advisory_key % 5 = 0
     )
-    select f.image, f.layer, f.cve, f.tool, coalesce(o.status, g.status) as vex_status, coalesce(coalesce(o.status, g.status) in ('not_affected', 'fixed'), false) as suppressed
+    select f.image, f.layer, f.cve, f.tool, coalesce(o.status, g.status) as vex_status, coalesce(coalesce(o.status, g.status) in ('not_affected', 'fixed'), false) as suppressed, false as by_alias
     from findings f left join statements o on o.cve = f.cve and o.purl = concat('pkg:', case f.ecosystem when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else f.ecosystem end, '/', f.package)
     left join statements g on g.cve = f.cve and g.purl is null
+    union all
+    select f.image, f.layer, f.cve, f.tool, case when o.status in ('not_affected', 'fixed') or l.status is null then o.status when l.status in ('not_affected', 'fixed') or o.status is null then l.status else o.status end,
+           coalesce(o.status in ('not_affected', 'fixed'), false) or coalesce(l.status in ('not_affected', 'fixed'), false), true
+    from findings f left join (select cve, case when epss > 0.5 then 'affected' when epss < 0.1 then 'fixed' end as status from epss) o on o.cve = f.cve
+    left join (select ghsa, cve, case when cvss > 6 then 'not_affected' when cvss > 3 then 'under_investigation' end as status from advisories) l on l.cve = f.cve
 """)
 def apply_vex(t: Tables) -> DataFrame:
     key = F.col("advisory_key")
@@ -117,7 +122,14 @@ def apply_vex(t: Tables) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("not_affected", "affected", "fixed", "under_investigation"))), (key % 4 + 1).cast("int"))
     statements = t.advisories.where((key % 2 == 0) | (key % 5 == 0)).select("cve", F.when(key % 2 == 0, purl).alias("purl"), status.alias("status"), key.alias("at"))
     rows = t.findings.withColumn("purl", short_purl(F.col("ecosystem"), F.col("package")))
-    return match.apply_vex(rows, statements).select("image", "layer", "cve", "tool", "vex_status", "suppressed")
+    found = match.apply_vex(rows, statements)
+    # findings known by a second id, too: statements on either
+    by_id = t.epss.select("cve", F.when(F.col("epss") > 0.5, "affected").when(F.col("epss") < 0.1, "fixed").alias("status"))
+    by_alias = t.advisories.select(F.col("ghsa").alias("cve"), F.when(F.col("cvss") > 6, "not_affected").when(F.col("cvss") > 3, "under_investigation").alias("status"))
+    told = by_id.unionByName(by_alias).where("status is not null").withColumn("purl", F.lit(None).cast("string")).withColumn("at", F.lit(1))
+    known = rows.withColumn("aliases", F.array(F.replace("cve", F.lit("CVE-2024-"), F.lit("GHSA-"))))
+    out = found.withColumn("by_alias", F.lit(False)).unionByName(match.apply_vex(known, told).withColumn("by_alias", F.lit(True)), allowMissingColumns=True)
+    return out.select("image", "layer", "cve", "tool", "vex_status", "suppressed", "by_alias")
 
 
 @query("""
@@ -301,14 +313,18 @@ _RISK = "cvss / 10.0 * 0.25 + e * 0.2 + case when advisory_key % 23 = 0 then 1.0
 
 @query(f"""
     select cve, round(s, 6) as score, case when s >= 0.8 then 'Critical' when s >= 0.6 then 'High' when s >= 0.4 then 'Medium' when s >= 0.2 then 'Low' else 'Minimal' end as level,
-           case when s >= 0.8 then 'IMMEDIATE' when s >= 0.6 then 'HIGH' when s >= 0.4 then 'MEDIUM' else 'LOW' end as urgency
-    from (select cve, {_RISK.replace('advisory_key % 500 / 365.0', '(advisory_key % 500)::double / 365.0')} as s from (select *, cast(advisory_key * 37 % 1000 as double) / 1000.0 as e from advisories))
+           case when s >= 0.8 then 'IMMEDIATE' when s >= 0.6 then 'HIGH' when s >= 0.4 then 'MEDIUM' else 'LOW' end as urgency,
+           concat_ws('. ', 'Risk score: ' || printf('%.2f', floor(round(s * 1e6) / 1e4 + 0.5) / 100) || '/1.00', case when cvss / 10.0 * 0.25 > 0.15 then 'High CVSS score (' || printf('%.1f', cvss) || ')' end,
+               case when e * 0.2 > 0.15 then 'High exploit probability (EPSS: ' || printf('%.1f', e * 100) || '%)' end, case when advisory_key % 23 = 0 then 'In CISA KEV (actively exploited)' end,
+               case when advisory_key % 4 = 0 then 'Vulnerable code is reachable' else 'Vulnerable code is NOT reachable (lower risk)' end, case when advisory_key % 6 = 0 then 'Public exploit code available' end) as explanation
+    from (select cve, {_RISK.replace('advisory_key % 500 / 365.0', '(advisory_key % 500)::double / 365.0')} as s, cvss, e, advisory_key from (select *, cast(advisory_key * 37 % 1000 as double) / 1000.0 as e from advisories))
 """)
 def risk_score(t: Tables) -> DataFrame:
     k = F.col("advisory_key")
-    score = S.risk_score(F.col("cvss"), (k * 37 % 1000).cast("double") / 1000.0, k % 23 == 0, k % 4 == 0, k % 500, k % 6 == 0)
+    made = (F.col("cvss"), (k * 37 % 1000).cast("double") / 1000.0, k % 23 == 0, k % 4 == 0, k % 500, k % 6 == 0)
     level = S.risk_level(F.col("s"))
-    return t.advisories.select("cve", score.alias("s")).select("cve", F.round("s", 6).alias("score"), level.alias("level"), S.fix_urgency(level).alias("urgency"))
+    rows = t.advisories.select("cve", S.risk_score(*made).alias("s"), S.risk_explanation(*made).alias("explanation"))
+    return rows.select("cve", F.round("s", 6).alias("score"), level.alias("level"), S.fix_urgency(level).alias("urgency"), "explanation")
 
 
 @query("select cve, case when cvss >= 9 then 'CRITICAL' when cvss >= 7 then 'HIGH' when cvss >= 4 then 'MEDIUM' when cvss > 0 then 'LOW' else 'UNKNOWN' end as severity from advisories")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsift.functions.severity import priority
+from depsift.functions.severity import priority, severity_from_cvss
 from depsift.operators import findings as O
 from depsift.queries.registry import Tables, query
 
@@ -39,18 +39,19 @@ def filter_min_severity(t: Tables) -> DataFrame:
 @query("""
     select component_id, 'substring' as kind from components where contains(lower(name), 'ring') union all
     select component_id, 'regex' as kind from components where regexp_matches(name, '^s.*-1[0-5]$') union all
-    select component_id, 'glob' as kind from components where name like 's%-_'
+    select component_id, 'glob' as kind from components where name like 's%-_' union all
+    select component_id, 'severity' as kind from components c where contains(lower(name), 's') and exists (select 1 from advisories a where a.name = c.name and a.ecosystem = c.ecosystem and a.cvss >= 9)
 """)
 def search_dependencies(t: Tables) -> DataFrame:
     asks = (("RING", "substring"), ("^s.*-1[0-5]$", "regex"), ("s*-?", "glob"))
-    parts = [O.search_dependencies(t.components, text, kind).select("component_id", F.lit(kind).alias("kind")) for text, kind in asks]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [O.search_dependencies(t.components, text, kind).select("component_id", F.lit(kind).alias("kind")) for text, kind in (*asks, ("[a", "regex"))]
+    found = t.advisories.groupBy("ecosystem", "name").agg(F.collect_set(severity_from_cvss(F.col("cvss"))).alias("severities"))
+    severe = O.search_dependencies(t.components.join(found, ["ecosystem", "name"], "left"), "S", severity="CRITICAL").select("component_id", F.lit("severity").alias("kind"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(severe)
 
 
 @query("select cve from advisories where cvss >= 7")
 def should_notify(t: Tables) -> DataFrame:
-    from depsift.functions.severity import severity_from_cvss
-
     return O.should_notify(t.advisories.select("cve", severity_from_cvss(F.col("cvss")).alias("severity")), "high").select("cve")
 
 
@@ -84,10 +85,15 @@ def user_predicates(t: Tables) -> DataFrame:
 
 @query("""
     select image, cve, max(severity) as severity, max(cvss) as cvss, max(fixed) as fixed, arg_min(layer, [tool_order, layer]) as layer,
-           array_to_string(list_sort(list(distinct tool)), ',') as tools, max(epss) as epss, bool_or(is_kev) as is_kev from findings group by image, cve
+           array_to_string(list_sort(list(distinct tool)), ',') as tools, arg_min(epss, [tool_order, layer]) filter (epss is not null) as epss, bool_or(is_kev) as is_kev,
+           array_to_string(list_sort(list_distinct(flatten(list(['nvd/' || cve, tool || '/' || layer])))), ',') as references
+    from (select * replace (case when layer <> 2 then epss + tool_order end as epss) from findings) group by image, cve
 """)
 def dedupe_findings(t: Tables) -> DataFrame:
-    return O.dedupe_findings(t.findings).withColumn("tools", F.concat_ws(",", "tools"))
+    """Tools tell different EPSS scores, and none in the second layer."""
+    told = t.findings.withColumn("epss", F.when(F.col("layer") != 2, F.col("epss") + F.col("tool_order")))
+    told = told.withColumn("references", F.array(F.concat(F.lit("nvd/"), "cve"), F.concat("tool", F.lit("/"), F.col("layer").cast("string"))))
+    return O.dedupe_findings(told).withColumn("tools", F.concat_ws(",", "tools")).withColumn("references", F.concat_ws(",", "references"))
 
 
 @query(f"select image, count(*) as total, {COUNTS}, count(fixed) as fixable, count_if(is_kev) as kev from findings group by image")
@@ -166,14 +172,15 @@ def image_priority_score(t: Tables) -> DataFrame:
 
 
 @query("""
-    select risk, n, case risk when 'Low' then 5 * n + 30 when 'Moderate' then 10 * n + 60 else 15 * n + 90 end as seconds, 20 * n as test_seconds
-    from (select case when contains(package, 'spring-') then 'High' when breaking then 'Moderate' else 'Low' end as risk, count(*) as n
-          from (select case when advisory_key % 7 = 0 then concat('spring-', name) else name end as package, advisory_key % 2 = 0 as breaking from advisories where fixed is not null) group by 1)
+    select *, case risk when 'Low' then 5 * n + 30 when 'Moderate' then 10 * n + 60 else 15 * n + 90 end as seconds, 20 * n as test_seconds
+    from (select case when contains(package, 'spring-') then 'High' when breaking then 'Moderate' else 'Low' end as risk, count(*) as n,
+                 count_if(cvss >= 9) as critical, count_if(cvss >= 7 and cvss < 9) as high, count_if(cvss >= 4 and cvss < 7) as medium, count_if(cvss > 0 and cvss < 4) as low
+          from (select cvss, case when contains(name, 'red') then concat('spring-', name) else name end as package, fixed > '3' as breaking from advisories where fixed is not null) group by 1)
 """)
 def fix_batches(t: Tables) -> DataFrame:
-    key = F.col("advisory_key")
-    package = F.when(key % 7 == 0, F.concat(F.lit("spring-"), "name")).otherwise(F.col("name"))
-    return O.fix_batches(t.advisories.where("fixed is not null").select(package.alias("package"), (key % 2 == 0).alias("breaking")))
+    package = F.when(F.col("name").contains("red"), F.concat(F.lit("spring-"), "name")).otherwise(F.col("name"))
+    rows = t.advisories.where("fixed is not null")
+    return O.fix_batches(rows.select(package.alias("package"), (F.col("fixed") > "3").alias("breaking"), severity_from_cvss(F.col("cvss")).alias("severity")))
 
 
 @query("select image, count(*) as total, count_if(reachable) as reachable, count(*) - count_if(reachable) as unreachable, (count(*) - count_if(reachable)) / count(*) * 100 as noise from findings group by image")
@@ -198,11 +205,13 @@ def scan_diff(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    with {_TWO} select image, sum(s)::bigint as total, sum(case when severity = 'CRITICAL' then s else 0 end)::bigint as critical, sum(case when severity = 'HIGH' then s else 0 end)::bigint as high
-    from (select image, severity, -1 as s from a union all select image, severity, 1 as s from b) group by image
+    with {_TWO} select image, sum(s)::bigint as total, sum(case when severity = 'CRITICAL' then s else 0 end)::bigint as critical, sum(case when severity = 'HIGH' then s else 0 end)::bigint as high,
+        coalesce((select string_agg(distinct b.cve, ',' order by b.cve) from b where b.image = x.image and b.cve not in (select a.cve from a where a.image = x.image)), '') as added,
+        coalesce((select string_agg(distinct a.cve, ',' order by a.cve) from a where a.image = x.image and a.cve not in (select b.cve from b where b.image = x.image)), '') as fixed
+    from (select image, severity, -1 as s from a union all select image, severity, 1 as s from b) x group by image
 """)
 def baseline_delta(t: Tables) -> DataFrame:
-    return O.baseline_delta(*_scans(t))
+    return O.baseline_delta(*_scans(t)).withColumn("added", F.concat_ws(",", "added")).withColumn("fixed", F.concat_ws(",", "fixed"))
 
 
 @query("""

@@ -88,22 +88,34 @@ def shared_dependency_conflicts(t: Tables) -> DataFrame:
 
 @query("""
     with recursive records as (
-        select advisory_key * 2 as pos, cve as id, case when advisory_key % 2 = 0 then [ghsa] else [] end as aliases, cvss, summary as details, [concat('u/', name)] as urls from advisories
-        union all select advisory_key * 2 + 1, ghsa, case when advisory_key % 4 = 0 then [concat('CVE-2024-', lpad(cast(advisory_key + 3 as string), 6, '0'))] else [] end, cvss / 2, concat(summary, '!'), [concat('v/', name)] from advisories
+        select advisory_key * 2 as pos, cve as id, case when advisory_key % 2 = 0 then [ghsa] else [] end as aliases, cvss, summary as details, [concat('u/', name)] as urls,
+               case when cvss > 3 then 'S' || cvss end as severity, [ecosystem || ':' || name, fixed] as affected from advisories
+        union all select advisory_key * 2 + 1, ghsa, case when advisory_key % 4 = 0 then [concat('CVE-2024-', lpad(cast(advisory_key + 3 as string), 6, '0'))] else [] end, cvss / 2, concat(summary, '!'), [concat('v/', name)], 'S' || (cvss / 2), [ecosystem || ':' || name, case when cvss > 5 then fixed || '+' else introduced end] from advisories
     ), pairs as (select id as a, unnest(aliases) as b from records union select unnest(aliases), id from records),
     reach(node, other) as (select id, id from (select id from records union select a from pairs union select b from pairs) union select r.node, p.b from reach r join pairs p on p.a = r.other),
     labels as (select node, min(other) as component from reach group by node),
-    rows_ as (select r.*, l.component from records r join labels l on l.node = r.id)
+    rows_ as (select r.*, l.component from records r join labels l on l.node = r.id),
+    united as (select component, string_agg(affected[1] || '@' || coalesce(affected[2], '-'), ',' order by affected[1]) as affected
+                 from (select * from rows_ qualify row_number() over (partition by component, affected[1] order by pos desc) = 1) group by 1)
     select arg_min(id, pos) as id, max(cvss) as cvss, arg_max(details, [length(details), -pos]) as details, count(*) as records,
-           array_to_string(list_sort(list_distinct(flatten(list(urls)))), ',') as urls,
-           array_to_string(list_sort(list_filter(list_distinct(flatten(list(list_append(aliases, id)))), lambda x: x <> (arg_min(id, pos)))), ',') as aliases
-    from rows_ group by component
-""".replace("list_sort(list_filter(list_distinct(flatten(list(list_append(aliases, id)))), lambda x: x <> (arg_min(id, pos))))", "list_sort(list_where(list_distinct(flatten(list(list_append(aliases, id)))), list_transform(list_distinct(flatten(list(list_append(aliases, id)))), lambda x: x <> arg_min(id, pos))))"))
+           array_to_string(list_sort(list_distinct(flatten(list(urls)))), ',') as urls, array_to_string(list_sort(list_distinct(flatten(list(list_append(aliases, id))))), ',') as aliases,
+           arg_min(severity, [-coalesce(cvss, 0), pos]) filter (severity is not null) as severity, any_value(p.affected) as affected
+    from rows_ join united p using (component) group by component
+""")
 def merge_advisories(t: Tables) -> DataFrame:
-    a, key = t.advisories, F.col("advisory_key")
+    a, key, score = t.advisories, F.col("advisory_key"), F.col("cvss")
     none = F.array().cast("array<string>")
     following = F.concat(F.lit("CVE-2024-"), F.lpad((key + 3).cast("string"), 6, "0"))
-    first = a.select((key * 2).alias("pos"), F.col("cve").alias("id"), F.when(key % 2 == 0, F.array("ghsa")).otherwise(none).alias("aliases"), "cvss", F.col("summary").alias("details"), F.array(F.concat(F.lit("u/"), "name")).alias("urls"))
-    second = a.select((key * 2 + 1).alias("pos"), F.col("ghsa").alias("id"), F.when(key % 4 == 0, F.array(following)).otherwise(none).alias("aliases"), (F.col("cvss") / 2).alias("cvss"), F.concat("summary", F.lit("!")).alias("details"), F.array(F.concat(F.lit("v/"), "name")).alias("urls"))
+    text = lambda c: F.concat(F.lit("S"), c.cast("string")).alias("severity")
+    package = lambda version: F.array(F.struct("ecosystem", F.col("name").alias("package"), version.alias("version"))).alias("affected")
+    first = a.select(
+        (key * 2).alias("pos"), F.col("cve").alias("id"), F.when(key % 2 == 0, F.array("ghsa")).otherwise(none).alias("aliases"), "cvss", F.col("summary").alias("details"),
+        F.array(F.concat(F.lit("u/"), "name")).alias("urls"), text(F.when(score > 3, score)), package(F.col("fixed")),
+    )
+    second = a.select(
+        (key * 2 + 1).alias("pos"), F.col("ghsa").alias("id"), F.when(key % 4 == 0, F.array(following)).otherwise(none).alias("aliases"), (score / 2).alias("cvss"), F.concat("summary", F.lit("!")).alias("details"),
+        F.array(F.concat(F.lit("v/"), "name")).alias("urls"), text(score / 2), package(F.when(score > 5, F.concat("fixed", F.lit("+"))).otherwise(F.col("introduced"))),
+    )
     merged = G.merge_advisories(first.unionByName(second))
-    return merged.withColumn("urls", F.concat_ws(",", "urls")).withColumn("aliases", F.concat_ws(",", "aliases"))
+    affected = F.concat_ws(",", F.transform("affected", lambda x: F.concat(x["ecosystem"], F.lit(":"), x["package"], F.lit("@"), F.coalesce(x["version"], F.lit("-")))))
+    return merged.withColumn("urls", F.concat_ws(",", "urls")).withColumn("aliases", F.concat_ws(",", "aliases")).withColumn("affected", affected)

@@ -52,10 +52,15 @@ def typosquat_basic(t: Tables) -> DataFrame:
     return S.typosquats(t.components, t.components.where("component_id % 4 = 0")).select("name", "known", "distance", "level")
 
 
-@query(_SUCCESS)
+@query(f"""
+    with s as ({_SUCCESS}) select *, null as upgrades, null as packages from s
+    union all select null, null, null, sum(attempts), sum(successes), null, count(*), count(distinct package) from s
+""")
 def upgrade_success(t: Tables) -> DataFrame:
+    """Each upgrade, and a row over all without a package."""
     found = S.upgrade_success(feedback(t))
-    return found.select("package", "from_version", "to_version", "attempts", "successes", F.array_join("issues", ",").alias("issues"))
+    rows = found.select("package", "from_version", "to_version", "attempts", "successes", F.array_join("issues", ",").alias("issues"))
+    return rows.unionByName(S.upgrade_statistics(found).drop("rate"), allowMissingColumns=True)
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsift.functions import threats as T
+from depsift.functions.severity import severity_from_cvss
 from depsift.operators import threats as O
 from depsift.queries.registry import Tables, query
 
@@ -59,11 +60,12 @@ def malicious_text(t: Tables) -> DataFrame:
     return t.advisories.select("cve", T.malicious_text(F.col("summary"), F.col("ghsa")).alias("malicious"))
 
 
-@query("select name, ecosystem, ghsa as id, fixed as versions, summary as description from advisories where advisory_key % 17 = 0")
+@query("select name, ecosystem, ghsa as id, fixed as versions, summary as description, count(*) over (partition by ecosystem) as in_ecosystem from advisories where contains(summary, 'malicious code')")
 def malicious_db(t: Tables) -> DataFrame:
     affected = F.array(F.struct("name", "ecosystem", F.array_compact(F.array("fixed")).alias("versions")), F.struct(F.lit("x").alias("name"), F.lit("y").alias("ecosystem"), F.array("cve").alias("versions")))
     rows = O.malicious_db(t.advisories.select(F.col("ghsa").alias("id"), "summary", F.lit(None).cast("string").alias("details"), affected.alias("affected")))
-    return rows.select("name", "ecosystem", "id", F.get("versions", F.lit(0)).alias("versions"), "description")
+    rows = rows.join(O.malicious_stats(rows).withColumnRenamed("packages", "in_ecosystem"), "ecosystem")
+    return rows.select("name", "ecosystem", "id", F.get("versions", F.lit(0)).alias("versions"), "description", "in_ecosystem")
 
 
 @query("""
@@ -92,11 +94,23 @@ def suspicious_changes(t: Tables) -> DataFrame:
 
 
 @query("""
-    select component_id, concat_ws(',', size::double, price::double, case when component_id % 2 = 0 then '1.0' else '0.0' end) as vector from components
+    select c.component_id, concat_ws(',', size::double, price::double, case when component_id % 2 = 0 then '1.0' else '0.0' end) as vector,
+           array_to_string([coalesce(a.cvss, 0), size::double, (price > 1500)::int::double, coalesce(e.epss, 0), (k.cve is not null)::int::double,
+               case when a.cvss >= 9 then 3.0 when a.cvss >= 7 then 2.0 when a.cvss >= 4 then 1.0 else 0.0 end, case brand when 'Brand#1' then 1.0 when 'Brand#2' then 2.0 when 'Brand#3' then 3.0 when 'Brand#4' then 4.0 else 0.0 end,
+               (size > 25)::int::double], ',') as flaw,
+           array_to_string([size * 3.0::double, price::double, (a.cve is not null)::int::double, size::double, (price < 1200)::int::double, size / 50.0::double, 0.0::double, 7.0::double], ',') as dependency
+    from components c left join advisories a on a.advisory_key = c.component_id left join epss e on e.cve = a.cve left join kev k on k.cve = a.cve
 """)
 def feature_vector(t: Tables) -> DataFrame:
-    v = T.feature_vector(F.col("size"), F.col("price"), F.col("component_id") % 2 == 0)
-    return t.components.select("component_id", F.array_join(v.cast("array<string>"), ",").alias("vector"))
+    """Values of any columns, and the layouts of flaws and dependencies."""
+    a = t.advisories.select(F.col("advisory_key").alias("component_id"), "cve", "cvss").join(t.epss.select("cve", "epss"), "cve", "left").join(t.kev.select("cve", F.lit(True).alias("kev")), "cve", "left")
+    rows, c = t.components.join(a, "component_id", "left"), F.col
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("Brand#1", "rce", "Brand#2", "XSS", "Brand#3", "SQLi", "Brand#4", "CSRF")]), c("brand"))
+    level = severity_from_cvss(c("cvss"))
+    flaw = T.vulnerability_features(c("cvss"), c("size"), c("price") > 1500, c("epss"), c("kev"), level, kind, c("size") > 25)
+    dependency = T.dependency_features(c("size") * 3, c("price"), c("cve").isNotNull(), c("size"), c("price") < 1200, c("size") / 50.0, F.lit(None).cast("double"), F.lit(7))
+    text = lambda v: F.array_join(v.cast("array<string>"), ",")
+    return rows.select("component_id", text(T.feature_vector(c("size"), c("price"), c("component_id") % 2 == 0)).alias("vector"), text(flaw).alias("flaw"), text(dependency).alias("dependency"))
 
 
 _FEATURES = "select component_id, component_id % 150 as transitive, size % 12 as vulns, (component_id % 10) / 10.0 as maintainer, component_id % 70 as releases, (component_id % 20) / 20.0 as popularity from components"

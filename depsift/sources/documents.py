@@ -85,12 +85,17 @@ def sarif(findings: DataFrame, key: str = "image") -> DataFrame:
 
 
 def union_sarif(*reports: DataFrame, key: str = "image") -> DataFrame:
-    """One report of each key from those of several tools: their runs one behind the other, in order of the texts."""
+    """One report of each key from those of several tools: their runs one behind the other, in order of the texts.
+
+    Runs are taken by their key, wherever it stands in a report, and written as they are; a report without runs, or one that
+    is no JSON, adds none.
+    """
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)
-    runs = F.array_join(F.array_sort(F.collect_list(F.regexp_extract("value", r'(?s)"runs":\s*\[(.*)\]\s*\}\s*$', 1))), ",")
-    return out.groupBy(key).agg(F.concat(F.lit('{"version":"2.1.0","runs":['), runs, F.lit("]}")).alias("value"))
+    runs = F.coalesce(F.from_json("value", "runs array<string>")["runs"], F.array().cast("array<string>"))
+    joined = F.array_join(F.filter(F.flatten(F.array_sort(F.collect_list(runs))), lambda r: r.isNotNull()), ",")
+    return out.groupBy(key).agg(F.concat(F.lit('{"version":"2.1.0","runs":['), joined, F.lit("]}")).alias("value"))
 
 
 # The file that a snapshot of an ecosystem names.
