@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from re import _parser as sre_parser
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from depsift.functions.severity import severity_rank
+from depsift.plans.lineage import cut
 
 FILTERS = {
     "p0": "priority = 'P0'", "p1": "priority = 'P1'", "p2": "priority = 'P2'", "fixable": "fixed is not null",
@@ -17,10 +19,6 @@ FILTERS = {
 }
 
 
-#: Rules that may be tried on each package name.
-RULES = 10_000
-
-
 def filter_findings(findings: DataFrame, name: str) -> DataFrame:
     """A named filter; an unknown name keeps all rows."""
     return findings.where(FILTERS[name]) if name in FILTERS else findings
@@ -65,18 +63,54 @@ def should_notify(alerts: DataFrame, least: str, enabled: bool = True) -> DataFr
     return alerts.where(F.lit(enabled) & (severity_rank(F.col("severity")) >= severity_rank(F.lit(least))))
 
 
+#: Letters of the pieces by which names and rules meet, and parts of the names that meet rules without a piece.
+PIECE, SALTS = 3, 64
+
+
+def required_text(pattern: str | None) -> str:
+    """A text that stands in every match of a pattern: the longest run of plain letters that no choice or option leaves out; may be empty."""
+    try:
+        tree = sre_parser.parse(pattern or "")
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    if tree.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ""
+    best, run = "", ""
+    for op, value in [*tree, (None, None)]:
+        if op is sre_parser.LITERAL:
+            run += chr(value)
+            continue
+        if op is not sre_parser.AT:
+            best, run = max(best, run, key=len), ""
+    return best
+
+
 def route_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """First rule, by `at`, whose pattern matches the package.
+    """First rule, by `at`, whose pattern matches the package; a pattern that is no expression fails the job.
 
-    Distinct package names meet the rules, a configuration table that is counted before it is broadcast and may have
-    RULES rows; findings join the outcome by name.
+    Distinct package names meet rules by an inverted index: a rule stands under one piece, of PIECE letters or fewer, of the text
+    that its pattern requires (`required_text`), the one that fewest names have, and a name looks its own pieces up. Patterns
+    are tried on those names alone. Patterns that require no text are tried on every name, in SALTS parts. Rules may be any number.
     """
-    names = findings.select("package").distinct()
-    if rules.count() > RULES:
-        raise ValueError(f"over {RULES} rules: patterns are tried on every name")
-    hits = names.join(F.broadcast(rules), F.expr("package rlike pattern"), "left")
-    first = hits.groupBy("package").agg(F.min_by(F.struct(*[c for c in rules.columns if c not in ("at", "pattern")]), "at").alias("r"))
-    return findings.join(first, "package", "left").select(*findings.columns, "r.*")
+    names = cut(findings.select("package").where("package is not null").distinct())
+    literal = F.udf(required_text, "string")
+    rules = cut(rules.withColumn("_text", literal("pattern")).withColumn("_q", F.least(F.length("_text"), F.lit(PIECE))))
+    pieces = lambda text, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q)))
+    asked = rules.where("_q > 0").select("_q", F.explode(pieces(F.col("_text"), F.col("_q"))).alias("_piece")).distinct()
+    held = names.withColumn("_q", F.explode(F.expr(f"sequence(1, least({PIECE}, length(package)))"))).where("package <> ''")
+    held = cut(held.select("package", "_q", F.explode(pieces(F.col("package"), F.col("_q"))).alias("_piece")).join(asked, ["_q", "_piece"], "left_semi"))
+    counts = held.groupBy("_q", "_piece").agg(F.count("*").alias("_n"))
+    # rules with a piece that no name has match nothing; the others stand under their rarest piece
+    each = rules.where("_q > 0").select("at", "pattern", "_q", F.explode(pieces(F.col("_text"), F.col("_q"))).alias("_piece")).distinct()
+    each = each.join(counts, ["_q", "_piece"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    under = each.groupBy("at", "pattern").agg(F.min(F.struct("_n", "_q", "_piece")).alias("_k")).where("_k._n > 0").select("at", "pattern", "_k._q", "_k._piece")
+    tried = held.join(under, ["_q", "_piece"]).select("package", "at", "pattern")
+    salted = rules.where("_q = 0").select("at", "pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    tried = tried.unionByName(names.withColumn("_s", F.pmod(F.xxhash64("package"), F.lit(SALTS)).cast("int")).join(salted, "_s").drop("_s"))
+    first = tried.where("package rlike pattern").groupBy("package").agg(F.min(F.struct("at", "pattern")).alias("_r")).select("package", "_r.at", "_r.pattern")
+    told = [c for c in rules.columns if c not in ("at", "pattern", "_text", "_q")]
+    said = rules.groupBy("at", "pattern").agg(F.min(F.struct(*told)).alias("r"))
+    return findings.join(first.join(said, ["at", "pattern"]).select("package", "r"), "package", "left").select(*findings.columns, "r.*")
 
 
 def policy_violation(severity: Column, is_kev: Column, epss: Column, threshold: str, kev_gate: bool, epss_threshold: float | None, reachable: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depsift.operators.components import connected_components
 from depsift.plans.lineage import cut
+from depsift.plans.skew import numbered, spread_join
 
 #: Frontiers that are kept apart before they are written together.
 MERGE = 20
@@ -59,22 +60,51 @@ def affected_targets(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def call_chains(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
-    """Shortest path from an entrypoint to every reachable node, the least parent breaking ties: (node, depth, path)."""
+    """Shortest path from an entrypoint to every reachable node, of several the least node by node: (node, depth, path)."""
+    return paths_of(shortest_tree(edges, entrypoints))
+
+
+def shortest_tree(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """(node, depth, parent) of every reachable node: the node before it on its least shortest path, null for entrypoints.
+
+    Nodes of one depth are numbered in the order of their paths, which is that of their parents' numbers and then their own, so a
+    round moves a pair of numbers for each edge out of the frontier and no path. There are as many rounds as the graph is deep.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    frontier = cut(entrypoints.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
-    met, depth = [frontier], 0
+    frontier = numbered(entrypoints.select("node").distinct(), [F.col("node")], "place")
+    none = F.lit(None).cast(entrypoints.schema["node"].dataType)
+    met, depth = [frontier.select("node", F.lit(0).alias("depth"), none.alias("parent"))], 0
     while True:
         depth += 1
-        ahead = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), "path")
-        new = ahead.join(_union(met).select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = cut(new.select("node", F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
+        ahead = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.struct("place", F.col("node").alias("parent")).alias("via"))
+        new = ahead.join(_union(met).select("node"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", "via.*")
+        frontier = numbered(new.withColumnRenamed("place", "before"), [F.col("before"), F.col("node")], "place")
         if frontier.isEmpty():
             return _union(met)
-        met.append(frontier)
+        met.append(frontier.select("node", F.lit(depth).alias("depth"), "parent"))
         if len(met) > MERGE:
             met = [cut(_union(met))]
 
 
+def paths_of(tree: DataFrame) -> DataFrame:
+    """(node, depth, path) of a tree (node, depth, parent), rebuilt by pointer doubling.
+
+    After k rounds a node has the last 2^k nodes of its path and a pointer to the one before them, whose own part it takes in
+    the next round; so a path of n nodes is whole after log2(n) rounds, and what moves in all of them is the paths' length.
+    """
+    rows = cut(tree.select("node", "depth", F.array("node").alias("path"), F.col("parent").alias("up")))
+    done = []
+    while True:
+        done.append(rows.where("up is null").select("node", "depth", "path"))
+        open_ = rows.where("up is not null")
+        if open_.isEmpty():
+            return _union(done)
+        # pointers lead to whole paths too, so these stay in what is looked up
+        parts = _union([d.withColumn("up", F.lit(None).cast(tree.schema["node"].dataType)) for d in done] + [open_])
+        parts = parts.select(F.col("node").alias("at"), F.col("path").alias("more"), F.col("up").alias("next"))
+        rows = cut(open_.join(parts, open_.up == parts.at).select("node", "depth", F.concat("more", "path").alias("path"), F.col("next").alias("up")))
+
+
 def shared_dependencies(edges: DataFrame, packages: DataFrame) -> DataFrame:
     """(dep, n, packages) of each dependency that two of the packages or more have, instead of a row for each pair."""
     deps = edges.select(F.col("src").alias("package"), F.col("dst").alias("dep")).distinct().join(packages.select("package").distinct(), "package")
@@ -83,9 +113,23 @@ def shared_dependencies(edges: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def dependency_counts(edges: DataFrame, roots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Direct and transitive dependencies of each key's root."""
-    met = closure(edges, roots, keys)
-    return met.groupBy(*keys).agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
+    """Direct and transitive dependencies of each key's roots (keys..., node); nodes are whole numbers.
+
+    What a root reaches is found once, however many keys have it, and held as bits: words of 64 nodes with a mask of those reached, a row for each
+    root. A key's masks are united by word, so no row is made for a key and a node. Roots that very many keys share are split.
+    """
+    keys = list(keys)
+    roots = roots.select(*keys, "node").where("node is not null").distinct()
+    met = closure(edges, roots.select(F.col("node").alias("root"), "node").distinct(), ("root",))
+    bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
+    when = lambda c: F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long")))
+    words = met.groupBy("root", F.shiftright("node", 6).alias("word")).agg(F.bit_or(bit).alias("all"), when(F.col("depth") == 1).alias("next"), when(F.col("depth") == 0).alias("own"))
+    sets = cut(words.groupBy("root").agg(F.collect_list(F.struct("word", "all", "next", "own")).alias("words")))
+    rows = spread_join(roots.withColumnRenamed("node", "root"), sets, ["root"], keys[0]).select(*keys, F.explode("words").alias("w"))
+    united = rows.groupBy(*keys, "w.word").agg(*[F.bit_or(f"w.{c}").alias(c) for c in ("all", "next", "own")])
+    left = lambda c: F.sum(F.bit_count(F.col(c).bitwiseAND(F.bitwise_not("own")))).cast("long")
+    out = united.groupBy(*keys).agg(left("next").alias("direct"), left("all").alias("every"))
+    return out.select(*keys, "direct", (F.col("every") - F.col("direct")).alias("transitive"))
 
 
 def merge_advisories(records: DataFrame, labels: DataFrame | None = None) -> DataFrame:
