@@ -19,7 +19,7 @@ RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "ca
 #: Elements around an article.
 AROUND = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset")
 #: Elements that hold the article, and those whose class and id tell nothing of what is in them.
-MAIN, PLAIN = ("article", "main"), ("html", "body", "article", "main")
+MAIN, PLAIN = ("article", "main"), ("html", "body", "main")
 #: Elements that end a block (fixed values of the HTML standard).
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -42,6 +42,8 @@ MARKS = (
     "sidebar", "footer", "header", "masthead", "share", "social", "related", "recommended", "widget", "comment", "comments", "respond",
     "disqus", "replies", "skip", "toolbar", "pagination",
 )
+#: Marks that a layout around a whole page may carry; an article inside is text if no other one is.
+LAYOUT = ("sidebar", "header", "footer", "menu", "nav", "navbar", "banner", "widget", "breadcrumb", "breadcrumbs", "toolbar", "masthead")
 NEUTRAL = (
     "site", "page", "main", "global", "top", "bottom", "left", "right", "list", "item", "items", "box", "area", "wrap", "wrapper", "container", "inner", "outer", "bar", "block",
     "section", "slot", "unit", "links", "link", "icons", "icon", "buttons", "button", "posts", "articles", "thread", "form", "row", "col", "content", "user", "reader", "google", "js",
@@ -60,39 +62,46 @@ _WORDS = re.compile(r"[^a-z]+")
 
 @dataclass
 class Block:
-    """One block of a page: its text and where it stands (main: inside an article; around: inside what is not)."""
+    """One block of a page: its text and where it stands (main: inside an article; around: inside what is not; layout: only
+    as marks of a layout around its article say so)."""
 
     text: str
     main: bool
     around: bool
+    layout: bool = False
     drop: np.ndarray | None = field(default=None)
 
 
-def _marked(attributes: str) -> bool:
-    """Whether a class or id says that the element is no article: one whose words are all marks or neutral, with a mark."""
-    for value in _values(attributes):
+#: What is said of an element: nothing, that a layout is named after something else, or that it is no article.
+NONE, LOOSE, FIRM = 0, 1, 2
+
+
+def _marked(attributes: str) -> int:
+    """Whether a class, id or role says that the element is no article: one whose words are all marks or neutral, with a mark."""
+    found = NONE
+    for _, value in _attributes(attributes, ("class", "id", "role")):
         for name in value.lower().split():
             words = [w for w in _WORDS.split(name) if w]
-            if any(w in MARKS for w in words) and all(w in MARKS or w in NEUTRAL for w in words):
-                return True
-    return False
+            marks = [w for w in words if w in MARKS]
+            if marks and all(w in MARKS or w in NEUTRAL for w in words):
+                found = max(found, LOOSE if all(w in LAYOUT for w in marks) else FIRM)
+    return found
 
 
 #: An attribute with its value, if any, or a stretch of what can't be one: each step moves on, and none goes back.
 _ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>="']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?|["'=]++)""")
 
 
-def _values(attributes: str) -> Iterator[str]:
-    """Values of class, id and role among a tag's attributes; one pass from left to right."""
+def _attributes(attributes: str, names: tuple[str, ...]) -> Iterator[tuple[str, str]]:
+    """(name, value) of those of a tag's attributes, empty where there is none; one pass from left to right."""
     at, n = 0, len(attributes)
     while at < n:
         m = _ATTRIBUTE.match(attributes, at)
         if not m:
             return
-        at, name, value = m.end(), (m[1] or "").lower(), m[2]
-        if value is None or name not in ("class", "id", "role"):
-            continue
-        yield value[1:-1] if value[:1] in "\"'" else value
+        at, name, value = m.end(), (m[1] or "").lower(), m[2] or ""
+        if name in names:
+            yield name, value[1:-1] if value[:1] in "\"'" and value else value
 
 
 #: The rest of a tag behind its name; no step is tried twice.
@@ -159,24 +168,27 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; one pass over tags with a stack of open elements.
 
-    A mark of class or id holds until an article or main element opens inside; a sectioning element around an article
-    holds in it too. Elements that HTML lets end by the next one, and a head without its end, end so.
+    What is said of an element holds for all that is in it: marks of class, id or role, an article's own too, the attribute
+    `hidden`, and elements that stand around an article. Only where no article is without a mark, those count that nothing but marks of a
+    layout around the outermost article speak against. Elements that HTML lets end by the next one, and a head without its end, end so.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int, int]] = []
     open_: dict[str, int] = {}
     parts: list[str] = []
-    main = around = marked = False
+    main = around = False
+    outside, marked = NONE, NONE  # marks around the outermost article, and those on it and in it
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            blocks.append(Block(text, main, around or marked))
+            held = around or marked != NONE
+            blocks.append(Block(text, main, held or outside != NONE, main and not held and outside == LOOSE))
 
     def close(k: int) -> None:
-        nonlocal main, around, marked
-        _, main, around, marked = stack[k]
+        nonlocal main, around, outside, marked
+        _, main, around, outside, marked = stack[k]
         for name, *_ in stack[k:]:
             open_[name] -= 1
         del stack[k:]
@@ -220,15 +232,20 @@ def blocks_of(page: str) -> list[Block]:
             end_of((other,), HOLDERS)
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, main, around, marked))
+        stack.append((name, main, around, outside, marked))
         open_[name] = open_.get(name, 0) + 1
         own_header = name == "header" and main  # an article's own header holds its title
-        if name in MAIN:
-            main, marked = True, False
+        if name in MAIN and not main:
+            main, outside, marked = True, marked, NONE
         around |= (name in AROUND and not own_header) or name == "head"
-        marked |= name not in PLAIN and _marked(attributes)
+        if attributes and name not in ("html", "body"):
+            marked = marked if name in PLAIN else max(marked, _marked(attributes))
+            around |= any(value.lower() != "until-found" for _, value in _attributes(attributes, ("hidden",)))
     parts.append(page[at:])
     flush()
+    if not any(b.main and not b.around for b in blocks):
+        for b in blocks:
+            b.around &= not b.layout
     return blocks
 
 
@@ -311,7 +328,7 @@ def main_text(blocks: list[Block], repeats: set[int], least_tokens: int = LEAST_
 
     A block inside `article` or `main`, and not in something around it, is text whatever it says: copies of
     whole articles are not boilerplate. A block in a menu, header, footer, sidebar, form, advert, notice or
-    comment is none. Any other block, on pages with and without an article, is text unless repeated runs cover
+    comment is none, articles among these included. Any other block, on pages with and without an article, is text unless repeated runs cover
     COVER of its tokens: single runs in common with other pages cut nothing out of it.
     """
     open_, stream = unlabelled(blocks)

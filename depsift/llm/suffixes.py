@@ -1,4 +1,4 @@
-"""Suffix-array dedup: repeated byte strings found by ranks at growing offsets."""
+"""Removal of byte strings that repeat across documents, found by sampled fingerprints and compared byte by byte."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-#: Bytes ranked in the first round; the second round doubles the rank up to the threshold on both sides.
+#: Bytes that are hashed at a sampled position.
 GRAM = 16
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
@@ -121,12 +121,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id;
-    strings are those of the input and never cross documents. Ranks of suffixes are refined at growing
-    offsets, as in prefix doubling: positions are first ranked by GRAM bytes, all whose rank no other
-    document has are dropped (a block ranks its positions again then, instead of sending them), and what is left is ranked by pairs of that rank and the bytes around it up to
-    `length`, where the threshold ends the doubling. Two things keep ranks from moving the corpus many times:
-    only sampled positions are ranked (each string has one, see `anchors`), and a rank round is one exchange
-    of packed arrays, dealt by rank. Ranks are hashes; whatever is removed was compared byte by byte.
+    strings are those of the input and never cross documents. This is not prefix doubling, which the README says why:
+    of each string one position is sampled (see `anchors`) and given the hash of its GRAM bytes; positions whose hash no
+    other document has are dropped (a block hashes its positions again then, instead of sending them), and of what is left the bytes around it up to
+    `length` on both sides are compared. Hashes move in one exchange of packed arrays, dealt by hash; whatever is
+    removed was compared byte by byte.
 
     Work is dealt by document block and by rank; the numbers of both grow with the input, and a block must be smaller
     than 4 GiB. A block sends each rank once and each surrounding once, so that what a task gets of a passage grows with
