@@ -77,3 +77,14 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], rank:
     for i, (name, c) in enumerate(sums.items()):
         out = out.withColumn(name, F.col(f"__s{i}") + F.sum(c).over(inside))
     return out.drop("__range", "__n", *[f"__s{i}" for i in range(len(sums))])
+
+
+def ordered(rows: DataFrame, order: list[Column], sums: dict[str, Column], rank: str, most: int = SMALL) -> DataFrame:
+    """`running` for a table that is mostly small: counted first, and ordered in one task if it has at most `most` rows."""
+    if rows.count() > most:
+        return running(rows, order, sums, rank)
+    run = W.orderBy(*order)
+    out = rows.withColumn(rank, F.row_number().over(run).cast("long"))
+    for name, c in sums.items():
+        out = out.withColumn(name, F.sum(c).over(run))
+    return out
