@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from depsift.plans.lineage import cut
-from depsift.plans.skew import running
+from depsift.plans.skew import SMALL, ordered, spread_join
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,25 +26,24 @@ def size_class(size: Column) -> Column:
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Targets of (source, source_size): weights in code-point order with null last, shared by water filling.
+    """Sources (source, source_size, ...) with their targets: weights in code-point order with null last, shared by water filling.
 
     The table has one row per source. Each source gets `weight * level`, at most `most * source_size`; the
-    level is the one at which the targets add up to `share` of all sizes. Sources may be many: their order and the
-    sums up to each are those of a range sort.
+    level is the one at which the targets add up to `share` of all sizes. Sources may be many: beyond a counted bound their order
+    and the sums up to each are those of a range sort.
     """
     last = F.col("source").asc_nulls_last()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = running(sources, [last], {}, "place")
+    s = ordered(sources, [last], {}, "place")
     s = s.withColumn("weight", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    s = running(s, [F.col("ratio").asc(), last], {"caps": F.col("cap"), "weights": F.col("weight")}, "turn")
+    s = cut(ordered(s, [F.col("ratio").asc(), last], {"caps": F.col("cap"), "weights": F.col("weight")}, "turn"))
     size, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
     total = float(size or 0) * share
-    rest = F.lit(float(all_weights or 0)) - F.col("weights")
-    s = cut(s.withColumn("capped", F.col("caps") + F.col("ratio") * rest <= F.lit(total)))
-    taken, open_weight = s.agg(F.sum(F.when(F.col("capped"), F.col("cap"))), F.sum(F.when(~F.col("capped"), F.col("weight")))).first()
+    capped = F.col("caps") + F.col("ratio") * (F.lit(float(all_weights or 0)) - F.col("weights")) <= F.lit(total)
+    taken, open_weight = s.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
     level = F.lit((total - (taken or 0.0)) / open_weight if open_weight else 0.0)
-    return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
+    return s.select(*sources.columns, F.when(capped, F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
 def bucket_of(key: Column, mark: Column, buckets: int) -> Column:
@@ -68,7 +67,7 @@ def mix_sources(
     Every document of a source expects `target / source_size` copies. Within a source, documents stand in
     order of (size class, bucket, size, id), so the mix takes from all sizes alike; the running sum of
     expected copies plus the source's one random offset is floored, and a document is emitted once for each
-    integer boundary its step crosses. Running sums come from counts per (source, class, bucket) and a row
+    integer boundary its step crosses. Running sums come from counts per (source, class, bucket), which are ordered by range over all sources, and a row
     number inside each, so no source is ever ordered in one task. Buckets are dealt by a digest of the id, of the
     text where that is null, and their number grows with the rows.
 
@@ -82,20 +81,21 @@ def mix_sources(
     ))
     buckets = max(least_buckets, sized.count() // BUCKET_ROWS)
     sized = sized.withColumn("cls", size_class(F.col("size"))).withColumn("bucket", bucket_of(F.col("doc_id"), F.col("mark"), buckets))
-    cells = sized.groupBy("source", "cls", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    cells = cut(cells)
-    targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    run = W.partitionBy("source").orderBy("cls", "bucket")
-    cells = cells.withColumn("before", F.sum("n").over(run) - F.col("n")).drop("n", "words")
-    cells = cells.join(targets, cells.source.eqNullSafe(targets.source)).drop(targets.source)
+    # a source's name that is never null, so that it joins
+    sized = sized.withColumn("group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    cell = ["group", "cls", "bucket"]
+    cells = sized.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("source").alias("source"))
+    cells = cut(ordered(cells, [F.col(c) for c in cell], {"upto": F.col("n")}, "place").drop("place"))
+    sources = cells.groupBy("group").agg(F.min("source").alias("source"), F.sum("words").alias("source_size"), F.min(F.col("upto") - F.col("n")).alias("first"), F.count("*").alias("cells"))
+    targets = source_targets(sources, weights, share, most).drop("source")
+    few = targets.count() <= SMALL
+    cells = cells.drop("source", "words").join(F.broadcast(targets), "group") if few else spread_join(cells.drop("source", "words"), targets, ["group"], "bucket", size="cells")
+    cells = cells.withColumn("before", F.col("upto") - F.col("n") - F.col("first"))
     cells = cells.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    cells = cells.withColumn("u", offset_of(F.col("source"), seed))
-    inside = W.partitionBy("source", "cls", "bucket").orderBy("size", "doc_id", "mark")
-    ranked = sized.withColumn("at", F.row_number().over(inside))
-    same = ranked.source.eqNullSafe(cells.source) & (ranked.cls == cells.cls) & (ranked.bucket == cells.bucket)
-    placed = ranked.join(cells, same).select(
-        "doc_id", ranked.source, "mark", "size", "source_size", "target", "rate", "u", (F.col("before") + F.col("at")).alias("rank")
-    )
+    cells = cells.select(*cell, "before", "source_size", "target", "rate")
+    inside = W.partitionBy(*cell).orderBy("size", "doc_id", "mark")
+    placed = sized.withColumn("at", F.row_number().over(inside)).join(cells, cell).withColumn("u", offset_of(F.col("source"), seed))
+    placed = placed.withColumn("rank", F.col("before").cast("long") + F.col("at"))
     step = lambda r: F.floor(r * F.col("rate") + F.col("u"))
     copies = (step(F.col("rank")) - step(F.col("rank") - 1)).cast("long")
     return placed.select("doc_id", "source", "mark", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
