@@ -73,7 +73,33 @@ def test_plan_covers_histogram():
     assert covered == histogram
     assert plan.total() <= 1.02 * sum(n * k for n, k in histogram.items()) / 64 + 1
     lp = packing.configuration_lp({n: k for n, k in histogram.items() if n < 64}, 64)
-    assert sum(k for _, k in lp) >= 0.5 * plan.total()  # most sequences are the linear program's
+    assert lp.bound <= lp.value <= 1.02 * lp.bound and sum(int(x) for x in lp.amounts.values()) >= 0.5 * lp.value  # most of it is whole
+
+
+def configurations(lengths, capacity):
+    """All multisets of lengths within a capacity."""
+    if not lengths:
+        return [()]
+    n, rest = lengths[0], lengths[1:]
+    return [((n, k), *more) for k in range(capacity // n + 1) for more in configurations(rest, capacity - n * k)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_linear_program_covers_and_its_prices_are_a_bound(seed):
+    rng = random.Random(seed)
+    lengths = sorted(rng.sample(range(2, 19), 6))
+    histogram = {n: rng.choice([1, 2, 30, 700]) for n in lengths}
+    lp = packing.configuration_lp(histogram, 20)
+    covered = Counter()
+    for pattern, amount in lp.amounts.items():
+        assert amount > 0 and sum(n * c for n, c in pattern) <= 20
+        for n, c in pattern:
+            covered[n] += c * amount
+    assert all(abs(covered[n] - k) < 1e-6 for n, k in histogram.items()) and abs(sum(lp.amounts.values()) - lp.value) < 1e-6
+    # dual feasible: no configuration costs more than one sequence
+    assert all(sum(lp.prices[n] * k for n, k in c) <= 1 + 1e-9 for c in configurations(lengths, 20))
+    assert sum(n * k for n, k in histogram.items()) / 20 - 1e-6 <= lp.bound <= lp.value + 1e-6
+    assert packing.plan_sequences(histogram, 20).total() >= lp.bound - 1e-6
 
 
 @pytest.mark.parametrize("seed, low, high", [(2, 1, 1023), (3, 300, 1023), (4, 1, 200), (5, 512, 520)])
