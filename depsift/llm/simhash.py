@@ -19,6 +19,8 @@ from depsift.plans.skew import sized_join, spread_join
 BLOCK = 4096
 #: Longest lists that are spanned together with others of their length, and pairs of rows in one such step.
 MANY, AT_ONCE = 64, 1 << 20
+#: Orders of the bits that an index without a guarantee has.
+ORDERS = 15
 #: Texts of a bit-linked group on each side of one block of shingle comparisons.
 SIDE = 1024
 
@@ -86,22 +88,30 @@ def index_positions(size: int, matches: int) -> list[tuple[int, ...]]:
     return list(combinations(range(size), max(1, min(3, matches))))
 
 
-def postings(prints: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """key, fp: a row per fingerprint and set of positions; the key is the set's number and its bytes."""
+def arrangements(bits: int, many: int, seed: int = 7) -> list[np.ndarray]:
+    """Orders of a fingerprint's bits, the given one first: bytes of another order are other positional bytes."""
+    rng = np.random.default_rng(seed)
+    return [np.arange(bits), *(rng.permutation(bits) for _ in range(many - 1))]
+
+
+def postings(prints: DataFrame, sets: list[tuple[int, ...]], orders: list[np.ndarray] | None = None) -> DataFrame:
+    """key, fp: a row per fingerprint, order of its bits and set of positions; the key is their number and the bytes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps = batch.column(0).to_pylist()
-            m = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1).astype(np.int64)
-            keys = []
-            for n, positions in enumerate(sets):
-                key = np.full(len(fps), n, np.int64)
-                for p in positions:
-                    key = key << 8 | m[:, p]
-                keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fps * len(sets), pa.binary())], names=["key", "fp"])
+            m = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+            keys, bits = [], np.unpackbits(m, axis=1) if orders else None
+            for k, order in enumerate(orders or [None]):
+                own = m if order is None else np.packbits(bits[:, order], axis=1)
+                for n, positions in enumerate(sets, k * len(sets)):
+                    key = np.full(len(fps), n, np.int64)
+                    for p in positions:
+                        key = key << 8 | own[:, p]
+                    keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fps * len(keys), pa.binary())], names=["key", "fp"])
 
     return prints.select("fp").mapInArrow(run, "key long, fp binary")
 
@@ -195,6 +205,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 def links(
     prints: DataFrame, distance: int, matches: int, sets: list[tuple[int, ...]], block: int = BLOCK, short: int = 16, nearest: bool = False,
+    orders: list[np.ndarray] | None = None,
 ) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints that span all links found in the posting lists.
 
@@ -203,10 +214,11 @@ def links(
     pair is left out. Inside a group, pairs are tallied in arrays; only the links that join two parts of a
     group leave it, fewer than its rows; without `nearest`, lists of `short` rows at most are compared all at
     once and give all their links. `nearest` spans every group by its links of fewest differing bits, for callers
-    that verify links by other means afterwards.
+    that verify links by other means afterwards. With `orders`, lists are those of several orders of the bits; what shares a
+    list shares the bytes of its set in that order, and `matches` counts bytes of the given one.
     """
     span = _nearest_forest if nearest else _forest
-    rows = postings(prints, sets)
+    rows = postings(prints, sets, orders)
     long_ = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long_ = long_.select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     rows = rows.join(long_, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -401,14 +413,15 @@ def fragment_links(grams: DataFrame, fragments: DataFrame, similarity: float, si
 
 
 def near_duplicate_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, distance: int = 30, matches: int = 2,
-    sets: list[tuple[int, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, distance: int = 34, matches: int = 2,
+    sets: list[tuple[int, ...]] | None = None, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per doc_id: doc_id, component_id, linked by verified similarity of shingle sets.
 
     At a similarity of 0.8, fingerprints differ in more bits than the index has bytes, so no number of
-    shared bytes is guaranteed. Here fingerprints are wider, and the index has every pair of positions: all
-    fingerprints that share two bytes meet, others are missed (see the README for what was measured). Each posting list is spanned by its closest pairs, the likeliest to be verified.
+    shared bytes is guaranteed. Here fingerprints are wider, and the index has the bytes of `orders` orders of their bits, two
+    by two: fingerprints that share two neighbouring bytes in any order meet, others are missed (see the README for what was measured).
+    Given `sets` of positions of the given order take their place, with `matches` shared bytes at least. Each posting list is spanned by its closest pairs, the likeliest to be verified.
     Pairs that meet within `distance` bits are then verified: the cosine of their sets of distinct shingles must
     be `similarity` at least, so nothing is grouped on fingerprints alone: texts of one
     fingerprint are one node only if their sets of shingles are equal, and compared otherwise. What is still apart in a group of bit links is compared by shingles as well (see
@@ -417,11 +430,13 @@ def near_duplicate_groups(
     are copies of each other. An empty table gives an empty result; other columns are ignored.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = sets or index_positions(bits // 8, matches)
+    index = {"sets": sets, "matches": matches}
+    if sets is None:  # what meets in a list shares its two bytes
+        index = {"sets": [(p, p + 1) for p in range(0, bits // 8, 2)], "matches": 0, "orders": arrangements(bits, orders)}
     prints = cut(set_digests(base, shingle, bits))
     nodes = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")))
     classes = nodes.groupBy("fp").agg(F.min_by("digest", F.struct("first", "digest")).alias("lead"), F.count("*").alias("sets"))
-    found = cut(links(nodes.select("fp").distinct(), distance, matches, sets, nearest=True))
+    found = cut(links(nodes.select("fp").distinct(), distance, nearest=True, **index))
     groups = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     needed = cut(nodes.join(classes, "fp").join(groups, "fp", "left").where("group is not null or sets > 1").select(
         F.col("first").alias("doc_id"), "fp", "digest", F.coalesce("group", "fp").alias("group"), (F.col("digest") == F.col("lead")).alias("lead")

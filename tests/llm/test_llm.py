@@ -449,7 +449,7 @@ def test_groups_in_long_posting_lists_equal_brute_force(spark):
                 words[at] = f"c{rng.randrange(10**6)}"
             rows.append((family * 3 + copy, " ".join(words)))
     sets = [(i,) for i in range(16)]
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), sets=sets).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), sets=sets, distance=30).collect()}
     assert found == brute_groups(rows, sets=sets)
 
 
@@ -517,6 +517,24 @@ def test_most_planted_near_copies_are_found(spark):
     assert all(found[k + 1] == k + 1 for k in range(0, 300, 2) if k not in near) and all(found[k] == k for k in range(0, 300, 2))
 
 
+def test_recall_of_near_copies_in_the_test_table(spark):
+    """Pairs of different texts of sf0.1 at a similarity of 0.8 or more, found by their shingles: nine in ten end in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    first = {}
+    for i, t in docs.orderBy("doc_id").collect():
+        first.setdefault(simhash.shingle_hashes(t or "", 5), i)
+    sets = {i: np.frombuffer(x, np.uint32) for x, i in first.items() if x}
+    where, both = defaultdict(list), Counter()
+    for i, x in sets.items():
+        for s in x.tolist():
+            where[s].append(i)
+    for ids in where.values():
+        both.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    near = [(a, b) for (a, b), n in both.items() if n >= 0.8 * np.sqrt(len(sets[a]) * len(sets[b]))]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert len(near) > 300 and np.mean([found[a] == found[b] for a, b in near]) >= 0.9
+
+
 def test_encoder_takes_a_million_spaces():
     ids_of = encoders.byte_bpe(encoders.default_path("byte_bpe_50k.json"))
     assert len(ids_of(" " * 1_000_000 + "x")) > 1000
