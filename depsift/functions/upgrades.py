@@ -11,15 +11,14 @@ LOW, MEDIUM, HIGH, CRITICAL = RISKS = ("Low", "Medium", "High", "Critical")
 
 # Packages (a pattern), old and new major, and what their migration guides say.
 _SPRING, _DJANGO, _RAILS, _REACT, _VUE, _EXPRESS = r"^org\.springframework\.boot|spring-boot", "^django$|^Django", "^rails", "^react$", "^vue$|^@vue/", "^express$"
-_BOOT_WIKI, _RUBY_GUIDE = "https://github.com/spring-projects/spring-boot/wiki/Spring-Boot-", "https://guides.rubyonrails.org/upgrading_ruby_on_rails.html"
 GUIDES = (
-    (_SPRING, 2, 3, f"Spring Boot 2→3 requires Java 17+. Migration guide: {_BOOT_WIKI}3.0-Migration-Guide"),
-    (_SPRING, 1, 2, f"Spring Boot 1→2 has significant changes. Guide: {_BOOT_WIKI}2.0-Migration-Guide"),
+    (_SPRING, 2, 3, "Spring Boot 2→3 requires Java 17+. Migration guide: https://github.com/spring-projects/spring-boot/wiki/Spring-Boot-3.0-Migration-Guide"),
+    (_SPRING, 1, 2, "Spring Boot 1→2 has significant changes. Guide: https://github.com/spring-projects/spring-boot/wiki/Spring-Boot-2.0-Migration-Guide"),
     (_DJANGO, 4, 5, "Django 4→5 removes deprecated features. Guide: https://docs.djangoproject.com/en/5.0/howto/upgrade-version/"),
     (_DJANGO, 3, 4, "Django 3→4 removes deprecated features. Guide: https://docs.djangoproject.com/en/4.0/howto/upgrade-version/"),
     (_DJANGO, 2, 3, "Django 2→3 drops Python 2 support. Requires Python 3.6+"),
-    (_RAILS, 6, 7, f"Rails 6→7 requires Ruby 2.7+. Guide: {_RUBY_GUIDE}"),
-    (_RAILS, 5, 6, f"Rails 5→6 requires Ruby 2.5+. Guide: {_RUBY_GUIDE}"),
+    (_RAILS, 6, 7, "Rails 6→7 requires Ruby 2.7+. Guide: https://guides.rubyonrails.org/upgrading_ruby_on_rails.html"),
+    (_RAILS, 5, 6, "Rails 5→6 requires Ruby 2.5+. Guide: https://guides.rubyonrails.org/upgrading_ruby_on_rails.html"),
     (_REACT, 17, 18, "React 17→18 introduces concurrent features. May need createRoot() migration"),
     (_REACT, 16, 17, "React 16→17 is a stepping stone release. Minimal breaking changes"),
     (_VUE, 2, 3, "Vue 2→3 has major API changes. Migration guide: https://v3-migration.vuejs.org/"),
@@ -37,6 +36,29 @@ SEMANTICS = {
 }
 
 
+# The reasons to fix a flaw, by severity, exploitation, chance of exploitation (least EPSS) and score (least CVSS).
+URGENT = {
+    "CRITICAL": "CRITICAL severity - immediate action required",
+    "HIGH": "HIGH severity - fix as soon as possible",
+    "MEDIUM": "MEDIUM severity - schedule fix in near term",
+    "LOW": "LOW severity - fix when convenient",
+}
+OTHER_SEVERITY, NO_REASON = "Unknown severity", "This vulnerability should be addressed to reduce security risk"
+EXPLOITED = "Listed in CISA KEV (Known Exploited Vulnerabilities) - actively exploited in the wild"
+LIKELY = ((0.9, "Very high"), (0.5, "High"), (0.1, "Moderate"))
+CHANCE = " exploit probability (EPSS: %.1f%%)"
+SCORED = ((9.0, "Very high CVSS score: "), (7.0, "High CVSS score: "))
+# Kinds of a version change and what they ask for.
+CHANGES = {
+    "major": ("Major version upgrade", "expect breaking changes. Review the changelog and test thoroughly before upgrading."),
+    "minor": ("Minor version upgrade", "may include new features and deprecations. Review release notes for details."),
+    "other": ("Version upgrade", "review the changelog for compatibility information."),
+}
+# Effort by the number of fixable findings (at most).
+EFFORT = ((0, "No immediate fixes available"), (5, "Low (< 1 hour)"), (20, "Medium (1-4 hours)"))
+MOST_EFFORT = "High (> 4 hours)"
+
+
 def _part(version: Column, n: int) -> Column:
     part = F.get(F.split(version, r"\."), F.lit(n))
     return F.when(part.rlike(r"^\+?\d+$"), part.try_cast("long"))
@@ -78,32 +100,30 @@ def upgrade_impact(package: Column, ecosystem: Column, old: Column, new: Column)
     return F.struct(breaking.alias("breaking"), said.alias("note"))
 
 
+def _first(cases: list[tuple[Column, Column | str]]) -> Column:
+    """The value of the first case that holds, else null."""
+    out = F
+    for condition, value in cases:
+        out = out.when(condition, value)
+    return out
+
+
 def why_fix(severity: Column, kev: Column, epss: Column, cvss: Column, summary: Column) -> Column:
     """The reasons to fix a flaw, as sentences."""
-    urgent = (
-        F.when(severity == "CRITICAL", "CRITICAL severity - immediate action required").when(severity == "HIGH", "HIGH severity - fix as soon as possible")
-        .when(severity == "MEDIUM", "MEDIUM severity - schedule fix in near term").when(severity == "LOW", "LOW severity - fix when convenient")
-        .when(severity.isNotNull(), "Unknown severity")
-    )
-    exploited = F.when(kev, "Listed in CISA KEV (Known Exploited Vulnerabilities) - actively exploited in the wild")
-    share = F.format_string(" exploit probability (EPSS: %.1f%%)", epss * 100.0)
-    likely = F.concat(F.when(epss >= 0.9, "Very high").when(epss >= 0.5, "High").when(epss >= 0.1, "Moderate"), share)
+    urgent = _first([*((severity == level, said) for level, said in URGENT.items()), (severity.isNotNull(), OTHER_SEVERITY)])
+    likely = F.concat(_first([(epss >= least, said) for least, said in LIKELY]), F.format_string(CHANCE, epss * 100.0))
     shown = F.regexp_replace(cvss.cast("string"), r"\.0$", "")
-    score = F.when(cvss >= 9, F.concat(F.lit("Very high CVSS score: "), shown)).when(cvss >= 7, F.concat(F.lit("High CVSS score: "), shown))
-    reasons = F.concat_ws(". ", urgent, exploited, likely, F.when(severity.isNotNull(), score), F.concat(F.lit("Impact: "), summary))
-    return F.when(reasons == "", "This vulnerability should be addressed to reduce security risk").otherwise(reasons)
+    score = _first([(cvss >= least, F.concat(F.lit(said), shown)) for least, said in SCORED])
+    reasons = F.concat_ws(". ", urgent, F.when(kev, EXPLOITED), likely, F.when(severity.isNotNull(), score), F.concat(F.lit("Impact: "), summary))
+    return F.when(reasons == "", NO_REASON).otherwise(reasons)
 
 
 def version_change_note(old: Column, new: Column) -> Column:
     """One sentence on the distance between two versions."""
     a, b = parse_version3(old), parse_version3(new)
     known = a.isNotNull() & b.isNotNull()
-    span = F.concat(F.lit(" ("), old, F.lit(" → "), new, F.lit(") - "))
-    return (
-        F.when(known & (b["major"] > a["major"]), F.concat(F.lit("Major version upgrade"), span, F.lit("expect breaking changes. Review the changelog and test thoroughly before upgrading.")))
-        .when(known & (b["minor"] > a["minor"]), F.concat(F.lit("Minor version upgrade"), span, F.lit("may include new features and deprecations. Review release notes for details.")))
-        .otherwise(F.concat(F.lit("Version upgrade"), span, F.lit("review the changelog for compatibility information.")))
-    )
+    said = {k: _text(f"{kind} (", old, " → ", new, f") - {advice}") for k, (kind, advice) in CHANGES.items()}
+    return _first([(known & (b[k] > a[k]), said[k]) for k in ("major", "minor")]).otherwise(said["other"])
 
 
 def risk_rank(risk: Column) -> Column:
@@ -116,6 +136,4 @@ def risk_of_rank(rank: Column) -> Column:
 
 
 def remediation_effort(fixable: Column) -> Column:
-    return (
-        F.when(fixable == 0, "No immediate fixes available").when(fixable <= 5, "Low (< 1 hour)").when(fixable <= 20, "Medium (1-4 hours)").otherwise("High (> 4 hours)")
-    )
+    return _first([(fixable <= most, said) for most, said in EFFORT]).otherwise(MOST_EFFORT)

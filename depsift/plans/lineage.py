@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; a temporary folder only where none is set (tests)."""
+    """Use the cluster's `spark.checkpoint.dir`. Without one, a session on one machine (`local`, as in tests) gets a temporary folder
+    and a cluster is refused: its machines share no such folder, and a lost one would take checkpoints with it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="depsift-checkpoints-"))
 
 

@@ -13,8 +13,8 @@ _NUMS = "list_transform(string_split({0}, '.'), lambda x: x::int)"
 
 
 @query("""
-    with l as (select distinct l_orderkey as image, l_linenumber as layer, case l_partkey % 3 when 0 then 'org:p' || l_partkey % 40 when 1 then 'p' || l_partkey % 40 else 'lib' || l_partkey % 40 || '-dev' end as package from lineitem where l_linenumber < 4),
-    f as (select distinct l_orderkey as image, 'CVE-' || l_partkey % 30 as cve, case when l_partkey % 4 = 0 then 'lib' || l_partkey % 40 else 'p' || l_partkey % 40 end as package from lineitem where l_linenumber > 1),
+    with l as (select distinct l_orderkey as image, l_linenumber as layer, case l_partkey % 3 when 0 then 'org:p' || l_partkey % 40 when 1 then 'p' || l_partkey % 40 else 'lib' || l_partkey % 40 || '-dev' end as package from lineitem),
+    f as (select distinct l_orderkey as image, 'CVE-' || l_partkey % 30 as cve, case when l_partkey % 4 = 0 then 'lib' || l_partkey % 40 else 'p' || l_partkey % 40 end as package from lineitem),
     eq as (select distinct f.*, l.layer from f join l on l.image = f.image and (l.package = f.package or split_part(l.package, ':', 2) = f.package)),
     rest as (select * from f where not exists (select 1 from eq where eq.image = f.image and eq.package = f.package)),
     near as (select distinct r.*, l.layer from rest r join l on l.image = r.image and (contains(l.package, r.package) or contains(r.package, l.package))),
@@ -23,9 +23,9 @@ _NUMS = "list_transform(string_split({0}, '.'), lambda x: x::int)"
 """)
 def layer_attribution(t: Tables) -> DataFrame:
     package = F.expr("case l_partkey % 3 when 0 then concat('org:p', l_partkey % 40) when 1 then concat('p', l_partkey % 40) else concat('lib', l_partkey % 40, '-dev') end")
-    layers = t.lineitem.where("l_linenumber < 4").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("layer"), package.alias("package"))
+    layers = t.lineitem.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("layer"), package.alias("package"))
     asked = F.expr("case when l_partkey % 4 = 0 then concat('lib', l_partkey % 40) else concat('p', l_partkey % 40) end")
-    findings = t.lineitem.where("l_linenumber > 1").select(F.col("l_orderkey").alias("image"), F.concat(F.lit("CVE-"), (F.col("l_partkey") % 30).cast("string")).alias("cve"), asked.alias("package"))
+    findings = t.lineitem.select(F.col("l_orderkey").alias("image"), F.concat(F.lit("CVE-"), (F.col("l_partkey") % 30).cast("string")).alias("cve"), asked.alias("package"))
     return O.layer_attribution(layers, findings.distinct())
 
 

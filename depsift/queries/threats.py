@@ -146,12 +146,12 @@ def train_anomaly_thresholds(t: Tables) -> DataFrame:
 
 
 @query("""
-    with feed as (select advisory_key, case advisory_key % 3 when 0 then name when 1 then concat(substr(name, 1, 4), '*') else concat('*', substr(name, length(name) - 4)) end as pattern from advisories where advisory_key % 9 = 0 or advisory_key % 40 = 1 or advisory_key % 60 = 2)
+    with feed as (select advisory_key, case advisory_key % 3 when 0 then name when 1 then concat(substr(name, 1, 4), '*') else concat('*', substr(name, length(name) - 4)) end as pattern from advisories)
     select c.component_id, f.advisory_key as entry from components c join feed f on c.name = f.pattern or (contains(f.pattern, '*') and starts_with(c.name, split_part(f.pattern, '*', 1)) and ends_with(c.name, split_part(f.pattern, '*', 2)))
 """)
 def feed_lookup(t: Tables) -> DataFrame:
     pattern = F.expr("case advisory_key % 3 when 0 then name when 1 then concat(substr(name, 1, 4), '*') else concat('*', substr(name, length(name) - 4)) end")
-    feed = t.advisories.where("advisory_key % 9 = 0 or advisory_key % 40 = 1 or advisory_key % 60 = 2").select(pattern.alias("pattern"), F.col("advisory_key").alias("entry"))
+    feed = t.advisories.select(pattern.alias("pattern"), F.col("advisory_key").alias("entry"))
     return O.feed_lookup(t.components.select("component_id", "name"), feed).select("component_id", "entry")
 
 
@@ -194,12 +194,12 @@ def typosquat_full(t: Tables) -> DataFrame:
 
 
 @query("""
-    with a as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where event_id % 3 > 0 and user_id % 5 > 0), b as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where event_id % 4 > 1 and user_id % 5 > 0)
+    with a as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where value >= 10), b as (select distinct user_id as package, concat(event_type, '-', cast(event_id % 50 as string)) as description from events where value < 20)
     select *, 'new' as change from (select * from b except select * from a) union all select *, 'resolved' as change from (select * from a except select * from b)
 """)
 def threat_delta(t: Tables) -> DataFrame:
-    rows = t.events.select(F.col("user_id").alias("package"), F.expr("concat(event_type, '-', cast(event_id % 50 as string))").alias("description"), "event_id")
-    return O.threat_delta(rows.where("event_id % 3 > 0"), rows.where("event_id % 4 > 1"), rows.where("package % 5 > 0"))
+    rows = t.events.select(F.col("user_id").alias("package"), F.expr("concat(event_type, '-', cast(event_id % 50 as string))").alias("description"), "value")
+    return O.threat_delta(rows.where("value >= 10"), rows.where("value < 20"))
 
 
 @query("""
