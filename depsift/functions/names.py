@@ -208,3 +208,12 @@ def name_threats(name: Column, level: str = "full") -> Column:
     words = F.when(F.lower(name).rlike("malicious|backdoor|trojan"), "Critical") if level != "off" else F.lit(None).cast("string")
     inner = F.when(name.rlike("^(internal|company|private)-"), "High") if level == "full" else F.lit(None).cast("string")
     return F.array_compact(F.array(words, inner))
+
+
+#: Letters of the pieces by which names are looked up.
+PIECE = 3
+
+
+def pieces(text: Column, size: Column) -> Column:
+    """The distinct pieces of `size` letters of a text that has at least so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))

@@ -5,16 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depsift.functions.names import PIECE, pieces
 from depsift.functions.severity import normalize_severity
 from depsift.functions.versions import apk_key, deb_key, rpm_key
+from depsift.plans.lineage import cut
+
+
+def contained(small: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., small, large) of rows with equal keys whose `large` name contains the `small` one; names are no longer than texts and not empty.
+
+    A small name stands under its piece of PIECE letters (all of them, if it has fewer) that fewest large names have, and a large name under those of
+    its pieces that are looked for. So names of one key meet by piece and never all with all, and the rows of a large key are split by pieces.
+    """
+    size = F.least(F.length("small"), F.lit(PIECE))
+    asked = cut(small.where("small <> ''").select("small").distinct().withColumn("q", size).select("small", "q", F.explode(pieces(F.col("small"), F.col("q"))).alias("piece")))
+    sizes = F.expr(f"sequence(1, least({PIECE}, greatest(1, length(large))))")
+    held = large.where("large <> ''").select("large").distinct().withColumn("q", F.explode(sizes))
+    held = held.select("large", "q", F.explode(pieces(F.col("large"), F.col("q"))).alias("piece"))
+    held = cut(held.join(asked.select("q", "piece").distinct(), ["q", "piece"], "left_semi"))
+    counts = held.groupBy("q", "piece").agg(F.count("*").alias("n"))
+    under = asked.join(counts, ["q", "piece"], "left").groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q", "piece")).alias("k"))
+    under = under.where("k.n > 0").select("small", "k.q", "k.piece")
+    held = held.join(under.select("q", "piece").distinct(), ["q", "piece"], "left_semi")
+    met = small.join(under, "small").join(large.join(held, "large"), [*keys, "q", "piece"])
+    return met.where(F.contains(F.col("large"), F.col("small"))).select(*keys, "small", "large")
 
 
 def layer_attribution(layers: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings with the layer of an image that brings their package; a null layer where none does.
 
     layers: image, layer, package; findings: image, cve, package and more. Names meet by equality first, the part
-    after the last colon too; a finding that meets nothing so is compared with the packages of its own image by
-    substring, either way round. One row stays per (image, layer, cve), of the smallest package.
+    after the last colon too; a finding that meets nothing so is attributed by substring, either way round (`contained`). One row stays per (image,
+    layer, cve), of the smallest package.
     """
     tail = F.when(F.col("package").contains(":"), F.substring_index("package", ":", -1))
     keys = lambda df: df.withColumn("key", F.explode(F.array_compact(F.array("package", tail))))
@@ -22,9 +44,13 @@ def layer_attribution(layers: DataFrame, findings: DataFrame) -> DataFrame:
     by_key = keys(known).select("image", "key", "layer").distinct()
     rows = keys(findings).join(by_key, ["image", "key"]).drop("key").distinct()
     left = findings.join(rows.select("image", "package").distinct(), ["image", "package"], "left_anti")
-    close = F.contains(F.col("package"), F.col("p")) | F.contains(F.col("p"), F.col("package"))
-    loose = left.join(known.select("image", "layer", F.col("package").alias("p")), "image").where(close).drop("p").distinct()
-    alone = left.join(loose.select("image", "package").distinct(), ["image", "package"], "left_anti")
+    asked, names = left.select("image", "package").distinct(), known.select("image", "package").distinct()
+    both = [x.select("image", F.col("package").alias(n)) for x in (asked, names) for n in ("small", "large")]
+    inside = contained(both[0], both[3], ["image"]).select("image", F.col("small").alias("package"), F.col("large").alias("p"))
+    around = contained(both[2], both[1], ["image"]).select("image", F.col("large").alias("package"), F.col("small").alias("p"))
+    close = inside.unionByName(around).distinct().join(known.select("image", "layer", F.col("package").alias("p")), ["image", "p"]).drop("p").distinct()
+    loose = left.join(close, ["image", "package"]).distinct()
+    alone = left.join(close.select("image", "package").distinct(), ["image", "package"], "left_anti")
     found = rows.unionByName(loose, allowMissingColumns=True).unionByName(alone.withColumn("layer", F.lit(None).cast(layers.schema["layer"].dataType)), allowMissingColumns=True)
     more = [c for c in findings.columns if c not in ("image", "cve", "package")]
     first = F.min(F.struct("package", *more)).alias("f")

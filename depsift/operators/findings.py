@@ -9,6 +9,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from depsift.functions.names import PIECE, pieces
 from depsift.functions.severity import severity_rank
 from depsift.plans.lineage import cut
 
@@ -63,8 +64,8 @@ def should_notify(alerts: DataFrame, least: str, enabled: bool = True) -> DataFr
     return alerts.where(F.lit(enabled) & (severity_rank(F.col("severity")) >= severity_rank(F.lit(least))))
 
 
-#: Letters of the pieces by which names and rules meet, and parts of the names that meet rules without a piece.
-PIECE, SALTS = 3, 64
+#: Parts of the names that meet rules without a piece.
+SALTS = 64
 
 
 def required_text(pattern: str | None) -> str:
@@ -95,7 +96,6 @@ def route_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
     names = cut(findings.select("package").where("package is not null").distinct())
     literal = F.udf(required_text, "string")
     rules = cut(rules.withColumn("_text", literal("pattern")).withColumn("_q", F.least(F.length("_text"), F.lit(PIECE))))
-    pieces = lambda text, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q)))
     asked = rules.where("_q > 0").select("_q", F.explode(pieces(F.col("_text"), F.col("_q"))).alias("_piece")).distinct()
     held = names.withColumn("_q", F.explode(F.expr(f"sequence(1, least({PIECE}, length(package)))"))).where("package <> ''")
     held = cut(held.select("package", "_q", F.explode(pieces(F.col("package"), F.col("_q"))).alias("_piece")).join(asked, ["_q", "_piece"], "left_semi"))

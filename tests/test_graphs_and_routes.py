@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from depsift.operators import findings, graph
+from depsift.operators import containers, findings, graph
 
 
 def brute_paths(edges, starts):
@@ -103,3 +103,20 @@ def test_a_hundred_thousand_rules(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     got = {r.row: r.team for r in found.collect()}
     assert got == {i: want(n) for i, n in enumerate(names + names[:20])} and len({t for t in got.values() if t}) > 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers_by_parts_of_names(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: rng.choice(["", "org:", "lib"]) + "".join(rng.choice("ab-") for _ in range(rng.randint(0, 5))) + rng.choice(["", "", "ssl", "-dev"])
+    layers = [(rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 3), name()) for _ in range(120)]
+    found = [(rng.choice([1, 1, 2, 4]), f"C{rng.randint(0, 60)}", name()) for _ in range(150)]
+    got = containers.layer_attribution(spark.createDataFrame(layers, "image int, layer int, package string"), spark.createDataFrame(found, "image int, cve string, package string").distinct())
+    parts = lambda p: {p, p.rsplit(":", 1)[-1]}
+    best = {}
+    for image, cve, package in set(found):
+        own = [(layer, p) for i, layer, p in layers if i == image]
+        hit = {layer for layer, p in own if parts(p) & parts(package)} or {layer for layer, p in own if p and package and (p in package or package in p)} or {None}
+        for layer in hit:
+            best[image, layer, cve] = min(best.get((image, layer, cve), package), package)
+    assert {(r.image, r.layer, r.cve): r.package for r in got.collect()} == best
