@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from depsift.llm.runs import sorted_runs
@@ -16,6 +16,8 @@ from depsift.plans.skew import spread_join
 
 #: Vectors of one cell and label that are compared in one group; larger ones are compared block by block.
 BLOCK = 4096
+#: Blocks of vectors beyond which a cell of one label is parted into cells of its own, cells that it may have, and vectors they are found on.
+WIDE, INNER, INNER_SAMPLE = 16, 64, 2048
 #: The k-means sample: at most this many vectors and numbers.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 4_000_000
 
@@ -62,7 +64,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, number: str) -> np.ndarray:
 def _links(table: pa.Table, threshold: float, number: str = "<f4") -> tuple[np.ndarray, np.ndarray]:
     """Linked-copies sums of the group's rows, and for each row the least row of its component."""
     m = _matrix(table.column("vec"), number)
-    home, own = table.column("home").to_numpy(), table.column("own").to_numpy()
+    home, inner, own = (table.column(c).to_numpy() for c in ("home", "inner", "own"))
     copies = table.column("n").to_numpy()
     whole = table.column("a")[0] == table.column("b")[0]
     norm = np.linalg.norm(m, axis=1)
@@ -70,7 +72,7 @@ def _links(table: pa.Table, threshold: float, number: str = "<f4") -> tuple[np.n
     for i in range(0, len(m), 512):
         part = slice(i, min(i + 512, len(m)))
         cosine = m[part] @ m.T / (norm[part, None] * norm[None])
-        meet = home[part, None] | home[None]
+        meet = (home[part, None] | home[None]) & (inner[part, None] | inner[None])
         adjacent[part] = (cosine >= threshold) & (meet if whole else meet & (own[part, None] != own[None]))
         adjacent[np.arange(part.start, part.stop), np.arange(part.start, part.stop)] = False
         sums[part] = adjacent[part] @ copies
@@ -87,9 +89,41 @@ def _links(table: pa.Table, threshold: float, number: str = "<f4") -> tuple[np.n
     return sums, label
 
 
+def _part_wide(dealt: DataFrame, large: DataFrame, key: list[str], columns: str, block: int, threshold: float, number: str) -> DataFrame:
+    """Dealt vectors with `sub`, their cell inside a large cell, and `inner`, whether it is their home there; 0 and true elsewhere."""
+    plain = lambda rows: rows.withColumn("sub", F.lit(0)).withColumn("inner", F.lit(True))
+    if large.isEmpty():
+        return plain(dealt)
+    rows = dealt.join(large, key)
+    turn = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("id"), "id"))
+    few = rows.withColumn("turn", turn).where(F.col("turn") <= INNER_SAMPLE).select(*key, "rows", "vec")
+
+    def found(group: pa.Table) -> pa.Table:
+        sample = _matrix(group.column("vec"), number)
+        many = min(INNER, max(1, len(sample) // 8), -(-group.column("rows")[0].as_py() // block))
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in key}, "centres": pa.array([spherical_kmeans(sample, many).tobytes()], pa.binary())})
+
+    centres = cut(few.groupBy(*key).applyInArrow(found, "dim int, cell int, label string, centres binary"))
+    many = F.ceil(F.col("rows") / (4 * block)).cast("int")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), many)).drop("rows")
+    right = centres.join(large, key).withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+    right = right.select(*[F.col(c).alias(c) for c in (*key, "part", "centres")])
+
+    def deal(vectors: pa.Table, given: pa.Table) -> pa.Table:
+        if not vectors.num_rows:
+            return vectors.drop_columns(["part"]).append_column("sub", pa.array([], pa.int32())).append_column("inner", pa.array([], pa.bool_()))
+        m = _matrix(vectors.column("vec"), number)
+        row, cell = cells_of(m, np.frombuffer(given.column("centres")[0].as_py()).reshape(-1, m.shape[1]), threshold)
+        out = vectors.drop_columns(["part"]).take(pa.array(row))
+        return out.append_column("sub", pa.array(cell.astype(np.int32))).append_column("inner", pa.array(np.arange(len(row)) < len(m)))
+
+    inside = left.groupBy(*key, "part").cogroup(right.groupBy(*key, "part")).applyInArrow(deal, f"{columns}, sub int, inner boolean")
+    return plain(dealt.join(large, key, "left_anti")).unionByName(cut(inside))
+
+
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    block: int = BLOCK, sample_rows: int = SAMPLE_ROWS,
+    block: int = BLOCK, sample_rows: int = SAMPLE_ROWS, wide: int = WIDE,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept (vec_id = component_id).
 
@@ -99,7 +133,8 @@ def near_duplicate_vectors(
     with a count; a vector linked to a class counts all its rows, its own other copies included.
 
     Cells come from spherical k-means on a bounded sample, every vector is dealt to its cell and to those it
-    may have partners in (`cells_of`), and each (cell, label) is multiplied block by block; large ones are
+    may have partners in (`cells_of`). A (cell, label) of more than `wide` blocks is parted in the same way into cells of its own, found on
+    a sample of it by the tasks that have it, so cells follow the rows. Each cell is then multiplied block by block; large ones are
     dealt into pairs of blocks, so that no task gets a whole hot cell. A group returns sums and a spanning
     forest, never pairs. Cells are as many as blocks of `block` vectors a label, a quarter of the root of all
     vectors at most. Numbers keep their precision: float arrays travel as floats, others as doubles. A null id is
@@ -144,15 +179,19 @@ def near_duplicate_vectors(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["dim", "cell", "label", "home", "id", "n", "vec"])
 
-    dealt = classes.select("label", "v", "id", "n").mapInArrow(deal, "dim int, cell int, label string, home boolean, id string, n long, vec binary")
+    columns = "dim int, cell int, label string, home boolean, id string, n long, vec binary"
     key = ["dim", "cell", "label"]
+    dealt = cut(classes.select("label", "v", "id", "n").mapInArrow(deal, columns))
+    sizes = dealt.groupBy(*key).agg(F.count("*").alias("rows"))
+    dealt = _part_wide(dealt, cut(sizes.where(F.col("rows") > wide * block)), key, columns, block, threshold, number)
+    key = [*key, "sub"]
     large = dealt.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > block)
     large = large.select(*key, F.ceil(F.col("rows") / block).cast("long").alias("blocks"))
     dealt = dealt.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key += ["a", "b"]
-    dealt = dealt.select(*key[:3], F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "home", "id", "n", "vec")
+    dealt = dealt.select(*key[:-2], F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "home", "inner", "id", "n", "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_runs(batches, len(key)):

@@ -353,8 +353,8 @@ def bare(template):
     return template
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_embeddings(spark, block):
+@pytest.mark.parametrize("block, wide", [(2048, 16), (7, 16), (7, 1), (4, 0)])
+def test_embeddings(spark, block, wide):
     rng = np.random.default_rng(6)
     rows, n = [], 0
     for label in (1, 2, None):
@@ -369,7 +369,7 @@ def test_embeddings(spark, block):
     label = {i: x for i, _, x in rows}
     linked = [(a, b) for a in good for b in good if a < b and label[a] == label[b] and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.98]
     want, count = brute_components([r[0] for r in rows], linked), Counter(i for p in linked for i in p)
-    for r in embeddings.near_duplicate_vectors(df, block=block).collect():
+    for r in embeddings.near_duplicate_vectors(df, block=block, wide=wide).collect():
         assert (r.n_links, r.component_id, r.kept) == (count[r.vec_id], want[r.vec_id], r.vec_id == want[r.vec_id])
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
@@ -383,6 +383,37 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(odd, langid.train(odd)).collect()} == {"und"}
 
 
+def test_languages_equal_a_plain_reading_of_the_model(spark):
+    """Predictions of all rows from a dictionary of subwords counted letter by letter."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, None), (-2, "12 !"), (-3, "a"), (-4, "Ünder thé  x9y"), (-5, "word " * 5000)], "doc_id long, text string")
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), max_rows=300)
+    slots = len(model.table)
+
+    def plain(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0, True
+        kept = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in text.lower().encode())
+        raw = " " + " ".join(kept.split(" ")) + " "
+        while "  " in raw:
+            raw = raw.replace("  ", " ")
+        code = lambda s: sum(ord(c) << 8 * (len(s) - 1 - k) for k, c in enumerate(s))
+        found = [((code(raw[i : i + 3]) * 0x9E3779B1) % 2**32 >> 8) % slots for i in range(len(raw) - 2) if raw[i + 1] != " "]
+        found += [((code(raw[i : i + 4]) * 0x85EBCA6B) % 2**32 >> 9) % slots for i in range(len(raw) - 3) if " " not in raw[i + 1 : i + 3]]
+        mean = [sum(float(model.table[s][k]) for s in found) / max(1, len(found)) + model.bias[k] for k in range(len(model.languages))]
+        e = [np.exp((x - max(mean)) / model.temperature) for x in mean]
+        best = int(np.argmax(e))
+        return model.languages[best], e[best] / sum(e), e[best] / sum(e) < model.threshold
+
+    texts_ = {r.doc_id: r.text for r in docs.union(extra).collect()}
+    rows = langid.predict(docs.union(extra), model).collect()
+    assert len(rows) == len(texts_)
+    for r in rows:
+        language, score, rejected = plain(texts_[r.doc_id])
+        assert (r.lang_pred, r.rejected) == (language, rejected) and abs(r.score - score) < 1e-6
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
