@@ -357,7 +357,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     (host, run). Runs on LEAST_PAGES pages and LEAST_SHARE of the host's pages or more go back to the pages that
     hold them, by a hash of the page. No task gets a whole host, and where pages are cut into arrays changes no text.
 
-    Null html is an empty page; a page without text gives an empty string. Pages with a null or odd URL form
+    Pages of any length are read whole, in one pass over their markup. Null html is an empty page; a page without text gives an empty string. Pages with a null or odd URL form
     one host. Cut-off markup at the end of a page is no text. Repeated rows are extracted each; an empty
     table gives an empty result; other columns are ignored.
     """

@@ -74,6 +74,31 @@ TEMPLATES = (
     ("""this is free and unencumbered software released into the public domain [anyone is free to copy modify publish use compile sell or distribute this software either in
         source code form or as a compiled binary for any purpose commercial or non commercial and by any means]""", "unlicense"),
     ("copyright {6} all rights reserved", "all-rights-reserved"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier apache 2 0", "apache-2"),
+    ("spdx license identifier bsd 2 clause", "bsd-2"),
+    ("spdx license identifier bsd 3 clause", "bsd-3"),
+    ("spdx license identifier gpl 2 0 [only] [or later]", "gpl-2"),
+    ("spdx license identifier gpl 3 0 [only] [or later]", "gpl-3"),
+    ("spdx license identifier lgpl {2} [only] [or later]", "lgpl"),
+    ("spdx license identifier agpl 3 0 [only] [or later]", "agpl"),
+    ("spdx license identifier mpl 2 0", "mpl-2"),
+    ("spdx license identifier isc", "isc"),
+    ("spdx license identifier zlib", "zlib"),
+    ("spdx license identifier unlicense", "unlicense"),
+    ("spdx license identifier cc by 4 0", "cc-by"),
+    ("spdx license identifier cc by sa 4 0", "cc-by-sa"),
+    ("spdx license identifier cc by nc [sa] [nd] 4 0", "cc-by-nc"),
+    ("[the] [modified] [new] bsd 3 clause [license]", "bsd-3"),
+    ("[the] [simplified] bsd 2 clause [license]", "bsd-2"),
+    ("[the] gnu general public license [version] v2 [0] [only] [or later]", "gpl-2"),
+    ("[the] gnu general public license [version] v3 [0] [only] [or later]", "gpl-3"),
+    ("[gnu] gplv2", "gpl-2"),
+    ("[gnu] gplv3", "gpl-3"),
+    ("[gnu] gpl v2 [0]", "gpl-2"),
+    ("[gnu] gpl v3 [0]", "gpl-3"),
+    ("[gnu] lgplv3", "lgpl"),
+    ("[gnu] agplv3", "agpl"),
 )
 
 #: Moves of the automaton that are remembered at a time in one worker.
@@ -203,7 +228,8 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES, id_col: str =
     Base phrases are templates without optional parts; a place is a start at which all their words stand.
     A template of a licence's text or notice matches where its mandatory words stand in order, its optional regions
     whole or not at all, and its replaceable ones filled with as many words as they take. `score` is the share of
-    mandatory words in the longest accepted stretch (1 when nothing optional or replaced stands in it), 0 without a match. Null and empty texts have no words and empty labels.
+    mandatory words in the longest accepted stretch (1 when nothing optional or replaced stands in it), 0 without a match. Null and empty texts have no words and empty labels, and texts
+    of any length are scanned whole, in one pass over their words.
     Repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
     """
     base, templates = tuple(base), tuple(templates)

@@ -274,7 +274,7 @@ def near_duplicates(
     guaranteed number unless given) go before bits are compared. Given `matches` and `sets` below the
     guarantee make the search approximate and are for distances without one.
 
-    Only distinct fingerprints are indexed, so exact copies cost nothing more. Null, empty and wordless texts
+    Only distinct fingerprints are indexed, so exact copies cost nothing more. Texts of any length are read whole. Null, empty and wordless texts
     have the zero fingerprint and are linked like any other; texts shorter than a shingle are one shingle.
     Keys of three bytes have 24 bits, so posting lists grow with the number of distinct fingerprints (60 entries
     a list at a billion), and comparisons with lists times their length.

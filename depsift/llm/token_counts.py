@@ -178,7 +178,7 @@ def count_tokens(
     within `limit` tokens, read off the table without encoding again. Models that `PrefixCounter` cannot
     serve are counted by encoding, with null `fit_chars`.
 
-    Null and empty texts have 0 bytes and tokens. Special strings inside texts are ordinary text, as is the
+    Texts of any length are counted whole. Null and empty texts have 0 bytes and tokens. Special strings inside texts are ordinary text, as is the
     library's default. Repeated rows are counted each; an empty table gives an empty result; other columns
     are ignored.
     """

@@ -288,6 +288,20 @@ def test_license_templates():
     assert match("copyright x y reserved") == [(1, 0, 4)] and match("copyright reserved") == [] and match("copyright x y z reserved") == []
 
 
+@pytest.mark.parametrize("notice, label", [
+    ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"), ("BSD 3-Clause License", "bsd-3"),
+    ("GNU General Public License v3.0", "gpl-3"), ("GPLv3", "gpl-3"), ("GNU GPL v2", "gpl-2"), ("a general public of v3 clauses", ""),
+])
+def test_short_notices(spark, notice, label):
+    assert license_scan.scan_licenses(spark.createDataFrame([(1, notice)], "doc_id long, text string")).first().labels == label
+
+
+def test_texts_of_many_words_are_scanned_whole(spark):
+    text = "word " * 200_000 + "under the MIT license"
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (200_004, 1, 200_000, "mit")
+
+
 def template_ends(template, words, start):
     """Ends of a template's matches from a start, by trying every reading of its parts."""
     import re
