@@ -95,6 +95,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again.
 
+    Nulls, empty and very long texts, ties, repeated rows and extra columns are each stage's to define; an empty table gives an empty
+    result of the last stage's columns.
+
     A stage's folder goes once the next stage is written; that of the last but one stays, as the result reads it.
     """
     ensure_checkpoint_dir(spark)
