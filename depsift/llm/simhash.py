@@ -142,13 +142,16 @@ def _forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list[int], l
 
 
 def _nearest_forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list[int], list[int]]:
-    """As `_forest`, but each row enters by its link of fewest differing bits: a minimum spanning forest."""
+    """As `_forest`, but each row enters by its link of fewest differing bits: a minimum spanning forest.
+
+    Of equal links that to the first row counts, so that lists which share rows span them by the same links.
+    """
     wide = np.ascontiguousarray(rows).view(np.uint64)
     least, entry, waiting = np.full(len(rows), distance + 1), np.zeros(len(rows), np.int64), np.arange(1, len(rows))
     at, out_a, out_b = 0, [], []
     while len(waiting):
         bits = np.bitwise_count(wide[waiting] ^ wide[at]).sum(axis=1, dtype=np.int64)
-        closer = np.flatnonzero(bits < least[waiting])
+        closer = np.flatnonzero((bits < least[waiting]) | (bits == least[waiting]) & (at < entry[waiting]))
         closer = closer[(rows[waiting[closer]] == rows[at]).sum(axis=1) >= matches]
         least[waiting[closer]], entry[waiting[closer]] = bits[closer], at
         pick = int(least[waiting].argmin())
@@ -160,7 +163,10 @@ def _nearest_forest(rows: np.ndarray, matches: int, distance: int) -> tuple[list
 
 
 def _nearest_forests(lists: np.ndarray, matches: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`_nearest_forest` of many equally long lists (list, row, byte) at once: the list and the two rows of each link."""
+    """`_nearest_forest` of many equally long lists (list, row, byte) at once: the list and the two rows of each link.
+
+    The first row counts of equal links here too.
+    """
     n, k, _ = lists.shape
     every, wide = np.arange(n), lists.view(np.uint64)
     bits = np.bitwise_count(wide[:, :, None] ^ wide[:, None]).sum(axis=3, dtype=np.int64)
@@ -169,7 +175,7 @@ def _nearest_forests(lists: np.ndarray, matches: int, distance: int) -> tuple[np
     at, out = np.zeros(n, np.int64), []
     for _ in range(k - 1):
         done[every, at] = True
-        closer = bits[every, at] < least
+        closer = (bits[every, at] < least) | (bits[every, at] == least) & (at[:, None] < entry)
         least[closer] = bits[every, at][closer]
         entry = np.where(closer, at[:, None], entry)
         at = np.where(done, distance + 2, least).argmin(axis=1)
