@@ -30,11 +30,12 @@ def match_advisories(components: DataFrame, affected: DataFrame, strict: bool =
     versions = cut(components.select(*name, "version").distinct().withColumn("_key", semver_key(F.col("version"))))
     keyed = affected.select("advisory", *name, keyed_ranges(F.col("ranges")).alias("_ranges"))
     many = versions.groupBy(*name).agg(F.count("*").alias("n")).join(keyed.groupBy(*name).agg(F.sum(F.greatest(F.size("_ranges"), F.lit(1))).alias("r")), name)
-    hot = cut(many.where(F.col("n") * F.col("r") > product).select(*name))
+    hot = many.where(F.col("n") * F.col("r") > product).select(*name)
     hit = F.coalesce(in_keyed_ranges(F.col("version"), F.col("_key"), F.col("_ranges"), strict), F.lit(True))
     tried = lambda v, a: v.join(a, name).where(hit).select(*name, "version", "advisory")
     if hot.isEmpty():
         return tried(versions, keyed).distinct()
+    hot = cut(hot)
     few, lots = versions.join(hot, name, "left_anti"), versions.join(hot, name, "left_semi")
     ranged = keyed.join(hot, name, "left_semi")
     # a name has one null version at most: it is tried

@@ -107,14 +107,9 @@ def enrich_by_alias(t: Tables) -> DataFrame:
                case advisory_key % 4 when 0 then 'not_affected' when 1 then 'affected' when 2 then 'fixed' else 'under_investigation' end as status
         from advisories where advisory_key % 2 = 0 or advisory_key % 5 = 0
     )
-    select f.image, f.layer, f.cve, f.tool, coalesce(o.status, g.status) as vex_status, coalesce(coalesce(o.status, g.status) in ('not_affected', 'fixed'), false) as suppressed, false as by_alias
+    select f.image, f.layer, f.cve, f.tool, coalesce(o.status, g.status) as vex_status, coalesce(coalesce(o.status, g.status) in ('not_affected', 'fixed'), false) as suppressed
     from findings f left join statements o on o.cve = f.cve and o.purl = concat('pkg:', case f.ecosystem when 'PyPI' then 'pypi' when 'Maven' then 'maven' when 'Go' then 'golang' when 'crates.io' then 'cargo' else f.ecosystem end, '/', f.package)
     left join statements g on g.cve = f.cve and g.purl is null
-    union all
-    select f.image, f.layer, f.cve, f.tool, case when o.status in ('not_affected', 'fixed') or l.status is null then o.status when l.status in ('not_affected', 'fixed') or o.status is null then l.status else o.status end,
-           coalesce(o.status in ('not_affected', 'fixed'), false) or coalesce(l.status in ('not_affected', 'fixed'), false), true
-    from findings f left join (select cve, case when epss > 0.5 then 'affected' when epss < 0.1 then 'fixed' end as status from epss) o on o.cve = f.cve
-    left join (select ghsa, cve, case when cvss > 6 then 'not_affected' when cvss > 3 then 'under_investigation' end as status from advisories) l on l.cve = f.cve
 """)
 def apply_vex(t: Tables) -> DataFrame:
     key = F.col("advisory_key")
@@ -122,14 +117,23 @@ def apply_vex(t: Tables) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("not_affected", "affected", "fixed", "under_investigation"))), (key % 4 + 1).cast("int"))
     statements = t.advisories.where((key % 2 == 0) | (key % 5 == 0)).select("cve", F.when(key % 2 == 0, purl).alias("purl"), status.alias("status"), key.alias("at"))
     rows = t.findings.withColumn("purl", short_purl(F.col("ecosystem"), F.col("package")))
-    found = match.apply_vex(rows, statements)
-    # findings known by a second id, too: statements on either
+    return match.apply_vex(rows, statements).select("image", "layer", "cve", "tool", "vex_status", "suppressed")
+
+
+@query("""
+    select f.image, f.layer, f.cve, f.tool, case when o.status in ('not_affected', 'fixed') or l.status is null then o.status when l.status in ('not_affected', 'fixed') or o.status is null then l.status else o.status end as vex_status,
+           coalesce(o.status in ('not_affected', 'fixed'), false) or coalesce(l.status in ('not_affected', 'fixed'), false) as suppressed
+    from findings f left join (select cve, case when epss > 0.5 then 'affected' when epss < 0.1 then 'fixed' end as status from epss) o on o.cve = f.cve
+    left join (select ghsa, cve, case when cvss > 6 then 'not_affected' when cvss > 3 then 'under_investigation' end as status from advisories) l on l.cve = f.cve
+""")
+def apply_vex_by_alias(t: Tables) -> DataFrame:
+    """Findings known by a second id, too: statements on either."""
     by_id = t.epss.select("cve", F.when(F.col("epss") > 0.5, "affected").when(F.col("epss") < 0.1, "fixed").alias("status"))
     by_alias = t.advisories.select(F.col("ghsa").alias("cve"), F.when(F.col("cvss") > 6, "not_affected").when(F.col("cvss") > 3, "under_investigation").alias("status"))
     told = by_id.unionByName(by_alias).where("status is not null").withColumn("purl", F.lit(None).cast("string")).withColumn("at", F.lit(1))
+    rows = t.findings.withColumn("purl", short_purl(F.col("ecosystem"), F.col("package")))
     known = rows.withColumn("aliases", F.array(F.replace("cve", F.lit("CVE-2024-"), F.lit("GHSA-"))))
-    out = found.withColumn("by_alias", F.lit(False)).unionByName(match.apply_vex(known, told).withColumn("by_alias", F.lit(True)), allowMissingColumns=True)
-    return out.select("image", "layer", "cve", "tool", "vex_status", "suppressed", "by_alias")
+    return match.apply_vex(known, told).select("image", "layer", "cve", "tool", "vex_status", "suppressed")
 
 
 @query("""
