@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depsift.functions.upgrades import remediation_effort, risk_of_rank, risk_rank
 from depsift.operators.match import KEYS
+from depsift.plans.lineage import cut
+from depsift.plans.skew import SMALL
 
 
 def dependency_diff(old: DataFrame, new: DataFrame, key: str = "upgrade") -> DataFrame:
@@ -75,19 +77,19 @@ def shaded_class_match(classes: DataFrame, known: DataFrame) -> DataFrame:
     return classes.where("fingerprint is not null").join(originals, "fingerprint").withColumn("confidence", F.lit(1.0))
 
 
-def _prefixes(c: str) -> Column:
-    return F.expr(f"transform(sequence(1, greatest(length({c}), 1)), i -> substring({c}, 1, i))")
-
-
 def relocation_match(classes: DataFrame, relocations: DataFrame) -> DataFrame:
     """Classes under a shaded prefix with the name they had: original, confidence 0.8.
 
-    relocations: pattern, shaded. A class meets a prefix by equality with one of its own starts, so relocations may be
-    many; all prefixes that fit are returned.
+    relocations: pattern, shaded. A class meets a prefix by equality with one of its own starts, of the lengths that prefixes have, so relocations may be
+    many; all prefixes that fit are returned. The starts are never broadcast: relocations are if they are few, else both are sorted.
     """
-    starts = classes.withColumn("shaded", F.explode(_prefixes("class")))
+    known = cut(relocations.select("pattern", "shaded"))
+    lengths = known.agg(F.collect_set(F.greatest(F.length("shaded"), F.lit(1))).alias("lengths"))
+    fit = F.filter("lengths", lambda n: n <= F.greatest(F.length("class"), F.lit(1)))
+    starts = classes.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode(fit)).withColumn("shaded", F.expr("substring(class, 1, n)")).drop("lengths", "n")
+    known = F.broadcast(known) if known.count() <= SMALL else known.hint("merge")
     original = F.concat("pattern", F.expr("substring(class, length(shaded) + 1)"))
-    return starts.join(relocations, "shaded").select(*classes.columns, "shaded", original.alias("original"), F.lit(0.8).alias("confidence"))
+    return starts.join(known, "shaded").select(*classes.columns, "shaded", original.alias("original"), F.lit(0.8).alias("confidence"))
 
 
 def relocates(name: Column, pattern: Column, includes: Column, excludes: Column) -> Column:
