@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from depsift.functions.names import PIECE, pieces
 from depsift.functions.severity import normalize_severity
 from depsift.functions.versions import apk_key, deb_key, rpm_key
+from depsift.operators.match import older
 from depsift.plans.lineage import cut
+from depsift.plans.skew import paired_join
 
 
 def contained(small: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,7 +68,7 @@ def os_match_alpine(packages: DataFrame, advisories: DataFrame) -> DataFrame:
 
     packages: release, name, installed; advisories: release, name, fixed, cves (array).
     """
-    rows = packages.join(advisories, ["release", "name"]).where(apk_key(F.col("installed")) < apk_key(F.col("fixed")))
+    rows = older(packages, advisories, ["release", "name"], apk_key)
     return rows.withColumn("cve", F.explode("cves")).drop("cves").withColumn("severity", F.lit("UNKNOWN"))
 
 
@@ -77,8 +79,7 @@ def os_match_debian(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     fix a package is open with severity UNKNOWN; with one it must be older, and urgency tells the severity.
     """
     open_ = advisories.where("status in ('open', 'undetermined')")
-    rows = packages.withColumn("package", F.coalesce("source", "name")).join(open_, ["release", "package"])
-    rows = rows.where(F.col("fixed").isNull() | (deb_key(F.col("installed")) < deb_key(F.col("fixed"))))
+    rows = older(packages.withColumn("package", F.coalesce("source", "name")), open_, ["release", "package"], deb_key, unfixed=True)
     u = F.col("urgency")
     level = F.when(F.col("fixed").isNull(), "UNKNOWN").when(u.isin("critical", "high"), "HIGH").when(u == "medium", "MEDIUM").when(u == "low", "LOW").otherwise("UNKNOWN")
     return rows.withColumn("severity", level).drop("package")
@@ -93,7 +94,7 @@ def os_match_ubuntu(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     for version, name in UBUNTU.items():
         release = release.when(F.col("version_id") == version, name)
     rows = packages.withColumn("release", release).withColumn("package", F.coalesce("source", "name"))
-    return rows.join(advisories.where("status in ('needed', 'pending')"), ["release", "package"]).drop("package").withColumn("severity", F.lit("UNKNOWN"))
+    return paired_join(rows, advisories.where("status in ('needed', 'pending')"), ["release", "package"]).drop("package").withColumn("severity", F.lit("UNKNOWN"))
 
 
 def nevra(text: Column) -> Column:
@@ -109,7 +110,7 @@ def os_match_redhat(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """
     named = advisories.select("cve", normalize_severity(F.col("severity")).alias("severity"), F.explode("affected").alias("n")).withColumn("n", nevra(F.col("n")))
     named = named.select("cve", "severity", "n.name", F.col("n.version").alias("fixed"))
-    return packages.join(named, "name").where(rpm_key(F.col("installed")) < rpm_key(F.col("fixed")))
+    return older(packages, named, ["name"], rpm_key)
 
 
 def attach_reachability(findings: DataFrame, reachable: DataFrame, by: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from depsift.plans.lineage import cut
 SMALL = 300_000
 #: Rows of a key that one task may get, keys that are split, and parts of one key.
 HOT, KEYS, PARTS = 200, 1000, 1024
+#: Pairs that one task of `paired_join` makes, and its tasks at most.
+PAIRS, MOST_TASKS = 500_000, 4096
 
 
 def sized_join(rows: DataFrame, small: DataFrame, keys: list[str], most: int = SMALL) -> DataFrame:
@@ -39,6 +41,25 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], turn: str,
     return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
+def paired_join(rows: DataFrame, others: DataFrame, keys: list[str], pairs: int = PAIRS) -> DataFrame:
+    """Inner join that makes many more rows than it reads: there are as many tasks as `pairs` rows each ask for, and keys with more pairs are dealt over several.
+
+    Pairs are counted by key first. Rows of a key are dealt by the hash of the whole row, the other side's are repeated for each part.
+    """
+    n, m = (df.groupBy(*keys).agg(F.count("*").alias(c)) for df, c in ((rows, "__n"), (others, "__m")))
+    each = cut(n.join(m, keys).select(*keys, (F.col("__n") * F.col("__m")).alias("__pairs")))
+    total = each.agg(F.sum("__pairs")).first()[0] or 0
+    hot = each.where(F.col("__pairs") > pairs).select(*keys, F.least(F.ceil(F.col("__pairs") / pairs), F.lit(PARTS)).cast("int").alias("__parts"))
+    left, right, on = rows, others, keys
+    if not hot.isEmpty():
+        dealt, many = F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int"), F.coalesce("__parts", F.lit(1))
+        left = rows.join(hot, keys, "left").withColumn("__part", dealt).drop("__parts")
+        right = others.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), many - 1))).drop("__parts")
+        on = [*keys, "__part"]
+    tasks = max(1, min(MOST_TASKS, -(-total // pairs)))
+    return left.repartition(tasks, *on).join(right.repartition(tasks, *on).hint("merge"), on).drop("__part")
+
+
 def numbered(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """Checkpointed rows with their place in a total order, from 1, with no task that sees all rows.
 
