@@ -149,9 +149,10 @@ def os_upgrade_plan(matches: DataFrame, distro: str) -> DataFrame:
 
     matches: release, package, installed, cve, fixed, as os_match gives them; rows without a fix ask for none.
     """
-    order = KEYS[distro](F.col("fixed"))
-    rows = matches.where("fixed is not null").groupBy("release", "package", "installed")
-    return rows.agg(F.max_by("fixed", order).alias("recommended"), F.array_sort(F.collect_set("cve")).alias("cves"))
+    by = ["release", "package", "installed"]
+    # fixes are parsed once for each package, not for each match
+    fixes = matches.where("fixed is not null").groupBy(*by, "fixed").agg(F.collect_set("cve").alias("cves")).withColumn("order", KEYS[distro](F.col("fixed")))
+    return fixes.groupBy(*by).agg(F.max_by("fixed", "order").alias("recommended"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cves")))).alias("cves"))
 
 
 def release_breaking_changes(releases: DataFrame, old: str, new: str, by: str = "package") -> DataFrame:

@@ -198,7 +198,9 @@ def _os_tables(t: Tables, version) -> tuple[DataFrame, DataFrame]:
     select release, package, '1:' || installed || '-2' as installed, '1:' || arg_max(fixed, key) || '-2' as recommended, array_to_string(list_sort(list(distinct cve)), ',') as cves from m group by 1, 2, 3
 """)
 def os_upgrade_plan(t: Tables) -> DataFrame:
-    found = match.os_match(*_os_tables(t, lambda v: F.concat(F.lit("1:"), v, F.lit("-2"))), "debian")
+    packages, fixes = _os_tables(t, lambda v: F.concat(F.lit("1:"), v, F.lit("-2")))
+    # a plan is of a version, not of those who have it
+    found = match.os_match(packages.drop("component_id").distinct(), fixes, "debian")
     return O.os_upgrade_plan(found, "debian").withColumn("cves", F.concat_ws(",", "cves"))
 
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from depsift.operators import containers as C
 from depsift.operators import upgrades as U
+from depsift.plans.skew import paired_join
 
 
 def plan(df):
@@ -20,3 +22,28 @@ def test_starts_of_classes_are_not_broadcast(spark, monkeypatch, most):
     found = U.relocation_match(classes, relocations)
     assert "BuildLeft" not in plan(found)
     assert sorted((r.id, r.original) for r in found.collect()) == [(1, "org.abc.x"), (1, "org.abc.x"), (2, "org.ab"), (3, "org.")]
+
+
+def test_versions_are_parsed_before_rows_meet(spark):
+    packages = spark.createDataFrame([(1, "a", "1.9-r0"), (1, "a", "1.10-r0"), (2, "a", "1.0-r0"), (1, None, "1.0-r0"), (1, "b", None)], "release int, name string, installed string")
+    fixes = spark.createDataFrame([(1, "a", "1.10-r0", ["x", "y"]), (1, "b", "9", ["z"]), (1, None, "9", ["z"])], "release int, name string, fixed string, cves array<string>")
+    found = C.os_match_alpine(packages, fixes)
+    steps = plan(found)
+    assert "regexp" not in steps[:steps.index("Exchange")]
+    assert sorted((r.installed, r.cve) for r in found.collect()) == [("1.9-r0", "x"), ("1.9-r0", "y")]
+
+
+@pytest.mark.parametrize("pairs", [1, 3, 500])
+def test_pairs_are_dealt_over_tasks(spark, pairs):
+    rows = spark.range(40).select((F.col("id") % 3).alias("k"), F.col("id").alias("a")).unionByName(spark.createDataFrame([(None, 1), (9, 1)], "k long, a long"))
+    others = spark.range(50).select((F.col("id") % 4).alias("k"), F.col("id").alias("b"))
+    found = paired_join(rows, others, ["k"], pairs)
+    assert found.rdd.getNumPartitions() >= min(4, 500 // pairs)
+    want = sorted((a % 3, a, b) for a in range(40) for b in range(50) if a % 3 == b % 4)
+    assert sorted(map(tuple, found.select("k", "a", "b").collect())) == want
+
+
+def test_plan_takes_the_highest_fix_and_each_cve_once(spark):
+    rows = [(1, "p", "1", "c1", "1:9"), (1, "p", "1", "c2", "1:10"), (1, "p", "1", "c1", "1:10"), (1, "p", "1", "c3", None), (2, "p", "1", "c1", "1:9")]
+    found = U.os_upgrade_plan(spark.createDataFrame(rows, "release int, package string, installed string, cve string, fixed string"), "debian")
+    assert sorted((r.release, r.recommended, r.cves) for r in found.collect()) == [(1, "1:10", ["c1", "c2"]), (2, "1:9", ["c1"])]
