@@ -92,9 +92,9 @@ def attach_reachability(t: Tables) -> DataFrame:
     """Half of the packages are known by their own names, half by names without scope and colon."""
     number = F.substring("cve", 10, 20).cast("long")
     rows = t.findings.select("image", "layer", "cve", "tool", F.concat(F.lit("@o:"), number.cast("string")).alias("package"))
-    key = F.col("advisory_key")
+    key = number  # of an advisory's CVE, as findings are known by
     name = F.when(key % 2 == 0, F.concat(F.lit("@o:"), key.cast("string"))).otherwise(F.concat(F.lit("o/"), key.cast("string")))
-    known = t.advisories.where("advisory_key % 4 > 0").select(name.alias("package"), (key % 3 == 0).alias("reachable"))
+    known = t.advisories.where(key % 4 > 0).select(name.alias("package"), (key % 3 == 0).alias("reachable"))
     return O.attach_reachability(rows, known, []).select("image", "layer", "cve", "tool", "reachable")
 
 
