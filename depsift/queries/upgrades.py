@@ -168,8 +168,10 @@ def first_fixed_version(t: Tables) -> DataFrame:
     from advisories group by 1
 """)
 def remediation_summary(t: Tables) -> DataFrame:
-    fixes = O.first_fixed_version(ranges_of(t.advisories)).join(t.advisories.select(F.col("cve").alias("advisory"), "ecosystem"), "advisory")
-    return O.remediation_summary(fixes, "ecosystem")
+    # advisories may share a CVE: each is met by a name of its own
+    own = t.advisories.withColumn("cve", F.concat_ws("#", "cve", "advisory_key"))
+    fixes = O.first_fixed_version(ranges_of(own)).join(own.select(F.col("cve").alias("advisory"), "ecosystem"), "advisory")
+    return O.remediation_summary(fixes.withColumn("advisory", F.substring_index("advisory", "#", 1)), "ecosystem")
 
 
 @query("""
