@@ -27,14 +27,15 @@ def _none_if(c: Column, *values: str) -> Column:
     return F.when(~c.isin(*values), c)
 
 
-def epss(lines: DataFrame, order: str = "pos") -> DataFrame:
-    """cve, epss, percentile; comments, the header and rows without two numbers go; of one cve the last by `order`."""
+def epss(lines: DataFrame, order: str = "pos", by: tuple[str, ...] = ()) -> DataFrame:
+    """cve, epss, percentile; comments, the header and rows without two numbers go; of one cve the last by `order`, in each feed that columns `by` tell apart."""
     parts = F.split("value", ",")
     number = lambda i: F.expr(f"try_cast(trim(get(split(value, ','), {i})) as double)")
     rows = lines.where("value not like '#%'").select(
+        *by,
         F.trim(F.get(parts, 0)).alias("cve"), number(1).alias("epss"), number(2).alias("percentile"), F.col(order).alias("o")
     ).where("cve <> '' and epss is not null and percentile is not null")
-    return rows.groupBy("cve").agg(F.max_by(F.struct("epss", "percentile"), "o").alias("v")).select("cve", "v.epss", "v.percentile")
+    return rows.groupBy(*by, "cve").agg(F.max_by(F.struct("epss", "percentile"), "o").alias("v")).select(*by, "cve", "v.epss", "v.percentile")
 
 
 def kev(docs: DataFrame) -> DataFrame:
