@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsift.functions.severity import normalize_severity, severity_from_cvss
+from depsift.plans.lineage import cut
 
 NVD_PAGE = "https://nvd.nist.gov/vuln/detail/"
 
@@ -382,29 +383,42 @@ def layer_efficiency(docs: DataFrame) -> DataFrame:
 MAVEN_INSTALL = "artifacts map<string, struct<version: string, shasums: struct<jar: string>>>, dependencies map<string, array<string>>, repositories map<string, array<string>>"
 
 
+def _maven_artifacts(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Parsed files, each under a number `doc`, and a row (doc, key, a) for each artifact; maps are never repeated beside their entries."""
+    rows, keep = _json(cut(docs.withColumn("doc", F.monotonically_increasing_id())), MAVEN_INSTALL)
+    return rows, rows.select(*keep, F.posexplode("j.artifacts").alias("at", "key", "a")), keep
+
+
+def _first(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The first value, by `at`, of each key of a file."""
+    return rows.groupBy("doc", "key").agg(F.min_by(value, "at").alias(name))
+
+
 def maven_install(docs: DataFrame) -> DataFrame:
     """Components of maven_install.json: coordinates (group:artifact:version), group, name, version, sha256, repository.
 
     Artifacts without a version or a colon are skipped; the repository is the first that lists the artifact.
     """
-    rows, keep = _json(docs, MAVEN_INSTALL)
-    rows = rows.select(*keep, F.col("j.repositories").alias("r"), F.explode("j.artifacts").alias("key", "a")).where("a.version <> '' and key like '%:%'")
+    files, found, keep = _maven_artifacts(docs)
+    listed = files.select("doc", F.posexplode("j.repositories").alias("at", "repository", "keys")).select("doc", "at", "repository", F.explode("keys").alias("key"))
+    rows = found.where("a.version <> '' and key like '%:%'").join(_first(listed, F.col("repository"), "repository"), ["doc", "key"], "left")
     parts = F.split("key", ":")
-    first = F.get(F.map_keys(F.map_filter("r", lambda k, v: F.array_contains(v, F.col("key")))), F.lit(0))
     return rows.select(
-        *keep, F.concat_ws(":", parts[0], parts[1], "a.version").alias("coordinates"), parts[0].alias("group"), parts[1].alias("name"), "a.version",
-        F.col("a.shasums.jar").alias("sha256"), first.alias("repository"),
+        *[c for c in keep if c != "doc"], F.concat_ws(":", parts[0], parts[1], "a.version").alias("coordinates"), parts[0].alias("group"), parts[1].alias("name"), "a.version",
+        F.col("a.shasums.jar").alias("sha256"), "repository",
     )
 
 
 def maven_install_edges(docs: DataFrame) -> DataFrame:
     """(src, dst) of full coordinates that depend on each other; ends that the file does not hold go."""
-    rows, keep = _json(docs, MAVEN_INSTALL)
-    rows = rows.select(*keep, F.col("j.artifacts").alias("all"), F.col("j.dependencies").alias("d"), F.explode("j.artifacts").alias("key", "a")).where("a.version <> '' and key like '%:%'")
+    files, found, keep = _maven_artifacts(docs)
+    versions = _first(found, F.col("a.version"), "version").where("version is not null").withColumnRenamed("key", "to")
+    told = _first(files.select("doc", F.posexplode("j.dependencies").alias("at", "key", "to")), F.col("to"), "to")
     src = F.concat_ws(":", F.substring_index("key", ":", 2), "a.version")
-    rows = rows.select(*keep, "all", src.alias("src"), F.explode(F.coalesce(F.element_at("d", src), F.element_at("d", F.col("key")))).alias("to"))
-    version = F.element_at("all", F.col("to"))["version"]
-    return rows.where(version.isNotNull()).select(*keep, "src", F.concat_ws(":", "to", version).alias("dst"))
+    rows = found.where("a.version <> '' and key like '%:%'").select(*keep, "key", src.alias("src"))
+    full = told.select("doc", F.col("key").alias("src"), F.col("to").alias("full"))
+    rows = rows.join(full, ["doc", "src"], "left").join(told, ["doc", "key"], "left").select(*keep, "src", F.explode(F.coalesce("full", "to")).alias("to"))
+    return rows.join(versions, ["doc", "to"]).select(*[c for c in keep if c != "doc"], "src", F.concat_ws(":", "to", "version").alias("dst"))
 
 
 #: Parsers of line formats; all others take whole documents.

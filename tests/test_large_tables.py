@@ -11,6 +11,7 @@ from depsift.operators import containers as C
 from depsift.operators import upgrades as U
 from depsift.plans.skew import paired_join
 from depsift.queries import ORACLES, QUERIES
+from depsift.sources import feeds
 from test_queries import DATA, canon
 
 
@@ -74,3 +75,13 @@ def test_shared_cves(spark, large_keys, name):
     found, want = QUERIES[name](spark, folder), con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert canon([tuple(r) for r in found.collect()], found.columns) == canon(want.fetchall(), columns)
+
+
+def test_maps_of_a_file_are_not_repeated_beside_their_entries(spark):
+    doc = """{"artifacts": {"g:a": {"version": "1", "shasums": {"jar": "s"}}, "g:b": {"version": "2"}, "g:c": {"version": ""}, "nocolon": {"version": "1"}, "g:d:jar": {"version": "3"}},
+        "dependencies": {"g:a": ["g:b", "g:c", "g:z"], "g:a:1": ["g:d:jar"], "g:b": ["g:a", "g:c"]}, "repositories": {"one": ["g:b"], "two": ["g:a", "g:b"], "none": null}}"""
+    docs = spark.createDataFrame([("f", doc), ("g", doc.replace('"2"', '"5"')), ("h", None), ("i", "{}")], "file string, value string")
+    made, edges = feeds.maven_install(docs), feeds.maven_install_edges(docs)
+    assert "Join" in plan(made) and "Join" in plan(edges)
+    assert sorted((r.file, r.coordinates, r.sha256, r.repository) for r in made.collect() if r.file == "f") == [("f", "g:a:1", "s", "two"), ("f", "g:b:2", None, "one"), ("f", "g:d:3", None, None)]
+    assert sorted(map(tuple, edges.collect())) == [("f", "g:a:1", "g:d:jar:3"), ("f", "g:b:2", "g:a:1"), ("f", "g:b:2", "g:c:"), ("g", "g:a:1", "g:d:jar:3"), ("g", "g:b:5", "g:a:1"), ("g", "g:b:5", "g:c:")]
