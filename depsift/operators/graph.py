@@ -21,7 +21,8 @@ def closure(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), max
     One frontier for all keys moves a step a round; nodes met before are dropped, so cycles end. Each round
     is one join and one anti join, and only the new frontier is checkpointed: what was met before is the union
     of the frontiers' checkpoints, never written again, so a lost executor costs one round. Many frontiers are
-    written together once in MERGE rounds, so that plans stay short on deep graphs.
+    written together once in MERGE rounds, so that plans stay short on deep graphs. Joins are by shuffle: a file's
+    size tells little of its rows, and what is broadcast goes through the driver anew each round.
     """
     keys = list(keys)
     own = [k for k in keys if k in edges.columns]
@@ -30,8 +31,8 @@ def closure(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (), max
     met, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        ahead = frontier.withColumnRenamed("node", "src").join(edges, [*own, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.join(_union(met), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        ahead = frontier.withColumnRenamed("node", "src").join(edges.hint("merge"), [*own, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        frontier = cut(ahead.join(_union(met).hint("merge"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         met.append(frontier)
@@ -50,7 +51,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def reachable_split(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """Every node with reachable: whether an entrypoint leads to it."""
     met = closure(edges, entrypoints).select("node").withColumn("reachable", F.lit(True))
-    return nodes.join(met, "node", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+    return nodes.join(met.hint("merge"), "node", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
 
 
 def affected_targets(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -76,8 +77,8 @@ def shortest_tree(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     met, depth = [frontier.select("node", F.lit(0).alias("depth"), none.alias("parent"))], 0
     while True:
         depth += 1
-        ahead = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.struct("place", F.col("node").alias("parent")).alias("via"))
-        new = ahead.join(_union(met).select("node"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", "via.*")
+        ahead = frontier.join(edges.hint("merge"), frontier.node == edges.src).select(F.col("dst").alias("node"), F.struct("place", F.col("node").alias("parent")).alias("via"))
+        new = ahead.join(_union(met).select("node").hint("merge"), "node", "left_anti").groupBy("node").agg(F.min("via").alias("via")).select("node", "via.*")
         frontier = numbered(new.withColumnRenamed("place", "before"), [F.col("before"), F.col("node")], "place")
         if frontier.isEmpty():
             return _union(met)
@@ -102,7 +103,7 @@ def paths_of(tree: DataFrame) -> DataFrame:
         # pointers lead to whole paths too, so these stay in what is looked up
         parts = _union([d.withColumn("up", F.lit(None).cast(tree.schema["node"].dataType)) for d in done] + [open_])
         parts = parts.select(F.col("node").alias("at"), F.col("path").alias("more"), F.col("up").alias("next"))
-        rows = cut(open_.join(parts, open_.up == parts.at).select("node", "depth", F.concat("more", "path").alias("path"), F.col("next").alias("up")))
+        rows = cut(open_.join(parts.hint("merge"), open_.up == parts.at).select("node", "depth", F.concat("more", "path").alias("path"), F.col("next").alias("up")))
 
 
 def shared_dependencies(edges: DataFrame, packages: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def call_chain(t: Tables) -> DataFrame:
 def dependency_path(t: Tables) -> DataFrame:
     """Shortest path from a package that nothing depends on, to every node."""
     nodes = t.components.select(F.col("component_id").alias("node"))
-    roots = nodes.join(t.edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    roots = nodes.join(t.edges.select(F.col("dst").alias("node")).hint("merge"), "node", "left_anti")
     path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     return G.call_chains(t.edges, roots).select("node", path.alias("path"))
 

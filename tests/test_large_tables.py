@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depsift.operators import containers as C
+from depsift.operators import graph as G
 from depsift.operators import upgrades as U
 from depsift.plans.skew import paired_join
 from depsift.queries import ORACLES, QUERIES
@@ -90,3 +91,14 @@ def test_maps_of_a_file_are_not_repeated_beside_their_entries(spark):
 @pytest.mark.parametrize("name", ["apk_compare", "deb_compare"])
 def test_versions_of_a_small_file_are_parsed_by_all_cores(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["reachable_nodes", "call_chain", "dependency_path"])
+def test_graphs_are_not_broadcast(spark, monkeypatch, name):
+    plans, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    monkeypatch.setattr(G, "numbered", lambda rows, *more, own=G.numbered: plans.append(plan(rows)) or own(rows, *more))
+    plans.append(plan(QUERIES[name](spark, DATA)))
+    # what is numbered meets a row for each partition, which is broadcast
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "__range" not in line]
+    assert len(plans) > 3 and not joins
