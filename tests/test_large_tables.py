@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depsift.operators import containers as C
 from depsift.operators import graph as G
+from depsift.operators import threats as T
 from depsift.operators import upgrades as U
 from depsift.plans.skew import paired_join
 from depsift.queries import ORACLES, QUERIES
@@ -102,3 +103,11 @@ def test_graphs_are_not_broadcast(spark, monkeypatch, name):
     # what is numbered meets a row for each partition, which is broadcast
     joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "__range" not in line]
     assert len(plans) > 3 and not joins
+
+
+def test_popular_names_of_a_feed_are_dealt_over_tasks(spark):
+    packages = spark.range(0, 2000, 1, 1).select("id", F.expr("if(id = 7, null, if(id = 8, 'other', 'name'))").alias("name"))
+    feed = spark.range(0, 900, 1, 1).select(F.col("id").alias("entry"), F.expr("case id % 3 when 0 then 'name' when 1 then 'na*' else 'na*x' end").alias("pattern"))
+    many = T.feed_lookup(packages, feed).groupBy(F.spark_partition_id().alias("task"), "pattern").agg(F.count("*").alias("n"), F.sum("id").alias("s")).collect()
+    assert sum(r.n for r in many) == 1998 * 600 and sum(r.s for r in many) == (sum(range(2000)) - 15) * 600
+    assert max(r.n for r in many) < 500_000
