@@ -136,3 +136,12 @@ def test_classes_of_cves_keep_their_weights(spark):
         found = match.count_by_priority(uses, components, hits, ids.unionByName(more), rated, together)
         want = [(1, "P0", 1, 1), (1, "P1", 3 * 70_001 + 2, 70_000), (1, "P4", 4, 1), (2, "P0", 1, 1), (2, "P1", 2, 1), (2, "P4", 1, 1)]
         assert sorted(map(tuple, found.collect())) == want
+
+
+def test_images_move_once(spark):
+    layers = [(1, 0, "org:a"), (1, 1, "lib-b-dev"), (1, 2, "a"), (1, 2, ""), (1, 3, None), (2, 0, "zz"), (None, 0, "a"), (4, 0, "x:a"), (4, None, "abc")]
+    findings = [(1, "c1", "a"), (1, "c1", "b"), (1, "c2", "b"), (1, "c3", "q"), (1, "c4", ""), (1, "c5", None), (2, "c1", "zz-top"), (3, "c1", "a"), (None, "c1", "a"), (4, "c1", "y:a"), (4, "c2", "b"), (4, "c3", "o:abcd")]
+    made = spark.createDataFrame(layers, "image long, layer int, package string"), spark.createDataFrame(findings, "image long, cve string, package string")
+    found = [sorted(map(str, C.layer_attribution(*made, few).collect())) for few in (64, 2, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 13
+    assert plan(C.layer_attribution(*made)).count("Join") == 1
