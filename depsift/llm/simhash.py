@@ -94,6 +94,18 @@ def arrangements(bits: int, many: int, seed: int = 7) -> list[np.ndarray]:
     return [np.arange(bits), *(rng.permutation(bits) for _ in range(many - 1))]
 
 
+def _keys(rows: np.ndarray, sets: list[tuple[int, ...]], orders: list[np.ndarray] | None) -> Iterator[np.ndarray]:
+    """The keys of fingerprints (row, byte), list by list: the number of an order and set, and the bytes there."""
+    bits = np.unpackbits(rows, axis=1) if orders else None
+    for k, order in enumerate(orders or [None]):
+        own = rows if order is None else np.packbits(bits[:, order], axis=1)
+        for n, positions in enumerate(sets, k * len(sets)):
+            key = np.full(len(rows), n, np.int64)
+            for p in positions:
+                key = key << 8 | own[:, p]
+            yield key
+
+
 def postings(prints: DataFrame, sets: list[tuple[int, ...]], orders: list[np.ndarray] | None = None) -> DataFrame:
     """key, fp: a row per fingerprint, order of its bits and set of positions; the key is their number and the bytes there."""
 
@@ -102,20 +114,20 @@ def postings(prints: DataFrame, sets: list[tuple[int, ...]], orders: list[np.nda
             if not batch.num_rows:
                 continue
             fps = batch.column(0).to_pylist()
-            m = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
-            keys, bits = [], np.unpackbits(m, axis=1) if orders else None
-            for k, order in enumerate(orders or [None]):
-                own = m if order is None else np.packbits(bits[:, order], axis=1)
-                for n, positions in enumerate(sets, k * len(sets)):
-                    key = np.full(len(fps), n, np.int64)
-                    for p in positions:
-                        key = key << 8 | own[:, p]
-                    keys.append(key)
+            keys = list(_keys(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), sets, orders))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fps * len(keys), pa.binary())], names=["key", "fp"])
 
     return prints.select("fp").mapInArrow(run, "key long, fp binary")
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray, sets: list[tuple[int, ...]], orders: list[np.ndarray] | None) -> np.ndarray:
+    """The key of the first list that two fingerprints share, pair by pair; -1 without one."""
+    first = np.full(len(a), -1, np.int64)
+    for x, y in zip(_keys(a, sets, orders), _keys(b, sets, orders)):
+        first = np.where((first < 0) & (x == y), x, first)
+    return first
+
+
 def _linked(a: np.ndarray, b: np.ndarray, matches: int, distance: int) -> np.ndarray:
     """Count filter and verification of row pairs: shared positional bytes first, then differing bits."""
     out = np.zeros(len(a), bool)
@@ -220,7 +232,9 @@ def links(
     pair is left out. Inside a group, pairs are tallied in arrays; only the links that join two parts of a
     group leave it, fewer than its rows; without `nearest`, lists of `short` rows at most are compared all at
     once and give all their links. `nearest` spans every group by its links of fewest differing bits, for callers
-    that verify links by other means afterwards. With `orders`, lists are those of several orders of the bits; what shares a
+    that verify links by other means afterwards, and a link leaves only the first list, and of a block's own links only the block, that
+    both its ends are in: there they are linked already, directly or by links of still earlier lists, so the components stay
+    while a large group has a few links for each fingerprint, not one for each of its lists. With `orders`, lists are those of several orders of the bits; what shares a
     list shares the bytes of its set in that order, and `matches` counts bytes of the given one.
     """
     span = _nearest_forest if nearest else _forest
@@ -260,6 +274,11 @@ def links(
                 edges[0].append(np.array(a, np.int64) + at)
                 edges[1].append(np.array(b, np.int64) + at)
             a, b = (np.concatenate(e).astype(np.int64) if e else np.empty(0, np.int64) for e in edges)
+            if nearest:
+                new = (key[a, 1] == key[a, 2]) | (own[a] != own[b])
+                a, b = a[new], b[new]
+                new = _first_shared(m[a], m[b], sets, orders) == key[a, 0]
+                a, b = a[new], b[new]
             yield pa.RecordBatch.from_arrays([pa.array([m[i].tobytes() for i in x], pa.binary()) for x in (a, b)], names=["src", "dst"])
 
     # lists come in order of fingerprints, so lists with the same members span them by the same links

@@ -730,3 +730,34 @@ def test_clashing_columns_of_vectors_and_languages(spark):
     out = langid.predict(docs, langid.train(docs)).collect()
     assert len(out) == 18 and {r.lang_pred for r in out} == {"en"} and {r.held_out for r in out} == {zlib.crc32(str(i).encode()) % 3 == 1 for i in range(9)}
     assert langid.predict(docs.limit(0), langid.train(docs)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_a_large_group_of_near_copies_has_few_links(spark, block):
+    """Near copies share most of their lists, which span them one by one: only new links count, and components stay."""
+    rng = np.random.default_rng(5)
+    bits = np.repeat(rng.integers(0, 2, (2, 128), dtype=np.uint8), [200, 100], axis=0)
+    for row in bits[:300]:
+        row[rng.choice(128, 12, replace=False)] ^= 1
+    bits = np.unique(np.concatenate([bits, rng.integers(0, 2, (100, 128), dtype=np.uint8)]), axis=0)
+    sets, orders = [(p, p + 1) for p in range(0, 16, 2)], simhash.arrangements(128, 15)
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= 34
+    shared = np.zeros_like(near)
+    for order in orders:
+        lists = bits[:, order].reshape(len(bits), 8, 16)
+        shared |= (lists[:, None] == lists[None]).all(axis=3).any(axis=2)
+
+    def components(pairs):
+        root = list(range(len(bits)))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    fps = [np.packbits(row).tobytes() for row in bits]
+    place = {fp: i for i, fp in enumerate(fps)}
+    frame = spark.createDataFrame([(fp,) for fp in fps], "fp binary")
+    found = [(place[bytes(r.src)], place[bytes(r.dst)]) for r in simhash.links(frame, 34, 0, sets, block, nearest=True, orders=orders).collect()]
+    assert all((near & shared)[a, b] for a, b in found)
+    assert components(found) == components(zip(*np.nonzero(near & shared)))
+    assert len(found) < 6 * len(bits)
