@@ -61,6 +61,28 @@ def spdx(components: DataFrame, key: str = "project", edges: DataFrame | None =
     return docs.select(key, F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.col("items").alias("packages"), links.alias("relationships"))).alias("value"))
 
 
+def spdx_of_components(components: DataFrame, key: str = "project") -> DataFrame:
+    """`spdx` of rows (key, component_id, ecosystem, name, version, license, dsts): dsts are the components that this one depends on, null for none.
+
+    Rows are dealt by key once, while they are narrow; texts are made behind that, where a document is written. There a row stands at its own
+    component and at each of its dsts, so both ends of an edge meet by grouping a key's rows, without a join. Repeated rows count once, and
+    ends that the key doesn't have are left out.
+    """
+    link = lambda a, kind, b: F.struct(a.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), b.alias("relatedSpdxElement"))
+    package = F.struct("ecosystem", "name", "version", "license")
+    stands = F.concat(F.array("component_id"), F.coalesce("dsts", F.array().cast(components.schema["dsts"].dataType)))
+    rows = components.repartition(key).select(key, spdx_ref().alias("ref"), package.alias("package"), F.posexplode(stands).alias("end", "at"))
+    met = rows.groupBy(key, "at").agg(
+        F.collect_set(F.when(F.col("end") == 0, F.struct("ref", "package"))).alias("own"), F.collect_set(F.when(F.col("end") > 0, F.col("ref"))).alias("by")
+    )
+    met = met.select(key, "by", F.explode("own").alias("own")).select(key, "own.*", F.explode_outer("by").alias("by"))
+    each = met.select(key, "package.*", F.when(F.col("by").isNotNull(), link(F.col("by"), "DEPENDS_ON", F.col("ref"))).alias("link"))
+    docs = each.groupBy(key).agg(F.collect_set(F.struct(spdx_package().alias("p"), "license")).alias("items"), F.array_sort(F.collect_set("link")).alias("more"))
+    docs = docs.select(key, F.transform(F.array_sort("items"), lambda x: x["p"]).alias("items"), "more")
+    links = F.concat(F.transform("items", lambda p: link(F.lit("SPDXRef-DOCUMENT"), "DESCRIBES", p["SPDXID"])), "more")
+    return docs.select(key, F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.col("items").alias("packages"), links.alias("relationships"))).alias("value"))
+
+
 def spdx_tag_values(components: DataFrame) -> DataFrame:
     """The tag-value block of each package, beside the input's columns."""
     rows = components.withColumn("p", spdx_package())

@@ -14,6 +14,7 @@ from depsift.operators import threats as T
 from depsift.operators import upgrades as U
 from depsift.plans.skew import paired_join
 from depsift.queries import ORACLES, QUERIES
+from depsift.sources import documents as D
 from depsift.sources import feeds
 from test_queries import DATA, canon
 
@@ -145,3 +146,21 @@ def test_images_move_once(spark):
     found = [sorted(map(str, C.layer_attribution(*made, few).collect())) for few in (64, 2, 0)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 13
     assert plan(C.layer_attribution(*made)).count("Join") == 1
+
+
+def test_spdx_rows_move_by_project_once(spark):
+    """Repeated rows, two components of one id, a licence that says what a missing one does, a self edge, ends of other projects."""
+    kinds = "project long, component_id long, ecosystem string, name string, version string, license string, dsts array<long>"
+    named = {1: ("npm", "a", "1", "MIT", [2, 3, 9]), 2: ("npm", "b", "1", None, [1, 2]), 3: ("npm", "b", "1", "NOASSERTION", [5]), 4: ("Go", "c", "2", None, None), 5: ("Go", "@x/d", "2", "ISC", [])}
+    uses = [(1, 1), (1, 2), (1, 2), (1, 3), (1, 5), (2, 1), (2, 4), (3, 5), (4, 2), (4, 3)]
+    rows = spark.createDataFrame([(p, c, *named[c]) for p, c in uses], kinds)
+    ids = rows.select("project", F.col("component_id").alias("c"), D.spdx_ref().alias("id")).distinct()
+    ends = rows.select("project", D.spdx_ref().alias("src"), F.explode("dsts").alias("c")).join(ids, ["project", "c"]).select("project", "src", F.col("id").alias("dst")).distinct()
+    want = D.spdx(rows.drop("component_id", "dsts").distinct(), edges=ends)
+    assert sorted(map(tuple, D.spdx_of_components(rows).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_write_spdx_moves_rows_to_their_project_once(spark):
+    steps = plan(QUERIES["write_spdx"](spark, DATA))
+    first = steps.split("== Initial Plan ==")[-1]
+    assert first.count("Exchange hashpartitioning(project") == 1
