@@ -343,19 +343,18 @@ def set_digests(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows (doc_id, fp, digest) whose text has the set of this digest, and the set: shingles."""
+    """doc_id, digest, shingles: the set of shingles of every row (doc_id, text) and its 128-bit hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            sets = [shingle_hashes(t.as_py() or "", shingle) for t in batch.column(3)]
-            own = pa.array([xxhash.xxh3_128_digest(x) == d.as_py() for x, d in zip(sets, batch.column(2))], pa.bool_())
-            whole = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["doc_id", "fp", "digest", "shingles"])
-            yield whole.filter(own)
+            sets = [shingle_hashes(t.as_py() or "", shingle) for t in batch.column(1)]
+            digests = pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
 
-    return docs.select("doc_id", "fp", "digest", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, shingles binary")
 
 
 def cosine(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -463,13 +462,14 @@ def near_duplicate_groups(
     classes = nodes.groupBy("fp").agg(F.min_by("digest", F.struct("first", "digest")).alias("lead"), F.count("*").alias("sets"))
     found = cut(links(nodes.select("fp").distinct(), distance, nearest=True, **index))
     groups = connected_components(found).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    needed = cut(nodes.join(classes, "fp").join(groups, "fp", "left").where("group is not null or sets > 1").select(
+    needed = cut(nodes.join(classes.hint("merge"), "fp").join(groups.hint("merge"), "fp", "left").where("group is not null or sets > 1").select(
         F.col("first").alias("doc_id"), "fp", "digest", F.coalesce("group", "fp").alias("group"), (F.col("digest") == F.col("lead")).alias("lead")
     ))
-    grams = shingle_sets(sized_join(base, needed.drop("group", "lead"), ["doc_id"]), shingle)
-    grams = cut(grams.join(needed, ["doc_id", "fp", "digest"]).drop("digest"))
+    # ids alone are broadcast; of rows that share an id, those of other sets go by their digest
+    grams = shingle_sets(sized_join(base, needed.select("doc_id").distinct(), ["doc_id"]), shingle)
+    grams = cut(grams.join(needed.hint("merge"), ["doc_id", "digest"]).drop("digest"))
     sides = [grams.where("lead").select(F.col("fp").alias(k), F.col("doc_id").alias(c), F.col("shingles").alias(n)) for k, c, n in (("s", "src", "a"), ("d", "dst", "b"))]
-    verified = cut(cosine(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0], "s").join(sides[1], "d"), similarity))
+    verified = cut(cosine(found.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(sides[0].hint("merge"), "s").join(sides[1].hint("merge"), "d"), similarity))
     joined = fragment_links(grams.select("group", "doc_id", "shingles"), connected_components(verified), similarity)
     same = spread_join(prints, nodes, ["fp", "digest"], "doc_id", size="many").where("doc_id <> first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst"))
     labels = connected_components(verified.unionByName(joined).unionByName(same))

@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     own pick, and edges are contracted to the picked nodes. Order by hash keeps long chains from contracting
     one step at a time, and a star is done in two rounds. A round costs a few shuffles on the edges left,
     never a group collected in one task: adaptive execution splits joins on hubs, which end in a checkpoint, and
-    the last join splits giant components. Labels are cut every fourth round, so plans stay short.
+    the last join splits giant components. Labels are cut every fourth round, so plans stay short. Joins are by shuffle: what is
+    broadcast goes through the driver, several times a round, and each time leaves it threads and heap to hold.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -31,15 +32,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         best = both.groupBy("a").agg(F.min(order("b")).alias("m"))
         pick = best.select(F.col("a").alias("v"), F.least("m", order("a"))["n"].alias("t"))
         hop = pick.select(F.col("v").alias("hv"), F.col("t").alias("ht"))
-        pick = cut(pick.join(hop, F.col("t") == F.col("hv"), "left").select("v", F.coalesce("ht", "t").alias("t")))
-        labels = labels.join(pick, F.col("cur") == F.col("v"), "left").select("node", F.coalesce("t", "cur").alias("cur"))
+        pick = cut(pick.join(hop.hint("merge"), F.col("t") == F.col("hv"), "left").select("v", F.coalesce("ht", "t").alias("t")))
+        labels = labels.join(pick.hint("merge"), F.col("cur") == F.col("v"), "left").select("node", F.coalesce("t", "cur").alias("cur"))
         if turn % 4 == 3:
             labels = cut(labels)
         ends = [pick.select(F.col("v").alias(c), F.col("t").alias(n)) for c, n in (("a", "na"), ("b", "nb"))]
-        met = live.join(ends[0], "a").join(ends[1], "b").where("na <> nb")
+        met = live.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").where("na <> nb")
         live = cut(met.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
     else:
         raise RuntimeError("connected components did not settle")
     labels = cut(labels)
     least = labels.groupBy("cur").agg(F.min("node").alias("component"))
-    return spread_join(labels, least, ["cur"], "node").select("node", "component")
+    return spread_join(labels, least.hint("merge"), ["cur"], "node").select("node", "component")

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from depsift.llm import simhash as S
+from depsift.operators import components as K
 from depsift.operators import containers as C
 from depsift.operators import graph as G
 from depsift.operators import match
@@ -107,6 +109,20 @@ def test_graphs_are_not_broadcast(spark, monkeypatch, name):
     assert len(plans) > 3 and not joins
 
 
+def test_components_and_near_copies_broadcast_ids_alone(spark, monkeypatch):
+    plans, sent = [], []
+    for module in (K, S):
+        monkeypatch.setattr(module, "cut", lambda df, own=module.cut: plans.append(plan(df)) or own(df))
+    monkeypatch.setattr(S, "sized_join", lambda rows, small, *more, own=S.sized_join: sent.append(small.columns) or own(rows, small, *more))
+    text = lambda n, k: " ".join(f"w{n}-{i if i != k else 'x'}" for i in range(80))
+    # the id 5 has two texts, one a copy of another
+    rows = [(1, text(0, 80)), (2, text(0, 3)), (3, text(1, 80)), (5, text(1, 40)), (5, text(2, 80)), (6, text(3, 80)), (7, text(2, 10))]
+    found = {(r.doc_id, r.component_id) for r in S.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (5, 3), (6, 6), (7, 3)}
+    components = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and ("ht#" in line or "na#" in line or "v#" in line or "[cur#" in line)]
+    assert len(plans) > 10 and not components and sent == [["doc_id"]]
+
+
 def test_popular_names_of_a_feed_are_dealt_over_tasks(spark):
     packages = spark.range(0, 2000, 1, 1).select("id", F.expr("if(id = 7, null, if(id = 8, 'other', 'name'))").alias("name"))
     feed = spark.range(0, 900, 1, 1).select(F.col("id").alias("entry"), F.expr("case id % 3 when 0 then 'name' when 1 then 'na*' else 'na*x' end").alias("pattern"))
