@@ -2,6 +2,8 @@
 
 import glob
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -155,6 +157,54 @@ def test_classes_of_cves_keep_their_weights(spark):
         assert sorted(map(tuple, found.collect())) == want
 
 
+def stages_of(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_classes_of_cves_do_not_move_with_rows(spark):
+    """Names with 2,000 CVEs that each stand on a range of their own and of a second name, which no project has beside the first."""
+    names = spark.range(6).select(F.lit("e").alias("ecosystem"), F.concat(F.lit("n"), "id").alias("name"), "id")
+    held = spark.range(6000).select(F.concat(F.lit("c"), "id").alias("cve"), F.explode(F.expr("array(id % 3 * 2, id % 3 * 2 + 1)")).alias("id")).join(names, "id")
+    held = held.select("cve", "ecosystem", "name", F.concat(F.lit("r"), "cve").alias("advisory"))
+    hits = held.select("ecosystem", "name", F.lit("1").alias("version"), "advisory")
+    components = names.select(F.col("id").alias("component_id"), "ecosystem", "name", F.lit("1").alias("version"))
+    uses = spark.range(1200).select(F.expr("id div 3").alias("project"), (F.col("id") % 3 * 2).alias("component_id"))
+    before = stages_of(spark)
+    found = match.count_by_priority(uses, components, hits, held, held.select("cve", F.lit("P1").alias("priority")).distinct()).collect()
+    assert {tuple(r)[1:] for r in found} == {("P1", 6000, 6000)} and len(found) == 400
+    assert sum(n for stage, n in stages_of(spark).items() if stage not in before) < 5_000_000
+
+
+@pytest.mark.parametrize("together", [32, 3])
+@pytest.mark.parametrize("narrow", [32, 3])
+def test_distinct_cves_of_a_project_by_brute_force(spark, monkeypatch, narrow, together):
+    """Versions of one name in one project, repeated rows, CVEs of many names, a project without an id, and names and versions that are null."""
+    monkeypatch.setattr(match, "NARROW", narrow, raising=False)
+    draw = random.Random(7)
+    hits = [("e", f"n{n}", f"{v}", f"r{r}") for n in range(6) for v in range(4) for r in range(5) if draw.random() < 0.35]
+    held = [(f"c{c}", "e", f"n{n}", f"r{draw.randrange(5)}") for c in range(60) for n in draw.sample(range(7), draw.choice([1, 1, 2, 3, 6]))]
+    rated = [(f"c{c}", draw.choice(["P0", "P1", "P2", "P3", "P4"])) for c in range(61) for _ in range(draw.choice([1, 1, 2, 3]))]
+    components = [(i, "e", f"n{i % 7}", f"{i // 7}") for i in range(35)] + [(35, "e", None, "1"), (36, "e", "n1", None)]
+    uses = [(draw.choice([None, *range(12)]), draw.choice([*range(37), 99])) for _ in range(110)]
+    of = {i: {c for c, *h in held if (*h[:2], v, h[2]) in hits and (*h[:2], v) == (e, n, v)} for i, e, n, v in components}
+    findings, cves = Counter(), {}
+    for project, i in uses:
+        for c in of.get(i, ()):
+            for cve, p in rated:
+                if cve == c:
+                    findings[project, p] += 1
+                    cves.setdefault((project, p), set()).add(c)
+    name = "ecosystem string, name string, "
+    made = [spark.createDataFrame(rows, kinds) for rows, kinds in (
+        (uses, "project long, component_id long"), (components, f"component_id long, {name}version string"), (hits, f"{name}version string, advisory string"),
+        (held, f"cve string, {name}advisory string"), (rated, "cve string, priority string"))]
+    want = {(*k, n, len(cves[k])) for k, n in findings.items()}
+    found = [tuple(r) for r in match.count_by_priority(*made, together).collect()]
+    assert set(found) == want and len(found) == len(want) > 40
+
+
 def test_images_move_once(spark):
     layers = [(1, 0, "org:a"), (1, 1, "lib-b-dev"), (1, 2, "a"), (1, 2, ""), (1, 3, None), (2, 0, "zz"), (None, 0, "a"), (4, 0, "x:a"), (4, None, "abc")]
     findings = [(1, "c1", "a"), (1, "c1", "b"), (1, "c2", "b"), (1, "c3", "q"), (1, "c4", ""), (1, "c5", None), (2, "c1", "zz-top"), (3, "c1", "a"), (None, "c1", "a"), (4, "c1", "y:a"), (4, "c2", "b"), (4, "c3", "o:abcd")]
