@@ -137,15 +137,19 @@ def user_predicates(findings: DataFrame, rules: dict[str, str]) -> DataFrame:
     return findings.withColumn("rule", F.explode(named))
 
 
-def dedupe_findings(findings: DataFrame, by: tuple[str, ...] = ("image", "cve")) -> DataFrame:
+def dedupe_findings(findings: DataFrame, by: tuple[str, ...] = ("image", "cve"), severity: Column | None = None, fixed: Column | None = None) -> DataFrame:
     """One row per image and CVE over all tools: worst severity and score; first fix, layer and EPSS by tool order; tools, KEV, and
-    the references of all tools where there is such a column."""
+    the references of all tools where there is such a column.
+
+    `severity` and `fixed` are aggregates to take instead. Of several EPSS that one tool tells of one layer, the highest counts.
+    """
     at = F.struct("tool_order", "layer", "package", "installed")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    first = lambda c, at: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    worst = F.max_by("severity", severity_rank(F.col("severity"))) if severity is None else severity
     more = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("references")))).alias("references")] if "references" in findings.columns else []
     return findings.groupBy(*by).agg(
-        F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.max("cvss").alias("cvss"), first("fixed"), F.min_by("layer", at).alias("layer"),
-        F.array_sort(F.collect_set("tool")).alias("tools"), first("epss"), F.bool_or("is_kev").alias("is_kev"), *more,
+        worst.alias("severity"), F.max("cvss").alias("cvss"), first("fixed", at) if fixed is None else fixed.alias("fixed"), F.min_by("layer", at).alias("layer"),
+        F.array_sort(F.collect_set("tool")).alias("tools"), first("epss", F.struct("tool_order", "layer", -F.col("epss"))), F.bool_or("is_kev").alias("is_kev"), *more,
     )
 
 

@@ -90,10 +90,11 @@ def user_predicates(t: Tables) -> DataFrame:
     from (select * replace (case when layer <> 2 then epss + tool_order end as epss) from findings) group by image, cve
 """)
 def dedupe_findings(t: Tables) -> DataFrame:
-    """Tools tell different EPSS scores, and none in the second layer."""
+    """Tools tell different EPSS scores, and none in the second layer. The SQL takes the greatest texts of severity and fix, not the worst and the first."""
     told = t.findings.withColumn("epss", F.when(F.col("layer") != 2, F.col("epss") + F.col("tool_order")))
     told = told.withColumn("references", F.array(F.concat(F.lit("nvd/"), "cve"), F.concat("tool", F.lit("/"), F.col("layer").cast("string"))))
-    return O.dedupe_findings(told).withColumn("tools", F.concat_ws(",", "tools")).withColumn("references", F.concat_ws(",", "references"))
+    found = O.dedupe_findings(told, severity=F.max("severity"), fixed=F.max("fixed"))
+    return found.withColumn("tools", F.concat_ws(",", "tools")).withColumn("references", F.concat_ws(",", "references"))
 
 
 @query(f"select image, count(*) as total, {COUNTS}, count(fixed) as fixable, count_if(is_kev) as kev from findings group by image")

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from depsift.llm import simhash as S
 from depsift.operators import components as K
 from depsift.operators import containers as C
+from depsift.operators import findings as O
 from depsift.operators import graph as G
 from depsift.operators import match
 from depsift.operators import threats as T
 from depsift.operators import upgrades as U
 from depsift.plans.skew import paired_join
+from depsift.plans.tables import oracle
 from depsift.queries import ORACLES, QUERIES
 from depsift.sources import documents as D
 from depsift.sources import feeds
@@ -85,6 +87,27 @@ def test_shared_cves(spark, large_keys, name):
     assert canon([tuple(r) for r in found.collect()], found.columns) == canon(want.fetchall(), columns)
 
 
+def test_dedupe_of_shared_cves_leaves_only_what_its_sql_leaves_open(spark, large_keys):
+    """All but the EPSS as in the SQL; the EPSS is the highest of those that the first tool and layer tell, between which the SQL's `arg_min` is free."""
+    folder, con = large_keys
+    found, want = QUERIES["dedupe_findings"](spark, folder), con.execute(ORACLES["dedupe_findings"])
+    columns = [c[0] for c in want.description]
+    at = columns.index("epss")
+    rows, sql = [tuple(r) for r in found.select(*columns).collect()], want.fetchall()
+    cut, rest = lambda r: r[:at] + r[at + 1:], columns[:at] + columns[at + 1:]
+    assert canon(map(cut, rows), rest) == canon(map(cut, sql), rest)
+    told = con.execute(oracle("""select image, cve, max(epss) from (select *, rank() over (partition by image, cve order by tool_order, layer) as place
+        from (select * replace (case when layer <> 2 then epss + tool_order end as epss) from findings) where epss is not null) where place = 1 group by 1, 2""")).fetchall()
+    assert canon([(r[0], r[1], r[at]) for r in rows if r[at] is not None], ["a", "b", "c"]) == canon(told, ["a", "b", "c"])
+
+
+def test_dedupe_takes_the_worst_severity_and_the_first_fix(spark):
+    rows = [("i", "c", s, 1.0, f, 1, "t", o, "p", "1", e, False) for s, f, o, e in (("HIGH", None, 0, 0.1), ("LOW", "1.2", 1, 0.3), ("UNKNOWN", "3.0", 2, 0.9), ("LOW", None, 0, 0.2))]
+    findings = spark.createDataFrame(rows, "image string, cve string, severity string, cvss double, fixed string, layer int, tool string, tool_order int, package string, installed string, epss double, is_kev boolean")
+    assert [(r.severity, r.fixed, r.epss) for r in O.dedupe_findings(findings).collect()] == [("HIGH", "1.2", 0.2)]
+    assert [(r.severity, r.fixed) for r in O.dedupe_findings(findings, severity=F.max("severity"), fixed=F.max("fixed")).collect()] == [("UNKNOWN", "3.0")]
+
+
 def test_maps_of_a_file_are_not_repeated_beside_their_entries(spark):
     doc = """{"artifacts": {"g:a": {"version": "1", "shasums": {"jar": "s"}}, "g:b": {"version": "2"}, "g:c": {"version": ""}, "nocolon": {"version": "1"}, "g:d:jar": {"version": "3"}},
         "dependencies": {"g:a": ["g:b", "g:c", "g:z"], "g:a:1": ["g:d:jar"], "g:b": ["g:a", "g:c"]}, "repositories": {"one": ["g:b"], "two": ["g:a", "g:b"], "none": null}}"""
